@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.decontam import benchmark_hits, words_hit
 from tessera.llm.exact_dedup import exact_groups
+from tessera.llm.token_files import token_file_digest
 from tessera.llm.simhash import simhash_components
 
 
@@ -32,6 +33,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"), digest_all=True).drop("row_hash")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return token_file_digest(_table(spark, sf_dir, "documents"), tokenizer, end_id=2)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -41,6 +50,7 @@ def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
         "op5_exact_dedup": op5_exact_dedup,
+        "op7_token_files": op7_token_files,
         "op10_simhash": op10_simhash,
     }
 
