@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.decontam import benchmark_hits, words_hit
 from tessera.llm.exact_dedup import exact_groups
+from tessera.llm.packing import pack_documents
 from tessera.llm.token_files import token_file_digest
 from tessera.llm.simhash import simhash_components
 
@@ -29,6 +30,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"), digest_all=True).drop("row_hash")
 
@@ -49,6 +54,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_packing": op2_packing,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_token_files": op7_token_files,
         "op10_simhash": op10_simhash,
