@@ -10,6 +10,7 @@ from tessera.llm.exact_dedup import exact_groups
 from tessera.llm.packing import pack_documents
 from tessera.llm.token_files import token_file_digest
 from tessera.llm.simhash import simhash_components
+from tessera.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +47,17 @@ def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     return token_file_digest(_table(spark, sf_dir, "documents"), tokenizer, end_id=2)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity(docs, _table(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id",
+        (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0).alias("held_out"),
+        "toxicity.score",
+        (F.col("toxicity.score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -57,6 +69,7 @@ def queries() -> dict:
         "op2_packing": op2_packing,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_token_files": op7_token_files,
+        "op9_toxicity": op9_toxicity,
         "op10_simhash": op10_simhash,
     }
 
