@@ -9,6 +9,7 @@ from tessera.llm.decontam import benchmark_hits, words_hit
 from tessera.llm.exact_dedup import exact_groups
 from tessera.llm.packing import pack_documents
 from tessera.llm.token_files import token_file_digest
+from tessera.llm.quality import graded
 from tessera.llm.simhash import simhash_components
 from tessera.llm.toxicity import toxicity
 
@@ -47,6 +48,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     return token_file_digest(_table(spark, sf_dir, "documents"), tokenizer, end_id=2)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = graded(docs, _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "quality.expected_grade", F.col("quality.tail").alias("p_good"), F.col("quality.selected").alias("kept"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity(docs, _table(spark, sf_dir, "labels"))
@@ -69,6 +76,7 @@ def queries() -> dict:
         "op2_packing": op2_packing,
         "op5_exact_dedup": op5_exact_dedup,
         "op7_token_files": op7_token_files,
+        "op8_quality": op8_quality,
         "op9_toxicity": op9_toxicity,
         "op10_simhash": op10_simhash,
     }

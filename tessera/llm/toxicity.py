@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ALNUM, LOWER, byte_blocks, span_hashes, text_of, unused_name, word_spans
+from tessera.llm.common import ALNUM, LOWER, byte_blocks, span_hashes, unused_name, word_spans
+from tessera.llm.sampling import labelled_sample
 
 CHAIN = 64
 BITS = 18
@@ -221,25 +222,8 @@ def fit_field(texts: list[str], toxic: np.ndarray) -> Field:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int, sample_doc_bytes: int) -> Field:
-    """A field from a bounded sample of labelled rows whose crc32(doc_id) mod 5 is not 0."""
-    key = F.col("doc_id").cast("string")
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").where(F.crc32(key) % 5 != 0)
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = None
-    for value in (1, 0):
-        part = known.where(F.col("toxic") == value).orderBy(*order).limit(sample)
-        chosen = part if chosen is None else chosen.union(part)
-    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("of"), "toxic"))  # at most 2 x sample rows
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).where(F.octet_length("text") <= sample_doc_bytes)
-    rows = rows.join(chosen, F.col("doc_id") == F.col("of")).select("doc_id", "text", "toxic").collect()
-    rows = {r.text: (r.doc_id, r.toxic) for r in sorted(rows, key=lambda r: r.doc_id, reverse=True)}  # equal texts teach once
-    ordered = sorted(rows.items(), key=lambda x: (hash_of(x[1][0]), x[1][0]))
-    return fit_field([t for t, _ in ordered], np.array([v[1] for _, v in ordered], dtype=np.int64))
-
-
-def hash_of(doc_id: int) -> int:
-    return (doc_id * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 32
+    texts, toxic = labelled_sample(docs, labels, "toxic", (0, 1), F.max, id_col, text_col, sample, sample_doc_bytes)
+    return fit_field(texts, toxic)
 
 
 def toxicity(
