@@ -9,6 +9,7 @@ from tessera.llm.decontam import benchmark_hits, words_hit
 from tessera.llm.exact_dedup import exact_groups
 from tessera.llm.packing import pack_documents
 from tessera.llm.token_files import token_file_digest
+from tessera.llm.pii import KINDS, personal_data, span_list
 from tessera.llm.quality import graded
 from tessera.llm.simhash import simhash_components
 from tessera.llm.toxicity import toxicity
@@ -40,6 +41,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"), digest_all=True).drop("row_hash")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(_table(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(span_list(False), 256).alias("base_sha256"), span_list(True).alias("spans"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     if tokenizer is None:
         import public_tokenizers
@@ -75,6 +82,7 @@ def queries() -> dict:
         "op1_decontamination": op1_decontamination,
         "op2_packing": op2_packing,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_personal_data": op6_personal_data,
         "op7_token_files": op7_token_files,
         "op8_quality": op8_quality,
         "op9_toxicity": op9_toxicity,
