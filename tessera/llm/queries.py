@@ -9,6 +9,7 @@ from tessera.llm.decontam import benchmark_hits, words_hit
 from tessera.llm.exact_dedup import exact_groups
 from tessera.llm.packing import pack_documents
 from tessera.llm.token_files import token_file_digest
+from tessera.llm.licenses import label_list, license_scan
 from tessera.llm.pii import KINDS, personal_data, span_list
 from tessera.llm.quality import graded
 from tessera.llm.simhash import simhash_components
@@ -37,6 +38,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(_table(spark, sf_dir, "documents"))
+    own = F.transform("detections", lambda x: x["label"])
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", label_list(F.col("base")).alias("base_labels"), label_list(F.col("base"), own).alias("labels"), "score")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"), digest_all=True).drop("row_hash")
 
@@ -81,6 +88,7 @@ def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_packing": op2_packing,
+        "op3_license_scan": op3_license_scan,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_personal_data": op6_personal_data,
         "op7_token_files": op7_token_files,
