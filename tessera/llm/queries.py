@@ -13,6 +13,7 @@ from tessera.llm.licenses import label_list, license_scan
 from tessera.llm.pii import KINDS, personal_data, span_list
 from tessera.llm.quality import graded
 from tessera.llm.simhash import simhash_components
+from tessera.llm.suffix_dedup import remove_repeats
 from tessera.llm.toxicity import toxicity
 
 
@@ -44,6 +45,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", label_list(F.col("base")).alias("base_labels"), label_list(F.col("base"), own).alias("labels"), "score")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"), digest_all=True).drop("row_hash")
 
@@ -89,6 +94,7 @@ def queries() -> dict:
         "op1_decontamination": op1_decontamination,
         "op2_packing": op2_packing,
         "op3_license_scan": op3_license_scan,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_personal_data": op6_personal_data,
         "op7_token_files": op7_token_files,
