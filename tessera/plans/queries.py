@@ -1,0 +1,585 @@
+"""The registered queries over the driver's tables, and the same in SQL.
+
+Names that start with ``q`` are operators of the scanner that this library models; ``x`` marks extensions.
+All run over whole tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.functions import versions as Ver
+from tessera.functions.literals import finding_counts
+from tessera.functions.views import code_view, comment_view, string_literals
+from tessera.operators import closure as C
+from tessera.operators import dependencies as Dep
+from tessera.operators import discovery as Disc
+from tessera.operators import keyword_scan as K
+from tessera.operators import metrics as M
+from tessera.operators import rules as R
+from tessera.sources import sinks
+from tessera.sources.files import with_path_parts
+from tessera.streaming.events import event_counts
+
+TEXT = F.col("text")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Text and line metrics
+
+
+def q01_line_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    over = {f"n_over_{n}": T.long_lines(TEXT, n) for n in (80, 100, 120, 132)}
+    own = {"n_lines": T.line_count(TEXT), "n_blank": T.blank_lines(TEXT), "n_nonempty": T.nonempty_lines(TEXT), "n_alnum": T.alnum_lines(TEXT), **over}
+    return docs.select("doc_id", *[c.alias(n) for n, c in own.items()])
+
+
+Q01 = """
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+e AS (SELECT doc_id, x, x[1 : len(x) - 1] AS y FROM l)
+SELECT doc_id, len(y)::BIGINT AS n_lines,
+  len(list_filter(y, lambda s: regexp_full_match(s, '[ \\t\\x0B\\f\\r]*')))::BIGINT AS n_blank,
+  len(list_filter(y, lambda s: regexp_matches(s, '[^ \\t\\x0B\\f\\r]')))::BIGINT AS n_nonempty,
+  len(list_filter(y, lambda s: regexp_matches(s, '[A-Za-z0-9]')))::BIGINT AS n_alnum,
+  len(list_filter(x, lambda s: length(s) > 80))::BIGINT AS n_over_80, len(list_filter(x, lambda s: length(s) > 100))::BIGINT AS n_over_100,
+  len(list_filter(x, lambda s: length(s) > 120))::BIGINT AS n_over_120, len(list_filter(x, lambda s: length(s) > 132))::BIGINT AS n_over_132
+FROM e
+"""
+
+
+def q02_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SHA-256 of each raw text, with the number of documents that have it and the least of their ids."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.text_of(TEXT), 256).alias("sha256"))
+    groups = docs.groupBy("sha256").agg(F.count("*").alias("n_same"), F.min("doc_id").alias("first_id"))
+    return docs.join(groups, "sha256").select("doc_id", "sha256", "n_same", "first_id")
+
+
+Q02 = """
+WITH h AS (SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents),
+g AS (SELECT sha256, count(*) AS n_same, min(doc_id) AS first_id FROM h GROUP BY sha256)
+SELECT doc_id, sha256, n_same, first_id FROM h JOIN g USING (sha256)
+"""
+
+KEYWORDS = K.Scan(
+    "words",
+    (
+        K.Group("ARTICLES", (K.Item("the"), K.Item("der"), K.Item("le"))),
+        K.Group("SENSITIVE_THE", (K.Item("The"),), sensitive=True),
+        K.Group("PART_TION", (K.Item("tion"),), full_word=False),
+        K.Group("LICENSES", (K.Item("license"), K.Item("copyright"))),
+    ),
+)
+
+
+def q03_keyword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.keyword_counts(_table(spark, sf_dir, "documents"), KEYWORDS, {"all": TEXT}, ["doc_id"])
+
+
+_KEYWORD_COLUMNS = r"""
+  (len(regexp_extract_all(t, '(?i)\bthe\b')) + len(regexp_extract_all(t, '(?i)\bder\b')) + len(regexp_extract_all(t, '(?i)\ble\b')))::BIGINT AS "ARTICLES",
+  len(regexp_extract_all(t, '\bThe\b'))::BIGINT AS "SENSITIVE_THE", len(regexp_extract_all(t, '(?i)tion'))::BIGINT AS "PART_TION",
+  (len(regexp_extract_all(t, '(?i)\blicense\b')) + len(regexp_extract_all(t, '(?i)\bcopyright\b')))::BIGINT AS "LICENSES"
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', 'x', 'g') AS t FROM documents)
+"""
+Q03 = f"SELECT doc_id, {_KEYWORD_COLUMNS}"
+
+
+def q03b_keyword_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.keyword_totals(q03_keyword_counts(spark, sf_dir), KEYWORDS)
+
+
+Q03B = f"""
+WITH k AS (SELECT doc_id, {_KEYWORD_COLUMNS}),
+u AS (UNPIVOT k ON "ARTICLES", "SENSITIVE_THE", "PART_TION", "LICENSES" INTO NAME name VALUE n)
+SELECT name, count(*) FILTER (n > 0) AS files, sum(n)::BIGINT AS matches FROM u GROUP BY name
+"""
+
+PATTERNS = K.Scan(
+    "patterns",
+    (
+        K.Group("both", searches=(K.Search("a", content="the"), K.Search("b", content="and")), formula="a and b"),
+        K.Group("either", searches=(K.Search("a", content="und"), K.Search("b", regex="(?:et|est)")), formula="a or b"),
+        K.Group("english_only", searches=(K.Search("a", filename="en*", content="of"),), formula="a"),
+        K.Group("sum", searches=(K.Search("a", content="le"), K.Search("b", content="der")), formula="a + b"),
+        K.Group("bad", searches=(K.Search("a", content="le"), K.Search("b", content="der")), formula="a and c"),
+    ),
+)
+
+
+def q04_pattern_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.pattern_results(_table(spark, sf_dir, "documents"), PATTERNS, TEXT, F.col("lang"), ["doc_id"])
+
+
+_PATTERN_COLUMNS = r"""
+  regexp_matches(t, '(?i)\bthe\b') AND regexp_matches(t, '(?i)\band\b') AS "both",
+  regexp_matches(t, '(?i)\bund\b') OR regexp_matches(t, '(?i)(?:et|est)') AS "either",
+  regexp_matches(coalesce(lang, ''), '(?i)\b(?:en.*)\b') AND regexp_matches(t, '(?i)\bof\b') AS english_only,
+  regexp_matches(t, '(?i)\ble\b') OR regexp_matches(t, '(?i)\bder\b') AS sum, NULL::BOOLEAN AS bad
+FROM (SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', 'x', 'g') AS t FROM documents)
+"""
+Q04 = f"SELECT doc_id, {_PATTERN_COLUMNS}"
+
+
+def q05_application_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.application_results(q04_pattern_formulas(spark, sf_dir), PATTERNS)
+
+
+Q05 = f"""
+WITH p AS (SELECT doc_id, {_PATTERN_COLUMNS}),
+o AS (SELECT bool_or("both") AS a, bool_or("either") AS b, bool_or(english_only) AS c, bool_or(sum) AS d FROM p)
+SELECT unnest(['both', 'either', 'english_only', 'sum', 'bad']) AS name, 2 AS weight,
+  unnest([CASE WHEN a THEN 'OK' ELSE 'KO' END, CASE WHEN b THEN 'OK' ELSE 'KO' END, CASE WHEN c THEN 'OK' ELSE 'KO' END, CASE WHEN d THEN 'OK' ELSE 'KO' END, '-']) AS logic
+FROM o
+"""
+
+_SQL_TOKENS = r"""regexp_extract_all(coalesce(html, ''), '(?s)<!--.*?-->|"[^"<>]*"|''[^''<>]*''|[^"''<]+|.')"""
+
+
+def q06_literal_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses, paths, links and credentials in the attribute values and strings of web pages."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", string_literals(F.col("html"), "markup").alias("s"))
+    return pages.select("page_id", F.size("s").cast("bigint").alias("n_literals"), *[c.alias(n) for n, c in finding_counts(F.col("s")).items() if n != "SensitiveDataString"])
+
+
+_ROOTS = "bin|boot|dev|etc|home|lib|lib64|mnt|opt|proc|root|run|srv|sys|tmp|usr|var"
+Q06 = rf"""
+WITH s AS (SELECT page_id, list_filter({_SQL_TOKENS}, lambda t: regexp_full_match(t, '(?s)"[^"<>]*"|''[^''<>]*''')) AS s FROM pages),
+b AS (SELECT page_id, s, list_transform(s, lambda t: regexp_replace(regexp_replace(t, '(?i)file:[/\\]+([a-z]:)', '\1'), '(?i)file:[/\\]+', '/')) AS p FROM s)
+SELECT page_id, len(s)::BIGINT AS n_literals,
+  len(list_filter(s, lambda t: CASE WHEN regexp_matches(t, '^["''][\[]?[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}[\]]?(/[0-9]+)?["'']$')
+    THEN list_max(list_transform(regexp_extract_all(t, '[0-9]+')[1:3], lambda n: n::INT)) > 10
+    WHEN contains(t, '::') THEN regexp_matches(t, '(?i)^["''][\[]?([0-9a-f]{{1,4}}::?){{1,6}}[0-9a-f]{{1,4}}[\]]?(:[0-9]+)?["'']')
+    ELSE regexp_matches(t, '(?i)^["''][\[]?([0-9a-f]{{1,4}}:){{7}}[0-9a-f]{{1,4}}[\]]?["'']') END))::BIGINT AS "HardCodedIP",
+  len(list_filter(p, lambda t: regexp_matches(t, '(?i)^["''](([a-z]:|\\)([\\/]+[\w .\-]+)+|/({_ROOTS})\b([\\/]+[\w .\-]+)*)[\\/]*["'']$') AND regexp_matches(t, '(?i)[a-z]{{3}}')))::BIGINT AS "HardCodedPath",
+  len(list_filter(s, lambda t: regexp_matches(t, '(?i)^["'']https?://') AND NOT regexp_matches(t, '(?i)\bQName\b|\b\w*namespaces?\b|\b(xml)?ns\b')))::BIGINT AS "HTTPProtocol",
+  len(list_filter(s, lambda t: regexp_matches(t, '(?i)^["'']http://') AND NOT regexp_matches(t, '(?i)^["'']http://www\.w3\.org\b') AND NOT regexp_matches(t, '(?i)\b(xml)?ns\b')))::BIGINT AS "URINotSecuredHTTP",
+  len(list_filter(s, lambda t: regexp_matches(t, '(?i)^["'']ftp://') AND NOT regexp_matches(t, '(?i)^["'']ftp://www\.w3\.org\b') AND NOT regexp_matches(t, '(?i)\b(xml)?ns\b')))::BIGINT AS "URINotSecuredFTP"
+FROM b
+"""
+
+
+def q07_suspicious_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return turns.select("conv_id", "turn", T.lines_like(TEXT, r"[!?][!?]+|\b(?:todo|fixme|tbc|tbd)\b").alias("n_marked"), T.lines_like(TEXT, r"[;{}]\s*$").alias("n_like_code"))
+
+
+Q07 = r"""
+SELECT conv_id, turn,
+  len(list_filter(x, lambda s: regexp_matches(s, '[!?][!?]+|\b(?:todo|fixme|tbc|tbd)\b')))::BIGINT AS n_marked,
+  len(list_filter(x, lambda s: regexp_matches(s, '[;{}]\s*$')))::BIGINT AS n_like_code
+FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), chr(10)) AS x FROM conversations)
+"""
+
+
+def q08_page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structural counts of web pages on their code view, and their comments."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", T.text_of(F.col("html")).alias("html"))
+    names = {"Scripts": r"(?i)<\s*script\b", "Styles": r"(?i)<\s*style\b", "Forms": r"(?i)<\s*form\b", "Images": r"(?i)<\s*img\b", "Frames": r"(?i)<\s*i?frame\b"}
+    code = code_view(F.col("html"), "markup")
+    counts = pages.select("page_id", code.alias("code"), comment_view(F.col("html"), "markup").alias("comment"))
+    return counts.select("page_id", *[T.count_of(F.col("code"), p).alias(n) for n, p in names.items()], T.count_of(F.col("comment"), "<!--").alias("Comments"), F.length("code").cast("bigint").alias("code_chars"))
+
+
+Q08 = rf"""
+WITH t AS (SELECT page_id, {_SQL_TOKENS} AS t FROM pages),
+v AS (SELECT page_id, coalesce(array_to_string(list_transform(t, lambda x: CASE WHEN regexp_full_match(x, '(?s)<!--.*?-->') THEN regexp_replace(x, '[^\n]+', '', 'g')
+  WHEN regexp_full_match(x, '(?s)"[^"<>]*"|''[^''<>]*''') THEN '"CHAINE"' || regexp_replace(x, '[^\n]+', '', 'g') ELSE x END), ''), '') AS code,
+  len(list_filter(t, lambda x: regexp_full_match(x, '(?s)<!--.*?-->'))) AS comments FROM t)
+SELECT page_id, len(regexp_extract_all(code, '(?i)<\s*script\b'))::BIGINT AS "Scripts", len(regexp_extract_all(code, '(?i)<\s*style\b'))::BIGINT AS "Styles",
+  len(regexp_extract_all(code, '(?i)<\s*form\b'))::BIGINT AS "Forms", len(regexp_extract_all(code, '(?i)<\s*img\b'))::BIGINT AS "Images",
+  len(regexp_extract_all(code, '(?i)<\s*i?frame\b'))::BIGINT AS "Frames", comments::BIGINT AS "Comments", length(code)::BIGINT AS code_chars
+FROM v
+"""
+
+# Discovery
+
+
+def _page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files: the URL's path without query and anchor; pages without an extension get one by their number."""
+    exts = F.array(*[F.lit(x) for x in ("html", "php", "h", "m", "py", "frm", "frx", "cls", "sql", "txt")])
+    path = F.regexp_replace(F.regexp_replace("url", r"^https?://", "/"), r"[?#].*$", "")
+    own = F.when(F.rlike(path, F.lit(r"\.html$")), path).otherwise(F.concat(F.regexp_replace(path, "/+$", ""), F.lit("."), F.element_at(exts, (F.col("page_id") % 10 + 1).cast("int"))))
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.coalesce(own, F.lit("")).alias("path"), F.col("html").alias("text"))
+    return with_path_parts(pages)
+
+
+def q09_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = Disc.discover(_page_files(spark, sf_dir))
+    return found.select("page_id", "dir", "ext", F.array_join(F.array_sort("potential"), ",").alias("potential"), "techno", "mode")
+
+
+def q09b_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts' directories of pages with the technologies that their extensions name."""
+    files = _page_files(spark, sf_dir)
+    one = files.select("dir", "ext", Disc.extension_techno(F.col("ext")).alias("techno"))
+    return one.groupBy("dir", "ext", "techno").agg(F.count("*").alias("n_files"))
+
+
+_PAGE_FILES = r"""
+f AS (SELECT page_id, html, CASE WHEN regexp_matches(p, '\.html$') THEN p ELSE regexp_replace(p, '/+$', '') || '.' || (['html', 'php', 'h', 'm', 'py', 'frm', 'frx', 'cls', 'sql', 'txt'])[page_id % 10 + 1] END AS path
+  FROM (SELECT page_id, html, regexp_replace(regexp_replace(url, '^https?://', '/'), '[?#].*$', '') AS p FROM pages)),
+g AS (SELECT page_id, html, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, lower(regexp_extract(path, '.\.([^./]+)$', 1)) AS ext FROM f)
+"""
+Q09B = f"""
+WITH {_PAGE_FILES}
+SELECT dir, ext, CASE ext WHEN 'py' THEN 'Python' END AS techno, count(*) AS n_files FROM g GROUP BY ALL
+"""
+
+
+def q10_common_value_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one language that all documents of a source share, if there is one, and how many it has."""
+    docs = _table(spark, sf_dir, "documents")
+    votes = docs.groupBy("source", "lang").agg(F.count("*").alias("n"))
+    return votes.groupBy("source").agg(F.count("*").alias("n_langs"), F.sum("n").alias("n_docs"), F.when(F.count("*") == 1, F.min("lang")).alias("common_lang"), F.max_by("lang", F.struct("n", "lang")).alias("most_lang"))
+
+
+Q10 = """
+WITH v AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang)
+SELECT source, count(*) AS n_langs, sum(n)::BIGINT AS n_docs, CASE WHEN count(*) = 1 THEN min(lang) END AS common_lang,
+  arg_max(lang, (n, lang)) AS most_lang FROM v GROUP BY source
+"""
+
+
+def q11_wide_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each source with a column of documents for each language."""
+    docs = _table(spark, sf_dir, "documents")
+    langs = ("de", "en", "es", "fr")
+    return docs.groupBy("source").agg(*[F.count_if(F.col("lang") == x).alias(f"n_{x}") for x in langs], F.sum("n_chars").alias("n_chars"))
+
+
+Q11 = """
+SELECT source, count(*) FILTER (lang = 'de') AS n_de, count(*) FILTER (lang = 'en') AS n_en, count(*) FILTER (lang = 'es') AS n_es,
+  count(*) FILTER (lang = 'fr') AS n_fr, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY source
+"""
+
+# Closures and lookups
+
+
+def _region_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, supplier = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "supplier")
+    one = nation.select(F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.concat(F.lit("n"), "n_nationkey").alias("child"))
+    return one.union(supplier.select(F.concat(F.lit("n"), "s_nationkey"), F.concat(F.lit("s"), "s_suppkey")))
+
+
+def q12_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = _table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
+    return C.closure(_region_edges(spark, sf_dir), seeds)
+
+
+_EDGES = """
+e AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM nation UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier)
+"""
+Q12 = f"""
+WITH RECURSIVE {_EDGES},
+w AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, 0 AS depth FROM region
+  UNION SELECT root, child, depth + 1 FROM w JOIN e ON node = parent)
+SELECT root, node, min(depth)::INT AS depth FROM w GROUP BY root, node
+"""
+
+
+def q13_nearest_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each supplier, the name that its nearest ancestor gives: even nations have one of their own, the rest their region's."""
+    parents = _region_edges(spark, sf_dir).select(F.col("child").alias("node"), "parent")
+    nation, region = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
+    values = nation.where("n_nationkey % 2 = 0").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.lit("name").alias("key"), F.col("n_name").alias("value"))
+    values = values.union(region.select(F.concat(F.lit("r"), "r_regionkey"), F.lit("name"), "r_name"))
+    wanted = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.lit("name").alias("key"))
+    return C.nearest_ancestor_value(wanted, parents, values)
+
+
+Q13 = """
+SELECT 's' || s_suppkey AS node, 'name' AS key, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE r_name END AS value, CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 2 END::INT AS depth
+FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
+"""
+
+
+def q14_range_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of versions made of parts' sizes and keys, merged by brand."""
+    part = _table(spark, sf_dir, "part")
+    version = F.concat_ws(".", F.col("p_size").cast("string"), (F.col("p_partkey") % 13).cast("string"))
+    asked = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(">="), version)).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("<="), version)).otherwise(F.concat(F.lit(">= 1, <="), version))
+    found = part.select(F.lit("p").alias("path"), F.lit("d").alias("dir"), F.col("p_type").alias("techno"), F.col("p_brand").alias("name"), Ver.version_range(asked).alias("r"), F.lit("prod").alias("environment"))
+    return Dep.merged(found.select("path", "dir", "techno", "name", F.col("r.low").alias("low"), F.col("r.high").alias("high"), "environment"))
+
+
+Q14 = """
+WITH p AS (SELECT p_type AS techno, p_brand AS name, p_partkey % 3 AS k, p_size AS a, p_partkey % 13 AS b FROM part),
+r AS (SELECT techno, name, CASE k WHEN 0 THEN [a::BIGINT, b] WHEN 2 THEN [1::BIGINT] END AS low, CASE WHEN k > 0 THEN [a::BIGINT, b] END AS high FROM p),
+s AS (SELECT techno, name, max(CASE WHEN len(low) = 1 THEN [1::BIGINT, 0] ELSE low END) AS lk, arg_max(low, CASE WHEN len(low) = 1 THEN [1::BIGINT, 0] ELSE low END) AS low, min(high) AS high, count(*) AS files FROM r GROUP BY techno, name)
+SELECT techno, name, array_to_string(low, '.') AS low, array_to_string(high, '.') AS high, coalesce(lk > high, false) AS conflict, 'prod' AS environments, files FROM s
+"""
+
+RULES = [("german", r"\b(?:der|und)\b"), ("french", r"\b(?:le|et)\b"), ("spanish", r"\b(?:el|los)\b"), ("english", r"\bthe\b"), ("any", r"[A-Za-z]")]
+
+
+def q15_first_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame([(n, name, p) for n, (name, p) in enumerate(RULES)], "ordinal int, name string, pattern string")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "x").alias("text"))
+    return R.first_match(docs, rules, "text").select("doc_id", "rule")
+
+
+Q15 = r"""
+SELECT doc_id, CASE WHEN regexp_matches(t, '\b(?:der|und)\b') THEN 'german' WHEN regexp_matches(t, '\b(?:le|et)\b') THEN 'french' WHEN regexp_matches(t, '\b(?:el|los)\b') THEN 'spanish'
+  WHEN regexp_matches(t, '\bthe\b') THEN 'english' WHEN regexp_matches(t, '[A-Za-z]') THEN 'any' END AS rule
+FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', 'x', 'g') AS t FROM documents)
+"""
+
+
+def q16_json_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the events' JSON objects: how often each is, and the events' mean value."""
+    each = _table(spark, sf_dir, "events").select("value", F.explode(F.from_json("props", "map<string,string>")).alias("key", "entry"))
+    return each.groupBy("key", "entry").agg(F.count("*").alias("n"), F.round(F.sum(F.col("value").cast("decimal(18,2)")), 2).cast("double").alias("total"))
+
+
+Q16 = """
+SELECT key, entry, count(*) AS n, sum(value::DECIMAL(18,2))::DOUBLE AS total
+FROM (SELECT value, unnest(json_keys(props)) AS key, json_extract_string(props, '$.' || unnest(json_keys(props))) AS entry FROM events) GROUP BY key, entry
+"""
+
+
+def q17_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their label, case aside of the key, or a default."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("name"))
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("name"), "quality", "toxic")
+    return R.described(docs, labels).select("doc_id", "quality", "toxic")
+
+
+Q17 = """
+SELECT d.doc_id, coalesce(l.quality::VARCHAR, 'unknown') AS quality, coalesce(l.toxic::VARCHAR, 'unknown') AS toxic
+FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS quality, min(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)
+"""
+
+
+def q18_merged_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' and suppliers' balances by nation as two rule sets; the first set's nations win."""
+    own = _table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("key")).agg(F.count("*").alias("n")).withColumn("origin", F.lit("supplier"))
+    other = _table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("key")).agg(F.count("*").alias("n")).withColumn("origin", F.lit("customer"))
+    return R.merged_rules(own, other, ["key"])
+
+
+Q18 = """
+WITH a AS (SELECT s_nationkey AS key, count(*) AS n, 'supplier' AS origin FROM supplier GROUP BY 1),
+b AS (SELECT c_nationkey AS key, count(*) AS n, 'customer' AS origin FROM customer GROUP BY 1)
+SELECT * FROM a UNION ALL SELECT * FROM b WHERE key NOT IN (SELECT key FROM a)
+"""
+
+
+def q19_status_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status bits of documents, folded by source: 1 empty, 2 long, 4 wide lines, 8 no final line end."""
+    docs = _table(spark, sf_dir, "documents").withColumn("t", T.text_of(TEXT))
+    bit = lambda cond, n: F.when(cond, n).otherwise(0)
+    status = bit(F.trim("t") == "", 1).bitwiseOR(bit(F.length("t") > 10_000, 2)).bitwiseOR(bit(T.long_lines(F.col("t"), 132) > 0, 4)).bitwiseOR(bit(~F.endswith("t", F.lit("\n")), 8))
+    kind = F.when(status == 0, 1).when(status.bitwiseAND(1) == 0, 2).otherwise(3)
+    return docs.groupBy("source").agg(F.bit_or(status).alias("status"), M.worst_class(kind).alias("worst"))
+
+
+Q19 = """
+WITH s AS (SELECT source, (CASE WHEN trim(t) = '' THEN 1 ELSE 0 END) | (CASE WHEN length(t) > 10000 THEN 2 ELSE 0 END)
+  | (CASE WHEN list_max(list_transform(string_split(t, chr(10)), lambda x: length(x))) > 132 THEN 4 ELSE 0 END) | (CASE WHEN t LIKE '%' || chr(10) THEN 0 ELSE 8 END) AS b
+  FROM (SELECT source, coalesce(text, '') AS t FROM documents)),
+k AS (SELECT source, b, CASE WHEN b = 0 THEN 1 WHEN b & 1 = 0 THEN 2 ELSE 3 END AS k FROM s)
+SELECT source, bit_or(b)::INT AS status, (CASE WHEN NOT bool_or(k IN (1, 2)) THEN 3 WHEN bool_or(k = 2) THEN 2 ELSE 1 END)::INT AS worst FROM k GROUP BY source
+"""
+
+
+def q20_application_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different members of each mnemonic: the nations of each market segment."""
+    hits = _table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("mnemonic"), F.col("c_nationkey").cast("string").alias("member"))
+    return M.application_lists(hits)
+
+
+Q20 = """
+SELECT c_mktsegment AS mnemonic, count(DISTINCT c_nationkey) AS count, string_agg(DISTINCT c_nationkey::VARCHAR, ',' ORDER BY c_nationkey::VARCHAR) AS members
+FROM customer WHERE c_nationkey IS NOT NULL GROUP BY c_mktsegment
+"""
+
+
+def q21_code_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the scripts' language over web pages."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", r"[^\x00-\x7F]", "x").alias("text"))
+    only = ["MagicNumbers", "TernaryOperators", "If", "For", "Return", "LongLines120"]
+    views = dict.fromkeys(("text", "code", "comment", "agglo"), TEXT)
+    return pages.select("page_id", *[m.column(views).alias(m.name) for m in M.profile("JS") if m.name in only])
+
+
+Q21 = r"""
+WITH t AS (SELECT page_id, regexp_replace(coalesce(html, ''), '[^\x00-\x7F]', 'x', 'g') AS t FROM pages),
+m AS (SELECT page_id, t, regexp_replace(regexp_replace(regexp_replace(t, '#\s*define\s+\w+\s+\d+', '', 'g'), '[\n;][ \t]*\b(?:const|final)\b[^={]*=[^;]*', '', 'g'), '(\W)[01]?\.0?(\W)', '\1---\2', 'g') AS m FROM t)
+SELECT page_id, len(regexp_extract_all(t, '(?m)^[^\n]{121}'))::BIGINT AS "LongLines120",
+  len(list_filter(regexp_extract_all(m, '\W((?:\d|\.\d)(?:[Ee][+-]?\d|[\w.])*)', 1), lambda n: NOT regexp_full_match(n, '0*\d')))::BIGINT AS "MagicNumbers",
+  (length(regexp_replace(t, '<\s*\?\s*>', '', 'g')) - length(replace(regexp_replace(t, '<\s*\?\s*>', '', 'g'), '?', '')))::BIGINT AS "TernaryOperators",
+  len(regexp_extract_all(t, '\bif\b'))::BIGINT AS "If", len(regexp_extract_all(t, '\bfor\b'))::BIGINT AS "For", len(regexp_extract_all(t, '\breturn\b'))::BIGINT AS "Return"
+FROM m
+"""
+
+
+def q22_url_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", F.round(T.entropy(F.col("url")), 6).alias("entropy"))
+
+
+Q22 = """
+WITH c AS (SELECT page_id, unnest(string_split(url, '')) AS c FROM pages),
+n AS (SELECT page_id, c, count(*) AS n FROM c GROUP BY page_id, c),
+p AS (SELECT page_id, n / sum(n) OVER (PARTITION BY page_id) AS p FROM n)
+SELECT page_id, round(-sum(p * log2(p)), 6) AS entropy FROM p GROUP BY page_id
+"""
+
+
+def q23_sectioned_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and nations as sections of one ``;`` file; its lines and their order."""
+    supplier, nation = _table(spark, sf_dir, "supplier"), _table(spark, sf_dir, "nation")
+    parts = [sinks.section_lines(supplier, "supplier", ["s_suppkey", "s_name", "s_nationkey"], ["s_name"]), sinks.section_lines(nation, "nation", ["n_nationkey", "n_name"], ["n_name"])]
+    return sinks.sectioned(parts, {"version": "1"})
+
+
+Q23 = """
+SELECT '' AS section, 0 AS part, '000000' AS place, '# version;1' AS line
+UNION ALL SELECT 'supplier', 0, '', 'section=supplier' UNION ALL SELECT 'supplier', 1, '', 's_suppkey;s_name;s_nationkey'
+UNION ALL SELECT 'supplier', 2, s_name, s_suppkey || ';' || s_name || ';' || s_nationkey FROM supplier
+UNION ALL SELECT 'nation', 0, '', 'section=nation' UNION ALL SELECT 'nation', 1, '', 'n_nationkey;n_name'
+UNION ALL SELECT 'nation', 2, n_name, n_nationkey || ';' || n_name FROM nation
+"""
+
+
+def q24_counter_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.counter_dump(q11_wide_output(spark, sf_dir), ["source"]).select("source", "name", "line")
+
+
+Q24 = f"""
+WITH w AS ({Q11}), u AS (UNPIVOT w ON n_de, n_en, n_es, n_fr, n_chars INTO NAME name VALUE v)
+SELECT source, name, name || ':' || v AS line FROM u
+"""
+
+MANIFESTS = [
+    ("/a/requirements.txt", "django>=3.2,<4\nrequests==2.31.0 # http\nflask ~= 2.0\n-r other.txt\n"),
+    ("/a/requirements-dev.txt", "pytest==8.0\n"),
+    ("/b/package.json", '{"name": "b", "dependencies": {"react": "^18.2.0"}, "devDependencies": {"jest": "29"}}'),
+    ("/c/package.json", '{"dependencies": {"left-pad": "1.3.0"}}'),
+    ("/c/package-lock.json", '{"dependencies": {"left-pad": {"version": "1.3.0"}, "mocha": {"version": "10.0.0", "dev": true}}}'),
+    ("/d/go.mod", "module d\n\nrequire (\n\tgithub.com/x/y v1.2.3\n)\n"),
+    ("/e/go.sum", "github.com/x/y v1.9.0/go.mod h1:a=\ngithub.com/x/y v1.10.0 h1:b=\n"),
+    ("/f/composer.json", '{"require": {"php": ">=8", "monolog/monolog": "^2.0"}}'),
+    ("/f/composer.lock", '{"packages": [{"name": "monolog/monolog", "version": "2.9.1"}]}'),
+    ("/g/pom.xml", "<project><groupId>g</groupId><artifactId>root</artifactId><version>1</version><properties><junit>4.13</junit></properties><dependencyManagement><dependencies><dependency><groupId>org.x</groupId><artifactId>lib</artifactId><version>7.1</version></dependency></dependencies></dependencyManagement></project>"),
+    ("/g/m/pom.xml", "<project><parent><groupId>g</groupId><artifactId>root</artifactId><version>1</version></parent><artifactId>m</artifactId><dependencies><dependency><groupId>junit</groupId><artifactId>junit</artifactId><version>${junit}</version><scope>test</scope></dependency><dependency><groupId>org.x</groupId><artifactId>lib</artifactId></dependency></dependencies></project>"),
+    ("/h/Gemfile.lock", "GEM\n  specs:\n    rails (7.0.4)\n      actionpack (= 7.0.4)\n"),
+]
+
+
+def q25_dependency_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory of a fixed set of manifests."""
+    files = with_path_parts(spark.createDataFrame(MANIFESTS, "path string, text string"))
+    return Dep.inventory(files).select("path", "techno", "name", "version", "low", "high", "environment")
+
+
+Q25 = """
+SELECT * FROM (VALUES
+  ('/a/requirements.txt', 'Python', 'django', '>=3.2,<4', '3.2', '4', 'prod'), ('/a/requirements.txt', 'Python', 'requests', '==2.31.0', '2.31.0', '2.31.0', 'prod'),
+  ('/a/requirements.txt', 'Python', 'flask', '~= 2.0', '2.0', NULL, 'prod'), ('/b/package.json', 'JS', 'react', '^18.2.0', '18.2.0', '18.x', 'prod'),
+  ('/c/package-lock.json', 'JS', 'left-pad', '1.3.0', '1.3.0', '1.3.0', 'prod'), ('/d/go.mod', 'Go', 'github.com/x/y', '1.2.3', '1.2.3', '1.2.3', 'prod'),
+  ('/e/go.sum', 'Go', 'github.com/x/y', '1.10.0', '1.10.0', '1.10.0', 'prod'), ('/f/composer.json', 'PHP', 'monolog/monolog', '2.9.1', '2.9.1', '2.9.1', 'prod'),
+  ('/g/m/pom.xml', 'Java', 'junit:junit', '4.13', '4.13', '4.13', 'test'), ('/g/m/pom.xml', 'Java', 'org.x:lib', '7.1', '7.1', '7.1', 'prod'),
+  ('/h/Gemfile.lock', 'Ruby', 'rails', '7.0.4', '7.0.4', '7.0.4', 'prod')
+) t(path, techno, name, version, low, high, environment)
+"""
+
+# Extensions: relational work on the star schema, and event windows
+
+
+def x01_pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = _table(spark, sf_dir, "lineitem").where("l_shipdate <= timestamp'1998-09-02'")
+    cents = lambda c: F.col(c).cast("decimal(18,2)")
+    return line.groupBy("l_returnflag", "l_linestatus").agg(F.sum(cents("l_quantity")).cast("double").alias("sum_qty"), F.sum(cents("l_extendedprice")).cast("double").alias("sum_base_price"), F.count("*").alias("count_order"))
+
+
+X01 = """
+SELECT l_returnflag, l_linestatus, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS sum_qty, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS sum_base_price, count(*) AS count_order
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL
+"""
+
+
+def x02_segment_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customer, nation = (_table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    both = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return both.groupBy("c_mktsegment", "n_name").agg(F.count("*").alias("n_orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
+
+
+X02 = """
+SELECT c_mktsegment, n_name, count(*) AS n_orders, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL
+"""
+
+
+def x03_top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three largest orders of each customer (a top-k report)."""
+    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    return _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", rank.alias("place")).where("place <= 3")
+
+
+X03 = """
+SELECT o_custkey, o_orderkey, o_totalprice, place::INT AS place FROM (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= 3
+"""
+
+
+def x04_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part")
+    return part.rollup("p_type", "p_brand").agg(F.count("*").alias("n"), F.grouping_id().cast("int").alias("level"))
+
+
+X04 = "SELECT p_type, p_brand, count(*) AS n, grouping_id(p_type, p_brand)::INT AS level FROM part GROUP BY ROLLUP (p_type, p_brand)"
+
+
+def x05_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_counts(_table(spark, sf_dir, "events").withColumn("value", F.col("value").cast("decimal(18,2)"))).withColumn("total", F.col("total").cast("double"))
+
+
+X05 = "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS events, sum(value::DECIMAL(18,2))::DOUBLE AS total FROM events GROUP BY ALL"
+
+_QUERIES = {
+    "q01_line_metrics": (q01_line_metrics, Q01),
+    "q02_fingerprints": (q02_fingerprints, Q02),
+    "q03_keyword_counts": (q03_keyword_counts, Q03),
+    "q03b_keyword_totals": (q03b_keyword_totals, Q03B),
+    "q04_pattern_formulas": (q04_pattern_formulas, Q04),
+    "q05_application_formulas": (q05_application_formulas, Q05),
+    "q06_literal_findings": (q06_literal_findings, Q06),
+    "q07_suspicious_lines": (q07_suspicious_lines, Q07),
+    "q08_page_structure": (q08_page_structure, Q08),
+    "q09_discovery": (q09_discovery, None),
+    "q09b_extensions": (q09b_extensions, Q09B),
+    "q10_common_value_vote": (q10_common_value_vote, Q10),
+    "q11_wide_output": (q11_wide_output, Q11),
+    "q12_closure": (q12_closure, Q12),
+    "q13_nearest_ancestor": (q13_nearest_ancestor, Q13),
+    "q14_range_merge": (q14_range_merge, Q14),
+    "q15_first_rule": (q15_first_rule, Q15),
+    "q16_json_entries": (q16_json_entries, Q16),
+    "q17_described": (q17_described, Q17),
+    "q18_merged_rules": (q18_merged_rules, Q18),
+    "q19_status_fold": (q19_status_fold, Q19),
+    "q20_application_lists": (q20_application_lists, Q20),
+    "q21_code_metrics": (q21_code_metrics, Q21),
+    "q22_url_entropy": (q22_url_entropy, Q22),
+    "q23_sectioned_output": (q23_sectioned_output, Q23),
+    "q24_counter_dump": (q24_counter_dump, Q24),
+    "q25_dependency_inventory": (q25_dependency_inventory, Q25),
+    "x01_pricing_summary": (x01_pricing_summary, X01),
+    "x02_segment_orders": (x02_segment_orders, X02),
+    "x03_top_orders": (x03_top_orders, X03),
+    "x04_rollup": (x04_rollup, X04),
+    "x05_event_windows": (x05_event_windows, X05),
+}
+
+
+def queries() -> dict:
+    return {name: run for name, (run, _) in _QUERIES.items()}
+
+
+def oracle_sql() -> dict:
+    return {name: sql for name, (_, sql) in _QUERIES.items() if sql}
