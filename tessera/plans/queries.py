@@ -23,7 +23,6 @@ from tessera.sources import sinks
 from tessera.sources.files import with_path_parts
 from tessera.streaming.events import event_counts
 
-TEXT = F.col("text")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +34,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def q01_line_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    over = {f"n_over_{n}": T.long_lines(TEXT, n) for n in (80, 100, 120, 132)}
-    own = {"n_lines": T.line_count(TEXT), "n_blank": T.blank_lines(TEXT), "n_nonempty": T.nonempty_lines(TEXT), "n_alnum": T.alnum_lines(TEXT), **over}
+    over = {f"n_over_{n}": T.long_lines(F.col("text"), n) for n in (80, 100, 120, 132)}
+    own = {"n_lines": T.line_count(F.col("text")), "n_blank": T.blank_lines(F.col("text")), "n_nonempty": T.nonempty_lines(F.col("text")), "n_alnum": T.alnum_lines(F.col("text")), **over}
     return docs.select("doc_id", *[c.alias(n) for n, c in own.items()])
 
 
@@ -55,7 +54,7 @@ FROM e
 
 def q02_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SHA-256 of each raw text, with the number of documents that have it and the least of their ids."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.text_of(TEXT), 256).alias("sha256"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.text_of(F.col("text")), 256).alias("sha256"))
     groups = docs.groupBy("sha256").agg(F.count("*").alias("n_same"), F.min("doc_id").alias("first_id"))
     return docs.join(groups, "sha256").select("doc_id", "sha256", "n_same", "first_id")
 
@@ -78,7 +77,7 @@ KEYWORDS = K.Scan(
 
 
 def q03_keyword_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.keyword_counts(_table(spark, sf_dir, "documents"), KEYWORDS, {"all": TEXT}, ["doc_id"])
+    return K.keyword_counts(_table(spark, sf_dir, "documents"), KEYWORDS, {"all": F.col("text")}, ["doc_id"])
 
 
 _KEYWORD_COLUMNS = r"""
@@ -113,7 +112,7 @@ PATTERNS = K.Scan(
 
 
 def q04_pattern_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.pattern_results(_table(spark, sf_dir, "documents"), PATTERNS, TEXT, F.col("lang"), ["doc_id"])
+    return K.pattern_results(_table(spark, sf_dir, "documents"), PATTERNS, F.col("text"), F.col("lang"), ["doc_id"])
 
 
 _PATTERN_COLUMNS = r"""
@@ -166,7 +165,7 @@ FROM b
 
 def q07_suspicious_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations")
-    return turns.select("conv_id", "turn", T.lines_like(TEXT, r"[!?][!?]+|\b(?:todo|fixme|tbc|tbd)\b").alias("n_marked"), T.lines_like(TEXT, r"[;{}]\s*$").alias("n_like_code"))
+    return turns.select("conv_id", "turn", T.lines_like(F.col("text"), r"[!?][!?]+|\b(?:todo|fixme|tbc|tbd)\b").alias("n_marked"), T.lines_like(F.col("text"), r"[;{}]\s*$").alias("n_like_code"))
 
 
 Q07 = r"""
@@ -372,7 +371,7 @@ SELECT * FROM a UNION ALL SELECT * FROM b WHERE key NOT IN (SELECT key FROM a)
 
 def q19_status_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status bits of documents, folded by source: 1 empty, 2 long, 4 wide lines, 8 no final line end."""
-    docs = _table(spark, sf_dir, "documents").withColumn("t", T.text_of(TEXT))
+    docs = _table(spark, sf_dir, "documents").withColumn("t", T.text_of(F.col("text")))
     bit = lambda cond, n: F.when(cond, n).otherwise(0)
     status = bit(F.trim("t") == "", 1).bitwiseOR(bit(F.length("t") > 10_000, 2)).bitwiseOR(bit(T.long_lines(F.col("t"), 132) > 0, 4)).bitwiseOR(bit(~F.endswith("t", F.lit("\n")), 8))
     kind = F.when(status == 0, 1).when(status.bitwiseAND(1) == 0, 2).otherwise(3)
@@ -404,7 +403,7 @@ def q21_code_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of the scripts' language over web pages."""
     pages = _table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", r"[^\x00-\x7F]", "x").alias("text"))
     only = ["MagicNumbers", "TernaryOperators", "If", "For", "Return", "LongLines120"]
-    views = dict.fromkeys(("text", "code", "comment", "agglo"), TEXT)
+    views = dict.fromkeys(("text", "code", "comment", "agglo"), F.col("text"))
     return pages.select("page_id", *[m.column(views).alias(m.name) for m in M.profile("JS") if m.name in only])
 
 

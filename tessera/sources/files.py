@@ -1,6 +1,7 @@
 r"""File scans: recursive listing with filters, decoding, and what can't be analysed.
 
-``scan_files`` reads names and sizes first; filters on them are applied before any content is read.
+``scan_files`` reads names and sizes first; filters on them are applied before any content is read. Files
+of no bytes at all have no rows.
 """
 
 from __future__ import annotations
