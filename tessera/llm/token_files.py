@@ -17,9 +17,8 @@ stored whole in a list of exceptions behind the packed words::
     exceptions       uint16 places, uint32 remainders
 
 Tasks write a file each, under a name that a repeated attempt writes again, and put it in place by
-renaming. Texts are cut before single spaces between non-space characters, where the byte-level
-pre-tokenizer always cuts, and pieces between letters and other signs; each distinct part is encoded once
-by the library for a Python worker (the memory for pieces is bounded by ``MEMO`` entries).
+renaming. Texts are cut where the byte-level pre-tokenizer always cuts, and each distinct piece is encoded
+once by the library for a Python worker; texts with special tokens or unusual white space are encoded whole.
 
 Defined cases: a null or empty text has the end id only; null doc_ids come first, and rows with equal
 doc_ids are ordered by their text; each row is a document; an empty table writes no file.
@@ -28,10 +27,8 @@ doc_ids are ordered by their text; each row is a document; an empty table writes
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,11 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh_path, text_of
+from tessera.llm.common import byte_blocks, byte_table, fresh_path, span_hashes, text_of
 
 MAGIC = b"PFOR0001"
 BLOCK = 1024
-MEMO = 700_000
+#: Pieces that a worker's table holds at most before it starts afresh, besides those of one block.
+MEMO = 2_000_000
 PERCENTILES = (0.75, 0.9, 0.95, 0.98, 1.0)
 _HEAD = np.dtype([("least", "<u4"), ("ids", "<u2"), ("width", "u1"), ("_a", "u1"), ("exceptions", "<u2"), ("_b", "<u2")])
 _DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("ids", "<u8")])
@@ -183,31 +181,6 @@ class FileReader:
         return decode_blocks(self.data, self.starts[low:high])[first - low * BLOCK : last - low * BLOCK]
 
 
-class Memo(dict):
-    """Ids of pieces. A piece without an entry is looked up in ``extra``, which has those of the texts at hand
-
-    that found no room, or else counts as empty and is noted in ``missing``.
-    """
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.extra: dict[str, bytes] = {}
-        self.missing: list[str] = []
-
-    def __missing__(self, piece: str) -> bytes:
-        if piece in self.extra:
-            return self.extra[piece]
-        self.missing.append(piece)
-        return b""
-
-    def keep(self, piece: str, ids: bytes) -> None:
-        (self if len(self) < MEMO else self.extra)[piece] = ids
-
-
-#: White space but for the space and the newline.
-_RARE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "\0"
-_PARTS = re.compile(r" ?[^\W\d_]+|(?:(?! ?[^\W\d_]).)+", re.S)
-_JOINED = re.compile(r"['<]|\s\s")
 _ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
 
 
@@ -218,81 +191,125 @@ def encoder_of(path: str, end_id: int) -> PieceEncoder:
     return _ENCODERS[path, end_id]
 
 
+#: White space in ASCII, what else Python or Unicode may take for some, and ASCII letters and digits.
+_SPACE = byte_table(lambda b: b == 32 or 9 <= b <= 13)
+_WORD = byte_table(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122)
+_SIGN = byte_table(lambda b: 32 < b < 127 and not chr(b).isalnum())
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the pre-tokenizer cuts whatever stands around, for texts without ``odd_rows``' signs.
+
+    That is before a lone space or newline between other characters, after such a newline, and between an
+    ASCII letter or digit and an ASCII sign. Rows start pieces too.
+    """
+    space = _SPACE[data]
+    plain = ~space
+    cut = np.zeros(len(data) + 2, bool)
+    lone = np.zeros(len(data), bool)
+    lone[1:-1] = space[1:-1] & plain[:-2] & plain[2:]
+    lone &= (data == 32) | (data == 10)
+    edge = offsets[1:-1]
+    lone[edge[edge < len(data)]] = False  # white space at the edge of a row isn't between two characters
+    last = offsets[1:] - 1
+    lone[last[last >= 0]] = False
+    cut[: len(data)] = lone
+    cut[1 : len(data) + 1] |= lone & (data == 10)
+    cut[1 : len(data)] |= _WORD[data[:-1]] & _SIGN[data[1:]]
+    cut = cut[: len(data)]
+    cut[offsets[:-1][offsets[:-1] < len(data)]] = True
+    return np.flatnonzero(cut)
+
+
+def odd_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rows with what may be a special token, or with white space beyond ASCII's usual."""
+    x = np.concatenate([data, np.zeros(2, np.uint8)])
+    a, b, c = x[:-2], x[1:-1], x[2:]
+    odd = (a == 0x3C) & (b == 0x7C)
+    odd |= (a >= 0x1C) & (a <= 0x1F)
+    odd |= (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    odd |= (a == 0xE1) & (b == 0x9A) & (c == 0x80)
+    odd |= (a == 0xE2) & (((b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))) | ((b == 0x81) & (c == 0x9F)))
+    odd |= (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    return np.unique(np.searchsorted(offsets, np.flatnonzero(odd), side="right") - 1)
+
+
 class PieceEncoder:
-    """Ids of texts, with each distinct piece encoded once by the tokenizers library."""
+    """Ids of texts, with each distinct piece encoded once by the tokenizers library.
+
+    Pieces are told apart by 64-bit hashes and their lengths. The table of pieces is sorted by hash and starts
+    afresh when it has more than ``MEMO`` entries, so its memory is bounded.
+    """
 
     def __init__(self, path: str, end_id: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end = np.array([end_id], "<u4").tobytes()
-        self.memo = Memo()
-
-    @staticmethod
-    def parts(piece: str) -> list[str]:
-        """A piece cut between letters and others, where the pre-tokenizer cuts too.
-
-        Pieces with an apostrophe (contractions), the start of a special token, or white space in a row
-        stay whole, and so do those with signs that only one of the two sides counts as letters.
-        """
-        if _JOINED.search(piece):
-            return [piece]
-        out = _PARTS.findall(piece)
-        return out if out and all(x.lstrip(" ").isalpha() or not any(c.isalnum() and not c.isdecimal() for c in x) for x in out) else [piece]
-
-    def _learn(self, new: set[str]) -> None:
-        memo = self.memo
-        cut = [self.parts(p) for p in new]
-        wanted = list({x for c in cut for x in c if x not in memo})
-        for at in range(0, len(wanted), 20_000):
-            some = wanted[at : at + 20_000]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                memo.keep(x, array("I", e.ids).tobytes())
-        get = memo.__getitem__
-        for p, c in zip(new, cut):
-            if len(c) > 1:
-                memo.keep(p, b"".join(map(get, c)))
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """``text`` cut before each single space that has non-space characters on both sides."""
-        odd = "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " "
-        if not odd and not any(c in text for c in _RARE):
-            return text.replace(" ", "\0 ").split("\0")
-        raw = text.split(" ")
-        out = [raw[0]]
-        open_end = not raw[0] or raw[0][-1].isspace()
-        for p in raw[1:]:
-            if not p:
-                out[-1] += " "
-                open_end = True
-                continue
-            if open_end or p[0].isspace():
-                out[-1] += f" {p}"
-            else:
-                out.append(f" {p}")
-            open_end = p[-1].isspace()
-        return out
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
-        """The ids of all texts, each with the end id, and the number of each."""
-        memo, get = self.memo, self.memo.__getitem__
-        cut, parts, again = [], [], []
-        memo.extra.clear()
-        memo.missing.clear()
-        seen = 0
-        for i, t in enumerate(texts):
-            cut.append(self.pieces(t))
-            parts.append(b"".join(map(get, cut[i])) + self.end)
-            if len(memo.missing) > seen:
-                again.append(i)
-                seen = len(memo.missing)
-        if again:
-            self._learn(set(memo.missing))
-            for i in again:
-                parts[i] = b"".join(map(get, cut[i])) + self.end
-        return np.frombuffer(b"".join(parts), "<u4"), [len(p) // 4 for p in parts]
+        self.end_id = end_id
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        """Add new pieces; ``keys`` ascend."""
+        first, count, parts, size = [], [], [], len(self.ids)
+        for at in range(0, len(texts), 20_000):
+            for own in self._encode(texts[at : at + 20_000]):
+                first.append(size)
+                count.append(len(own))
+                parts.append(own)
+                size += len(own)
+        place = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, place, keys)
+        self.first, self.count = np.insert(self.first, place, first), np.insert(self.count, place, count)
+        self.ids = np.concatenate([self.ids, *parts])
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each piece of a byte block: its start, and the place and number of its ids."""
+        starts = piece_starts(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        h = span_hashes(data, starts, ends) ^ (ends - starts).astype(np.uint64)
+        keys, some, back = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.keys) > MEMO:
+            self._forget()
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        if not known.all():
+            new = some[~known]
+            raw = data.tobytes()
+            self._learn(keys[~known], [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())])
+            at = np.searchsorted(self.keys, keys)
+        return starts, self.first[at][back], self.count[at][back]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """The ids of all rows of a byte block, each with the end id, and the number of each."""
+        rows = len(offsets) - 1
+        own = np.zeros(rows, np.int64)
+        ids = np.zeros(0, np.uint32)
+        if len(data):
+            starts, first, count = self._pieces(data, offsets)
+            row = np.searchsorted(offsets, starts, side="right") - 1
+            own = np.bincount(row, weights=count, minlength=rows).astype(np.int64)
+            before = np.cumsum(count) - count
+            ids = self.ids[np.repeat(first - before, count) + np.arange(int(count.sum()))]
+        edge = np.cumsum(own)
+        odd = odd_rows(data, offsets).tolist()
+        if not odd:
+            return np.insert(ids, edge, self.end_id).astype("<u4"), (own + 1).tolist()
+        parts = np.split(ids, edge[:-1])
+        raw = data.tobytes()
+        for i, found in zip(odd, self._encode([raw[offsets[i] : offsets[i + 1]].decode() for i in odd])):
+            parts[i] = found
+        end = np.array([self.end_id], np.uint32)
+        return np.concatenate([x for p in parts for x in (p, end)]).astype("<u4"), [len(p) + 1 for p in parts]
 
 
 def _open_sink(folder: str, name: str):
@@ -302,7 +319,13 @@ def _open_sink(folder: str, name: str):
     where, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
     where.create_dir(base, recursive=True)
     temporary = f"{base}/.{name}.{uuid.uuid4().hex[:8]}"
-    return where.open_output_stream(temporary), lambda: where.move(temporary, f"{base}/{name}")
+
+    def done() -> None:
+        if where.get_file_info(f"{base}/{name}").type != fs.FileType.NotFound:  # of an attempt that was lost later
+            where.delete_file(f"{base}/{name}")
+        where.move(temporary, f"{base}/{name}")
+
+    return where.open_output_stream(temporary), done
 
 
 def write_token_files(
@@ -328,16 +351,10 @@ def write_token_files(
             if writer is None and batch.num_rows:
                 sink, done = _open_sink(folder, name)
                 writer, encoder = FileWriter(sink), encoder_of(tokenizer_path, end_id)
-            low = 0
-            ids, size = batch.column(0).to_pylist(), 0
-            texts: list[str] = []
-            for at, t in enumerate(batch.column(1)):
-                texts.append(t.as_py())
-                size += len(texts[-1])
-                if size > 1 << 20 or at + 1 == batch.num_rows:
-                    found, counts = encoder.encode(texts)
-                    writer.add(ids[low : at + 1], counts, found)
-                    low, size, texts = at + 1, 0, []
+            ids = batch.column(0).to_pylist()
+            for low, rows, data, offsets in byte_blocks(batch.column(1)):
+                found, counts = encoder.encode(data, offsets)
+                writer.add(ids[low : low + rows], counts, found)
         if writer is not None:
             n = writer.close()
             sink.close()
