@@ -128,6 +128,20 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
 """
 
+OP4_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, p, array_slice(b, p, p + 49) AS s FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 48)) AS p FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT w.doc_id, p FROM w JOIN f USING (s) WHERE first < w.doc_id),
+g AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM h),
+r AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS e FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g) GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 1) AS prev FROM r),
+c AS (SELECT doc_id, sum(e - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(CASE WHEN a > prev THEN hex(array_slice(b, prev, a - 1)) ELSE '' END, '' ORDER BY a) AS head, max(e) AS tail FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN head IS NULL THEN b WHEN tail > octet_length(b) THEN unhex(head) ELSE unhex(head || hex(array_slice(b, tail, octet_length(b)))) END) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+"""
+
 OP5_SQL = r"""
 WITH n AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -146,5 +160,6 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 def oracle_sql() -> dict:
     return {
         "op1_decontamination": OP1_SQL,
+        "op4_suffix_dedup": OP4_SQL,
         "op5_exact_dedup": OP5_SQL,
     }

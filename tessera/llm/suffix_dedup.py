@@ -208,15 +208,14 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
 
 
 def common_prefixes(data: np.ndarray, edges: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefixes of neighbours in the suffix array, up to ``cap`` and the ends of the strings between ``edges``.
+    """Common prefixes of neighbours in the suffix array, up to ``cap``, whatever strings they run into.
 
     Kasai's rule (a suffix shares at least one byte less with its predecessor than the one before it
-    did), walked for all strings side by side.
+    did), walked side by side from the start of each string between ``edges``.
     """
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    end_of = np.repeat(edges[1:], np.diff(edges))
     out = np.zeros(n, np.int16)
     length = np.diff(edges)
     now = np.zeros(len(length), np.int64)
@@ -225,7 +224,7 @@ def common_prefixes(data: np.ndarray, edges: np.ndarray, order: np.ndarray, cap:
         i = edges[live] + t
         j = before[i]
         k = np.maximum(now[live] - 1, 0)
-        room = np.where(j >= 0, np.minimum(np.minimum(end_of[i] - i, end_of[j] - j), cap), 0)
+        room = np.where(j >= 0, np.minimum(n - np.maximum(i, j), cap), 0)
         k = np.minimum(k, room)
         grow = np.flatnonzero(k < room)
         while len(grow):
@@ -244,11 +243,12 @@ def _piece_firsts(raw: list[bytes], d: np.ndarray) -> tuple[np.ndarray, np.ndarr
     order = suffix_array(data)
     shared = common_prefixes(data, edges, order, SPAN)
     string = np.repeat(np.arange(len(raw)), np.diff(edges))
-    # runs of neighbours that share SPAN bytes; a suffix too short to be a window shares less and ends a run
+    # runs of neighbours that share SPAN bytes; suffixes that run into the next string are in them, but count for nothing
     new = shared[order] < SPAN
     new[:1] = True
     at = np.flatnonzero(new)
-    least = np.minimum.reduceat(d[string[order]], at)
+    whole = np.arange(len(data)) + SPAN <= np.repeat(edges[1:], np.diff(edges))
+    least = np.minimum.reduceat(np.where(whole, d[string], LAST)[order], at)
     first = np.zeros(len(data), np.int64)
     first[order] = np.repeat(least, np.diff(np.append(at, len(order))))
     starts = np.concatenate([np.arange(a, b - SPAN + 1) for a, b in zip(edges[:-1], edges[1:])]) if len(raw) else np.zeros(0, np.int64)
