@@ -37,7 +37,7 @@ def _slot(length: Column, prefix: Column, bits: int) -> Column:
 
 def surviving_filter(sized: DataFrame, bits: int) -> DataFrame:
     """Rows (word, mask), at most ``bits`` / 32 of them: the (length, prefix) pairs that more than one row has."""
-    pairs = sized.groupBy("length", "prefix").agg(F.count("*").alias("rows"))
+    pairs = staged(sized.groupBy("length", "prefix").agg(F.count("*").alias("rows")), "sizes")
     by_length = pairs.groupBy("length").agg(F.sum("rows").alias("of_length")).where("of_length > 1")
     alive = pairs.where("rows > 1").join(by_length, "length", "left_semi")
     slot = _slot(F.col("length"), F.col("prefix"), bits)
