@@ -14,10 +14,12 @@ from tessera.functions import versions as Ver
 from tessera.functions.literals import finding_counts
 from tessera.functions.views import code_view, comment_view, string_literals
 from tessera.operators import closure as C
+from tessera.operators import cloud as Cloud
 from tessera.operators import dependencies as Dep
 from tessera.operators import discovery as Disc
 from tessera.operators import keyword_scan as K
 from tessera.operators import metrics as M
+from tessera.operators import nodes as N
 from tessera.operators import rules as R
 from tessera.sources import sinks
 from tessera.sources.files import with_path_parts
@@ -488,6 +490,54 @@ SELECT * FROM (VALUES
 ) t(path, techno, name, version, low, high, environment)
 """
 
+
+
+def q26_tag_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often a tag follows another in a page: the sibling before, by a window over each page."""
+    tags = F.regexp_extract_all("html", F.lit("<([A-Za-z][A-Za-z0-9]*)"), F.lit(1))
+    each = _table(spark, sf_dir, "pages").select("page_id", F.posexplode(tags).alias("n", "tag"))
+    before = F.lag("tag").over(Window.partitionBy("page_id").orderBy("n"))
+    return each.select(before.alias("before"), "tag").groupBy("before", "tag").agg(F.count("*").alias("n"))
+
+
+Q26 = """
+WITH t AS (SELECT page_id, unnest(tags) AS tag, generate_subscripts(tags, 1) AS n FROM (SELECT page_id, regexp_extract_all(html, '<([A-Za-z][A-Za-z0-9]*)', 1) AS tags FROM pages)),
+l AS (SELECT tag, lag(tag) OVER (PARTITION BY page_id ORDER BY n) AS before FROM t)
+SELECT before, tag, count(*) AS n FROM l GROUP BY before, tag
+"""
+
+SOURCES = [
+    ("/s/a.py", "class A:\n    def f(self, a):\n        if a:\n            for x in a:\n                pass\n        elif not a:\n            pass\n        return 1\n"),
+    ("/s/b.py", "def g(a, b, c, d, e, f):\n    while a:\n        b = 1\n"),
+]
+
+
+def q27_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of a fixed set of sources, with their parents and nesting."""
+    files = spark.createDataFrame(SOURCES, "path string, text string")
+    return N.nodes(files, "Python", "path").select("path", "node_id", "parent_id", "kind", "name", "nesting", "last_line")
+
+
+Q27 = """
+SELECT path, node_id::INT AS node_id, parent_id::INT AS parent_id, kind, name, nesting::INT AS nesting, last_line::INT AS last_line FROM (VALUES
+  ('/s/a.py', 1, NULL, 'class', 'A', 0, 8), ('/s/a.py', 2, 1, 'function', 'f', 1, 8), ('/s/a.py', 3, 2, 'if', NULL, 2, 5), ('/s/a.py', 4, 3, 'for', NULL, 3, 5),
+  ('/s/a.py', 6, 2, 'elif', NULL, 2, 7), ('/s/b.py', 1, NULL, 'function', 'g', 0, 3), ('/s/b.py', 2, 1, 'while', NULL, 1, 3)
+) t(path, node_id, parent_id, kind, name, nesting, last_line)
+"""
+
+
+def q28_cloud_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings over the pages' strings at application level."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))
+    counts = Cloud.file_detections(pages, "HTML", ["page_id"]).drop("SensitiveDataString")
+    return Cloud.application_detections(counts, "page_id")
+
+
+Q28 = f"""
+WITH c AS ({Q06}), u AS (UNPIVOT (SELECT * EXCLUDE n_literals FROM c) ON "HardCodedIP", "HardCodedPath", "HTTPProtocol", "URINotSecuredHTTP", "URINotSecuredFTP" INTO NAME mnemonic VALUE n)
+SELECT mnemonic, count(*) FILTER (n > 0) AS files, sum(n)::BIGINT AS matches FROM u GROUP BY mnemonic
+"""
+
 # Extensions: relational work on the star schema, and event windows
 
 
@@ -568,6 +618,9 @@ _QUERIES = {
     "q23_sectioned_output": (q23_sectioned_output, Q23),
     "q24_counter_dump": (q24_counter_dump, Q24),
     "q25_dependency_inventory": (q25_dependency_inventory, Q25),
+    "q26_tag_neighbours": (q26_tag_neighbours, Q26),
+    "q27_nodes": (q27_nodes, Q27),
+    "q28_cloud_detections": (q28_cloud_detections, Q28),
     "x01_pricing_summary": (x01_pricing_summary, X01),
     "x02_segment_orders": (x02_segment_orders, X02),
     "x03_top_orders": (x03_top_orders, X03),
