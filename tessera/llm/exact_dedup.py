@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import staged, text_of
+from tessera.llm.common import staged, text_of, unused_name
 
 #: The characters that normalisation deletes.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -93,6 +93,12 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows that repeat both the doc_id and the text of the row that stays stay with it.
     """
-    gone = exact_groups(docs, id_col, text_col, **how).where("NOT kept").select(F.col("doc_id").alias("__gone_id"), F.col("row_hash").alias("__gone_text")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__gone_id")) & (F.xxhash64(text_of(text_col)) == F.col("__gone_text"))
+    return without(docs, exact_groups(docs, id_col, text_col, **how).where("NOT kept").select("doc_id", "row_hash"), id_col, text_col)
+
+
+def without(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` without the rows (doc_id, row_hash: the text's) of ``rows``; no column name of ``docs`` can clash."""
+    gone_id, gone_text = (unused_name(n, docs.columns) for n in ("gone_id", "gone_text"))
+    gone = rows.select(F.col("doc_id").alias(gone_id), F.col("row_hash").alias(gone_text)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.xxhash64(text_of(text_col)) == F.col(gone_text))
     return docs.join(gone, same, "left_anti")

@@ -31,13 +31,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import LOWER, NOT_SPACE, byte_blocks, gram_hashes, mixed, span_hashes, staged, text_of, word_spans
 from tessera.llm.components import connected_components
+from tessera.llm.exact_dedup import without
 
 FPS, BLOCK = 8, 12
 PER_FP = 64 // BLOCK
 #: Bits of the next fingerprint that deal a large shard again, and in how many places.
 FINE, FINE_PLACES = 24, 2
-#: Shingles whose bits are unpacked at a time, and shard rows that are searched at a time.
-CHUNK, ROWS = 8192, 1 << 16
+#: Shingles of a text whose bits are added up together, such groups at a time, and shard rows that are searched at a time.
+GROUP, GROUPS, ROWS = 64, 512, 1 << 16
 #: Standard deviations by which the limit of differing bits exceeds its expectation.
 SLACK = 1.25
 _SEEDS = (np.arange(1, FPS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -72,15 +73,48 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return h[new], r[new]
 
 
+def bit_counts(x: np.ndarray) -> np.ndarray:
+    """How often each bit is set along the first axis (of at most ``GROUP``) of (n, groups, FPS): (groups, 64 * FPS).
+
+    Carry-save adders take three words of one weight to one of that weight and one of the next, for all
+    groups at once; what is left are the binary digits of the counts.
+    """
+    total = np.zeros((x.shape[1], 64 * FPS), np.uint8)
+    weight, now = 0, x
+    while len(now):
+        carries = []
+        while len(now) > 1:
+            m = max(1, len(now) // 3)
+            a, b = now[:m], now[m : 2 * m]
+            if len(now) == 2:
+                now, carry = a ^ b, a & b
+            else:
+                c = now[2 * m : 3 * m]
+                both = a ^ b
+                carry = (a & b) | (c & both)
+                now = np.concatenate([both ^ c, now[3 * m :]])
+            carries.append(carry)
+        total += np.unpackbits(now[0].view(np.uint8), axis=1) << np.uint8(weight)
+        weight += 1
+        now = np.concatenate(carries) if carries else now[:0]
+    return total
+
+
 def signatures(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """The fingerprints, of shape (rows, FPS): majority bits of differently mixed shingle hashes."""
+    """The fingerprints, of shape (rows, FPS): majority bits of differently mixed shingle hashes (``row`` ascends)."""
     ones = np.zeros((rows, 64 * FPS), np.int32)
-    for at in range(0, len(h), CHUNK):
-        x, r = h[at : at + CHUNK], row[at : at + CHUNK]
-        bits = np.unpackbits(mixed(mixed(x[:, None] ^ _SEEDS[None, :]) * _SEEDS[None, :]).view(np.uint8), axis=1)
-        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        ones[r[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
     total = np.bincount(row, minlength=rows)
+    place = np.arange(len(h)) - np.repeat(np.cumsum(total) - total, total)
+    groups = -(-total // GROUP)
+    group = np.repeat(np.cumsum(groups) - groups, total) + place // GROUP
+    row_of = np.repeat(np.arange(rows), groups)
+    for low in range(0, len(row_of), GROUPS):
+        of = row_of[low : low + GROUPS]
+        a, b = np.searchsorted(group, (low, low + len(of)))
+        x = np.zeros((GROUP, len(of), FPS), np.uint64)
+        x[place[a:b] % GROUP, group[a:b] - low] = mixed(mixed(h[a:b, None] ^ _SEEDS[None, :]) * _SEEDS[None, :])
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        ones[of[first]] += np.add.reduceat(bit_counts(x), first, axis=0, dtype=np.int32)
     return np.packbits(ones * 2 > total[:, None], axis=1).view(np.uint64)
 
 
@@ -275,6 +309,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     found = near_groups(docs, id_col, text_col, **how)
     gone = found.where(~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row_hash") == F.col("keep_hash"))))
-    gone = gone.select(F.col("doc_id").alias("__gone_id"), F.col("row_hash").alias("__gone_text")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("__gone_id")) & (F.xxhash64(text_of(text_col)) == F.col("__gone_text"))
-    return docs.join(gone, same, "left_anti")
+    return without(docs, gone.select("doc_id", "row_hash"), id_col, text_col)
