@@ -8,8 +8,8 @@ log-likelihood, with expectations from forward-backward. Chains are runs of ``CH
 every word of every text lies in one.
 
 A document's score is a logistic function, fitted on documents that neither the labelling nor the
-field has seen, of the largest marginal and of the sum of squared marginals. Offending offsets are the runs of
-words whose marginal of the toxic state is at least one half, in code points.
+field has seen, of the largest marginal and of the sum of squared marginals, as it is and for each 100
+words. Offending offsets are the runs of words whose marginal of the toxic state is at least one half, in code points.
 
 The fit uses at most ``sample`` labelled rows of each class, of at most ``sample_doc_bytes`` bytes
 each; the rows are chosen by a hash of doc_id. Only the text is an input of a score.
@@ -108,7 +108,7 @@ class Field:
         self.weights = np.zeros((1 << BITS) + 32, np.float32)
         self.transition = np.zeros((2, 2))
         self.bias = 0.0
-        self.document: np.ndarray | None = None  # of (1, largest marginal, log of 1 + the sum of squares)
+        self.document: np.ndarray | None = None  # weights of what ``aggregate`` gives
 
     def _at(self, features: np.ndarray) -> np.ndarray:
         f = features.copy()
@@ -158,14 +158,16 @@ class Field:
                 self.transition = np.clip(self.transition - move[1:].reshape(2, 2), -6, 6)
 
     def aggregate(self, marginals: np.ndarray, edge: np.ndarray) -> np.ndarray:
-        """(1, largest marginal, log of 1 + the sum of squares) of each row."""
+        """(1, largest marginal, log of 1 + the sum of squares, the same of the squares for each 100 words) of each row."""
         n = len(edge) - 1
-        out = np.zeros((n, 3))
+        out = np.zeros((n, 4))
         out[:, 0] = 1
         some = np.flatnonzero(np.diff(edge) > 0)
         if len(some):
             out[some, 1] = np.maximum.reduceat(marginals, edge[some])
-            out[some, 2] = np.log1p(np.add.reduceat(marginals**2, edge[some]))
+            squares = np.add.reduceat(marginals**2, edge[some])
+            out[some, 2] = np.log1p(squares)
+            out[some, 3] = np.log1p(100 * squares / np.diff(edge)[some])
         return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -185,7 +187,7 @@ def token_labels(features: np.ndarray, doc_of: np.ndarray, toxic: np.ndarray) ->
     """1 for words of toxic documents that carry a feature which goes with toxic documents.
 
     A feature goes with them if its documents are toxic far more often than others, and if that is no
-    chance: its log-likelihood ratio exceeds three quarters of the logarithm of the number of features looked at.
+    chance: its log-likelihood ratio exceeds the logarithm of the number of features looked at.
     """
     n_bad, n_good = max(1, toxic.sum()), max(1, (1 - toxic).sum())
     found = np.zeros(features.shape[1], bool)
@@ -197,7 +199,7 @@ def token_labels(features: np.ndarray, doc_of: np.ndarray, toxic: np.ndarray) ->
         share = np.maximum(p + q, 1) / (n_bad + n_good)
         ratio = p * np.log(np.maximum(p, 1e-9) / n_bad / share) + q * np.log(np.maximum(q, 1e-9) / n_good / share)
         odds = np.log((p + 0.1) / n_bad) - np.log((q + 0.1) / n_good)
-        found |= ((ratio > 0.75 * np.log(max(2, (p + q > 0).sum()))) & (odds > 2.0))[f]
+        found |= ((ratio > np.log(max(2, (p + q > 0).sum()))) & (odds > 2.0))[f]
     return (found & (toxic[doc_of] == 1)).astype(np.int64)
 
 
