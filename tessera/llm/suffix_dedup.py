@@ -8,16 +8,18 @@ its ``GRAM``-byte grams as an anchor, so equal windows have equal anchors at equ
 1. Texts are dealt to shards by doc_id. Each shard reports its anchors' hashes once, with the hash of
    the anchor's context (all bytes of all windows that hold it) and the smallest doc_id.
 2. By anchor hash: anchors of one document only are dropped. If all contexts of an anchor are equal, its
-   smallest doc_id settles every window of the context.
-3. Shards send the different contexts of the other anchors, which stand at edges of repeated passages.
-   By anchor hash they form pieces of at most ``PIECE`` bytes. Each piece gets a suffix array by
+   smallest doc_id settles every window of the context. Otherwise it settles those shards' contexts that a
+   smaller doc_id of another shard has as a whole, and one shard for each context is asked for its bytes.
+3. Shards send the contexts asked for, which stand at edges of repeated passages.
+   Those that share half a window's other bytes with none of their anchor are passed over.
+   By anchor hash the rest form pieces of at most ``PIECE`` bytes. Each piece gets a suffix array by
    Larsson-Sadakane refinement and common prefixes by Kasai's rule; runs of prefixes of at least
    ``SPAN`` bytes are equal windows. A group that spans pieces is merged by binary search of a piece's
    windows in the sorted windows of the pieces before it, which hold the smaller doc_ids.
 4. Shards mark what was settled in 2 and 3, and what their own documents repeat, and cut it out.
 
-Decisions compare the bytes themselves in 3, and in 1, 2 and 4 64-bit hashes of contexts together with
-48-bit hashes of anchors. Text is shuffled once: all uses of the shards share one exchange.
+Decisions compare the bytes themselves in 3, and in 1, 2 and 4 48-bit hashes of contexts together with
+48-bit hashes of anchors. Text is shuffled once, compressed: all uses of the shards share one exchange.
 
 Defined cases: a null text is the empty text; texts of fewer than ``SPAN`` bytes stay whole; a null
 doc_id counts as larger than all others; rows with the same doc_id don't remove from each other; an
@@ -34,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import byte_blocks, mixed, powers, text_of
+from tessera.llm.common import byte_blocks, mixed, powers, span_hashes, text_of
 
-SPAN, GRAM = 50, 12
+SPAN, GRAM = 50, 20
 WINDOWS = SPAN - GRAM + 1
-PIECE = 4 << 20
+PIECE = 1 << 18
 LAST = (1 << 63) - 1
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_HIGH = np.uint64(0xFFFFFFFFFFFF0000)
+_HIGH, _LOW = np.uint64(0xFFFFFFFFFFFF0000), np.uint64(0xFFFFFFFFFFFF)
 
 
 def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -68,8 +70,10 @@ class Anchors:
         x = x[:-1] | x[1:] << np.uint64(8)
         x = x[:-2] | x[2:] << np.uint64(16)
         n = len(data) - GRAM + 1
-        g = (x[:n] | x[4 : 4 + n] << np.uint64(32)) * _C1 + x[8 : 8 + n] * _C2
-        g ^= g >> np.uint64(29)
+        g = np.zeros(n, np.uint64)
+        for at in range(0, GRAM, 4):
+            g = (g ^ x[at : at + n]) * _C1
+            g ^= g >> np.uint64(31)
         g *= _C3
         key = (g >> np.uint64(32)).astype(np.uint32)
         least = _sliding(key, WINDOWS, np.minimum)
@@ -84,7 +88,7 @@ class Anchors:
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
         left = (self.place - self.low).astype(np.uint64)
-        self.context = mixed((total[self.high] - total[self.low]) * down[self.low] + left * _C2) | np.uint64(1)
+        self.context = mixed((total[self.high] - total[self.low]) * down[self.low] + left * _C2) & _LOW | np.uint64(1)
 
 
 def _shard_anchors(docs, texts) -> tuple[list[Anchors], np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -110,11 +114,30 @@ def _heads(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, d, text) as one compressed row (shard, rows) for each shard of a batch."""
+    how = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        shard = batch.column(0).to_numpy()
+        order = np.argsort(shard, kind="stable")
+        edge = np.append(_heads(shard[order]), len(order))
+        blobs = []
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            sink = pa.BufferOutputStream()
+            own = batch.select(["d", "text"]).take(pa.array(order[a:b]))
+            with pa.ipc.new_stream(sink, own.schema, options=how) as out:
+                out.write_batch(own)
+            blobs.append(sink.getvalue().to_pybytes())
+        yield pa.record_batch([pa.array(shard[order][edge[:-1]], pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "rows"])
+
+
 def _columns(table: pa.Table):
-    table = table.combine_chunks()
-    text = table.column("text")
-    texts = text.chunk(0) if text.num_chunks else pa.array([], pa.string())
-    return table.column("d").to_numpy(), texts
+    """The doc_ids and texts of a shard's packed rows."""
+    own = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in table.column("rows").combine_chunks()] if table.num_rows else []
+    if not own:
+        return np.zeros(0, np.int64), pa.array([], pa.large_string())
+    both = pa.concat_tables(own)
+    return both.column("d").to_numpy(), both.column("text").cast(pa.large_string()).combine_chunks()
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -137,29 +160,38 @@ def report(table: pa.Table) -> pa.Table:
 
 
 def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2: rows (d, h, first) of anchors that several documents have; first is null if contexts differ."""
+    """Step 2: rows (d, h, c, first) of anchors that several documents have; c is 0 where all contexts are equal.
+
+    Where they differ, only the shard with the smallest doc_id of each context is asked for its bytes (first
+    is null); the others lose that context as a whole. A shard with several contexts is asked for them all.
+    """
     parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
     if not parts:
         return
     h, c, d = (np.concatenate(x) for x in zip(*parts))
     several = (h & 1).astype(bool)
     h = h & ~np.int64(1)
-    order = np.argsort(h)
+    order = np.lexsort((d, c, h))
     h, c, d, several = h[order], c[order], d[order], several[order]
     at = _heads(h)
     size = np.diff(np.append(at, len(h)))
     first = np.repeat(np.minimum.reduceat(d, at), size)
-    any_several = np.repeat(np.logical_or.reduceat(several, at), size)
-    same = np.repeat((np.minimum.reduceat(c, at) == np.maximum.reduceat(c, at)) & (c[at] != 0), size)
-    repeated = (np.repeat(size, size) > 1) | any_several
+    repeated = np.repeat((size > 1) | np.logical_or.reduceat(several, at), size)
+    same = np.repeat((c[at] == np.maximum.reduceat(c, at)) & (c[at] != 0), size)
+    own = _heads(h, c)
+    least = np.repeat(d[own], np.diff(np.append(own, len(h))))
+    asked = np.zeros(len(h), bool)
+    asked[own] = True
+    asked = ~same & (asked | (c == 0))
     take = np.flatnonzero(repeated & (~same | (first < d) | several))
     for low in range(0, len(take), 100_000):
         t = take[low : low + 100_000]
-        yield pa.record_batch([pa.array(d[t]), pa.array(h[t]), pa.array(first[t], mask=~same[t])], names=["d", "h", "first"])
+        found = pa.array(np.where(same[t], first[t], least[t]), pa.int64(), mask=asked[t])
+        yield pa.record_batch([pa.array(d[t]), pa.array(h[t]), pa.array(np.where(same[t], 0, c[t])), found], names=["d", "h", "c", "first"])
 
 
 def contexts(table: pa.Table, open_anchors: pa.Table) -> pa.Table:
-    """Step 3, in shards: the different contexts (h, c, d: smallest doc_id, bytes) of unsettled anchors."""
+    """Step 3, in shards: the different contexts (h, c, d: smallest doc_id, bytes, left: bytes before the anchor) asked for."""
     docs, texts = _columns(table)
     blocks, h, c, d, _ = _shard_anchors(docs, texts)
     wanted = np.unique(open_anchors.column("h").to_numpy()).view(np.uint64)
@@ -168,54 +200,81 @@ def contexts(table: pa.Table, open_anchors: pa.Table) -> pa.Table:
     chosen = order[_heads(h[order], c[order])]
     edge = np.cumsum([0, *[len(b.place) for b in blocks]])
     of = np.searchsorted(edge, chosen, side="right") - 1
-    found = []
+    found, left = [], []
     for i, b in zip(chosen.tolist(), of.tolist()):
         block, k = blocks[b], i - edge[b]
         found.append(block.data[block.low[k] : block.high[k]].tobytes())
-    return pa.table({"h": _signed(h[chosen]), "c": _signed(c[chosen]), "d": pa.array(d[chosen], pa.int64()), "bytes": pa.array(found, pa.binary())})
+        left.append(int(block.place[k] - block.low[k]))
+    return pa.table({"h": _signed(h[chosen]), "c": _signed(c[chosen]), "d": pa.array(d[chosen], pa.int64()), "bytes": pa.array(found, pa.binary()), "left": pa.array(left, pa.int16())})
 
 
-def suffix_array(data: np.ndarray) -> np.ndarray:
-    """The order of all suffixes, by Larsson-Sadakane refinement.
+def may_match(h: np.ndarray, raw: pa.Array, left: np.ndarray) -> np.ndarray:
+    """Contexts that share half of what a window has besides the anchor, before it or behind it, with another of the anchor.
 
-    Suffixes start sorted by seven bytes (nine bits each, so that the end sorts before every byte); each
-    round doubles the sorted length, and sorts only the suffixes whose group has others still, by the
-    ranks of the suffixes that stand so much later.
+    A window that holds the anchor takes ``SPAN - GRAM`` further bytes, so half of them on one side at least.
+    """
+    half = (SPAN - GRAM) // 2
+    at = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+    data = np.frombuffer(raw.buffers()[2], np.uint8)[at[0] : at[-1]] if len(raw) else np.zeros(0, np.uint8)
+    low, high = at[:-1] - at[0], at[1:] - at[0]
+    keep = np.zeros(len(raw), bool)
+    for start in (low + left - half, low + left + GRAM):
+        fits = np.flatnonzero((start >= low) & (start + half <= high))
+        key = mixed(span_hashes(data, start[fits], start[fits] + half) ^ mixed(h[fits].view(np.uint64)))
+        _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+        keep[fits[count[back] > 1]] = True
+    return keep
+
+
+def suffix_array(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The order of all suffixes of the strings between ``edges``, by Larsson-Sadakane refinement.
+
+    A suffix ends with its string; equal ones are in order of their places, as if each string had an end mark
+    of its own. Suffixes start sorted by seven bytes (nine bits each, so that the end sorts before every
+    byte); each round doubles the sorted length, and sorts only the suffixes whose group has others still, by
+    the ranks of the suffixes that stand so much later.
     """
     n = len(data)
+    end_of = np.repeat(edges[1:], np.diff(edges))
+    place = np.arange(n)
     x = np.zeros(n, np.uint64)
     wide = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)])
     for j in range(7):
-        x = x << np.uint64(9) | wide[j : j + n]
-    order = np.argsort(x, kind="stable")
+        x = x << np.uint64(9) | np.where(place + j < end_of, wide[j : j + n], np.uint64(0))
+    order = np.argsort(x)
     at = _heads(x[order])
+    count = np.diff(np.append(at, n))
     rank = np.zeros(n + 1, np.int64)  # the place of a group's first member, from 1; 0 stands past the end
-    rank[order] = np.repeat(at + 1, np.diff(np.append(at, n)))
-    open_places = np.flatnonzero(np.repeat(np.diff(np.append(at, n)) > 1, np.diff(np.append(at, n))))
-    size = 7
-    while len(open_places):
+    rank[order] = np.repeat(at + 1, count)
+    open_places = np.flatnonzero(np.repeat(count > 1, count))
+    size, longest = 7, int(np.diff(edges).max(initial=0))
+    while len(open_places) and size < longest:
         own = order[open_places]
-        group, later = rank[own], rank[np.minimum(own + size, n)]
-        again = np.lexsort((later, group))
-        own, group, later = own[again], group[again], later[again]
+        later = np.where(own + size < end_of[own], rank[np.minimum(own + size, n)], 0)
+        key = rank[own] * (n + 1) + later  # both are at most n, and n is below 2**31
+        again = np.argsort(key)
+        own, key = own[again], key[again]
         order[open_places] = own
-        at = _heads(group, later)
+        at = _heads(key)
         count = np.diff(np.append(at, len(own)))
         rank[own] = np.repeat(open_places[at] + 1, count)
         open_places = open_places[np.repeat(count > 1, count)]
         size *= 2
+    own = order[open_places]
+    order[open_places] = own[np.argsort(rank[own] * (n + 1) + own)]
     return order
 
 
 def common_prefixes(data: np.ndarray, edges: np.ndarray, order: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefixes of neighbours in the suffix array, up to ``cap``, whatever strings they run into.
+    """Common prefixes of neighbours in the suffix array of the strings between ``edges``, up to ``cap``.
 
     Kasai's rule (a suffix shares at least one byte less with its predecessor than the one before it
-    did), walked side by side from the start of each string between ``edges``.
+    did), walked for all strings side by side.
     """
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
+    end_of = np.repeat(edges[1:], np.diff(edges))
     out = np.zeros(n, np.int16)
     length = np.diff(edges)
     now = np.zeros(len(length), np.int64)
@@ -224,7 +283,7 @@ def common_prefixes(data: np.ndarray, edges: np.ndarray, order: np.ndarray, cap:
         i = edges[live] + t
         j = before[i]
         k = np.maximum(now[live] - 1, 0)
-        room = np.where(j >= 0, np.minimum(n - np.maximum(i, j), cap), 0)
+        room = np.where(j >= 0, np.minimum(np.minimum(end_of[i] - i, end_of[j] - j), cap), 0)
         k = np.minimum(k, room)
         grow = np.flatnonzero(k < room)
         while len(grow):
@@ -240,15 +299,14 @@ def _piece_firsts(raw: list[bytes], d: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """For the windows of one piece: their starts, their strings' numbers, and the smallest doc_id of each; and the piece's bytes."""
     data = np.frombuffer(b"".join(raw), np.uint8)
     edges = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    order = suffix_array(data)
+    order = suffix_array(data, edges)
     shared = common_prefixes(data, edges, order, SPAN)
     string = np.repeat(np.arange(len(raw)), np.diff(edges))
-    # runs of neighbours that share SPAN bytes; suffixes that run into the next string are in them, but count for nothing
+    # runs of neighbours that share SPAN bytes; a suffix that is shorter sorts before all windows that it begins, so it ends no run
     new = shared[order] < SPAN
     new[:1] = True
     at = np.flatnonzero(new)
-    whole = np.arange(len(data)) + SPAN <= np.repeat(edges[1:], np.diff(edges))
-    least = np.minimum.reduceat(np.where(whole, d[string], LAST)[order], at)
+    least = np.minimum.reduceat(d[string[order]], at)
     first = np.zeros(len(data), np.int64)
     first[order] = np.repeat(least, np.diff(np.append(at, len(order))))
     starts = np.concatenate([np.arange(a, b - SPAN + 1) for a, b in zip(edges[:-1], edges[1:])]) if len(raw) else np.zeros(0, np.int64)
@@ -261,6 +319,9 @@ def match_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     if not parts:
         return
     table = pa.Table.from_batches(parts).combine_chunks()
+    if not table.num_rows:
+        return
+    table = table.filter(pa.array(may_match(table.column("h").to_numpy(), table.column("bytes").chunk(0), table.column("left").to_numpy())))
     h, c, d = (table.column(x).to_numpy() for x in ("h", "c", "d"))
     raw = table.column("bytes").to_pylist()
     order = np.lexsort((c, d, h))  # within an anchor by ascending doc_id
@@ -350,7 +411,7 @@ def cut_out(table: pa.Table, settled: pa.Table) -> pa.Table:
             j = runs[np.repeat(lo[here][some], count) + np.arange(count.sum()) - np.repeat(first, count)]
             use = sf[j] < d[here][anchor]
             np.add.at(change, block.low[anchor[use]] + sa[j[use]], 1)
-            np.add.at(change, block.low[anchor[use]] + sb[j[use]] + SPAN, -1)
+            np.add.at(change, np.where(sb[j[use]] < 0, block.high[anchor[use]], block.low[anchor[use]] + sb[j[use]] + SPAN), -1)
         removed = np.cumsum(change[:-1]) > 0
         starts = removed.copy()
         starts[1:] &= ~removed[:-1]
@@ -376,12 +437,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     n = max(1, -(-total // shard_bytes))
     of = F.pmod(F.xxhash64("d"), F.lit(n)).cast("int").alias("shard")
-    shards = rows.select(of, "d", "text")
+    shards = rows.select(of, "d", "text").mapInArrow(packed, "shard int, rows binary")
     anchors = shards.groupBy("shard").applyInArrow(report, "h bigint, c bigint, d bigint")
-    settled = anchors.repartition(n, F.shiftright("h", 1)).mapInArrow(settle, "d bigint, h bigint, first bigint").select(of, "h", "first")
+    settled = anchors.repartition(n, F.shiftright("h", 1)).mapInArrow(settle, "d bigint, h bigint, c bigint, first bigint").select(of, "h", "c", "first")
     unsettled = settled.where("first IS NULL").select("shard", "h")
-    found = shards.groupBy("shard").cogroup(unsettled.groupBy("shard")).applyInArrow(contexts, "h bigint, c bigint, d bigint, bytes binary")
+    found = shards.groupBy("shard").cogroup(unsettled.groupBy("shard")).applyInArrow(contexts, "h bigint, c bigint, d bigint, bytes binary, left smallint")
     matched = found.repartition(n, "h").mapInArrow(match_contexts, "d bigint, h bigint, c bigint, a int, b int, first bigint")
-    whole = settled.where("first IS NOT NULL").select("shard", "h", F.lit(0).cast("bigint").alias("c"), F.lit(0).alias("a"), F.lit(0).alias("b"), "first")
+    whole = settled.where("first IS NOT NULL").select("shard", "h", "c", F.lit(0).alias("a"), F.lit(-1).alias("b"), "first")
     every = whole.union(matched.select(of, "h", "c", "a", "b", "first"))
     return shards.groupBy("shard").cogroup(every.groupBy("shard")).applyInArrow(cut_out, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
