@@ -103,7 +103,7 @@ def analysis_status(language: Column, name: Column, length: Column, text: Column
     return (
         F.when(length > MAX_ANALYSIS_BYTES, "TooBig")
         .when(text.isNull(), "Binary")
-        .when(F.trim(text) == "", "Empty")
+        .when(~F.rlike(text, F.lit(r"\S")), "Empty")
         .when(vendored, "External")
         .when(language.isin("CS", "VbDotNet") & F.rlike(name, F.lit(GENERATED)), "Generated")
         .when(language.isin("JS", "TypeScript") & (longest > 4096), "Minified")
