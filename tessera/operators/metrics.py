@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -187,6 +187,18 @@ def long_metrics(wide: DataFrame, keys: list[str], language: str) -> DataFrame:
     return wide.select(*keys, F.lit(language).alias("language"), F.inline(pairs))
 
 
+def string_table(files: DataFrame, language: str, key: str, text: str = "text") -> DataFrame:
+    """(key, string_id, literal, uses): each different string literal of a file, numbered by its first place.
+
+    Counted on the map side first; the window numbers one file's different literals. Keys that repeat count
+    as one file; null texts have none.
+    """
+    each = files.select(key, F.posexplode(V.string_literals(F.col(text), V.FAMILY_OF.get(language, "none"))).alias("place", "literal"))
+    one = each.groupBy(key, "literal").agg(F.count("*").alias("uses"), F.min("place").alias("first"))
+    number = F.row_number().over(Window.partitionBy(key).orderBy("first", "literal"))
+    return one.select(key, number.alias("string_id"), "literal", "uses")
+
+
 #: Bits of a file's status.
 STATUS = {"ok": 0, "no_text": 1, "missing_view": 2, "missing_metric": 4, "too_big": 8}
 

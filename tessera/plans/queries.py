@@ -538,6 +538,20 @@ WITH c AS ({Q06}), u AS (UNPIVOT (SELECT * EXCLUDE n_literals FROM c) ON "HardCo
 SELECT mnemonic, count(*) FILTER (n > 0) AS files, sum(n)::BIGINT AS matches FROM u GROUP BY mnemonic
 """
 
+
+def q29_string_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The different literals of each page, numbered by their first place."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))
+    return M.string_table(pages, "HTML", "page_id")
+
+
+Q29 = rf"""
+WITH s AS (SELECT page_id, list_filter({_SQL_TOKENS}, lambda t: regexp_full_match(t, '(?s)"[^"<>]*"|''[^''<>]*''')) AS s FROM pages),
+u AS (SELECT page_id, unnest(s) AS literal, generate_subscripts(s, 1) AS place FROM s),
+g AS (SELECT page_id, literal, count(*) AS uses, min(place) AS first FROM u GROUP BY page_id, literal)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY first, literal))::INT AS string_id, literal, uses FROM g
+"""
+
 # Extensions: relational work on the star schema, and event windows
 
 
@@ -621,6 +635,7 @@ _QUERIES = {
     "q26_tag_neighbours": (q26_tag_neighbours, Q26),
     "q27_nodes": (q27_nodes, Q27),
     "q28_cloud_detections": (q28_cloud_detections, Q28),
+    "q29_string_table": (q29_string_table, Q29),
     "x01_pricing_summary": (x01_pricing_summary, X01),
     "x02_segment_orders": (x02_segment_orders, X02),
     "x03_top_orders": (x03_top_orders, X03),

@@ -140,3 +140,22 @@ def history(spark: SparkSession, path: str) -> DataFrame:
     """User decisions, lines ``FILE;id;name[;t1:t2]``: name and technologies (an empty array excludes the file)."""
     part = F.split("value", ";")
     return spark.read.text(path).where(F.element_at(part, 1) == "FILE").select(F.element_at(part, 3).alias("name"), F.coalesce(F.filter(F.split(F.try_element_at(part, F.lit(4)), ":"), lambda x: x != ""), F.array().cast("array<string>")).alias("technos"))
+
+
+def properties(spark: SparkSession, path: str) -> DataFrame:
+    """place, key, value of ``key=value`` lines; values may hold further ``=``; blank lines and comments are skipped."""
+    at = F.instr("value", "=")
+    own = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("place", "value"))
+    return own.where((at > 1) & ~F.rlike("value", F.lit(r"^\s*#"))).select("place", F.trim(F.substring(F.col("value"), F.lit(1), at - 1)).alias("key"), F.trim(F.substring(F.col("value"), at + 1, F.length("value"))).alias("value"))
+
+
+def json_rules(spark: SparkSession, path: str, technologies: list[str]) -> DataFrame:
+    """Rules of a JSON list (name, technologies, pattern) for any of the given technologies, case aside."""
+    rules = spark.read.schema("name string, technologies array<string>, pattern string").option("multiLine", "true").json(path)
+    wanted = [t.lower() for t in technologies]
+    return rules.where(F.exists("technologies", lambda t: F.lower(t).isin(*wanted))).select("name", "technologies", "pattern")
+
+
+def third_party(files: DataFrame) -> DataFrame:
+    """(path, cause, sha256) of files that aren't the project's own, from a table with a ``status`` column."""
+    return files.where(F.col("status").isin("External", "Generated", "Minified")).select("path", F.col("status").alias("cause"), "sha256")

@@ -49,6 +49,15 @@ def test_lists_and_manifests(spark, tmp_path):
     assert [tuple(r) for r in S.history(spark, str(tmp_path / "history")).collect()] == [("/a.x", ["Java", "PHP"]), ("/b.x", [])]
 
 
+def test_properties_rules_and_third_parties(spark, tmp_path):
+    (tmp_path / "p").write_text("# c\na = 1\n\nurl=x?y=z\nbad\n")
+    assert [tuple(r)[1:] for r in S.properties(spark, str(tmp_path / "p")).collect()] == [("a", "1"), ("url", "x?y=z")]
+    (tmp_path / "r.json").write_text('[{"name": "a", "technologies": ["Java", "JS"], "pattern": "x"}, {"name": "b", "technologies": ["PHP"], "pattern": "y"}, {"name": "c"}]')
+    assert [r.name for r in S.json_rules(spark, str(tmp_path / "r.json"), ["java"]).collect()] == ["a"]
+    rows = spark.createDataFrame([("/a", "None", "1"), ("/b", "External", "2")], "path string, status string, sha256 string")
+    assert [tuple(r) for r in S.third_party(rows).collect()] == [("/b", "External", "2")]
+
+
 def test_sectioned_file(spark, tmp_path):
     rows = spark.createDataFrame([("b", 2, "x;y"), ("a", None, "l\nm")], "name string, n int, t string")
     lines = sinks.sectioned([sinks.section_lines(rows, "S", ["name", "n", "t"], ["name"])], {"k": "v"})
