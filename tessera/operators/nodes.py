@@ -2,8 +2,8 @@ r"""Nodes of source texts as an edge table, and metrics that need nesting.
 
 A node is a line that opens a construct (function, class, loop, condition, try, switch). Its depth comes from
 indentation (Python) or from the braces before it (languages with braces); its parent is the nearest node
-before it that is less deep. Depths are folded inside a row by column expressions; siblings and enclosing
-nodes are window functions over (file, parent) and (file), whose size is that of one text.
+before it that is less deep and not closed. Depths and enclosing nodes are folded inside a row by column
+expressions; siblings are window functions over (file, parent), whose size is that of one text.
 
 Defined cases: null texts have no nodes; comments and strings are blanked first; a file key may repeat, and
 its rows' nodes are kept apart by ``part`` (the row's number within its task and task number); unbalanced
@@ -75,20 +75,31 @@ def _lines(code: Column, braces: bool) -> Column:
 
 
 def nodes(files: DataFrame, language: str, key: str, text: str = "text") -> DataFrame:
-    """(key, part, node_id: its line, parent_id (null at the top), kind, name, depth, nesting, last_line, statement)."""
+    """(key, part, node_id: its line, parent_id (null at the top), kind, name, depth, nesting, last_line, statement).
+
+    A projection and an explode: no shuffle.
+    """
     family = FAMILY_OF.get(language, "none")
     braces = family != "python"
     rows = files.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("part"), _lines(code_view(F.col(text), family), braces).alias("lines"))
-    kind, name = _kind(F.col("l.line"), BRACE_KINDS if braces else PYTHON_KINDS)
     # the last line inside: the one before the next line that isn't deeper
     end = lambda l: F.coalesce(F.array_min(F.transform(F.filter("lines", lambda m: (m["n"] > l["n"]) & (m["depth"] <= l["depth"])), lambda m: m["n"])) - 1, F.element_at("lines", -1)["n"])
-    opened = rows.select("key", "part", "lines", F.explode("lines").alias("l")).withColumn("kind", kind).withColumn("name", name).where("kind IS NOT NULL")
-    found = opened.select("key", "part", F.col("l.n").alias("node_id"), "kind", "name", F.col("l.depth").alias("depth"), end(F.col("l")).alias("last_line"), F.trim("l.line").alias("statement"))
-    of_file = Window.partitionBy("key", "part").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.collect_list(F.struct("node_id", "depth", "last_line")).over(of_file)
-    around = F.filter(before, lambda b: (b["depth"] < F.col("depth")) & (b["last_line"] >= F.col("node_id")))
-    return found.withColumn("around", around).select(
-        F.col("key").alias(key), "part", "node_id", F.when(F.size("around") > 0, F.element_at("around", -1)["node_id"]).alias("parent_id"), "kind", "name", "depth", F.size("around").alias("nesting"), "last_line", "statement"
+
+    def opened(l: Column) -> Column:
+        kind, name = _kind(l["line"], BRACE_KINDS if braces else PYTHON_KINDS)
+        return F.struct(l["n"].alias("node_id"), kind.alias("kind"), name.alias("name"), l["depth"].alias("depth"), F.trim(l["line"]).alias("statement"))
+
+    def closed(x: Column) -> Column:
+        own = F.struct(x["node_id"].alias("n"), x["depth"].alias("depth"))
+        return F.struct(x["node_id"].alias("node_id"), x["kind"].alias("kind"), x["name"].alias("name"), x["depth"].alias("depth"), end(own).alias("last_line"), x["statement"].alias("statement"))
+
+    def around(x: Column) -> Column:
+        return F.filter("found", lambda b: (b["node_id"] < x["node_id"]) & (b["depth"] < x["depth"]) & (b["last_line"] >= x["node_id"]))
+
+    found = rows.withColumn("opened", F.filter(F.transform("lines", opened), lambda x: x["kind"].isNotNull())).withColumn("found", F.transform("opened", closed))
+    each = found.select("key", "part", "found", F.explode("found").alias("x")).withColumn("around", around(F.col("x")))
+    return each.select(
+        F.col("key").alias(key), "part", "x.node_id", F.when(F.size("around") > 0, F.element_at("around", -1)["node_id"]).alias("parent_id"), "x.kind", "x.name", "x.depth", F.size("around").alias("nesting"), "x.last_line", "x.statement"
     )
 
 
