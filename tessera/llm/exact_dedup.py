@@ -76,6 +76,7 @@ def exact_groups(
     best = F.max(F.struct("points", (-F.col("doc_id")).alias("back"), F.col("doc_id"))).alias("best")
     groups = second.where("alive").groupBy("digest").agg(F.count("*").alias("group_size"), best).where("group_size > 1")
     groups = groups.select(F.col("digest").alias("of"), "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.points").alias("keep_points"))
+    groups = staged(groups, "groups")  # a join of two plain exchanges, which can be split where a group is hot
     out = second.join(groups, (F.col("digest") == F.col("of")) & F.col("alive"), "left")
     kept = F.col("of").isNull() | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points")))
     return out.select(

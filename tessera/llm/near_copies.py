@@ -299,6 +299,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = rows.join(roots, "node", "left").select("doc_id", "row_hash", F.coalesce("root", "node").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("row_hash"))
     kept = placed.groupBy("root").agg(F.min(order).alias("k")).select("root", F.col("k.doc_id").alias("keep_id"), F.col("k.row_hash").alias("keep_hash"))
+    kept = staged(kept, "kept")  # a join of two plain exchanges, which can be split where a group is hot
     return placed.join(kept, "root").select("doc_id", "row_hash", "keep_id", "keep_hash")
 
 

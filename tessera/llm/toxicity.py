@@ -41,7 +41,7 @@ def token_features(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     """Feature numbers, a row for each: the word, its first 4 and 6 bytes, its last 4 bytes, and its length."""
     size = ends - starts
     spans = [(starts, ends), (starts, np.minimum(ends, starts + 4)), (starts, np.minimum(ends, starts + 6)), (np.maximum(starts, ends - 4), ends)]
-    out = np.zeros((FEATURES, len(starts)), np.int64)
+    out = np.zeros((FEATURES, len(starts)), np.int32)
     for i, (a, b) in enumerate(spans):
         out[i] = (span_hashes(low, a, b) ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(64 - BITS)
     out[FEATURES - 1] = np.minimum(size, 31)
