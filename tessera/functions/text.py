@@ -29,9 +29,15 @@ def line_count(text: Column) -> Column:
     return (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))).cast("bigint")
 
 
+def terminated(text: Column) -> Column:
+    """The text up to its last line end: patterns that end with one then never look for it in vain."""
+    t = text_of(text)
+    return F.substring(t, F.lit(1), F.length(t) - F.length(F.substring_index(t, "\n", -1)))
+
+
 def nonempty_lines(text: Column) -> Column:
     """Terminated lines with something other than white space."""
-    return count_of(text, r"\S[^\n]*\n")
+    return count_of(terminated(text), r"\S[^\n]*\n")
 
 
 def blank_lines(text: Column) -> Column:
@@ -41,7 +47,7 @@ def blank_lines(text: Column) -> Column:
 
 def alnum_lines(text: Column) -> Column:
     """Terminated lines with an ASCII letter or digit."""
-    return count_of(text, r"[A-Za-z0-9][^\n]*\n")
+    return count_of(terminated(text), r"[A-Za-z0-9][^\n]*\n")
 
 
 def long_lines(text: Column, over: int) -> Column:
