@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Names that are never descended into, sizes in bytes, and extensions.
-IGNORED_NAMES = [".svn", ".git", ".casthighlight"]
+IGNORED_NAMES = [".svn", ".git"]
 BINARY_LIBRARIES = ["jar", "dll", "a", "lib", "so"]
 EXCLUDED_EXTENSIONS = ["tar"]
 MAX_DISCOVERY_BYTES = 10_240_000
