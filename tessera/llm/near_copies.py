@@ -10,9 +10,10 @@ acos(2s / (1 + s)) / pi at similarity s; ``SLACK`` standard deviations are added
 0.8 is linked with probability 0.9, one at 0.85 or more with 0.99 at least and one at 0.7 with 0.15.
 
 Trees are built where their members are gathered: all trees together grow with the corpus, so sending
-them to every task has no size bound. A shard of more than ``shard_limit`` members is dealt again by bits
-of the next fingerprint too. That leaves each of its members many partners; a shard returns each member
-with the least member of its local group, so what is returned is linear in the members.
+them to every task has no size bound. A shard of more than ``shard_limit`` members is searched as a whole in
+two rounds: first a tree for each piece of at most ``shard_limit`` members; then, where members have different
+roots still, all members of different roots are compared, a block of them with a block at a time. A shard
+returns each member with the least member of its local group, so what is returned is linear in the members.
 
 Defined cases: null and wordless texts are alike and form one group; a text of fewer words than a
 shingle is one shingle; repeated rows are alike; a null doc_id sorts after all others when the row that
@@ -35,8 +36,8 @@ from tessera.llm.exact_dedup import without
 
 FPS, BLOCK = 8, 12
 PER_FP = 64 // BLOCK
-#: Bits of the next fingerprint that deal a large shard again, and in how many places.
-FINE, FINE_PLACES = 24, 2
+#: Members that are compared with as many others at a time where a shard is large.
+SIDE = 1024
 #: Shingles of a text whose bits are added up together, such groups at a time, and shard rows that are searched at a time.
 GROUP, GROUPS, ROWS = 64, 512, 1 << 16
 #: Standard deviations by which the limit of differing bits exceeds its expectation.
@@ -146,35 +147,20 @@ def _matrix(column) -> np.ndarray:
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:
-    """(place, bits, sig): a row for each block of each fingerprint."""
+    """(place, bits, root, sig) from (root, sig): a row for each block of each fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 2048):
-                raw = batch.column(0).slice(low, 2048)
+                root, raw = batch.column(0).slice(low, 2048), batch.column(1).slice(low, 2048)
                 sig = _matrix(pa.array(raw.to_pylist(), pa.binary()))
                 for fp in range(FPS):
                     for place in range(PER_FP):
                         bits = (sig[:, fp] >> np.uint64(place * BLOCK) & np.uint64((1 << BLOCK) - 1)).astype(np.int32)
                         where = np.full(len(sig), fp * PER_FP + place, np.int32)
-                        yield pa.record_batch([pa.array(where), pa.array(bits), raw], names=["place", "bits", "sig"])
+                        yield pa.record_batch([pa.array(where), pa.array(bits), root, raw], names=["place", "bits", "root", "sig"])
 
-    return nodes.select("sig").mapInArrow(run, "place int, bits int, sig binary")
-
-
-def _finer(shards: DataFrame) -> DataFrame:
-    """Large shards' rows with a finer key besides: bits of the next fingerprint."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = batch.column(0).to_numpy()
-            sig = _matrix(pa.array(batch.column(2).to_pylist(), pa.binary()))
-            other = sig[np.arange(len(sig)), (place // PER_FP + 1) % FPS]
-            for i in range(FINE_PLACES):
-                fine = ((other >> np.uint64(i * FINE) & np.uint64((1 << FINE) - 1)).astype(np.int64) * FINE_PLACES) + i
-                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fine), batch.column(2)], names=["place", "bits", "fine", "sig"])
-
-    return shards.select("place", "bits", "sig").mapInArrow(run, "place int, bits int, fine bigint, sig binary")
+    return nodes.select("root", "sig").mapInArrow(run, "place int, bits int, root bigint, sig binary")
 
 
 class Forest:
@@ -247,16 +233,21 @@ def shard_links(value: np.ndarray, sig: np.ndarray, shard: np.ndarray, radius: i
     return moved, root[moved]
 
 
-def _search(shards: DataFrame, keys: list[str], radius: int, limit: int) -> DataFrame:
-    """Links (a, b) of nodes from shard rows; a partition's shards come one after the other, in order."""
+def _search(shards: DataFrame, piece: int, radius: int, limit: int) -> DataFrame:
+    """Links (a, b) of nodes from shard rows; a partition's shards come one after the other, in order, cut into pieces."""
+
+    def starts(table: pa.Table) -> np.ndarray:
+        """Where pieces start; the first row starts one."""
+        place, bits = (table.column(k).to_numpy() for k in ("place", "bits"))
+        new = np.ones(len(place), bool)
+        new[1:] = (place[1:] != place[:-1]) | (bits[1:] != bits[:-1])
+        at = np.arange(len(place))
+        return new | ((at - np.maximum.accumulate(np.where(new, at, 0))) % piece == 0)
 
-    def linked(batch: pa.Table) -> pa.RecordBatch:
-        sig = _matrix(batch.column("sig").combine_chunks().cast(pa.binary()) if batch.num_rows else batch.column("sig"))
-        cols = [batch.column(k).to_numpy() for k in keys]
-        new = np.ones(len(sig), bool)
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
-        value = sig[np.arange(len(sig)), cols[0] // PER_FP]
-        a, b = shard_links(value, sig, np.cumsum(new) - 1, radius, limit)
+    def linked(table: pa.Table) -> pa.RecordBatch:
+        sig = _matrix(table.column("sig").combine_chunks().cast(pa.binary()))
+        value = sig[np.arange(len(sig)), table.column("place").to_numpy() // PER_FP]
+        a, b = shard_links(value, sig, np.cumsum(starts(table)) - 1, radius, limit)
         ids = node_ids(sig)
         return pa.record_batch([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
 
@@ -269,12 +260,7 @@ def _search(shards: DataFrame, keys: list[str], radius: int, limit: int) -> Data
             if size < ROWS:
                 continue
             table = pa.Table.from_batches(held)
-            last = np.zeros(size, bool)  # rows of the shard that may go on
-            last[:] = True
-            for k in keys:
-                c = table.column(k).to_numpy()
-                last &= c == c[-1]
-            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            cut = int(np.flatnonzero(starts(table))[-1])  # rows of the last piece may go on
             if cut:
                 yield linked(table.slice(0, cut))
             held = table.slice(cut).to_batches()
@@ -282,21 +268,64 @@ def _search(shards: DataFrame, keys: list[str], radius: int, limit: int) -> Data
         if size:
             yield linked(pa.Table.from_batches(held))
 
-    ordered = shards.repartition(*keys).sortWithinPartitions(*keys, "sig")
-    return ordered.select(*keys, "sig").mapInArrow(run, "a bigint, b bigint")
+    ordered = shards.repartition("place", "bits").sortWithinPartitions("place", "bits", "sig")
+    return ordered.select("place", "bits", "sig").mapInArrow(run, "a bigint, b bigint")
+
+
+def different_links(value: np.ndarray, sig: np.ndarray, label: np.ndarray, radius: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(label, least label linked to it) by all pairs of rows of different labels."""
+    order = np.argsort(label, kind="stable")  # blocks of one label are passed over as a whole
+    value, sig = value[order], sig[order]
+    names, own = np.unique(label[order], return_inverse=True)
+    root = np.arange(len(names))
+    for i in range(0, len(value), SIDE):
+        for j in range(i, len(value), SIDE):
+            x, y = root[own[i : i + SIDE]], root[own[j : j + SIDE]]
+            if x[0] == y[0] and (x == x[0]).all() and (y == x[0]).all():
+                continue
+            near = np.flatnonzero(np.bitwise_count(value[i : i + SIDE, None] ^ value[None, j : j + SIDE]) <= radius)
+            a, b = near // len(y), near % len(y)
+            some = x[a] != y[b]
+            a, b = a[some] + i, b[some] + j
+            for low in range(0, len(a), 1 << 16):
+                p, q = a[low : low + (1 << 16)], b[low : low + (1 << 16)]
+                some = root[own[p]] != root[own[q]]
+                p, q = p[some], q[some]
+                hit = np.bitwise_count(sig[p] ^ sig[q]).sum(axis=1, dtype=np.int64) <= limit
+                if hit.any():
+                    root = _roots(len(root), root[own[p[hit]]], root[own[q[hit]]])[root]
+    moved = np.flatnonzero(root != np.arange(len(root)))
+    return names[moved], names[root[moved]]
+
+
+def _search_large(members: DataFrame, radius: int, limit: int) -> DataFrame:
+    """Links (a, b) of roots from the rows (place, bits, root, sig) of large shards."""
+
+    def linked(table: pa.Table) -> pa.Table:
+        sig = _matrix(table.column("sig").combine_chunks().cast(pa.binary()))
+        value = sig[:, table.column("place")[0].as_py() // PER_FP]
+        a, b = different_links(value, sig, table.column("root").to_numpy(), radius, limit)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    several = members.groupBy("place", "bits").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("place", "bits")
+    several = staged(several, "several")
+    return members.join(several, ["place", "bits"]).groupBy("place", "bits").applyInArrow(linked, "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 16, shard_limit: int = 512) -> DataFrame:
     """One row per document: doc_id, row_hash (of the text), keep_id and keep_hash (of the row that stays)."""
     rows = staged(signed_documents(docs, id_col, text_col, words), "signatures")
     limit = bit_limit(similarity)
-    keyed = _keyed(rows.select("sig").distinct())
-    sizes = keyed.groupBy("place", "bits").agg(F.count("*").alias("size")).where("size > 1")
-    members = keyed.join(staged(sizes, "sizes"), ["place", "bits"])
-    out = _search(members.where(F.col("size") <= shard_limit), ["place", "bits"], radius, limit)
-    fine = _search(_finer(members.where(F.col("size") > shard_limit)), ["place", "bits", "fine"], radius, limit)
-    roots = connected_components(out.union(fine))
-    placed = rows.join(roots, "node", "left").select("doc_id", "row_hash", F.coalesce("root", "node").alias("root"))
+    keyed = _keyed(rows.select("sig").distinct().select(F.lit(0).cast("bigint").alias("root"), "sig")).drop("root")
+    sizes = staged(keyed.groupBy("place", "bits").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    roots = connected_components(_search(keyed.join(sizes, ["place", "bits"]), shard_limit, radius, limit))
+    placed = rows.join(roots, "node", "left").select("doc_id", "row_hash", "sig", F.coalesce("root", "node").alias("root"))
+    large = sizes.where(F.col("size") > shard_limit)
+    if not large.isEmpty():
+        members = _keyed(placed.select("root", "sig").distinct()).join(large, ["place", "bits"])
+        more = connected_components(_search_large(members, radius, limit)).select(F.col("node").alias("root"), F.col("root").alias("least"))
+        placed = placed.join(more, "root", "left").withColumn("root", F.coalesce("least", "root"))
+    placed = placed.select("doc_id", "row_hash", "root")
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("row_hash"))
     kept = placed.groupBy("root").agg(F.min(order).alias("k")).select("root", F.col("k.doc_id").alias("keep_id"), F.col("k.row_hash").alias("keep_hash"))
     kept = staged(kept, "kept")  # a join of two plain exchanges, which can be split where a group is hot

@@ -151,3 +151,9 @@ def test_near_copies_go(clashing, awkward):
 
 def test_limits_ascend():
     assert bit_limit(1.0) == 0 and bit_limit(0.9) < bit_limit(0.8) < bit_limit(0.5)
+
+
+def test_large_shards_are_searched_as_a_whole(spark, copies):
+    rows = spark.createDataFrame(copies, "doc_id long, text string")
+    whole, cut = ({r.doc_id: r.keep_id for r in near_groups(rows, shard_limit=n).collect()} for n in (512, 2))
+    assert cut == whole and len(set(cut.values())) < len(cut)
