@@ -12,7 +12,8 @@ acos(2s / (1 + s)) / pi at similarity s; ``SLACK`` standard deviations are added
 Trees are built where their members are gathered: all trees together grow with the corpus, so sending
 them to every task has no size bound. A shard of more than ``shard_limit`` members is searched as a whole in
 two rounds: first a tree for each piece of at most ``shard_limit`` members; then, where members have different
-roots still, all members of different roots are compared, a block of them with a block at a time. A shard
+roots still, all members of different roots are compared, a block of them with a block at a time. Of more than ``DEAL`` members, parts are dealt to tasks,
+one for each two parts. Pairs of one root are passed over, and pairs found become roots at once. A shard
 returns each member with the least member of its local group, so what is returned is linear in the members.
 
 Defined cases: null and wordless texts are alike and form one group; a text of fewer words than a
@@ -38,6 +39,8 @@ FPS, BLOCK = 8, 12
 PER_FP = 64 // BLOCK
 #: Members that are compared with as many others at a time where a shard is large.
 SIDE = 1024
+#: Members of a large shard from which on it is dealt to several tasks, the most parts it is dealt in, and pairs held at a time.
+DEAL, PARTS, PAIRS = 1 << 14, 16, 1 << 16
 #: Shingles of a text whose bits are added up together, such groups at a time, and shard rows that are searched at a time.
 GROUP, GROUPS, ROWS = 64, 512, 1 << 16
 #: Standard deviations by which the limit of differing bits exceeds its expectation.
@@ -190,21 +193,22 @@ class Forest:
         self.code = parent[self.child] * 128 + edge[self.child]
 
     def near(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """All pairs (a < b) of one shard within ``radius``, a level of the trees at a time: only edges within the radius are followed."""
-        query, node = np.arange(len(self.value)), self.root
-        while len(query):
-            nexts = []
-            for low in range(0, len(query), 1 << 20):
-                q, v = query[low : low + (1 << 20)], node[low : low + (1 << 20)]
-                d = np.bitwise_count(self.value[q] ^ self.value[v]).astype(np.int64)
-                hit = (d <= radius) & (v < q)
-                yield v[hit], q[hit]
-                a = np.searchsorted(self.code, v * 128 + np.maximum(d - radius, 0))
-                b = np.searchsorted(self.code, v * 128 + np.minimum(d + radius, 64), side="right")
-                count = b - a
-                start = np.cumsum(count) - count
-                nexts.append((np.repeat(q, count), self.child[np.repeat(a - start, count) + np.arange(count.sum())]))
-            query, node = (np.concatenate(x) for x in zip(*nexts))
+        """All pairs (a < b) of one shard within ``radius``, at most ``PAIRS`` at a time: only edges within the radius are followed."""
+        todo = [(np.arange(len(self.value)), self.root)]
+        while todo:
+            query, node = todo.pop()
+            if len(query) > PAIRS:
+                todo.append((query[PAIRS:], node[PAIRS:]))
+            q, v = query[:PAIRS], node[:PAIRS]
+            d = np.bitwise_count(self.value[q] ^ self.value[v]).astype(np.int64)
+            hit = (d <= radius) & (v < q)
+            yield v[hit], q[hit]
+            a = np.searchsorted(self.code, v * 128 + np.maximum(d - radius, 0))
+            b = np.searchsorted(self.code, v * 128 + np.minimum(d + radius, 64), side="right")
+            count = b - a
+            start = np.cumsum(count) - count
+            if count.any():
+                todo.append((np.repeat(q, count), self.child[np.repeat(a - start, count) + np.arange(count.sum())]))
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -221,14 +225,24 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray, a_sig: np.ndarray, b_sig: np.ndarray, limit: int) -> np.ndarray:
+    """``root`` with the roots ``a`` and ``b`` as one where their signatures are similar."""
+    hit = np.bitwise_count(a_sig ^ b_sig).sum(axis=1, dtype=np.int64) <= limit
+    if not hit.any():
+        return root
+    own, at = np.unique(np.concatenate([a[hit], b[hit]]), return_inverse=True)
+    to = np.arange(len(root))
+    to[own] = own[_roots(len(own), *np.split(at, 2))]
+    return to[root]
+
+
 def shard_links(value: np.ndarray, sig: np.ndarray, shard: np.ndarray, radius: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, root row) of the rows that link to others of their shard."""
-    a, b = [], []
+    root = np.arange(len(value))
     for x, y in Forest(value, shard).near(radius):
-        far = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1, dtype=np.int64)
-        a.append(x[far <= limit])
-        b.append(y[far <= limit])
-    root = _roots(len(value), np.concatenate(a), np.concatenate(b)) if a else np.arange(len(value))
+        some = root[x] != root[y]
+        x, y = x[some], y[some]
+        root = _joined(root, root[x], root[y], sig[x], sig[y], limit)
     moved = np.flatnonzero(root != np.arange(len(value)))
     return moved, root[moved]
 
@@ -272,44 +286,51 @@ def _search(shards: DataFrame, piece: int, radius: int, limit: int) -> DataFrame
     return ordered.select("place", "bits", "sig").mapInArrow(run, "a bigint, b bigint")
 
 
-def different_links(value: np.ndarray, sig: np.ndarray, label: np.ndarray, radius: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(label, least label linked to it) by all pairs of rows of different labels."""
-    order = np.argsort(label, kind="stable")  # blocks of one label are passed over as a whole
-    value, sig = value[order], sig[order]
-    names, own = np.unique(label[order], return_inverse=True)
+def different_links(value: np.ndarray, sig: np.ndarray, label: np.ndarray, part: np.ndarray, radius: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(label, least label linked to it) by the pairs of rows of different labels: all of one part, or those across two."""
+    order = np.lexsort((label, part))  # blocks of one label are passed over as a whole
+    value, sig, label = value[order], sig[order], label[order]
+    names, own = np.unique(label, return_inverse=True)
     root = np.arange(len(names))
-    for i in range(0, len(value), SIDE):
-        for j in range(i, len(value), SIDE):
-            x, y = root[own[i : i + SIDE]], root[own[j : j + SIDE]]
+    edge = int(np.searchsorted(part[order], part.max()))
+    for i in range(0, edge or len(value), SIDE):
+        to = min(i + SIDE, edge or len(value))
+        for j in range(edge or i, len(value), SIDE):
+            x, y = root[own[i:to]], root[own[j : j + SIDE]]
             if x[0] == y[0] and (x == x[0]).all() and (y == x[0]).all():
                 continue
-            near = np.flatnonzero(np.bitwise_count(value[i : i + SIDE, None] ^ value[None, j : j + SIDE]) <= radius)
+            near = np.flatnonzero(np.bitwise_count(value[i:to, None] ^ value[None, j : j + SIDE]) <= radius)
             a, b = near // len(y), near % len(y)
             some = x[a] != y[b]
             a, b = a[some] + i, b[some] + j
-            for low in range(0, len(a), 1 << 16):
-                p, q = a[low : low + (1 << 16)], b[low : low + (1 << 16)]
+            for low in range(0, len(a), PAIRS):
+                p, q = a[low : low + PAIRS], b[low : low + PAIRS]
                 some = root[own[p]] != root[own[q]]
                 p, q = p[some], q[some]
-                hit = np.bitwise_count(sig[p] ^ sig[q]).sum(axis=1, dtype=np.int64) <= limit
-                if hit.any():
-                    root = _roots(len(root), root[own[p[hit]]], root[own[q[hit]]])[root]
+                root = _joined(root, root[own[p]], root[own[q]], sig[p], sig[q], limit)
     moved = np.flatnonzero(root != np.arange(len(root)))
     return names[moved], names[root[moved]]
 
 
 def _search_large(members: DataFrame, radius: int, limit: int) -> DataFrame:
-    """Links (a, b) of roots from the rows (place, bits, root, sig) of large shards."""
+    """Links (a, b) of roots from the rows (place, bits, root, sig) of large shards, with a task's work for each two parts."""
 
     def linked(table: pa.Table) -> pa.Table:
         sig = _matrix(table.column("sig").combine_chunks().cast(pa.binary()))
         value = sig[:, table.column("place")[0].as_py() // PER_FP]
-        a, b = different_links(value, sig, table.column("root").to_numpy(), radius, limit)
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        part = table.column("part").to_numpy()
+        if table.column("i")[0] == table.column("j")[0] or len(np.unique(part)) == 2:
+            a, b = different_links(value, sig, table.column("root").to_numpy(), part, radius, limit)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    several = members.groupBy("place", "bits").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("place", "bits")
-    several = staged(several, "several")
-    return members.join(several, ["place", "bits"]).groupBy("place", "bits").applyInArrow(linked, "a bigint, b bigint")
+    parts = F.least(F.lit(PARTS), F.ceil(F.count("*") / DEAL)).cast("int").alias("parts")
+    several = members.groupBy("place", "bits").agg(F.min("root").alias("least"), F.max("root").alias("most"), parts).where("least < most")
+    several = staged(several.select("place", "bits", "parts"), "several")
+    dealt = members.join(several, ["place", "bits"]).withColumn("part", F.pmod(F.xxhash64("sig"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("place", "bits", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "root", "sig")
+    return dealt.groupBy("place", "bits", "i", "j").applyInArrow(linked, "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 16, shard_limit: int = 512) -> DataFrame:

@@ -157,3 +157,42 @@ def test_large_shards_are_searched_as_a_whole(spark, copies):
     rows = spark.createDataFrame(copies, "doc_id long, text string")
     whole, cut = ({r.doc_id: r.keep_id for r in near_groups(rows, shard_limit=n).collect()} for n in (512, 2))
     assert cut == whole and len(set(cut.values())) < len(cut)
+
+
+def test_pairs_of_a_dense_shard_are_not_held():
+    import tracemalloc
+
+    from tessera.llm.near_copies import shard_links
+
+    rng = np.random.default_rng(3)
+    sig = np.repeat(rng.integers(0, 1 << 63, (1, 8)).astype(np.uint64), 3000, axis=0)
+    sig[np.arange(3000), rng.integers(0, 8, 3000)] ^= np.uint64(1) << rng.integers(0, 63, 3000).astype(np.uint64)
+    tracemalloc.start()
+    row, root = shard_links(sig[:, 0].copy(), sig, np.zeros(3000, np.int64), 16, 87)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert row.tolist() == list(range(1, 3000)) and not root.any()
+    assert peak < 64 << 20
+
+
+def test_large_shards_are_dealt_to_tasks(spark, copies, monkeypatch):
+    from tessera.llm import near_copies
+
+    rows = spark.createDataFrame(copies, "doc_id long, text string")
+    whole = {r.doc_id: r.keep_id for r in near_groups(rows).collect()}
+    monkeypatch.setattr(near_copies, "DEAL", 1)
+    assert {r.doc_id: r.keep_id for r in near_groups(rows, shard_limit=2).collect()} == whole
+
+
+def test_parts_find_all_links_of_different_labels():
+    from tessera.llm.near_copies import different_links
+
+    rng = np.random.default_rng(5)
+    sig = np.repeat(rng.integers(0, 1 << 63, (40, 8)).astype(np.uint64), 60, axis=0)
+    sig[np.arange(2400), rng.integers(0, 8, 2400)] ^= np.uint64(1) << rng.integers(0, 63, 2400).astype(np.uint64)
+    label, part, none = np.arange(2400) + 7, np.arange(2400) % 3, np.zeros(2400, np.int64)
+    a, b = different_links(sig[:, 0], sig, label, none, 16, 87)
+    assert dict(zip(a.tolist(), b.tolist())) == {i + 7: i // 60 * 60 + 7 for i in range(2400) if i % 60}
+    use = part != 2
+    a, b = different_links(sig[use, 0], sig[use], label[use], part[use], 16, 87)
+    assert dict(zip(a.tolist(), b.tolist())) == {i + 7: i // 60 * 60 + 7 for i in range(2400) if i % 60 and i % 3 != 2}
