@@ -74,38 +74,44 @@ LICENSES = [
     ("ZPL-2.1", "zpl-2.1", ["Zope Public License"], "opensource.org/licenses/ZPL-2.0"),
 ]
 
-#: Phrases that name no single license: label, keyword, regex, score.
+#: Phrases that name no single license: label, a literal of every match, regex (a blank is any white space), score.
 PHRASES = [
-    ("mit", "permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy", 0.95),
-    ("isc", "permission to use, copy", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", 0.9),
-    ("bsd-family", "redistribution and use", r"redistribution and use in source and binary forms, with or without modification", 0.85),
-    ("warranty-disclaimer", "as is", r"(?:software|work|material) is provided [\"'(]*as is[\"')]*", 0.4),
-    ("warranty-disclaimer", "without warrant", r"without warrant(?:y|ies) (?:of any kind|or conditions)", 0.4),
-    ("gpl-family", "general public license", r"general public license", 0.7),
+    ("mit", "permission", r"permission is hereby granted, free of charge, to any person obtaining a copy", 0.95),
+    ("isc", "permission", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", 0.9),
+    ("bsd-family", "redistribution", r"redistribution and use in source and binary forms, with or without modification", 0.85),
+    ("warranty-disclaimer", "provided", r"(?:software|work|material) is provided [\"'(]*as is[\"')]*", 0.4),
+    ("warranty-disclaimer", "warrant", r"without warrant(?:y|ies) (?:of any kind|or conditions)", 0.4),
+    ("gpl-family", "general", r"general public license", 0.7),
     ("gpl-family", "gpl", r"\b(?:a|l)?gpl(?: ?v?[0-9](?:\.[0-9])?)?\+?\b", 0.5),
-    ("gpl-or-later", "any later version", r"(?:at your option\) )?any later version", 0.6),
-    ("cc-family", "creative commons", r"creative commons(?: license)?", 0.6),
-    ("cc-family", "cc by", r"\bcc by(?:-nc)?(?:-sa|-nd)?\b", 0.6),
-    ("public-domain", "public domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain", 0.8),
+    ("gpl-or-later", "later", r"(?:at your option\) )?any later version", 0.6),
+    ("cc-family", "commons", r"creative commons(?: license)?", 0.6),
+    ("cc-family", "cc", r"\bcc by(?:-nc)?(?:-sa|-nd)?\b", 0.6),
+    ("public-domain", "domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain", 0.8),
     ("proprietary", "proprietary", r"proprietary and confidential", 0.8),
-    ("proprietary", "unauthorized", r"unauthori[sz]ed (?:copying|reproduction|distribution|use)", 0.7),
-    ("reserved", "all rights reserved", r"all rights reserved", 0.6),
+    ("proprietary", "unauthori", r"unauthori[sz]ed (?:copying|reproduction|distribution|use)", 0.7),
+    ("reserved", "reserved", r"all rights reserved", 0.6),
     ("copyright", "copyright", r"copyright(?: \(c\)| ©)? (?:[0-9]{4})(?:-[0-9]{4})?", 0.5),
     ("copyright", "(c)", r"\(c\) (?:copyright )?[0-9]{4}", 0.4),
-    ("notice", "license", r"licen[sc]ed under", 0.3),
+    ("notice", "licen", r"licen[sc]ed under", 0.3),
     ("notice", "license", r"see (?:the )?license(?:\.(?:txt|md))? (?:file )?for details", 0.3),
-    ("eula", "end user license", r"end[ -]user licen[sc]e agreement", 0.7),
+    ("eula", "licen", r"end(?: |-)user licen[sc]e agreement", 0.7),
 ]
 
 
 #: Strings one of which every match of every rule holds; a text with none of them is looked at no further.
-GATES = ("licen", "gpl", "cc by", "commons", "universal", "clause", ".org", ".com", ".net", ".info", ".eu", "permission", "redistribution", "as is", "warrant", "later version", "domain", "proprietary", "unauthori", "reserved", "copyright", "(c)")
+#: Between the words of a gate any white space or comma may stand.
+GATES = ("licen", "gpl", "cc by", "commons", "universal", "clause", ".org", ".com", ".net", ".info", ".eu", "permission", "redistribution", "provided", "warrant", "general", "later version", "domain", "proprietary", "unauthori", "reserved", "copyright", "(c)")
 
 
 def _gate(must_hold: str) -> str:
     return next(g for g in GATES if g in must_hold)
 
 
+def _spaced(pattern: str) -> str:
+    """A pattern with any white space for its blanks."""
+    return pattern.replace(" ?", r"\s*").replace(" ", r"\s+")
+
+
 def _worded(name: str) -> str:
     """A regex for a name, with any white space or comma between its words."""
     return r"[\s,]+".join(re.escape(w) for w in name.lower().replace(",", " ").split())
@@ -127,7 +133,7 @@ def rules() -> list[dict]:
         add(label, "spdx-license-identifier", rf"spdx-license-identifier:\s*{re.escape(spdx.lower())}(?:-only|-or-later|\+)?(?![\w.-])", 1.0)
     for _, label, names, _ in LICENSES:
         for name in names:
-            add(label, _anchor(name), rf"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?{_worded(name)}(?![\w-])", 0.98, name)
+            add(label, _anchor(name), _spaced(r"(?:licen[sc]ed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?") + rf"{_worded(name)}(?![\w-])", 0.98, name)
     for _, label, _, url in LICENSES:
         add(label, url.split("/")[0].lower(), rf"(?:www\.)?{re.escape(url.lower())}", 0.95)
     for _, label, names, _ in LICENSES:
@@ -136,5 +142,5 @@ def rules() -> list[dict]:
     for spdx, label, _, _ in LICENSES:
         add(label, "license", rf"license\W{{1,4}}{re.escape(spdx.lower())}(?![\w.-])", 0.85)
     for label, keyword, pattern, score in PHRASES:
-        add(label, keyword, pattern, score)
+        add(label, keyword, _spaced(pattern), score, {"cc": "cc by", "later": "later version"}.get(keyword, ""))
     return out

@@ -62,6 +62,13 @@ def base_phrases(rows: DataFrame) -> DataFrame:
     )
 
 
+def _holds(low: Column, gate: str) -> Column:
+    """Whether a text holds the words of a gate in a row."""
+    words = gate.split()
+    held = reduce(lambda a, b: a & b, [F.contains(low, F.lit(w)) for w in words])
+    return held & F.rlike(low, F.lit(r"[\s,]+".join(words))) if len(words) > 1 else held
+
+
 def detections(low: Column, gates: Column) -> Column:
     """All detections in a lower-case text that holds ``gates``, before suppression."""
     kind = "array<struct<priority:int,label:string,gate:string,keyword:string,pattern:string,score:double>>"
@@ -100,7 +107,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base (array), detections (array), score."""
     rows = base_phrases(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")))
     low = F.col("lowered")
-    rows = rows.withColumn("gates", F.filter(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in GATES]), lambda g: g.isNotNull()))
+    rows = rows.withColumn("gates", F.filter(F.array(*[F.when(_holds(low, g), F.lit(g)) for g in GATES]), lambda g: g.isNotNull()))
     rows = rows.withColumn("found", F.when(F.size("gates") > 0, detections(low, F.col("gates"))).otherwise(F.array().cast(_FOUND)))
     rows = rows.withColumn("detections", F.when(F.size("found") > 0, surviving(F.col("found"))).otherwise(F.array().cast(_FOUND)))
     best = F.array_max(F.transform("detections", lambda x: x["score"]))

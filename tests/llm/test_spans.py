@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import queries as Q
 from tessera.llm.license_rules import GATES, rules
-from tessera.llm.licenses import PHRASES, license_scan
+from tessera.llm.licenses import PHRASES, _holds, detections, license_scan
 from tessera.llm.pii import KINDS, personal_data, redacted
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -134,3 +134,14 @@ def test_redaction_and_empty_tables(spark, personal):
     rows = spark.createDataFrame([(1, "a@b.cd and 1.2.3.4."), (2, None)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in redacted(rows).collect()} == {1: "<email> and <ip>.", 2: ""}
     assert personal_data(personal.limit(0)).count() == 0
+
+
+def test_the_prefilter_skips_no_match(spark):
+    texts = ["unauthorised copying", "unauthorized\nuse", "End-User License Agreement", "end user licence agreement", "licenced under", "licensed\nunder", "CC\nBY 4.0", "CC  BY-SA 3.0", "cc by-nc", "cc, by 4.0", "all rights\nreserved", "software is provided\n'as  is'", "any\nlater  version", "public\tdomain, placed in the  public domain", "general public\nlicense", "licensed under  the\nmit license", "without warranties  or conditions", "copyright  (c)\n2020", "creative\ncommons license", "gpl v2"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    plain = [{(r["label"], m.start(), m.end()) for r in rules() for m in re.finditer(r["pattern"], t.lower())} for t in texts]
+    assert all(plain)
+    low = F.lower("text")
+    held = F.array(*[F.when(_holds(low, g), F.lit(g)) for g in GATES])
+    got = {r.doc_id: {(x.label, x.a, x.b) for x in r.found} for r in rows.select("doc_id", detections(low, held).alias("found")).collect()}
+    assert [got[i] for i in range(len(texts))] == plain
