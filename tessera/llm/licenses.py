@@ -44,7 +44,7 @@ def base_phrases(rows: DataFrame) -> DataFrame:
         needed = reduce(lambda a, b: a & b, [F.contains("lowered", F.lit(w)) for w in phrase.split()])
         rows = rows.withColumn(f"n_{label}", F.when(needed, F.regexp_count(text, F.lit(pattern))).otherwise(0))
         some = F.col(f"n_{label}") > 0
-        ahead = F.substring(text, F.lit(1), F.regexp_instr(text, F.lit(pattern)) - 1)
+        ahead = F.split(text, pattern, 2)[0]  # regexp_instr counts UTF-16 units, not characters
         behind = F.regexp_extract(text, rf"(?s)^(.*){pattern}", 1)
         counts.append(F.col(f"n_{label}"))
         firsts.append(F.when(some, F.regexp_count(ahead, word)))

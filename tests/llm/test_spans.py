@@ -145,3 +145,10 @@ def test_the_prefilter_skips_no_match(spark):
     held = F.array(*[F.when(_holds(low, g), F.lit(g)) for g in GATES])
     got = {r.doc_id: {(x.label, x.a, x.b) for x in r.found} for r in rows.select("doc_id", detections(low, held).alias("found")).collect()}
     assert [got[i] for i in range(len(texts))] == plain
+
+
+def test_first_word_behind_emoji(spark):
+    texts = ["\U0001f600\U0001f600 all rights reserved", "\U0001f600\U0001f600\U0001f600 a b cc by all rights reserved", "all rights reserved \U0001f600"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word) for r in license_scan(rows).collect()}
+    assert [got[i] for i in range(3)] == [brute_phrases(t)[:4] for t in texts]
