@@ -16,10 +16,12 @@ its ``GRAM``-byte grams as an anchor, so equal windows have equal anchors at equ
    Larsson-Sadakane refinement and common prefixes by Kasai's rule; runs of prefixes of at least
    ``SPAN`` bytes are equal windows. A group that spans pieces is merged by binary search of a piece's
    windows in the sorted windows of the pieces before it, which hold the smaller doc_ids.
+   An anchor of more than ``most_contexts`` contexts forms no group: shards report each of its windows once, by
+   hash, with the smallest doc_id, and groups are by anchor and window, so they hold a row a shard at most.
 4. Shards mark what was settled in 2 and 3, and what their own documents repeat, and cut it out.
 
 Decisions compare the bytes themselves in 3, and in 1, 2 and 4 48-bit hashes of contexts together with
-48-bit hashes of anchors. Text is shuffled once, compressed: all uses of the shards share one exchange.
+48-bit hashes of anchors; for anchors of many contexts 64-bit hashes of windows. Text is shuffled once, compressed: all uses of the shards share one exchange.
 
 Defined cases: a null text is the empty text; texts of fewer than ``SPAN`` bytes stay whole; a null
 doc_id counts as larger than all others; rows with the same doc_id don't remove from each other; an
@@ -63,7 +65,7 @@ class Anchors:
         self.data, self.offsets = data, offsets
         none = np.zeros(0, np.int64)
         self.place = self.row = self.low = self.high = none
-        self.hash = self.context = np.zeros(0, np.uint64)
+        self.hash = self.context = self.total = np.zeros(0, np.uint64)
         if len(data) < SPAN:
             return
         x = data.astype(np.uint64)
@@ -88,9 +90,19 @@ class Anchors:
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
         left = (self.place - self.low).astype(np.uint64)
+        self.total = total
         self.context = mixed((total[self.high] - total[self.low]) * down[self.low] + left * _C2) & _LOW | np.uint64(1)
 
 
+    def windows(self, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The windows of some anchors: the anchor of each, where it starts, and its hash."""
+        count = self.high[anchors] - self.low[anchors] - SPAN + 1
+        of = np.repeat(anchors, count)
+        start = self.low[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        _, down = powers(len(self.data) + 1)
+        return of, start, mixed((self.total[start + SPAN] - self.total[start]) * down[start])
+
+
 def _shard_anchors(docs, texts) -> tuple[list[Anchors], np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """The blocks of a shard with their anchors; hashes, contexts and doc_ids of all; and the doc_ids of each block's rows."""
     blocks, ids = [], []
@@ -145,7 +157,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def report(table: pa.Table) -> pa.Table:
-    """Step 1: a row for each anchor hash of a shard; the lowest bit of ``h`` says if several documents have it, c is 0 if contexts differ."""
+    """Step 1: a row for each anchor hash of a shard; the lowest bit of ``h`` says if several documents have it, the next 15 how many contexts there are; c is 0 if they differ."""
     docs, texts = _columns(table)
     _, h, c, d, _ = _shard_anchors(docs, texts)
     order = np.argsort(h)
@@ -154,25 +166,33 @@ def report(table: pa.Table) -> pa.Table:
     if len(at):
         first, last = np.minimum.reduceat(d, at), np.maximum.reduceat(d, at)
         c0, c1 = np.minimum.reduceat(c, at), np.maximum.reduceat(c, at)
-        h = h[at] | (first < last).astype(np.uint64)
+        some = np.flatnonzero(np.repeat(c0 != c1, np.diff(np.append(at, len(h)))))
+        some = some[np.lexsort((c[some], h[some]))]
+        some = some[_heads(h[some], c[some])]
+        several = _heads(h[some])
+        count = np.ones(len(at), np.uint64)
+        count[c0 != c1] = np.minimum(np.diff(np.append(several, len(some))), 0x7FFF)
+        h = h[at] | (first < last).astype(np.uint64) | count << np.uint64(1)
         c, d = np.where(c0 == c1, c0, np.uint64(0)), first
     return pa.table({"h": _signed(h), "c": _signed(c), "d": pa.array(d, pa.int64())})
 
 
-def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def settle(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Step 2: rows (d, h, c, first) of anchors that several documents have; c is 0 where all contexts are equal.
 
     Where they differ, only the shard with the smallest doc_id of each context is asked for its bytes (first
     is null); the others lose that context as a whole. A shard with several contexts is asked for them all.
+    The lowest bit of ``h`` is set where more than ``most`` contexts of an anchor are asked for.
     """
     parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
     if not parts:
         return
     h, c, d = (np.concatenate(x) for x in zip(*parts))
     several = (h & 1).astype(bool)
-    h = h & ~np.int64(1)
+    count = h >> 1 & 0x7FFF
+    h = h & ~np.int64(0xFFFF)
     order = np.lexsort((d, c, h))
-    h, c, d, several = h[order], c[order], d[order], several[order]
+    h, c, d, several, count = h[order], c[order], d[order], several[order], count[order]
     at = _heads(h)
     size = np.diff(np.append(at, len(h)))
     first = np.repeat(np.minimum.reduceat(d, at), size)
@@ -183,6 +203,7 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     asked = np.zeros(len(h), bool)
     asked[own] = True
     asked = ~same & (asked | (c == 0))
+    h = h | (asked & np.repeat(np.add.reduceat(np.where(asked, count, 0), at) > most, size))
     take = np.flatnonzero(repeated & (~same | (first < d) | several))
     for low in range(0, len(take), 100_000):
         t = take[low : low + 100_000]
@@ -191,11 +212,15 @@ def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def contexts(table: pa.Table, open_anchors: pa.Table) -> pa.Table:
-    """Step 3, in shards: the different contexts (h, c, d: smallest doc_id, bytes, left: bytes before the anchor) asked for."""
+    """Step 3, in shards: the different contexts (h, c, d: smallest doc_id, bytes, left: bytes before the anchor) asked for.
+
+    For anchors of many contexts, their different windows: c is the window's hash, left -2 if several documents have it or else -1.
+    """
     docs, texts = _columns(table)
     blocks, h, c, d, _ = _shard_anchors(docs, texts)
     wanted = np.unique(open_anchors.column("h").to_numpy()).view(np.uint64)
-    keep = np.flatnonzero(np.isin(h, wanted))
+    many = (wanted & np.uint64(1)).astype(bool)
+    keep = np.flatnonzero(np.isin(h, wanted[~many]))
     order = keep[np.lexsort((d[keep], c[keep], h[keep]))]
     chosen = order[_heads(h[order], c[order])]
     edge = np.cumsum([0, *[len(b.place) for b in blocks]])
@@ -205,7 +230,20 @@ def contexts(table: pa.Table, open_anchors: pa.Table) -> pa.Table:
         block, k = blocks[b], i - edge[b]
         found.append(block.data[block.low[k] : block.high[k]].tobytes())
         left.append(int(block.place[k] - block.low[k]))
-    return pa.table({"h": _signed(h[chosen]), "c": _signed(c[chosen]), "d": pa.array(d[chosen], pa.int64()), "bytes": pa.array(found, pa.binary()), "left": pa.array(left, pa.int16())})
+    out = pa.table({"h": _signed(h[chosen]), "c": _signed(c[chosen]), "d": pa.array(d[chosen], pa.int64()), "bytes": pa.array(found, pa.binary()), "left": pa.array(left, pa.int16())})
+    parts = [(low, *b.windows(np.flatnonzero(np.isin(b.hash, wanted[many] ^ np.uint64(1))))) for low, b in zip(edge.tolist(), blocks)] if many.any() else []
+    if not parts:
+        return out
+    of = np.concatenate([low + of for low, of, _, _ in parts])
+    h, c, d = h[of], np.concatenate([c for _, _, _, c in parts]), d[of]
+    order = np.lexsort((c, h))
+    h, c, d = h[order], c[order], d[order]
+    at = _heads(h, c)
+    if not len(at):
+        return out
+    first, last = np.minimum.reduceat(d, at), np.maximum.reduceat(d, at)
+    left = np.where(first < last, -2, -1).astype(np.int16)
+    return pa.concat_tables([out, pa.table({"h": _signed(h[at]), "c": _signed(c[at]), "d": pa.array(first), "bytes": pa.array([b""] * len(at), pa.binary()), "left": pa.array(left)})])
 
 
 def may_match(h: np.ndarray, raw: pa.Array, left: np.ndarray) -> np.ndarray:
@@ -313,6 +351,17 @@ def _piece_firsts(raw: list[bytes], d: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, string[starts], first[starts], data
 
 
+def match_windows(table: pa.Table) -> pa.RecordBatch:
+    """Windows of anchors with many contexts: a row (d, h, c, -1, -1, smallest doc_id) for each shard that loses some."""
+    h, c, d, left = (table.column(x).to_numpy() for x in ("h", "c", "d", "left"))
+    order = np.lexsort((d, c, h))
+    at = _heads(h[order], c[order])
+    first = np.repeat(d[order][at], np.diff(np.append(at, len(order))))
+    some = np.flatnonzero((first < d[order]) | (left[order] == -2))
+    t, none = order[some], np.full(len(some), -1, np.int32)
+    return pa.record_batch([pa.array(d[t]), pa.array(h[t]), pa.array(c[t]), pa.array(none), pa.array(none), pa.array(first[some])], names=["d", "h", "c", "a", "b", "first"])
+
+
 def match_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 3, by anchor hash: rows (d, h, c, runs); runs are (from, to, smallest doc_id) of windows that a smaller doc_id has."""
     parts = list(batches)
@@ -321,6 +370,12 @@ def match_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     table = pa.Table.from_batches(parts).combine_chunks()
     if not table.num_rows:
         return
+    many = table.column("left").to_numpy() < 0
+    if many.any():
+        yield match_windows(table.filter(pa.array(many)))
+        table = table.filter(pa.array(~many)).combine_chunks()
+        if not table.num_rows:
+            return
     table = table.filter(pa.array(may_match(table.column("h").to_numpy(), table.column("bytes").chunk(0), table.column("left").to_numpy())))
     h, c, d = (table.column(x).to_numpy() for x in ("h", "c", "d"))
     raw = table.column("bytes").to_pylist()
@@ -382,15 +437,18 @@ def cut_out(table: pa.Table, settled: pa.Table) -> pa.Table:
         local[order] = np.repeat(np.minimum.reduceat(d[order], at), np.diff(np.append(at, len(h))))
     sh, sc = settled.column("h").to_numpy().view(np.uint64), settled.column("c").to_numpy().view(np.uint64)
     sf, sa, sb = settled.column("first").to_numpy(), settled.column("a").to_numpy(), settled.column("b").to_numpy()
-    whole = np.flatnonzero(sc == 0)
+    many = np.flatnonzero(sa < 0)
+    whole = np.flatnonzero((sc == 0) & (sa >= 0))
     whole = whole[np.argsort(sh[whole])]
     whole = whole[_heads(sh[whole])]
     whole_first = _lookup(sh[whole], sf[whole], h, LAST)
     gone = np.minimum(local, whole_first) < d
-    runs = np.flatnonzero(sc != 0)
+    runs = np.flatnonzero((sc != 0) & (sa >= 0))
     pair = lambda a, b: mixed(a ^ b * _C1)
     runs = runs[np.argsort(pair(sh[runs], sc[runs]), kind="stable")]
     run_keys = pair(sh[runs], sc[runs])
+    many = many[np.argsort(pair(sh[many], sc[many]))]
+    many_keys, many_anchors = pair(sh[many], sc[many]), np.unique(sh[many])
     own_keys = pair(h, c)
     lo, hi = np.searchsorted(run_keys, own_keys), np.searchsorted(run_keys, own_keys, side="right")
     out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
@@ -412,6 +470,11 @@ def cut_out(table: pa.Table, settled: pa.Table) -> pa.Table:
             use = sf[j] < d[here][anchor]
             np.add.at(change, block.low[anchor[use]] + sa[j[use]], 1)
             np.add.at(change, np.where(sb[j[use]] < 0, block.high[anchor[use]], block.low[anchor[use]] + sb[j[use]] + SPAN), -1)
+        if len(many):
+            of, start, window = block.windows(np.flatnonzero(np.isin(block.hash, many_anchors)))
+            start = start[_lookup(many_keys, sf[many], pair(block.hash[of], window), LAST) < d[here][of]]
+            np.add.at(change, start, 1)
+            np.add.at(change, start + SPAN, -1)
         removed = np.cumsum(change[:-1]) > 0
         starts = removed.copy()
         starts[1:] &= ~removed[:-1]
@@ -431,7 +494,7 @@ def cut_out(table: pa.Table, settled: pa.Table) -> pa.Table:
     return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 8 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 8 << 20, most_contexts: int = 3000) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("d"), text_of(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
@@ -439,10 +502,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of = F.pmod(F.xxhash64("d"), F.lit(n)).cast("int").alias("shard")
     shards = rows.select(of, "d", "text").mapInArrow(packed, "shard int, rows binary")
     anchors = shards.groupBy("shard").applyInArrow(report, "h bigint, c bigint, d bigint")
-    settled = anchors.repartition(n, F.shiftright("h", 1)).mapInArrow(settle, "d bigint, h bigint, c bigint, first bigint").select(of, "h", "c", "first")
+    settled = anchors.repartition(n, F.shiftright("h", 16)).mapInArrow(lambda batches: settle(batches, most_contexts), "d bigint, h bigint, c bigint, first bigint").select(of, "h", "c", "first")
     unsettled = settled.where("first IS NULL").select("shard", "h")
     found = shards.groupBy("shard").cogroup(unsettled.groupBy("shard")).applyInArrow(contexts, "h bigint, c bigint, d bigint, bytes binary, left smallint")
-    matched = found.repartition(n, "h").mapInArrow(match_contexts, "d bigint, h bigint, c bigint, a int, b int, first bigint")
+    group = F.when(F.col("left") < 0, F.xxhash64("h", "c")).otherwise(F.col("h"))
+    matched = found.repartition(n, group).mapInArrow(match_contexts, "d bigint, h bigint, c bigint, a int, b int, first bigint")
     whole = settled.where("first IS NOT NULL").select("shard", "h", "c", F.lit(0).alias("a"), F.lit(-1).alias("b"), "first")
     every = whole.union(matched.select(of, "h", "c", "a", "b", "first"))
     return shards.groupBy("shard").cogroup(every.groupBy("shard")).applyInArrow(cut_out, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

@@ -152,6 +152,13 @@ def test_op4_same_as_sql(spark, sf, same_as_sql):
     same_as_sql(Q.op4_suffix_dedup(spark, sf), Q.OP4_SQL)
 
 
+@pytest.mark.parametrize("shard_bytes", [8 << 20, 3_000])
+def test_anchors_of_many_contexts_go_by_window(spark, repeated, shard_bytes):
+    rows = spark.createDataFrame(repeated, "doc_id long, text string")
+    got = sorted((tuple(r) for r in remove_repeats(rows, shard_bytes=shard_bytes, most_contexts=1).collect()), key=repr)
+    assert got == brute_repeats(repeated)
+
+
 def test_pieces_of_a_group_merge_by_binary_search(repeated, monkeypatch):
     import numpy as np
     import pyarrow as pa
