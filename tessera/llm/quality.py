@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import LOWER, NOT_SPACE, byte_blocks, span_hashes, unused_name, word_spans
-from tessera.llm.sampling import labelled_sample
+from tessera.llm.sampling import fitted, labelled_sample
 
 BITS = 16
 LENGTHS, SHARES = 24, 11
@@ -101,26 +101,31 @@ class Ordinal:
             for x, own in batches:
                 if not len(own):
                     continue
-                t = np.concatenate([np.ones((len(own), 1)), self.tails(self.score(x)), np.zeros((len(own), 1))], axis=1)
-                row = np.arange(len(own))
-                upper, lower = t[row, own], t[row, own + 1]  # P(grade >= y), P(grade > y)
-                p = np.maximum(upper - lower, 1e-9)
-                du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
-                g = -(du - dl) / len(own)  # of the loss by the score
-                grad = np.bincount(x.token.ravel(), weights=np.tile((g / np.maximum(x.counts, 1))[x.row_of], 3), minlength=Hashed.SIZE)
-                grad += np.bincount(x.row.ravel(), weights=np.tile(g, 2), minlength=Hashed.SIZE) + shrink * self.weights
+                _, grad, move = self.loss(x, own)
+                grad += shrink * self.weights
                 square += grad * grad
                 self.weights -= (step * grad / np.sqrt(square)).astype(np.float32)
-                move = np.zeros(k + 1)
-                np.add.at(move, own, du / len(own))
-                np.add.at(move, own + 1, -dl / len(own))
-                move = move[1:k]
                 other += move * move
                 self.thresholds = np.maximum.accumulate(self.thresholds - 0.1 * move / np.sqrt(other))
 
-
-def learn(docs: DataFrame, labels: DataFrame, label: str, grades: tuple[int, ...], id_col: str, text_col: str, sample: int, sample_doc_bytes: int) -> Ordinal:
-    texts, found = labelled_sample(docs, labels, label, grades, F.min, id_col, text_col, sample, sample_doc_bytes)
+    def loss(self, x: Hashed, own: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The mean negative log-likelihood of grades ``own`` (places), and its gradients by weights and by thresholds."""
+        k, n, row = len(self.grades), len(own), np.arange(len(own))
+        t = np.concatenate([np.ones((n, 1)), self.tails(self.score(x)), np.zeros((n, 1))], axis=1)
+        upper, lower = t[row, own], t[row, own + 1]  # P(grade >= y), P(grade > y)
+        p = np.maximum(upper - lower, 1e-9)
+        du, dl = upper * (1 - upper) / p, lower * (1 - lower) / p
+        g = -(du - dl) / n  # by the score
+        grad = np.bincount(x.token.ravel(), weights=np.tile((g / np.maximum(x.counts, 1))[x.row_of], 3), minlength=Hashed.SIZE)
+        grad += np.bincount(x.row.ravel(), weights=np.tile(g, 2), minlength=Hashed.SIZE)
+        move = np.zeros(k + 1)
+        np.add.at(move, own, du / n)
+        np.add.at(move, own + 1, -dl / n)
+        return float(-np.log(p).mean()), grad, move[1:k]
+
+
+def fit_ordinal(texts: list[str], found: np.ndarray, grades: tuple[int, ...]) -> Ordinal:
+    """Fit on texts and their grades; grades that no text has get no threshold."""
     known = sorted(set(found.tolist()))
     model = Ordinal(known if len(known) > 1 else sorted(grades))
     if len(known) > 1:
@@ -128,6 +133,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, grades: tuple[int, ...
     return model
 
 
+def learn(docs: DataFrame, labels: DataFrame, label: str, grades: tuple[int, ...], id_col: str, text_col: str, sample: int, sample_doc_bytes: int) -> Ordinal:
+    rows = labelled_sample(docs, labels, label, grades, F.min, id_col, text_col, sample, sample_doc_bytes)
+    return fitted(rows, lambda texts, found: fit_ordinal(texts, found, grades))
+
+
 def graded(
     docs: DataFrame,
     labels: DataFrame,

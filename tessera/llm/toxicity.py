@@ -4,8 +4,9 @@ Tokens are words; labels exist for documents only, so tokens of the training sam
 them: in toxic documents, the words that carry a feature (the word or its first bytes) which many
 toxic and next to no clean documents have; in clean documents, none. Two states (clean, toxic) with
 hashed emission features and a transition matrix are fitted by gradient steps on the exact
-log-likelihood, with expectations from forward-backward. Chains are runs of ``CHAIN`` words of a text;
-every word of every text lies in one.
+log-likelihood, with expectations from forward-backward. A chain is a whole text. It is cut into blocks of
+``BLOCK`` words only to work on many at a time: each block's transfer matrix is found first, the messages
+that enter and leave each block are products of those, and marginals are then those of the whole chain.
 
 A document's score is a logistic function, fitted on documents that neither the labelling nor the
 field has seen, of the largest marginal and of the sum of squared marginals, as it is and for each 100
@@ -30,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ALNUM, LOWER, byte_blocks, span_hashes, unused_name, word_spans
-from tessera.llm.sampling import labelled_sample
+from tessera.llm.sampling import fitted, labelled_sample
 
-CHAIN = 64
+BLOCK = 64
 BITS = 18
 FEATURES = 5
 
@@ -48,45 +49,84 @@ def token_features(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return out
 
 
-def chains(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For words in row order: the chain of each, its place there, and the lengths of the chains."""
-    first = np.cumsum(counts) - counts
-    place = np.arange(counts.sum()) - np.repeat(first, counts)
-    per_row = -(-counts // CHAIN)
-    chain = np.repeat(np.cumsum(per_row) - per_row, counts) + place // CHAIN
-    return chain, place % CHAIN, np.bincount(chain, minlength=int(per_row.sum()))
+def blocks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For words in row order: the block of each, and its place there; for blocks: their lengths, and whether a text starts there."""
+    start = np.cumsum(counts) - counts
+    place = np.arange(counts.sum()) - np.repeat(start, counts)
+    per_row = -(-counts // BLOCK)
+    heads = np.cumsum(per_row) - per_row
+    block = np.repeat(heads, counts) + place // BLOCK
+    first = np.zeros(int(per_row.sum()), bool)
+    first[heads[per_row > 0]] = True
+    return block, place % BLOCK, np.bincount(block, minlength=len(first)), first
+
+
+def products(m: np.ndarray) -> np.ndarray:
+    """The products of the first 1, 2, 3, ... of a row of 2 x 2 matrices, each up to a factor, by doubling."""
+    out, step = m / m.sum(axis=(1, 2), keepdims=True), 1
+    while step < len(out):
+        new = out[:-step] @ out[step:]
+        out = np.concatenate([out[:step], new / new.sum(axis=(1, 2), keepdims=True)])
+        step *= 2
+    return out
+
+
+def transfers(psi: np.ndarray, lengths: np.ndarray, first: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Each block's transfer matrix, up to a factor. A block that starts a text forgets what came before: its rows are equal."""
+    rows, scale = [], []
+    for x, y in ((1.0, 0.0), (0.0, 1.0)):
+        x, y, log = np.full(len(psi), x), np.full(len(psi), y), np.zeros(len(psi))
+        for t in range(psi.shape[1]):
+            u, v = x * a[0, 0] + y * a[1, 0], (x * a[0, 1] + y * a[1, 1]) * psi[:, t]
+            if t == 0:
+                u, v = np.where(first, 1.0, u), np.where(first, psi[:, 0], v)
+            z, alive = u + v, lengths > t
+            x, y, log = np.where(alive, u / z, x), np.where(alive, v / z, y), log + np.where(alive, np.log(z), 0.0)
+        rows.append(np.stack([x, y], axis=1))
+        scale.append(log)
+    most = np.maximum(*scale)
+    return np.stack([r * np.exp(np.maximum(s - most, -600.0))[:, None] for r, s in zip(rows, scale)], axis=1)
+
 
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, first: np.ndarray, transition: np.ndarray, pairs: bool = False):
+    """Marginals of the toxic state for scores of shape (blocks, words), and the expected transitions if asked for.
 
-def forward_backward(scores: np.ndarray, lengths: np.ndarray, transition: np.ndarray, pairs: bool = False):
-    """Marginals of the toxic state for scores of shape (chains, CHAIN), and the expected transitions if asked for."""
+    Blocks of a text follow each other, each but a text's last one full; ``first`` says where a text starts.
+    """
     n, size = scores.shape
-    psi = np.exp(np.clip(scores, -30, 30))
-    a00, a01, a10, a11 = np.exp(transition).ravel()
+    psi, a = np.exp(np.clip(scores, -30, 30)), np.exp(transition)
+    m = transfers(psi, lengths, first, a)
+    enter, leave = np.ones((n, 2)), np.ones((n, 2))
+    if not first.all():
+        enter[1:] = products(m)[:-1, 0]
+        leave[:-1] = products(m[::-1].transpose(0, 2, 1))[::-1][1:].sum(axis=1)
+        enter[first] = 1.0
+        enter /= enter.sum(axis=1, keepdims=True)
+        leave /= leave.sum(axis=1, keepdims=True)
     f0, f1 = np.empty((size, n)), np.empty((size, n))
-    x, y = np.ones(n), psi[:, 0].copy()
+    x, y = enter.T
     for t in range(size):
-        if t:
-            x, y = x * a00 + y * a10, (x * a01 + y * a11) * psi[:, t]
-        z = x + y
-        x, y = x / z, y / z
+        u, v = x * a[0, 0] + y * a[1, 0], (x * a[0, 1] + y * a[1, 1]) * psi[:, t]
+        if t == 0:
+            u, v = np.where(first, 1.0, u), np.where(first, psi[:, 0], v)
+        z = u + v
+        x, y = u / z, v / z
         f0[t], f1[t] = x, y
     out = np.zeros((n, size))
-    b0, b1 = np.ones(n), np.ones(n)
+    b0, b1 = leave.T
     expected = np.zeros((2, 2))
     for t in range(size - 1, -1, -1):
         p0, p1 = f0[t] * b0, f1[t] * b1
         out[:, t] = p1 / (p0 + p1)
-        if t == 0:
-            break
+        alive = lengths > t  # places past the end of a text say nothing about those before
         c0, c1 = b0, psi[:, t] * b1
-        alive = lengths > t  # words past the end of a chain say nothing about those before
         if pairs:
-            g0, g1 = f0[t - 1], f1[t - 1]
-            q = np.array([g0 * a00 * c0, g0 * a01 * c1, g1 * a10 * c0, g1 * a11 * c1])
-            expected += (q / q.sum(axis=0))[:, alive].sum(axis=1).reshape(2, 2)
-        x, y = a00 * c0 + a01 * c1, a10 * c0 + a11 * c1
-        z = x + y
-        b0, b1 = np.where(alive, x / z, 1.0), np.where(alive, y / z, 1.0)
+            g0, g1 = (f0[t - 1], f1[t - 1]) if t else enter.T
+            q = np.array([g0 * a[0, 0] * c0, g0 * a[0, 1] * c1, g1 * a[1, 0] * c0, g1 * a[1, 1] * c1])
+            expected += (q / q.sum(axis=0))[:, alive if t else alive & ~first].sum(axis=1).reshape(2, 2)
+        u, v = a[0, 0] * c0 + a[0, 1] * c1, a[1, 0] * c0 + a[1, 1] * c1
+        z = u + v
+        b0, b1 = np.where(alive, u / z, b0), np.where(alive, v / z, b1)
     return (out, expected) if pairs else out
 
 
@@ -118,10 +158,10 @@ class Field:
     def marginals(self, features: np.ndarray, counts: np.ndarray) -> np.ndarray:
         if not features.shape[1]:
             return np.zeros(0)
-        chain, place, lengths = chains(counts)
-        scores = np.zeros((len(lengths), CHAIN))
-        scores[chain, place] = self.weights[self._at(features)].sum(axis=0) + self.bias
-        return forward_backward(scores, lengths, self.transition)[chain, place]
+        block, place, lengths, first = blocks(counts)
+        scores = np.zeros((len(lengths), BLOCK))
+        scores[block, place] = self.weights[self._at(features)].sum(axis=0) + self.bias
+        return forward_backward(scores, lengths, first, self.transition)[block, place]
 
     def fit(self, features: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 6, step: float = 0.3, shrink: float = 1e-4) -> None:
         """Adaptive gradient steps over batches of about 100 texts."""
@@ -137,16 +177,14 @@ class Field:
                 words = np.concatenate([np.arange(word_edge[d], word_edge[d + 1]) for d in group])
                 if not len(words):
                     continue
-                chain, place, lengths = chains(counts[group])
+                block, place, lengths, first = blocks(counts[group])
                 own, truth = at[:, words], labels[words]
-                scores = np.zeros((len(lengths), CHAIN))
-                scores[chain, place] = self.weights[own].sum(axis=0) + self.bias
-                found, expected = forward_backward(scores, lengths, self.transition, pairs=True)
-                rest = found[chain, place] - truth
-                grid = np.full((len(lengths), CHAIN), -1)
-                grid[chain, place] = truth
-                both = (grid[:, 1:] >= 0) & (grid[:, :-1] >= 0)
-                seen = np.bincount(grid[:, :-1][both] * 2 + grid[:, 1:][both], minlength=4).reshape(2, 2)
+                scores = np.zeros((len(lengths), BLOCK))
+                scores[block, place] = self.weights[own].sum(axis=0) + self.bias
+                found, expected = forward_backward(scores, lengths, first, self.transition, pairs=True)
+                rest = found[block, place] - truth
+                inner = np.flatnonzero(~(first[block] & (place == 0)))  # words with one before them
+                seen = np.bincount(truth[inner - 1] * 2 + truth[inner], minlength=4).reshape(2, 2)
                 g = np.bincount(own.ravel(), weights=np.tile(rest, FEATURES), minlength=len(self.weights)) / len(group)
                 g += shrink * self.weights
                 square += g * g
@@ -224,8 +262,7 @@ def fit_field(texts: list[str], toxic: np.ndarray) -> Field:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int, sample_doc_bytes: int) -> Field:
-    texts, toxic = labelled_sample(docs, labels, "toxic", (0, 1), F.max, id_col, text_col, sample, sample_doc_bytes)
-    return fit_field(texts, toxic)
+    return fitted(labelled_sample(docs, labels, "toxic", (0, 1), F.max, id_col, text_col, sample, sample_doc_bytes), fit_field)
 
 
 def toxicity(

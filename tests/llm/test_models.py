@@ -8,36 +8,69 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import queries as Q
-from tessera.llm.quality import Ordinal, graded, keep_quality
-from tessera.llm.toxicity import CHAIN, chains, drop_toxic, forward_backward, toxicity
+from tessera.llm.quality import Hashed, Ordinal, graded, keep_quality
+from tessera.llm.toxicity import BLOCK, blocks, drop_toxic, forward_backward, toxicity
+
+
+def enumerated(scores, transition):
+    """Marginals and expected transitions of one chain, over all labellings."""
+    n = len(scores)
+    total, on, moves = 0.0, np.zeros(n), np.zeros((2, 2))
+    for y in itertools.product((0, 1), repeat=n):
+        w = np.exp(sum(scores[t] * y[t] for t in range(n)) + sum(transition[a, b] for a, b in zip(y, y[1:])))
+        total += w
+        on += w * np.array(y)
+        for a, b in zip(y, y[1:]):
+            moves[a, b] += w
+    return on / total, moves / total
 
 
 def test_marginals_are_those_of_enumeration():
+    """Chains longer than a block too: a seam between blocks changes nothing."""
     rng = np.random.default_rng(1)
-    lengths = np.array([1, 4, 7])
-    scores = np.zeros((3, CHAIN))
-    for i, n in enumerate(lengths):
-        scores[i, :n] = rng.normal(0, 2, n)
     transition = rng.normal(0, 1, (2, 2))
-    found, pairs = forward_backward(scores, lengths, transition, pairs=True)
-    expected = np.zeros((2, 2))
-    for i, n in enumerate(lengths):
-        total, on, moves = 0.0, np.zeros(n), np.zeros((2, 2))
-        for y in itertools.product((0, 1), repeat=int(n)):
-            w = np.exp(sum(scores[i, t] * y[t] for t in range(n)) + sum(transition[a, b] for a, b in zip(y, y[1:])))
-            total += w
-            on += w * np.array(y)
-            for a, b in zip(y, y[1:]):
-                moves[a, b] += w
-        assert np.allclose(found[i, :n], on / total)
-        expected += moves / total
-    assert np.allclose(pairs, expected)
-
-
-def test_chains_hold_every_word():
-    counts = np.array([0, 3, CHAIN, CHAIN + 1, 0])
-    chain, place, lengths = chains(counts)
-    assert len(chain) == counts.sum() and lengths.tolist() == [3, CHAIN, CHAIN, 1] and place.max() == CHAIN - 1
+    texts = [rng.normal(0, 2, n) for n in (1, 4, 7, 12, 3, 11)]
+    width = 3
+    parts = [t[i : i + width] for t in texts for i in range(0, len(t), width)]
+    first = np.array([i == 0 for t in texts for i in range(0, len(t), width)])
+    scores, lengths = np.zeros((len(parts), width)), np.array([len(p) for p in parts])
+    for i, p in enumerate(parts):
+        scores[i, : len(p)] = p
+    found, pairs = forward_backward(scores, lengths, first, transition, pairs=True)
+    expected = [enumerated(t, transition) for t in texts]
+    assert np.allclose(np.concatenate([f[:n] for f, n in zip(found, lengths)]), np.concatenate([e[0] for e in expected]))
+    assert np.allclose(pairs, sum(e[1] for e in expected))
+
+
+def test_blocks_hold_every_word():
+    block, place, lengths, first = blocks(np.array([0, 3, BLOCK, BLOCK + 1, 0]))
+    assert len(block) == 2 * BLOCK + 4 and lengths.tolist() == [3, BLOCK, BLOCK, 1] and first.tolist() == [True, True, True, False] and place.max() == BLOCK - 1
+
+
+def test_ordinal_gradients_are_those_of_differences():
+    """With three grades: the loss against a loop over rows, its gradients against differences of the loss."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["good", "bad", "fair", "x1", "Word,"], rng.integers(1, 9))) for _ in range(12)] + [""]
+    grade = rng.integers(0, 3, len(texts))
+    raw = [t.encode() for t in texts]
+    x = Hashed(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    model = Ordinal([1, 3, 7])
+    model.weights = rng.normal(0, 0.5, Hashed.SIZE)
+    model.thresholds = np.array([-0.4, 0.9])
+    loss, by_weight, by_threshold = model.loss(x, grade)
+    by_hand = 0.0
+    for s, y in zip(model.score(x), grade):
+        tail = [1.0, *(1 / (1 + np.exp(-(s - t))) for t in model.thresholds), 0.0]
+        by_hand -= np.log(tail[y] - tail[y + 1]) / len(texts)
+    assert abs(loss - by_hand) < 1e-9
+    for array, gradient, places in ((model.weights, by_weight, np.flatnonzero(by_weight)), (model.thresholds, by_threshold, range(2))):
+        for i in places:
+            sides = []
+            for step in (1e-5, -1e-5):
+                array[i] += step
+                sides.append(model.loss(x, grade)[0])
+                array[i] -= step
+            assert abs((sides[0] - sides[1]) / 2e-5 - gradient[i]) < 1e-5
 
 
 def auc(score, label):
