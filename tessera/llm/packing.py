@@ -5,86 +5,90 @@ padded to the bound of its bucket, and the sum of padding over all sequences is
 that number of bounds. Inside a bucket, sequences are numbered and cut into batches of as many rows as
 fit the token budget at the bucket's bound.
 
-The histogram is exact while it has at most ``max_bins`` different lengths, and otherwise lengths are
-rounded up to steps of a fixed relative size, so what reaches the driver has a bound at any input size.
+The histogram is exact at every size. n different lengths sum up to n * n / 2 tokens at least, so a corpus
+of T tokens has at most sqrt(2 * T) of them: six million for 2 * 10**13 tokens, in two arrays on the driver.
 Numbering needs no whole bucket in one task: rows are dealt to slices by a hash, counted by (bucket,
 slice), and numbered inside their slice behind the counts of the slices before it.
 
 Defined cases: a null text has length zero and lies in the first bucket; a sequence longer than the
-budget is a batch of its own; rows repeated with one doc_id get places of their own; an empty table
-gives an empty result. Other columns are not looked at.
+budget is a batch of its own; rows repeated with one doc_id get places of their own; rows without a doc_id
+are dealt to slices by their number in a written table, so which of their places each gets may differ
+between runs; an empty table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import staged, text_of
 
 
-def best_bounds(lengths: list[int], counts: list[int], buckets: int) -> tuple[list[int], int]:
+def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> tuple[list[int], int]:
     """The upper bounds that minimise padding, ascending, and the padding.
 
     ``lengths`` ascend. With C and S the sums of counts and of counts x length so far, a bucket of the
-    lengths i+1..j costs L[j] * (C[j] - C[i]) - (S[j] - S[i]): lines in L[j], one for each i, whose
-    slopes -C[i] fall as i grows, so each layer is a lower envelope walked once.
+    lengths i+1..j costs L[j] * (C[j] - C[i]) - (S[j] - S[i]). That cost fulfils the quadrangle inequality, so
+    the best i never falls as j grows: a layer is solved at far apart j first, and those between look only
+    at what lies between their neighbours' i.
     """
     n = len(lengths)
     if not n:
         return [], 0
-    total, weight = [0], [0]
-    for x, c in zip(lengths, counts):
-        total.append(total[-1] + c)
-        weight.append(weight[-1] + c * x)
-    before = [0] + [None] * n  # least cost with no bucket: only of no lengths
-    back: list[list[int]] = []
-    for _ in range(min(buckets, n)):
-        now: list = [0] + [None] * n
-        choice = [0] * (n + 1)
-        hull: list[tuple[int, int, int]] = []  # slope, intercept, i
-        at = 0
-        for j in range(1, n + 1):
-            i = j - 1
-            if before[i] is not None:
-                m, b = -total[i], before[i] + weight[i]
-                while len(hull) - at >= 2:
-                    (m1, b1, _), (m2, b2, _) = hull[-2], hull[-1]
-                    if (b - b1) * (m1 - m2) <= (b2 - b1) * (m1 - m):
-                        hull.pop()
-                    else:
-                        break
-                hull.append((m, b, i))
-            x = lengths[j - 1]
-            while at + 1 < len(hull) and hull[at + 1][0] * x + hull[at + 1][1] <= hull[at][0] * x + hull[at][1]:
-                at += 1
-            if at < len(hull):
-                m, b, i = hull[at]
-                now[j] = m * x + b + x * total[j] - weight[j]
-                choice[j] = i
+    wide = np.dtype(object) if float(lengths[-1]) * float(np.sum(counts)) >= 2.0**62 else np.dtype(np.int64)
+    x = np.concatenate([[0], np.asarray(lengths)]).astype(wide)
+    c = np.concatenate([[0], np.asarray(counts)]).astype(wide)
+    total, weight = np.cumsum(c), np.cumsum(c * x)
+    best = x * total - weight  # all in one bucket
+    back = [np.zeros(n + 1, np.int64)]
+    for _ in range(1, min(buckets, n)):
+        best, choice = _layer(x, total, weight, best)
         back.append(choice)
-        before = now
     bounds, j = [], n
     for choice in reversed(back):
         if j == 0:
             break
-        bounds.append(lengths[j - 1])
-        j = choice[j]
-    return bounds[::-1], before[n]
-
-
-def histogram(lengths: DataFrame, max_bins: int) -> tuple[list[int], list[int]]:
-    """(lengths, counts) of the column ``length``, of at most ``max_bins`` entries."""
-    counted = lengths.groupBy("length").agg(F.count("*").alias("rows"))
-    steps = 0
-    found = counted.limit(max_bins + 1).count()
-    if found > max_bins:
-        steps = max_bins // 64  # steps in each doubling; lengths are below 2**63
-        double = F.floor(F.log2(F.greatest("length", F.lit(1))))
-        step = F.greatest(F.lit(1).cast("bigint"), F.floor(F.pow(F.lit(2.0), double) / steps))
-        counted = counted.select((F.ceil(F.col("length") / step) * step).cast("bigint").alias("length"), "rows").groupBy("length").agg(F.sum("rows").alias("rows"))
-    rows = sorted((r.length, r.rows) for r in counted.collect())
-    return [r[0] for r in rows], [r[1] for r in rows]
+        bounds.append(int(lengths[j - 1]))
+        j = int(choice[j])
+    return bounds[::-1], int(best[n])
+
+
+def _layer(x: np.ndarray, total: np.ndarray, weight: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least costs with one bucket more than ``before``, and the least i that gives each."""
+    n = len(x) - 1
+    now, choice = np.zeros_like(before), np.zeros(n + 1, np.int64)
+    step = 1 << n.bit_length()
+    while step:
+        own = np.arange(step, n + 1, 2 * step) if step <= n else np.zeros(0, np.int64)
+        low = choice[own - step]
+        above = own + step
+        high = np.where(above <= n, choice[np.minimum(above, n)], own - 1)
+        size = np.minimum(high, own - 1) - low + 1
+        edge = np.cumsum(size)
+        at = 0
+        while at < len(own):  # as many as have about a million pairs together
+            to = max(at + 1, int(np.searchsorted(edge, (edge[at - 1] if at else 0) + (1 << 20), side="right")))
+            k = size[at:to]
+            head = np.cumsum(k) - k
+            i = np.arange(int(k.sum())) - np.repeat(head, k) + np.repeat(low[at:to], k)
+            j = np.repeat(own[at:to], k)
+            cost = before[i] + x[j] * (total[j] - total[i]) - (weight[j] - weight[i])
+            least = np.minimum.reduceat(cost, head)
+            hit = np.flatnonzero(cost == np.repeat(least, k))
+            first = hit[np.searchsorted(hit, head)]
+            now[own[at:to]], choice[own[at:to]] = least, i[first]
+            at = to
+        step //= 2
+    return now, choice
+
+
+def histogram(lengths: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The different lengths of the column ``length``, ascending, and their counts."""
+    found = lengths.groupBy("length").agg(F.count("*").alias("rows")).toArrow()
+    own, rows = (found.column(k).to_numpy() for k in ("length", "rows"))
+    order = np.argsort(own)
+    return own[order], rows[order]
 
 
 def word_count(text_col: str = "text") -> Column:
@@ -98,7 +102,6 @@ def pack_documents(
     length: Column | None = None,
     buckets: int = 16,
     budget: int = 32768,
-    max_bins: int = 65536,
     slice_rows: int = 50_000,
 ) -> DataFrame:
     """One row per document: doc_id, n_tokens, bucket, padded_to, padding, batch_id, slot.
@@ -107,13 +110,14 @@ def pack_documents(
     ``batch_id`` is ``bucket:number``. All rows of a batch are padded to its bucket's bound.
     """
     length = word_count() + 1 if length is None else length
-    rows = staged(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(length.cast("bigint"), F.lit(0)).alias("n_tokens")), "lengths")
-    bounds, _ = best_bounds(*histogram(rows.select(F.col("n_tokens").alias("length")), max_bins), buckets)
+    salt = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+    rows = staged(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(length.cast("bigint"), F.lit(0)).alias("n_tokens"), salt.alias("salt")), "lengths")
+    bounds, _ = best_bounds(*histogram(rows.select(F.col("n_tokens").alias("length"))), buckets)
     limits = F.array(*[F.lit(b).cast("bigint") for b in bounds]) if bounds else F.array().cast("array<bigint>")
     bucket = F.aggregate(limits, F.lit(0), lambda n, b: n + F.when(F.col("n_tokens") > b, 1).otherwise(0))
     n_rows = rows.count()
     slices = max(1, -(-n_rows // slice_rows))
-    own = rows.withColumn("bucket", bucket).withColumn("slice", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(slices)))
+    own = rows.withColumn("bucket", bucket).withColumn("slice", F.pmod(F.xxhash64("doc_id", "n_tokens", "salt"), F.lit(slices)))
 
     sizes = own.groupBy("bucket", "slice").agg(F.count("*").alias("rows"))
     ahead = Window.partitionBy("bucket").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -16,24 +16,28 @@ stored whole in a list of exceptions behind the packed words::
     packed words     64 ids at a time in ``width`` little-endian uint64
     exceptions       uint16 places, uint32 remainders
 
-Tasks write a file each, under a name that a repeated attempt writes again, and put it in place by
-renaming. Texts are cut where the byte-level pre-tokenizer always cuts, and each distinct piece is encoded
-once by the library for a Python worker; texts with special tokens or unusual white space are encoded whole.
+Spark writes the files: each is the value ``content`` of a row (part, seq, docs, ids, content) of a Parquet
+table, so they reach any store that Spark reaches, and an attempt that is lost leaves nothing behind. A task
+yields a file each ``FILE_IDS`` ids, or one document's if that is more. Texts are cut where the byte-level
+pre-tokenizer always cuts, and each distinct piece is encoded once by the library for a Python worker. Pieces
+are looked up by hash and then compared byte by byte; a text with a piece whose hash another one has, with
+special tokens or with unusual white space is encoded whole.
 
 Defined cases: a null or empty text has the end id only; null doc_ids come first, and rows with equal
-doc_ids are ordered by their text; each row is a document; an empty table writes no file.
+doc_ids are ordered by a hash of their text, then by the text; each row is a document; an empty table
+writes no file; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import io
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import byte_blocks, byte_table, fresh_path, span_hashes, text_of
@@ -42,6 +46,8 @@ MAGIC = b"PFOR0001"
 BLOCK = 1024
 #: Pieces that a worker's table holds at most before it starts afresh, besides those of one block.
 MEMO = 2_000_000
+#: Ids from which on a file is closed, and parts whose ids are summed up together.
+FILE_IDS, PARTS = 1 << 21, 1024
 PERCENTILES = (0.75, 0.9, 0.95, 0.98, 1.0)
 _HEAD = np.dtype([("least", "<u4"), ("ids", "<u2"), ("width", "u1"), ("_a", "u1"), ("exceptions", "<u2"), ("_b", "<u2")])
 _DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("ids", "<u8")])
@@ -237,8 +243,8 @@ def odd_rows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class PieceEncoder:
     """Ids of texts, with each distinct piece encoded once by the tokenizers library.
 
-    Pieces are told apart by 64-bit hashes and their lengths. The table of pieces is sorted by hash and starts
-    afresh when it has more than ``MEMO`` entries, so its memory is bounded.
+    The table of pieces is sorted by hash, holds their bytes, and starts afresh when it has more than ``MEMO``
+    entries, so its memory is bounded.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
@@ -250,32 +256,30 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.keys = np.zeros(0, np.uint64)
+        self.first, self.count, self.at, self.size = (np.zeros(0, np.int64) for _ in range(4))
+        self.ids, self.body = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, raw: list[bytes]) -> None:
         """Add new pieces; ``keys`` ascend."""
-        first, count, parts, size = [], [], [], len(self.ids)
-        for at in range(0, len(texts), 20_000):
-            for own in self._encode(texts[at : at + 20_000]):
-                first.append(size)
-                count.append(len(own))
-                parts.append(own)
-                size += len(own)
+        parts = [own for low in range(0, len(raw), 20_000) for own in self._encode([r.decode() for r in raw[low : low + 20_000]])]
+        count, size = np.array([len(p) for p in parts]), np.array([len(r) for r in raw])
         place = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, place, keys)
-        self.first, self.count = np.insert(self.first, place, first), np.insert(self.count, place, count)
+        new = {"keys": keys, "first": len(self.ids) + np.cumsum(count) - count, "count": count, "at": len(self.body) + np.cumsum(size) - size, "size": size}
+        for name, own in new.items():
+            setattr(self, name, np.insert(getattr(self, name), place, own))
         self.ids = np.concatenate([self.ids, *parts])
+        self.body = np.concatenate([self.body, np.frombuffer(b"".join(raw), np.uint8)])
 
-    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each piece of a byte block: its start, and the place and number of its ids."""
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each piece of a byte block: its start, the place and number of its ids, and whether its entry has other bytes."""
         starts = piece_starts(data, offsets)
         ends = np.append(starts[1:], len(data))
-        h = span_hashes(data, starts, ends) ^ (ends - starts).astype(np.uint64)
-        keys, some, back = np.unique(h, return_index=True, return_inverse=True)
+        size = ends - starts
+        keys, some, back = np.unique(self._hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.keys) > MEMO:
             self._forget()
         at = np.searchsorted(self.keys, keys)
@@ -283,25 +287,34 @@ class PieceEncoder:
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == keys[inside]
         if not known.all():
-            new = some[~known]
-            raw = data.tobytes()
-            self._learn(keys[~known], [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())])
+            raw, new = data.tobytes(), some[~known]
+            self._learn(keys[~known], [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())])
             at = np.searchsorted(self.keys, keys)
-        return starts, self.first[at][back], self.count[at][back]
+        entry = at[back]
+        other = self.size[entry] != size
+        own = np.where(other, 0, size)  # compare the bytes of entries of the right size
+        place = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+        differ = data[np.repeat(starts, own) + place] != self.body[np.repeat(self.at[entry], own) + place]
+        other[np.repeat(np.arange(len(own)), own)[differ]] = True
+        return starts, self.first[entry], self.count[entry], other
+
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return span_hashes(data, starts, ends) ^ (ends - starts).astype(np.uint64)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[int]]:
         """The ids of all rows of a byte block, each with the end id, and the number of each."""
         rows = len(offsets) - 1
         own = np.zeros(rows, np.int64)
-        ids = np.zeros(0, np.uint32)
+        ids, whole = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if len(data):
-            starts, first, count = self._pieces(data, offsets)
+            starts, first, count, other = self._pieces(data, offsets)
             row = np.searchsorted(offsets, starts, side="right") - 1
+            whole = row[other]
             own = np.bincount(row, weights=count, minlength=rows).astype(np.int64)
             before = np.cumsum(count) - count
             ids = self.ids[np.repeat(first - before, count) + np.arange(int(count.sum()))]
         edge = np.cumsum(own)
-        odd = odd_rows(data, offsets).tolist()
+        odd = np.union1d(odd_rows(data, offsets), whole).tolist()
         if not odd:
             return np.insert(ids, edge, self.end_id).astype("<u4"), (own + 1).tolist()
         parts = np.split(ids, edge[:-1])
@@ -312,22 +325,6 @@ class PieceEncoder:
         return np.concatenate([x for p in parts for x in (p, end)]).astype("<u4"), [len(p) + 1 for p in parts]
 
 
-def _open_sink(folder: str, name: str):
-    """A file handle for writing, and what puts the file in place."""
-    from pyarrow import fs
-
-    where, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder.removeprefix('file:')}")
-    where.create_dir(base, recursive=True)
-    temporary = f"{base}/.{name}.{uuid.uuid4().hex[:8]}"
-
-    def done() -> None:
-        if where.get_file_info(f"{base}/{name}").type != fs.FileType.NotFound:  # of an attempt that was lost later
-            where.delete_file(f"{base}/{name}")
-        where.move(temporary, f"{base}/{name}")
-
-    return where.open_output_stream(temporary), done
-
-
 def write_token_files(
     docs: DataFrame,
     folder: str,
@@ -335,43 +332,58 @@ def write_token_files(
     end_id: int,
     id_col: str = "doc_id",
     text_col: str = "text",
-    file_text_bytes: int = 16 << 20,
-) -> dict[str, int]:
-    """Write the ids of ``docs`` in ascending doc_id order; gives each file's number of ids by name, in order."""
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
+    part_text_bytes: int = 16 << 20,
+) -> None:
+    """Write the ids of ``docs`` in ascending doc_id order to the token files of ``folder``."""
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    ordered = rows.repartitionByRange(max(1, -(-total // file_text_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange(max(1, -(-total // part_text_bytes)), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        name = f"part-{TaskContext.get().partitionId():06d}.pfor"
-        encoder = writer = sink = None
+        part, seq = TaskContext.get().partitionId(), 0
+        encoder, sink = encoder_of(tokenizer_path, end_id), io.BytesIO()
+        writer = FileWriter(sink)
+
+        def closed() -> pa.RecordBatch:
+            n = writer.close()
+            values = [[part], [seq], [len(writer.docs)], [n], [sink.getvalue()]]
+            return pa.record_batch([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "seq", "docs", "ids", "content"])
+
         for batch in batches:
-            if writer is None and batch.num_rows:
-                sink, done = _open_sink(folder, name)
-                writer, encoder = FileWriter(sink), encoder_of(tokenizer_path, end_id)
-            ids = batch.column(0).to_pylist()
-            for low, rows, data, offsets in byte_blocks(batch.column(1)):
+            doc_ids = batch.column(0).to_pylist()
+            for low, n, data, offsets in byte_blocks(batch.column(1)):
                 found, counts = encoder.encode(data, offsets)
-                writer.add(ids[low : low + rows], counts, found)
-        if writer is not None:
-            n = writer.close()
-            sink.close()
-            done()
-            yield pa.record_batch([pa.array([name]), pa.array([n], pa.int64())], names=["name", "ids"])
+                writer.add(doc_ids[low : low + n], counts, found)
+                if writer.ids >= FILE_IDS:
+                    yield closed()
+                    seq, sink = seq + 1, io.BytesIO()
+                    writer = FileWriter(sink)
+        if writer.docs:
+            yield closed()
+
+    files = ordered.select("doc_id", "text").mapInArrow(run, "part int, seq int, docs bigint, ids bigint, content binary")
+    files.write.option("compression", "none").parquet(folder)  # blocks are packed
+
 
-    return dict(sorted((r.name, r.ids) for r in ordered.mapInArrow(run, "name string, ids bigint").collect()))
+def file_starts(files: DataFrame) -> DataFrame:
+    """(f_part, f_seq, before: ids of all files before it): sums over groups of ``PARTS`` parts, then inside each."""
+    own = files.select("part", "seq", "ids", F.floor(F.col("part") / PARTS).alias("chunk"))
+    ahead = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chunks = own.groupBy("chunk").agg(F.sum("ids").alias("ids"))
+    chunks = chunks.select(F.col("chunk").alias("of"), ahead(Window.orderBy("chunk")).alias("base"))  # a row for each PARTS parts
+    inside = own.withColumn("inside", ahead(Window.partitionBy("chunk").orderBy("part", "seq")))
+    return inside.join(chunks, F.col("chunk") == F.col("of")).select(F.col("part").alias("f_part"), F.col("seq").alias("f_seq"), (F.col("base") + F.col("inside")).alias("before"))
 
 
-def read_token_files(spark: SparkSession, folder: str, files: dict[str, int]) -> DataFrame:
+def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    places = np.cumsum([0, *files.values()])
-    first = spark.sparkContext.broadcast({name: int(p) for name, p in zip(files, places)})  # one entry a file
+    files = spark.read.schema("part int, seq int, docs bigint, ids bigint, content binary").parquet(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0), batch.column(1)):
+            for part, seq, content in zip(*batch.columns):
                 file = FileReader(content.as_py())
                 at = np.concatenate([[0], np.cumsum(file.docs["ids"])]).astype(np.int64)
                 for low in range(0, len(file.docs), 4096):
@@ -379,21 +391,19 @@ def read_token_files(spark: SparkSession, folder: str, files: dict[str, int]) ->
                     own = at[low : low + len(docs) + 1]
                     ids = file.ids(int(own[0]), int(own[-1])).astype("<u4")
                     crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(own - own[0], own[1:] - own[0])]
-                    base = first.value[path.as_py().rsplit("/", 1)[1]]
+                    where = [pa.array(np.full(len(docs), x.as_py(), np.int32)) for x in (part, seq)]
                     yield pa.record_batch(
-                        [pa.array(docs["doc_id"], pa.int64(), mask=docs["null"] == 1), pa.array(own[:-1] + base), pa.array(np.diff(own)), pa.array(crc, pa.int64())],
-                        names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                        [*where, pa.array(docs["doc_id"], pa.int64(), mask=docs["null"] == 1), pa.array(own[:-1]), pa.array(np.diff(own)), pa.array(crc, pa.int64())],
+                        names=["part", "seq", "doc_id", "place", "n_tokens", "ids_crc32"],
                     )
 
-    schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
-    if not files:
-        return spark.createDataFrame([], schema)
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder)
-    return found.select("path", "content").mapInArrow(run, schema)
+    found = files.select("part", "seq", "content").mapInArrow(run, "part int, seq int, doc_id bigint, place bigint, n_tokens bigint, ids_crc32 bigint")
+    both = found.join(file_starts(files), (F.col("part") == F.col("f_part")) & (F.col("seq") == F.col("f_seq")))
+    return both.select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_file_digest(docs: DataFrame, tokenizer_path: str, end_id: int, **how) -> DataFrame:
     """Write ``docs`` to token files in the shared folder and read them back."""
     folder = fresh_path(docs.sparkSession, "tokens")
-    files = write_token_files(docs, folder, tokenizer_path, end_id, **how)
-    return read_token_files(docs.sparkSession, folder, files)
+    write_token_files(docs, folder, tokenizer_path, end_id, **how)
+    return read_token_files(docs.sparkSession, folder)

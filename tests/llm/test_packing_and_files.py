@@ -34,11 +34,29 @@ def test_bounds_are_the_best(seed):
     assert best_bounds([], [], 3) == ([], 0)
 
 
-def test_histogram_has_a_bound(spark):
-    lengths = spark.range(5000).select((F.col("id") + 1).alias("length"))
-    assert histogram(lengths, 10_000)[0] == list(range(1, 5001))
-    own, counts = histogram(lengths, 1000)
-    assert len(own) <= 1000 and sum(counts) == 5000 and own[-1] >= 5000
+def quadratic(lengths, counts, k):
+    """The least padding by the plain recurrence."""
+    best = [0] + [None] * len(lengths)
+    for _ in range(k):
+        best = [0] + [min(best[i] + sum(counts[m] * (lengths[j - 1] - lengths[m]) for m in range(i, j)) for i in range(j) if best[i] is not None) for j in range(1, len(lengths) + 1)]
+    return best[-1]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_bounds_of_many_lengths(seed):
+    rng = np.random.default_rng(seed)
+    lengths = np.sort(rng.choice(10_000, 45, replace=False)) + 1
+    counts = rng.integers(1, 10**6, 45)
+    for k in (2, 5):
+        bounds, cost = best_bounds(lengths, counts, k)
+        assert cost == quadratic(lengths.tolist(), counts.tolist(), k) == padding_of(lengths.tolist(), counts.tolist(), bounds)
+    bounds, cost = best_bounds(lengths, counts * 10**12, 5)  # beyond 64 bits
+    assert cost == 10**12 * quadratic(lengths.tolist(), counts.tolist(), 5)
+
+
+def test_histogram_is_exact(spark):
+    own, counts = histogram(spark.range(5000).select((F.col("id") % 2500 + 1).alias("length")))
+    assert own.tolist() == list(range(1, 2501)) and set(counts.tolist()) == {2}
 
 
 @pytest.mark.parametrize("slice_rows", [50_000, 7])
@@ -113,22 +131,45 @@ def test_bounded_table_of_pieces(library, monkeypatch):
     assert encoded(texts)[0] == [i for w in want for i in w]
 
 
-def test_files_round_trip(spark, docs, awkward, library, tmp_path):
+def thue_morse(n):
+    word = "a"
+    for _ in range(n):
+        word += word.translate({97: "b", 98: "a"})
+    return word, word.translate({97: "b", 98: "a"})
+
+
+def test_pieces_of_equal_hashes_are_told_apart(library, monkeypatch):
+    """Words that a polynomial hash modulo 2**64 can't tell apart, and a hash that tells nothing apart."""
+    texts = [*thue_morse(12), "x " + thue_morse(10)[0], "x " + thue_morse(10)[1]]
+    want = [i for e in library.encode_batch(texts, add_special_tokens=False) for i in [*e.ids, 2]]
+    assert encoded(texts)[0] == want
+    monkeypatch.setattr(T.PieceEncoder, "_hashes", lambda self, data, starts, ends: (ends - starts).astype(np.uint64) // np.uint64(4))
+    texts = [f"word{i} and more, {i * 7} signs." for i in range(60)]
+    want = [i for e in library.encode_batch(texts, add_special_tokens=False) for i in [*e.ids, 2]]
+    assert encoded(texts)[0] == want
+
+
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_files_round_trip(spark, docs, awkward, library, tmp_path, monkeypatch):
+    import xxhash
+
     folder = str(tmp_path / "tokens")
-    files = T.write_token_files(docs, folder, TOKENIZER, 2, file_text_bytes=100_000)
-    assert len(files) > 1
-    got = [tuple(r) for r in T.read_token_files(spark, folder, files).orderBy("start").collect()]
-    ordered = sorted(awkward, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    T.write_token_files(docs, folder, TOKENIZER, 2, part_text_bytes=100_000)
+    files = spark.read.parquet(folder)
+    assert files.count() > 1
+    monkeypatch.setattr(T, "PARTS", 2)
+    got = [tuple(r) for r in T.read_token_files(spark, folder).orderBy("start").collect()]
+    ordered = sorted(awkward, key=lambda r: (r[0] is not None, r[0] or 0, signed(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)), (r[1] or "").encode()))
     place, want = 0, []
     for d, t in ordered:
         ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
         want.append((d, place, len(ids), zlib.crc32(ids.tobytes())))
         place += len(ids)
     assert got == want
-    again = T.write_token_files(docs, folder, TOKENIZER, 2, file_text_bytes=100_000)
-    assert again == files
-    one = next(iter(files))
-    data = (tmp_path / "tokens" / one).read_bytes()
+    data = bytes(files.where("ids > 20").first().content)
     with pytest.raises(ValueError):
         T.FileReader(data[:-3])
     reader = T.FileReader(data)
@@ -136,5 +177,15 @@ def test_files_round_trip(spark, docs, awkward, library, tmp_path):
     assert (reader.ids(5, 9) == whole[5:9]).all() and len(reader.ids(4, 4)) == 0
 
 
+def test_files_are_closed_when_they_are_full(spark, docs, library, tmp_path, monkeypatch):
+    """A part of several files: the same rows."""
+    folder = str(tmp_path / "tokens")
+    table = docs.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("i"), F.substring("text", 1, 100_000).alias("text"))
+    T.write_token_files(table, folder, TOKENIZER, 2)
+    assert spark.read.parquet(folder).groupBy("part").agg(F.count("*").alias("n")).where("n > 1").count()
+    rows = T.read_token_files(spark, folder).orderBy("start").collect()
+    assert len(rows) == table.count() and all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))
+
+
 def test_no_documents_no_files(docs):
     assert T.token_file_digest(docs.limit(0), TOKENIZER, 2).count() == 0
