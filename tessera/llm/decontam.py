@@ -3,9 +3,10 @@
 Both sides keep the minimum k-gram hash of every sliding window. With k words a gram and
 ``window - k + 1`` grams a window, any shared span of ``window`` words holds the same window on both
 sides and so at least one kept fingerprint in common: every shared span of that length is found.
-Documents' fingerprints are joined to the benchmark's, and each hit is extended word by word to the
-longest equal run, whose bytes are then compared. Items shorter than the window are single windows of
-their own length; for each such length every gram is kept.
+Documents' fingerprints are joined to the benchmark's. Documents with a hit are extended from it over the
+whole text: each of their windows is sought among the different windows of the items, and its words'
+bytes are compared, so the work grows with the words and the hits, however often texts repeat themselves.
+Items shorter than the window are single windows of their own length; for each such length every gram is kept.
 
 The benchmark is the stated query set. It is cut into blocks of at most ``block_bytes`` of text (a
 longer item makes a block of its own), so what is broadcast has a bound at any size of the benchmark;
@@ -19,7 +20,6 @@ get their own answer; an empty benchmark leaves every document clean; null doc_i
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import ALNUM, LOWER, byte_blocks, gram_hashes, span_hashes, staged, text_of, unused_name, word_spans
 
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Words that are compared at a time.
+WORDS = 1 << 18
 
 
 def winnowed(grams: np.ndarray, width: int, fits: np.ndarray | None = None) -> np.ndarray:
@@ -48,37 +50,39 @@ def winnowed(grams: np.ndarray, width: int, fits: np.ndarray | None = None) -> n
 
 
 class Block:
-    """The fingerprints of one block of the benchmark; small, and the same for every task."""
+    """The fingerprints and windows of one block of the benchmark; small, and the same for every task."""
 
     def __init__(self, items: list[tuple[str, str]], window: int, k: int) -> None:
         self.window, self.k, self.width = window, k, window - k + 1
-        self.ids: list[str] = []
-        self.words: list[list[bytes]] = []
-        self.hashes: list[np.ndarray] = []
-        found: dict[int, list[tuple[np.ndarray, int, np.ndarray]]] = defaultdict(list)
-        for item_id, text in items:
-            low = LOWER[np.frombuffer(text.encode(), np.uint8)]
-            starts, ends = word_spans(low, np.array([0, len(low)]), ALNUM)
-            if not len(starts):
-                continue
-            h, body, at = span_hashes(low, starts, ends), low.tobytes(), len(self.ids)
-            self.ids.append(item_id)
-            self.words.append([body[a:b] for a, b in zip(starts, ends)])
-            self.hashes.append(h)
-            if len(h) >= window:
+        raw = [text.encode() for _, text in items]
+        self.ids = [item_id for item_id, _ in items]
+        self.low = LOWER[np.frombuffer(b"".join(raw), np.uint8)]
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+        self.starts, self.ends = word_spans(self.low, offsets, ALNUM)
+        h = span_hashes(self.low, self.starts, self.ends)
+        edge = np.searchsorted(self.starts, offsets)
+        counts = np.diff(edge)
+        item = np.repeat(np.arange(len(items)), counts)
+        left = edge[1:][item] - np.arange(len(h))  # words from here to the end of the item
+        #: by length of the spans sought: sorted fingerprints, and sorted windows with the item and place of each, repeats within an item once
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for span in sorted({min(int(c), window) for c in counts} - {0}):
+            of_items = counts >= window if span == window else counts == span
+            windows = gram_hashes(h, span)
+            place = np.flatnonzero(of_items[item[: len(windows)]] & (left[: len(windows)] >= span))
+            order = np.lexsort((place, item[place], windows[place]))
+            place = place[order]
+            own, of = windows[place], item[place]
+            once = np.ones(len(place), bool)
+            once[1:] = (own[1:] != own[:-1]) | (of[1:] != of[:-1])
+            if span == window:
                 grams = gram_hashes(h, k)
-                places = np.flatnonzero(winnowed(grams, self.width))
-                found[window].append((grams[places], at, places))
+                n = max(0, len(grams) - self.width + 1)
+                kept = winnowed(grams, self.width, left[:n] >= window)
+                marks = np.unique(grams[kept & of_items[item[: len(grams)]]])
             else:
-                found[len(h)].append((gram_hashes(h, len(h)), at, np.zeros(1, np.int64)))
-        #: by length of the span sought: sorted hashes, and the item and place of each
-        self.tables = {}
-        for span, parts in found.items():
-            h = np.concatenate([p[0] for p in parts])
-            item = np.concatenate([np.full(len(p[0]), p[1]) for p in parts])
-            place = np.concatenate([p[2] for p in parts])
-            order = np.argsort(h, kind="stable")
-            self.tables[span] = (h[order], item[order], place[order])
+                marks = np.unique(own)
+            self.tables[span] = (marks, own[once], of[once], place[once])
 
     def hits(self, data: np.ndarray, offsets: np.ndarray):
         """(words of each row, [(row, first word, end word, item)]) for the rows of one byte block; words count within the row."""
@@ -92,7 +96,7 @@ class Block:
         row_of = np.repeat(np.arange(len(counts)), counts)
         left = edge[1:][row_of] - np.arange(len(starts))  # words from here to the end of the row
         h = span_hashes(low, starts, ends)
-        for span, (table, items, places) in self.tables.items():
+        for span, (marks, windows, items, places) in self.tables.items():
             k = self.k if span == self.window else span
             grams = gram_hashes(h, k)
             if not len(grams):
@@ -103,35 +107,45 @@ class Block:
                 kept = np.flatnonzero(winnowed(grams, self.width, left[: max(n, 0)] >= span))
             else:
                 kept = np.flatnonzero(left[: len(grams)] >= span)
-            lo = np.searchsorted(table, grams[kept])
-            lo[lo == len(table)] = 0
-            same = table[lo] == grams[kept]
-            seen: dict[tuple[int, int, int], int] = {}
-            for p, first in zip(kept[same].tolist(), lo[same].tolist()):
-                row = int(row_of[p])
-                for j in range(first, len(table)):
-                    if table[j] != table[first]:
-                        break
-                    item, q = int(items[j]), int(places[j])
-                    if seen.get((row, item, p - q), -1) > p:
-                        continue
-                    a, b = self._run(h, p, q, int(edge[row]), int(edge[row + 1]), item)
-                    seen[row, item, p - q] = b
-                    if b - a >= span and self._same(low, starts, ends, a, b, item, a - (p - q)):
-                        out.append((row, a - int(edge[row]), b - int(edge[row]), item))
+            at = np.minimum(np.searchsorted(marks, grams[kept]), len(marks) - 1)
+            hit = np.zeros(len(counts), bool)
+            hit[row_of[kept[marks[at] == grams[kept]]]] = True
+            if not hit.any():
+                continue
+            own = gram_hashes(h, span)
+            p = np.flatnonzero(hit[row_of[: len(own)]] & (left[: len(own)] >= span))
+            first, last = np.searchsorted(windows, own[p]), np.searchsorted(windows, own[p], side="right")
+            size = last - first
+            p = np.repeat(p, size)
+            entry = np.arange(len(p)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+            same = self._same(low, starts, ends, p, places[entry], span)
+            p, item = p[same], items[entry[same]]
+            order = np.lexsort((p, item))
+            p, item = p[order], item[order]
+            row = row_of[p]
+            new = np.ones(len(p), bool)
+            new[1:] = (np.diff(p) != 1) | (np.diff(item) != 0) | (np.diff(row) != 0)
+            a = np.flatnonzero(new)
+            b = np.append(a[1:], len(p)) - 1
+            base = edge[row[a]]
+            out += zip(row[a].tolist(), (p[a] - base).tolist(), (p[b] - base + span).tolist(), item[a].tolist()) if len(p) else []
         return counts, out
 
-    def _run(self, h: np.ndarray, p: int, q: int, row_from: int, row_to: int, item: int) -> tuple[int, int]:
-        """The longest run of equal words around document word ``p`` and item word ``q``."""
-        own = self.hashes[item]
-        back, on = min(p - row_from, q), min(row_to - p, len(own) - q)
-        differ = np.flatnonzero(h[p - back : p] != own[q - back : q])
-        a = p - back + (int(differ[-1]) + 1 if len(differ) else 0)
-        differ = np.flatnonzero(h[p : p + on] != own[q : q + on])
-        return a, p + (int(differ[0]) if len(differ) else on)
-
-    def _same(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: int, b: int, item: int, q: int) -> bool:
-        return [low[x:y].tobytes() for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist())] == self.words[item][q : q + b - a]
+    def _same(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: np.ndarray, q: np.ndarray, span: int) -> np.ndarray:
+        """Whether the ``span`` words from ``p`` on are those of the block from ``q`` on, byte by byte."""
+        out = np.zeros(len(p), bool)
+        step = max(1, WORDS // span)
+        for at in range(0, len(p), step):
+            x = (p[at : at + step, None] + np.arange(span)).ravel()
+            y = (q[at : at + step, None] + np.arange(span)).ravel()
+            size = ends[x] - starts[x]
+            differ = size != self.ends[y] - self.starts[y]
+            own = np.where(differ, 0, size)
+            place = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+            odd = low[np.repeat(starts[x], own) + place] != self.low[np.repeat(self.starts[y], own) + place]
+            differ[np.repeat(np.arange(len(own)), own)[odd]] = True
+            out[at : at + step] = ~differ.reshape(-1, span).any(axis=1)
+        return out
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, str]]]:

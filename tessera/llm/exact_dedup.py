@@ -1,11 +1,12 @@
 """Exact duplicates by progressive refinement: length, then prefix hash, then full hash.
 
-Two scans of the text and shuffles of narrow rows only; no text is ever moved. The first scan gives
-the normalised length and a hash of a prefix; lengths, and then (length, prefix) pairs, that occur
-once are settled. What survives is written into a filter of a fixed number of bits, which is small
-enough to broadcast at any input size, and the second scan hashes the full content only of rows
-whose bit is set. A false positive of the filter costs one hash and changes no result, because
-groups are formed by (length, full hash).
+Three scans of the text and shuffles of narrow rows only; no text is ever moved. The first scan counts
+normalised lengths. The second hashes a prefix of the rows whose length occurs more than once, and counts
+(length, prefix) pairs. The third hashes the full content of the rows whose pair occurs more than once. What
+is left after a step is told to the next scan by a bit filter sized by the number of keys left, of at most
+``MOST_BITS`` bits (16 MB), which bounds what is broadcast at any input size; past about that many keys it lets more
+and more rows through. A false positive costs one hash and changes no result, because groups are formed by
+full hash.
 
 Defined cases: a null text is the empty text; a null doc_id sorts after all others when the row that
 stays is chosen; rows repeated with the same doc_id and text each count in ``group_size`` and get the
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import staged, text_of, unused_name
 
+#: The most bits of a filter.
+MOST_BITS = 1 << 26
 #: The characters that normalisation deletes.
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -27,25 +30,21 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, WHITE, "")
 
 
-def _bit() -> Column:
-    return F.expr("shiftleft(1L, cast(pmod(slot, 32) AS int))")
+def repeated(rows: DataFrame, *keys: str) -> tuple[DataFrame, int]:
+    """A bit filter (word, mask) over the keys that more than one row has, and its number of bits."""
+    alive = staged(rows.groupBy(*keys).agg(F.count("*").alias("rows")).where("rows > 1").select(F.xxhash64(*keys).alias("key")), "repeated")
+    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * alive.count()).bit_length()))
+    slots = alive.select(F.pmod("key", F.lit(bits)).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
+    return slots.agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 AS int))")).alias("mask")), bits
 
 
-def _slot(length: Column, prefix: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(length, prefix), F.lit(bits))
-
-
-def surviving_filter(sized: DataFrame, bits: int) -> DataFrame:
-    """Rows (word, mask), at most ``bits`` / 32 of them: the (length, prefix) pairs that more than one row has."""
-    pairs = staged(sized.groupBy("length", "prefix").agg(F.count("*").alias("rows")), "sizes")
-    by_length = pairs.groupBy("length").agg(F.sum("rows").alias("of_length")).where("of_length > 1")
-    alive = pairs.where("rows > 1").join(by_length, "length", "left_semi")
-    slot = _slot(F.col("length"), F.col("prefix"), bits)
-    return (
-        alive.select(slot.alias("slot"))
-        .groupBy(F.shiftright("slot", 5).alias("word"))
-        .agg(F.bit_or(_bit()).alias("mask"))
-    )
+def with_flag(rows: DataFrame, found: tuple[DataFrame, int], flag: str, *keys: Column) -> DataFrame:
+    """``rows`` with ``flag``: whether the filter may hold their keys."""
+    table, bits = found
+    slot = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    both = rows.withColumn("slot", slot).join(F.broadcast(table), F.shiftright("slot", 6) == F.col("word"), "left")
+    bit = F.expr("mask & shiftleft(1L, cast(slot & 63 AS int))") != 0
+    return both.withColumn(flag, F.coalesce(bit, F.lit(False))).drop("slot", "word", "mask")
 
 
 def exact_groups(
@@ -53,7 +52,6 @@ def exact_groups(
     id_col: str = "doc_id",
     text_col: str = "text",
     prefix_chars: int = 256,
-    filter_bits: int = 1 << 20,
     digest_all: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256, row_hash (of the raw text).
@@ -64,13 +62,12 @@ def exact_groups(
     """
     norm = normalised(text_of(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.length(text_of(text_col)).alias("points"), F.xxhash64(text_of(text_col)).alias("row_hash"), norm.alias("norm"))
-    sized = rows.select(F.length("norm").alias("length"), F.xxhash64(F.substring("norm", 1, prefix_chars)).alias("prefix"))
-    alive = surviving_filter(sized, filter_bits)
-
-    second = rows.withColumn("slot", _slot(F.length("norm"), F.xxhash64(F.substring("norm", 1, prefix_chars)), filter_bits))
-    second = second.join(F.broadcast(alive.withColumnRenamed("word", "at")), F.shiftright("slot", 5) == F.col("at"), "left")
-    second = second.withColumn("alive", F.coalesce(F.col("mask").bitwiseAND(_bit()) != 0, F.lit(False)))
+    length, prefix = F.length("norm"), F.xxhash64(F.substring("norm", 1, prefix_chars))
+    lengths = repeated(rows.select(length.alias("length")), "length")
+    sized = with_flag(rows.select("norm"), lengths, "alive", length).where("alive").select(length.alias("length"), prefix.alias("prefix"))
+    pairs = repeated(sized, "length", "prefix")
     digest = F.unhex(F.sha2("norm", 256))
+    second = with_flag(rows, pairs, "alive", length, prefix)
     second = staged(second.select("doc_id", "points", "row_hash", "alive", (digest if digest_all else F.when(F.col("alive"), digest)).alias("digest")), "exact")
 
     best = F.max(F.struct("points", (-F.col("doc_id")).alias("back"), F.col("doc_id"))).alias("best")

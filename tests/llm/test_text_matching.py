@@ -7,7 +7,7 @@ import re
 import pytest
 
 from tessera.llm import queries as Q
-from tessera.llm.decontam import benchmark_hits, drop_contaminated, winnowed, words_hit
+from tessera.llm.decontam import Block, benchmark_hits, drop_contaminated, winnowed, words_hit
 from tessera.llm.exact_dedup import drop_exact_duplicates, exact_groups
 from tessera.llm.suffix_dedup import common_prefixes, remove_repeats, suffix_array
 
@@ -55,6 +55,23 @@ def test_hits_with_other_columns_and_empty_tables(spark, clashing, items):
     assert drop_contaminated(clashing.limit(0), bench).count() == 0
 
 
+def test_texts_that_repeat_themselves():
+    """A long text of one word against a long item of it, and of two words in turn: seconds, and the right hits."""
+    import numpy as np
+
+    from tessera.llm.common import byte_blocks
+    import pyarrow as pa
+
+    block = Block([("a", "x " * 3000), ("b", "x y " * 2000), ("c", "z"), ("d", "x y x")], 10, 5)
+    texts = ["x " * 60_000, "x y " * 30_000, "no hit at all", "y x y", "X, y; x"]
+    found = {}
+    for low, _, data, offsets in byte_blocks(pa.array(texts)):
+        counts, hits = block.hits(data, offsets)
+        for row, a, b, item in hits:
+            found.setdefault((low + row, block.ids[item]), np.zeros(60_000, bool))[a:b] = True
+    assert {k: int(v.sum()) for k, v in found.items()} == {(0, "a"): 60_000, (1, "b"): 60_000, (1, "d"): 59_999, (4, "d"): 3}
+
+
 def test_every_window_keeps_a_gram():
     import numpy as np
 
@@ -79,9 +96,10 @@ def brute_exact(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("bits", [1 << 20, 64])
-def test_exact_groups(docs, awkward, bits):
-    got = exact_groups(docs, digest_all=True, filter_bits=bits).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
+@pytest.mark.parametrize("bits", [1 << 26, 64])
+def test_exact_groups(docs, awkward, bits, monkeypatch):
+    monkeypatch.setattr("tessera.llm.exact_dedup.MOST_BITS", bits)
+    got = exact_groups(docs, digest_all=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute_exact(awkward)
 
 
