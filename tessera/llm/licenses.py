@@ -1,7 +1,7 @@
 """License scans with ordered signature rules, in DataFrame functions only.
 
-Every rule has a keyword and a gate, which all its matches hold. The few different gates are sought in
-every text; a rule's regex runs only on texts that hold both its gate and its keyword. All matches of a rule are detections. A detection
+Every rule has a gate and words, which all its matches hold. The few different gates are sought in every text; a
+rule's regex runs only on texts that hold its gate and all its words. All matches of a rule are detections. A detection
 is suppressed if its interval lies inside that of another with a better (lower) priority, or inside a
 strictly longer one; what is left gives the labels, and the best score of what is left is the score.
 
@@ -62,23 +62,21 @@ def base_phrases(rows: DataFrame) -> DataFrame:
     )
 
 
-def _holds(low: Column, gate: str) -> Column:
-    """Whether a text holds the words of a gate in a row."""
-    words = gate.split()
-    held = reduce(lambda a, b: a & b, [F.contains(low, F.lit(w)) for w in words])
-    return held & F.rlike(low, F.lit(r"[\s,]+".join(words))) if len(words) > 1 else held
+def held_gates(low: Column) -> Column:
+    """The gates that a lower-case text holds."""
+    return F.filter(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in GATES]), lambda g: g.isNotNull())
 
 
 def detections(low: Column, gates: Column) -> Column:
     """All detections in a lower-case text that holds ``gates``, before suppression."""
-    kind = "array<struct<priority:int,label:string,gate:string,keyword:string,pattern:string,score:double>>"
-    table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.items()]) for r in rules()]).cast(kind)
-    gated = F.filter(table, lambda r: F.array_contains(gates, r["gate"]) & F.contains(low, r["keyword"]))
-    alive = F.filter(gated, lambda r: F.rlike(low, r["pattern"]))
-
-    def of_rule(r: Column) -> Column:
-        matches = F.regexp_extract_all(low, r["pattern"], F.lit(0))
-        pairs = F.arrays_zip(F.slice(F.split(low, r["pattern"], F.lit(-1)), F.lit(1), F.size(matches)).alias("p"), matches.alias("m"))
+    kind = "array<struct<priority:int,label:string,gate:string,words:array<string>,pattern:string,score:double>>"
+    table = F.array(*[F.struct(*[(F.array(*map(F.lit, v)) if k == "words" else F.lit(v)).alias(k) for k, v in r.items()]) for r in rules()]).cast(kind)
+    gated = F.filter(table, lambda r: F.array_contains(gates, r["gate"]) & F.forall(r["words"], lambda w: F.contains(low, w)))
+    tried = F.transform(gated, lambda r: F.struct(r.alias("r"), F.regexp_extract_all(low, r["pattern"], F.lit(0)).alias("m")))
+
+    def of_rule(t: Column) -> Column:
+        r = t["r"]
+        pairs = F.arrays_zip(F.slice(F.split(low, r["pattern"], F.lit(-1)), F.lit(1), F.size(t["m"])).alias("p"), t["m"].alias("m"))
         state = F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out"))
 
         def step(s: Column, x: Column) -> Column:
@@ -89,25 +87,30 @@ def detections(low: Column, gates: Column) -> Column:
 
         return F.aggregate(pairs, state, step, lambda s: s["out"])
 
-    return F.flatten(F.transform(alive, of_rule))
+    return F.flatten(F.transform(F.filter(tried, lambda t: F.size(t["m"]) > 0), of_rule))
 
 
 def surviving(found: Column) -> Column:
-    """Detections that no better one contains."""
+    """Detections that no better one contains, by start.
 
-    def hidden(x: Column, y: Column) -> Column:
-        inside = (y["a"] <= x["a"]) & (x["b"] <= y["b"])
-        longer = (y["b"] - y["a"]) > (x["b"] - x["a"])
-        return inside & (longer | (y["priority"] < x["priority"]))
+    Sorted by start, longest and best first, every detection that contains another stands before it: one pass
+    that keeps the furthest end so far tells whether there is one.
+    """
+    one = lambda x: F.struct(x["a"].alias("a"), (-x["b"]).alias("back"), x["priority"].alias("priority"), x["label"].alias("label"), x["score"].alias("score"))
+    state = F.struct(F.lit(-1).alias("end"), F.array().cast(_FOUND).alias("out"))
 
-    return F.filter(found, lambda x: ~F.exists(found, lambda y: hidden(x, y)))
+    def step(s: Column, x: Column) -> Column:
+        own = F.struct(x["a"].alias("a"), (-x["back"]).alias("b"), x["priority"].alias("priority"), x["label"].alias("label"), x["score"].alias("score"))
+        return F.struct(F.greatest(s["end"], -x["back"]).alias("end"), F.when(-x["back"] <= s["end"], s["out"]).otherwise(F.concat(s["out"], F.array(own))).alias("out"))
+
+    return F.aggregate(F.array_sort(F.transform(found, one)), state, step, lambda s: s["out"])
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base (array), detections (array), score."""
     rows = base_phrases(docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")))
     low = F.col("lowered")
-    rows = rows.withColumn("gates", F.filter(F.array(*[F.when(_holds(low, g), F.lit(g)) for g in GATES]), lambda g: g.isNotNull()))
+    rows = rows.withColumn("gates", held_gates(low))
     rows = rows.withColumn("found", F.when(F.size("gates") > 0, detections(low, F.col("gates"))).otherwise(F.array().cast(_FOUND)))
     rows = rows.withColumn("detections", F.when(F.size("found") > 0, surviving(F.col("found"))).otherwise(F.array().cast(_FOUND)))
     best = F.array_max(F.transform("detections", lambda x: x["score"]))
