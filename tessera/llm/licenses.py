@@ -14,6 +14,7 @@ answers; ids may be null; other columns are not looked at; an empty table gives
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -70,7 +71,7 @@ def held_gates(low: Column) -> Column:
 def detections(low: Column, gates: Column) -> Column:
     """All detections in a lower-case text that holds ``gates``, before suppression."""
     kind = "array<struct<priority:int,label:string,gate:string,words:array<string>,pattern:string,score:double>>"
-    table = F.array(*[F.struct(*[(F.array(*map(F.lit, v)) if k == "words" else F.lit(v)).alias(k) for k, v in r.items()]) for r in rules()]).cast(kind)
+    table = F.from_json(F.lit(json.dumps(rules())), F.lit(kind))  # a constant, which is read once
     gated = F.filter(table, lambda r: F.array_contains(gates, r["gate"]) & F.forall(r["words"], lambda w: F.contains(low, w)))
     tried = F.transform(gated, lambda r: F.struct(r.alias("r"), F.regexp_extract_all(low, r["pattern"], F.lit(0)).alias("m")))
 

@@ -1,33 +1,46 @@
 """Personal data by candidate generation and gradient boosting, in DataFrame functions only.
 
-Strict patterns give the base spans (email, ip, card, phone). Wide generators propose further spans
-that may overlap those and each other: runs of digits with any usual separators, and mail addresses
-with spaces or words for their signs. Each candidate gets binned features of its format and context.
-Boosted trees are fitted on the histogram of feature vectors over all documents, which is bounded by the
-product of the bins; candidates that overlap a base span are examples, and count once more in the looser
-formats that the strict patterns don't take (no plus sign, written-out signs); all others are
-counter-examples. Scores are calibrated on the half of the documents that the trees don't see. Trees and
-calibration become one column expression. Candidates at or above the threshold that overlap no base span
-are added; of overlapping ones the likelier, then the earlier stays. Base spans always stay.
-
-Character loops that could recurse in the regex engine are avoided by first marking, in place, the
-separators that can't be inside a match, so very long runs are handled.
+Strict patterns give the base spans (email, ip, card, phone). Wide generators propose further spans, which
+may overlap those and each other: card numbers with any check digit, phone numbers without a plus sign,
+IPv6 addresses, mail addresses with spaces or words for their signs, account numbers, and opaque strings
+that may be keys. Each candidate gets binned features of its format and context, and, where one can be had,
+a label from a check that no feature shows: Luhn and mod-97 digits, a plus sign, the count of an address's
+groups, plain ``@`` and dots, and words such as ``token`` before a string. What no check settles teaches nothing.
+A number that fails its check digits is never added; as one in ten (or 97) passes by chance, a failing one
+counts as a ninth (or 96th) of a counter-example, so the trees tell formats of real numbers from chance.
+A seeded set of made examples and counter-examples adds formats that a corpus may lack.
+
+Boosted trees are fitted on the histogram of (label, features) over all documents, which is bounded by the
+product of the bins. Probabilities are calibrated on the half of the documents that the trees don't see,
+and each kind's threshold is the lowest from 0.5 on at which that half has a precision of ``least_precision``. Trees and
+calibration become one column expression. Candidates above their threshold that overlap no base span are
+added; of overlapping ones the likelier, then the earlier stays. Base spans always stay.
+
+The text is scanned once; what it gives (spans and candidates) is written to the shared folder, and all else
+works on that. Places come from running sums in blocks and overlaps from windows over one document's spans, so
+the work grows with a text's length and its matches. Character loops that could recurse in the regex engine
+are avoided by first marking, in place, the separators that can't be inside a match.
 
 Defined cases: null and empty texts have no spans; rows repeated get equal spans; ids may be null;
-columns other than id and text are not looked at; an empty table, or one without both examples and
-counter-examples, adds nothing. Offsets are code points, ends exclusive.
+columns other than id and text are not looked at; a table without candidates adds nothing; an empty table
+gives an empty result. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
-import math
+import random
+import zlib
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_of
+from tessera.llm.common import staged, text_of
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds that only the method finds.
+MORE = ("account", "secret")
 #: Stands for a separator that can't be inside a match.
 MARK = "\x01"
 _L = r"A-Za-z0-9._%+\x01-"
@@ -35,29 +48,77 @@ EMAIL = rf"(?:\G|(?<![{_L}]))[{_L}]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]+"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}"
 CARD = r"[0-9][0-9\x20-]+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: The wide generators.
-NUMBER = r"(?<![0-9])[+(]?[0-9][0-9\x20().,/-]{5,}[0-9]"
-MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:@|\[at\]|\(at\))\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?[A-Za-z0-9-]+){1,4}"
-#: Words before a span, by what they announce.
+#: The wide generators, by the kind of their spans.
+GENERATORS = {
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?(?:@|\[at\]|\(at\))\x20?|\x20at\x20)[A-Za-z0-9-]+(?:(?:\x20?(?:\.|\[dot\]|\(dot\))\x20?|\x20dot\x20)[A-Za-z0-9-]+){1,4}",
+    "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])",
+    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20.-][0-9]{4}){3})(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z])[+(]?[0-9]{1,4}[)]?(?:[\x20()./-]{1,2}[0-9]{2,4}){2,5}(?![0-9])",
+    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{2,4}){3,8}(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{16,}(?![A-Za-z0-9_/+=-])",
+}
+#: Words before a span, by what they announce; and those that announce a secret, which no feature shows.
 CUES = {1: r"(?i)\b(?:tel|phone|call|fax|mobile|cell)\b[^0-9]*$", 2: r"(?i)\b(?:card|visa|iban|account)\b[^0-9]*$", 3: r"(?i)\b(?:ip|host|server|address)\b[^0-9]*$", 4: r"(?i)\b(?:e-?mail|mail|contact|write)\b[^0-9]*$"}
+SECRET = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer)[\"']?\s*[=:]?\s*[\"']?$"
 
-_SPANS = "array<struct<a:int,b:int,m:string>>"
+_BINS = {"size": (8, 12, 14, 17, 20, 28, 36, 44), "digits": (7, 8, 10, 11, 12, 14, 16, 20)}
 #: Feature names and their numbers of bins.
-FEATURES = {"generator": 2, "digits": 8, "groups": 6, "plus": 2, "paren": 2, "dots": 5, "sep": 2, "cue": 5, "before": 3, "after": 3, "bytes": 2, "spelled": 2}
+FEATURES = {"kind": 6, "size": 9, "digits": 9, "groups": 6, "paren": 2, "dots": 5, "sep": 2, "upper": 2, "lower": 2, "hex": 2, "tail": 4, "quoted": 2, "assigned": 2, "cue": 5, "before": 3, "after": 3}
+#: What a candidate that fails its check counts as.
+CHANCE = {"card": 1 / 9, "account": 1 / 96}
+#: Elements of an array whose running sums are folded together.
+CHUNK = 256
+_SPAN = "array<struct<a:int,b:int>>"
+_ADDED = "array<struct<kind:string,a:int,b:int,p:double>>"
 
 
-def found_spans(text: Column, pattern: str, gate: Column) -> Column:
-    """All leftmost non-overlapping matches as an array of (a, b, m), from the lengths of what lies between them."""
-    pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+def settled(rows: DataFrame) -> DataFrame:
+    """The same rows, with columns that the optimizer can't merge into expressions that use them more than once."""
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
 
-    def step(s: Column, x: Column) -> Column:
-        a = s["at"] + F.length(x["p"])
-        b = a + F.length(x["m"])
-        return F.struct(b.alias("at"), F.concat(s["out"], F.array(F.struct(a.alias("a"), b.alias("b"), x["m"].alias("m")))).alias("out"))
 
-    pairs = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("p"), matches.alias("m"))
-    return F.when(gate, F.aggregate(pairs, state, step, lambda s: s["out"])).otherwise(F.array().cast(_SPANS))
+def _pieces(text: Column, pattern: str, gate: Column) -> Column:
+    """(p: what stands before a match, m: the match), leftmost non-overlapping; the last has no match."""
+    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    return F.when(gate, zipped).otherwise(F.array().cast("array<struct<p:string,m:string>>"))
+
+
+def _chunks(array: str, one) -> Column:
+    """``one`` (number of a chunk, its elements) for each ``CHUNK`` elements of an array column."""
+    n = F.ceil(F.size(array) / CHUNK).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: one(k, F.slice(array, k * CHUNK + 1, F.lit(CHUNK))))).otherwise(F.array())
+
+
+def found_spans(rows: DataFrame, wanted: dict[str, tuple[Column, str, Column]], made: dict) -> DataFrame:
+    """``rows`` with an array column for each of ``wanted`` (text, pattern, gate): what ``made`` gives for (array of pieces, piece, number, a, b)."""
+    own = list(wanted)
+    rows = settled(rows.select("*", *[_pieces(*wanted[k]).alias(f"p_{k}") for k in own]).drop("text", "mail_text", "card_text"))
+    steps = [F.transform(f"p_{k}", lambda x: F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias(f"s_{k}") for k in own]
+    rows = settled(rows.select("*", *steps))
+    total = lambda s: F.aggregate(s, F.lit(0), lambda a, x: a + x)
+    rows = settled(rows.select("*", *[_chunks(f"s_{k}", lambda _, s: total(s)).cast("array<int>").alias(f"u_{k}") for k in own]))
+
+    def places(k: str) -> Column:
+        def chunk(n: Column, s: Column) -> Column:
+            state = F.struct(total(F.slice(f"u_{k}", F.lit(1), n)).alias("at"), F.array().cast("array<int>").alias("out"))
+            return F.aggregate(s, state, lambda t, x: F.struct((t["at"] + x).alias("at"), F.concat(t["out"], F.array(t["at"])).alias("out")), lambda t: t["out"])
+
+        return F.flatten(_chunks(f"s_{k}", chunk).cast("array<array<int>>"))
+
+    rows = settled(rows.select("*", *[places(k).alias(f"a_{k}") for k in own]))
+
+    def spans(k: str) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            a = F.get(F.col(f"a_{k}"), i) + F.length(x["p"])
+            return F.when(x["m"].isNotNull(), made[k](F.col(f"p_{k}"), x, i, a, a + F.length(x["m"])))
+
+        return F.filter(F.transform(f"p_{k}", one), lambda s: s.isNotNull())
+
+    return settled(rows.select("*", *[spans(k).alias(k) for k in own]).drop(*[f"{x}_{k}" for x in "psua" for k in own]))
+
+
+def _digits(m: Column) -> Column:
+    return F.regexp_replace(m, "[^0-9]", "")
 
 
 def _luhn(digits: Column) -> Column:
@@ -68,148 +129,218 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), step) % 10 == 0
 
 
-def _digits(m: Column) -> Column:
-    return F.regexp_replace(m, "[^0-9]", "")
-
-
-def base_spans(rows: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, text) with an array of base spans for each kind."""
-    text = F.col("text")
-    plain = F.when(F.contains(text, F.lit(MARK)), F.replace(text, F.lit(MARK), F.lit("\x02"))).otherwise(text)
-    rows = rows.withColumn("at", F.contains(text, F.lit("@"))).withColumn("num", F.rlike(text, F.lit("[0-9]")))
-    rows = rows.withColumn("mail_text", F.when(F.col("at"), F.regexp_replace(plain, r"\.(?![A-Za-z0-9-])|(?<![A-Za-z0-9-])\.", MARK)).otherwise(F.lit("")))
-    rows = rows.withColumn("card_text", F.when(F.rlike(text, F.lit(r"(?:[0-9][\x20-]?){15}")), F.regexp_replace(text, r"[\x20-](?![0-9])|(?<![0-9])[\x20-]", MARK)).otherwise(F.lit("")))
-    octet = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-    return rows.select(
-        "doc_id",
-        "text",
-        "num",
-        "at",
-        found_spans(F.col("mail_text"), EMAIL, F.col("at")).alias("email"),
-        F.filter(found_spans(text, IP, F.col("num") & F.contains(text, F.lit("."))), lambda s: F.rlike(s["m"], F.lit(rf"^{octet}(?:\.{octet}){{3}}$"))).alias("ip"),
-        F.filter(
-            found_spans(F.col("card_text"), CARD, F.col("card_text") != ""),
-            lambda s: F.when(F.length(_digits(s["m"])).between(16, 19), _luhn(_digits(s["m"]))).otherwise(F.lit(False)),
-        ).alias("card"),
-        F.filter(found_spans(text, PHONE, F.col("num") & F.contains(text, F.lit("+"))), lambda s: F.length(_digits(s["m"])).between(8, 15)).alias("phone"),
-    )
+def _mod97(m: Column) -> Column:
+    """Whether an account number's check digits are right."""
+    own = F.replace(m, F.lit(" "), F.lit(""))
+    turned = F.filter(F.split(F.concat(F.substring(own, 5, 64), F.substring(own, 1, 4)), ""), lambda c: c != "")
+    return F.aggregate(turned, F.lit(0), lambda s, c: F.when(c <= "9", s * 10 + c.cast("int")).otherwise(s * 100 + F.ascii(c) - 55) % 97) == 1
+
+
+_OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+#: What a match of a strict pattern has to fulfil.
+_CHECKS = {
+    "email": lambda m: F.lit(True),
+    "ip": lambda m: F.rlike(m, F.lit(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")),
+    "card": lambda m: F.when(F.length(_digits(m)).between(16, 19), _luhn(_digits(m))).otherwise(F.lit(False)),
+    "phone": lambda m: F.length(_digits(m)).between(8, 15),
+}
+
+
+def _label(kind: str, m: Column, ahead: Column) -> Column:
+    """1 or 0 where a check settles it, else null."""
+    n = F.length(_digits(m))
+    if kind == "email":
+        return F.when(F.rlike(m, F.lit(r"^[^\s\[\](]+@[^\s\[\](]+$")), 1)
+    if kind == "ip":
+        groups = F.size(F.filter(F.split(m, ":"), lambda g: g != ""))
+        return F.when((groups == 8) | (F.contains(m, F.lit("::")) & (groups > 2)), 1).otherwise(0)
+    if kind == "card":
+        return _luhn(_digits(m)).cast("int")
+    if kind == "phone":
+        date = F.rlike(m, F.lit(r"^(?:(?:19|20)[0-9]{2}[./-][0-9]{2}[./-][0-9]{2}|[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2})\b"))
+        return F.when(F.startswith(m, F.lit("+")), n.between(8, 15).cast("int")).when(date | (n < 7) | (n > 15), 0)
+    if kind == "account":
+        return _mod97(m).cast("int")
+    return F.rlike(ahead, F.lit(SECRET)).cast("int")
 
 
 def _class(c: Column) -> Column:
     return F.when(c.isNull() | (c == "") | F.rlike(c, F.lit(r"^\s$")), 0).when(F.rlike(c, F.lit(r"^[A-Za-z0-9]$")), 1).otherwise(2)
 
 
-def _features(text: Column, generator: int, s: Column) -> Column:
-    m = s["m"]
-    digits = F.length(_digits(m))
-    ahead = F.substring(text, F.greatest(F.lit(1), s["a"] - 23), F.least(F.lit(24), s["a"]))
+def _bin(x: Column, edges: tuple[int, ...]) -> Column:
+    return reduce(lambda n, e: n + F.when(x >= e, 1).otherwise(0), edges, F.lit(0))
+
+
+def _features(kind: str, m: Column, ahead: Column, after: Column) -> Column:
+    held = lambda pattern: F.rlike(m, F.lit(pattern)).cast("int")
     cue = F.lit(0)
     for k, p in CUES.items():
         cue = F.when(F.rlike(ahead, F.lit(p)), k).otherwise(cue)
-    low = F.lower(m)
+    before = F.right(ahead, F.lit(1))
+    tail = F.when(F.rlike(m, F.lit(r"(?<![0-9])[0-9]{3}[^0-9]{1,2}[0-9]{4}$")), 1).when(F.rlike(m, F.lit(r"(?<![0-9])[0-9]{4}[^0-9]{1,2}[0-9]{4}$")), 2).when(F.rlike(m, F.lit(r"(?<![0-9])[0-9]{2}[^0-9]{1,2}[0-9]{2}$")), 3).otherwise(0)
     return F.struct(
-        F.lit(generator).alias("generator"),
-        F.aggregate(F.array(*[F.lit(x) for x in (7, 10, 11, 12, 14, 16, 20)]), F.lit(0), lambda n, x: n + F.when(digits >= x, 1).otherwise(0)).alias("digits"),
+        F.lit(list(GENERATORS).index(kind)).alias("kind"),
+        _bin(F.length(m), _BINS["size"]).alias("size"),
+        _bin(F.length(_digits(m)), _BINS["digits"]).alias("digits"),
         F.least(F.lit(5), F.regexp_count(m, F.lit("[0-9]+"))).alias("groups"),
-        F.contains(m, F.lit("+")).cast("int").alias("plus"),
-        F.contains(m, F.lit("(")).cast("int").alias("paren"),
-        F.least(F.lit(4), F.length(m) - F.length(F.replace(m, F.lit("."), F.lit("")))).alias("dots"),
-        F.rlike(m, F.lit(r"[\x20-]")).cast("int").alias("sep"),
+        held(r"[\[(]").alias("paren"),
+        F.least(F.lit(4), F.regexp_count(m, F.lit(r"\."))).alias("dots"),
+        held(r"[\x20-]").alias("sep"),
+        held("[A-Z]").alias("upper"),
+        held("[a-z]").alias("lower"),
+        held("^[0-9A-Fa-f]+$").alias("hex"),
+        tail.alias("tail"),
+        F.rlike(before, F.lit("[\"']")).cast("int").alias("quoted"),
+        F.rlike(ahead, F.lit(r"[=:]\s*[\"']?$")).cast("int").alias("assigned"),
         cue.alias("cue"),
-        _class(F.when(s["a"] > 0, F.substring(text, s["a"], F.lit(1)))).alias("before"),
-        _class(F.substring(text, s["b"] + 1, F.lit(1))).alias("after"),
-        F.rlike(m, F.lit(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")).cast("int").alias("bytes"),
-        (F.contains(low, F.lit("at]")) | F.contains(low, F.lit("at)"))).cast("int").alias("spelled"),
+        _class(before).alias("before"),
+        _class(after).alias("after"),
     )
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """``rows`` with base spans and an array ``candidates`` of (a, b, base, f: features)."""
-    text = F.col("text")
-    wide = rows.withColumn("numbers", found_spans(text, NUMBER, F.col("num"))).withColumn(
-        "mails", found_spans(text, MAIL, F.col("at") | F.contains(text, F.lit("at]")) | F.contains(text, F.lit("at)")))
-    )
-    base = F.concat(*KINDS)
+def _base(check):
+    return lambda pieces, x, i, a, b: F.when(check(x["m"]), F.struct(a.alias("a"), b.alias("b")))
 
-    def made(column: str, generator: int) -> Column:
-        return F.transform(
-            column,
-            lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), F.exists(base, lambda t: (t["a"] < s["b"]) & (s["a"] < t["b"])).alias("base"), _features(text, generator, s).alias("f")),
-        )
 
-    return wide.withColumn("candidates", F.concat(made("numbers", 0), made("mails", 1))).drop("numbers", "mails")
+def _candidate(kind: str):
+    def one(pieces: Column, x: Column, i: Column, a: Column, b: Column) -> Column:
+        m, ahead = x["m"], F.right(x["p"], F.lit(32))
+        after = F.substring(F.get(pieces, i + 1)["p"], 1, 1)
+        own = F.struct(a.alias("a"), b.alias("b"), _label(kind, m, ahead).alias("label"), _features(kind, m, ahead, after).alias("f"))
+        return F.when(F.rlike(m, F.lit("[0-9]")) & F.rlike(m, F.lit("[A-Za-z]")), own) if kind == "secret" else own
 
+    return one
 
-class Boosted:
-    """Boosted trees of depth two over binned features, fitted on weighted feature vectors, with calibration."""
 
-    def __init__(self) -> None:
-        self.trees: list[tuple] = []
-        self.slope, self.shift = 1.0, 0.0
+def spans_and_candidates(rows: DataFrame) -> DataFrame:
+    """``rows`` with an array of base spans for each kind and an array of candidates (a, b, label, f) for their ``text``."""
+    text, keys = F.col("text"), [c for c in rows.columns if c != "text"]
+    plain = F.when(F.contains(text, F.lit(MARK)), F.replace(text, F.lit(MARK), F.lit("\x02"))).otherwise(text)
+    rows = rows.withColumn("at", F.contains(text, F.lit("@"))).withColumn("num", F.rlike(text, F.lit("[0-9]")))
+    rows = rows.withColumn("mail_text", F.when(F.col("at"), F.regexp_replace(plain, r"\.(?![A-Za-z0-9-])|(?<![A-Za-z0-9-])\.", MARK)).otherwise(F.lit("")))
+    rows = rows.withColumn("card_text", F.when(F.rlike(text, F.lit(r"(?:[0-9][\x20-]?){15}")), F.regexp_replace(text, r"[\x20-](?![0-9])|(?<![0-9])[\x20-]", MARK)).otherwise(F.lit("")))
+    num, holds = F.col("num"), lambda s: F.contains(text, F.lit(s))
+    wanted = {
+        "email": (F.col("mail_text"), EMAIL, F.col("at")),
+        "ip": (text, IP, num & holds(".")),
+        "card": (F.col("card_text"), CARD, F.col("card_text") != ""),
+        "phone": (text, PHONE, num & holds("+")),
+    }
+    spelled = holds("at]") | holds("at)") | (holds(" at ") & holds(" dot "))
+    gates = {"email": F.col("at") | spelled, "ip": holds(":"), "account": num & F.rlike(text, F.lit("[A-Z]{2}[0-9]{2}"))}
+    own = {f"c_{k}": (text, p, gates.get(k, num)) for k, p in GENERATORS.items()}
+    made = {k: _base(check) for k, check in _CHECKS.items()} | {f"c_{k}": _candidate(k) for k in GENERATORS}
+    found = found_spans(rows, wanted | own, made)
+    return found.select(*keys, *[F.col(k).cast(_SPAN).alias(k) for k in KINDS], F.concat(*[f"c_{k}" for k in GENERATORS]).alias("candidates"))
+
+
+def made_examples(seed: int = 5) -> list[tuple[str, str | None]]:
+    """(text, kind): texts with one span of a kind, or with what is none of any kind (null), from fixed forms and seeded signs."""
+    rng = random.Random(seed)
+    some = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    d = lambda n: some("123456789", n)
+    name = lambda: rng.choice(["joe", "ann.lee", "m_berg", "kim7", "r.oz"])
+    host = lambda: rng.choice(["example", "mail", "corp-net", "uni", "post"])
+    top = lambda: rng.choice(["com", "org", "de", "net", "fr"])
+
+    def card(length: int) -> str:
+        own = d(length - 1)
+        doubled = [int(c) * 2 - 9 * (int(c) > 4) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(own))]
+        return own + str(-sum(doubled) % 10)
+
+    def account(country: str, rest: str) -> str:
+        return f"{country}{98 - int(''.join(str(int(c, 36)) for c in rest + country) + '00') % 97:02d}{rest}"
+
+    spaced = lambda x, sign=" ": sign.join(x[i : i + 4] for i in range(0, len(x), 4))
+    hexed, mixed = "0123456789abcdef", "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    out: list[tuple[str, str | None]] = []
+    for _ in range(12):
+        out += [(t, "phone") for t in (f"call ({d(3)}) {d(3)}-{d(4)} now", f"tel {d(3)}-{d(3)}-{d(4)}", f"phone: 0{d(3)} {d(3)} {d(4)}", f"reach me at {d(3)}.{d(3)}.{d(4)} today", f"fax 00{d(2)} {d(2)} {d(4)} {d(4)}", f"mobile 0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"or ({d(3)}) {d(3)}-{d(4)}.")]
+        out += [(t, "email") for t in (f"so {name()}[at]{host()}[dot]{top()} it is", f"{name()} [at] {host()} [dot] {top()}", f"and {name()} (at) {host()} (dot) {top()}.", f"write {name()} [at] {host()} [dot] {top()}", f"mail {name()}(at){host()}(dot){top()} now", f"{name()} @ {host()} . {top()}", f"contact {name()} at {host()} dot {top()}", f"to {name()}@{host()}.{top()} then")]
+        out += [(t, "card") for t in (f"card {spaced(card(16))} please", f"visa {spaced(card(16), '-')}", f"mastercard {spaced(card(16), '.')} ok", f"paid by {card(16)} today", f"by amex {card(15)} today")]
+        out += [(t, "account") for t in (f"iban {spaced(account('DE', d(18)))}", f"account {account('GB', 'ABCD' + d(14))} and", f"{spaced(account('FR', d(23)))} for rent")]
+        out += [(t, "secret") for t in (f'x = "{some(hexed, 40)}"', f"y: {some(mixed, 32)}", f"z='{some(mixed, 24)}'", f"k={some(hexed, 32)}", f'id: "{some(mixed, 48)}"')]
+        out += [(t, "ip") for t in (f"host fe80:{some(hexed, 4)}::{some(hexed, 4)}:{d(3)} up", "server " + ":".join(some(hexed, 4) for _ in range(8)))]
+        out += [
+            (t, None)
+            for t in (
+                f"on 20{d(2)}-0{d(1)}-1{d(1)} at noon", f"seen 1{d(1)}.0{d(1)}.20{d(2)} again", f"took 1{d(1)}:2{d(1)}:3{d(1)} in all", f"version {d(1)}.{d(2)}.{d(3)}.{d(2)}", f"sizes {d(3)} {d(3)} {d(3)}", f"pages {d(2)}-{d(2)}-{d(2)}", f"page {d(2)} of {d(3)}, line {d(4)}",
+                f"is {d(2)} {d(3)} {d(3)} all told", f"commit {some(hexed, 40)} of the branch", f"see path/to/file_{d(3)}/and/more_of_it here", f"the some-long-word-{d(2)}-with-dashes-inside it", f"stopped at {host()} dot by dot", f"ISBN 978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"sum {d(13)} units", f"range {d(4)}/{d(2)}/{d(2)} done", f"AB{d(2)} CD{d(2)} EF{d(2)} GH{d(2)} parts",
+            )
+        ]
+    return out
+
+
+def _calibration(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
+    """The slope and shift that turn raw scores into probabilities, by Newton steps; ``a``, ``b``: weights for and against."""
+    slope, shift = 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(slope * raw + shift, -30, 30)))
+        d, w = p * (a + b) - a, p * (1 - p) * (a + b)
+        grad = np.array([(d * raw).sum() + 0.1 * (slope - 1), d.sum() + 0.1 * shift])
+        hess = np.array([[(w * raw * raw).sum() + 0.1, (w * raw).sum()], [(w * raw).sum(), w.sum() + 0.1]])
+        slope, shift = np.array([slope, shift]) - np.clip(np.linalg.solve(hess, grad), -1, 1)
+    return float(slope), float(shift)
+
 
-    @staticmethod
-    def _gain(g: float, h: float) -> float:
-        return g * g / (h + 1.0)
+class Boosted:
+    """Boosted trees of depth three over binned features, fitted on weighted feature vectors, with calibration and thresholds."""
 
-    def _split(self, rows: list, g: list[float], h: list[float], own: list[int]):
-        """The best (gain, feature, bin) for rows with a value up to ``bin`` on the left."""
+    def __init__(self) -> None:
+        self.trees: list = []
+        self.slope, self.shift = np.ones(len(GENERATORS)), np.zeros(len(GENERATORS))
+        self.thresholds = [2.0] * len(GENERATORS)
+
+    def _grow(self, x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int):
+        value = 0.3 * -g.sum() / (h.sum() + 1.0)
+        if depth == 0 or len(x) < 2:
+            return float(value)
         best = (1e-6, None, 0)
-        sum_g, sum_h = sum(g[i] for i in own), sum(h[i] for i in own)
         for f, bins in enumerate(FEATURES.values()):
-            gs, hs = [0.0] * bins, [0.0] * bins
-            for i in own:
-                v = min(rows[i][0][f], bins - 1)
-                gs[v] += g[i]
-                hs[v] += h[i]
-            a = b = 0.0
-            for v in range(bins - 1):
-                a, b = a + gs[v], b + hs[v]
-                gain = self._gain(a, b) + self._gain(sum_g - a, sum_h - b) - self._gain(sum_g, sum_h)
-                if gain > best[0]:
-                    best = (gain, f, v)
-        return best
-
-    def _grow(self, rows: list, g: list[float], h: list[float], own: list[int], depth: int):
-        leaf = 0.3 * -sum(g[i] for i in own) / (sum(h[i] for i in own) + 1.0)
-        if depth == 0 or len(own) < 2:
-            return leaf
-        _, f, v = self._split(rows, g, h, own)
+            a, b = (np.cumsum(np.bincount(x[:, f], weights=w, minlength=bins))[:-1] for w in (g, h))
+            gain = a * a / (b + 1.0) + (g.sum() - a) ** 2 / (h.sum() - b + 1.0) - g.sum() ** 2 / (h.sum() + 1.0)
+            if len(gain) and gain.max() > best[0]:
+                best = (float(gain.max()), f, int(gain.argmax()))
+        _, f, v = best
         if f is None:
-            return leaf
-        left = [i for i in own if rows[i][0][f] <= v]
-        right = [i for i in own if rows[i][0][f] > v]
-        return (f, v, self._grow(rows, g, h, left, depth - 1), self._grow(rows, g, h, right, depth - 1))
-
-    @staticmethod
-    def value(tree, x) -> float:
-        while isinstance(tree, tuple):
-            tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
-        return tree
-
-    def raw(self, x) -> float:
-        return sum(self.value(t, x) for t in self.trees)
-
-    def fit(self, rows: list, held: list, rounds: int = 20) -> None:
-        """``rows``, ``held``: (feature vector, weight of examples, weight of counter-examples)."""
-        f = [0.0] * len(rows)
+            return float(value)
+        left = x[:, f] <= v
+        return (f, v, self._grow(x[left], g[left], h[left], depth - 1), self._grow(x[~left], g[~left], h[~left], depth - 1))
+
+    def _values(self, tree, x: np.ndarray) -> np.ndarray:
+        if not isinstance(tree, tuple):
+            return np.full(len(x), tree)
+        return np.where(x[:, tree[0]] <= tree[1], self._values(tree[2], x), self._values(tree[3], x))
+
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return sum((self._values(t, x) for t in self.trees), np.zeros(len(x)))
+
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope[x[:, 0]] * self.raw(x) + self.shift[x[:, 0]], -30, 30)))
+
+    def fit(self, taught: tuple, held: tuple, least_precision: float, rounds: int = 40) -> None:
+        """``taught``, ``held``: (feature vectors, weight of examples, weight of counter-examples of each)."""
+        x, a, b = taught
+        f = np.zeros(len(x))
         for _ in range(rounds):
-            p = [1 / (1 + math.exp(-max(-30, min(30, x)))) for x in f]
-            g = [q * (a + b) - a for q, (_, a, b) in zip(p, rows)]
-            h = [q * (1 - q) * (a + b) for q, (_, a, b) in zip(p, rows)]
-            tree = self._grow(rows, g, h, list(range(len(rows))), 2)
-            self.trees.append(tree)
-            f = [x + self.value(tree, r[0]) for x, r in zip(f, rows)]
-        raw = [(self.raw(x), a, b) for x, a, b in held]
-        for _ in range(50):  # Newton steps for the slope and shift of the calibration
-            gs = gt = hss = hst = htt = 0.0
-            for x, a, b in raw:
-                p = 1 / (1 + math.exp(-max(-30, min(30, self.slope * x + self.shift))))
-                d, w = p * (a + b) - a, p * (1 - p) * (a + b)
-                gs, gt, hss, hst, htt = gs + d * x, gt + d, hss + w * x * x, hst + w * x, htt + w
-            gs, gt, hss, htt = gs + 0.1 * (self.slope - 1), gt + 0.1 * self.shift, hss + 0.1, htt + 0.1
-            det = hss * htt - hst * hst
-            self.slope -= max(-1.0, min(1.0, (htt * gs - hst * gt) / det))
-            self.shift -= max(-1.0, min(1.0, (hss * gt - hst * gs) / det))
+            p = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+            self.trees.append(self._grow(x, p * (a + b) - a, p * (1 - p) * (a + b), 3))
+            f = f + self._values(self.trees[-1], x)
+        x, a, b = held
+        raw = self.raw(x)
+        for kind in range(len(GENERATORS)):
+            own = x[:, 0] == kind
+            self.slope[kind], self.shift[kind] = _calibration(raw[own], a[own], b[own])
+        p = self.probabilities(x)
+        for kind in range(len(GENERATORS)):
+            own = np.flatnonzero((x[:, 0] == kind) & (p >= 0.5))
+            own = own[np.argsort(-p[own], kind="stable")]
+            right = np.cumsum(a[own]) >= least_precision * np.cumsum(a[own] + b[own])
+            if right.any():
+                last = np.flatnonzero(right)[-1]
+                below = 0.5 if last == len(own) - 1 else float(p[own[last + 1]])
+                self.thresholds[kind] = below if last == len(own) - 1 else (float(p[own[last]]) + below) / 2
 
     def column(self, f: Column) -> Column:
         """The calibrated probability as a column expression over a struct of features."""
@@ -220,65 +351,86 @@ class Boosted:
                 return F.lit(float(tree))
             return F.when(f[names[tree[0]]] <= tree[1], of(tree[2])).otherwise(of(tree[3]))
 
-        total = F.lit(0.0)
-        for t in self.trees:
-            total = total + of(t)
-        return 1 / (1 + F.exp(-(F.lit(self.slope) * total + F.lit(self.shift))))
-
-
-def learn(found: DataFrame) -> Boosted | None:
-    """Fit on the histogram of feature vectors of all candidates."""
-    each = found.select(F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"), F.explode("candidates").alias("c")).select("half", "c.base", "c.f.*")
-    counts = each.groupBy("half", "base", *FEATURES).agg(F.count("*").alias("n"))
-    halves: tuple[dict, dict] = ({}, {})
-    seen = {True: 0, False: 0}
-    for r in counts.collect():
-        x = tuple(r[k] for k in FEATURES)
-        looser = dict(zip(FEATURES, x))
-        seen[r.base] += r.n
-        examples = [x]
-        if r.base:
-            looser |= {"spelled": 1} if looser["generator"] else {"plus": 0} if looser["plus"] else {}
-            examples.append(tuple(looser.values()))
-        for e in examples:
-            weights = halves[r.half].setdefault(e, [0.0, 0.0])
-            weights[0 if r.base else 1] += math.log1p(r.n)
-    if not all(seen.values()):
-        return None
+        raw = F.aggregate(F.array(*[of(t) for t in self.trees]), F.lit(0.0), lambda s, v: s + v)
+        slope, shift = (F.element_at(F.array(*[F.lit(float(v)) for v in own]), f["kind"] + 1) for own in (self.slope, self.shift))
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), slope * raw + shift))))
+
+
+def learn(found: DataFrame, least_precision: float) -> Boosted:
+    """Fit on the histogram of labelled candidates, and as much weight of made ones for each kind.
+
+    ``found``: rows (half, made, candidates), where ``made`` is null but for made examples.
+    """
+    each = found.select("half", "made", F.explode("candidates").alias("c"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in GENERATORS]), F.col("c.f.kind") + 1)
+    label = F.when(F.col("made").isNull(), F.col("c.label")).when(kind == F.col("made"), 1).when(F.col("made") == "none", 0)
+    counts = each.select("half", F.col("made").isNotNull().alias("made"), label.alias("label"), "c.f.*").where("label IS NOT NULL").groupBy("half", "made", "label", *FEATURES).agg(F.count("*").alias("n"))
+    rows = [(r.half, r.made, r.label, [r[k] for k in FEATURES], float(r.n)) for r in counts.collect()]  # bounded by the product of the bins
+    chance = [CHANCE.get(k, 1.0) for k in GENERATORS]
+    rows = [(half, made, label, x, n * (chance[x[0]] if label == 0 and not made else 1.0)) for half, made, label, x, n in rows]
+    total = lambda i, made: sum(n for _, m, _, x, n in rows if x[0] == i and m == made)
+    weight = [max(1.0, total(i, False) / max(1.0, total(i, True))) for i in range(len(GENERATORS))]
+    halves = []
+    for half in (0, 1):
+        own = [(label, x, n * (weight[x[0]] if made else 1.0)) for h, made, label, x, n in rows if h == half]
+        x = np.array([r[1] for r in own], np.int64).reshape(-1, len(FEATURES))
+        halves.append((x, np.array([r[2] * (r[0] == 1) for r in own]), np.array([r[2] * (r[0] == 0) for r in own])))
     model = Boosted()
-    rows = [[(x, a, b) for x, (a, b) in sorted(half.items())] for half in halves]
-    model.fit(rows[0] or rows[1], rows[1] or rows[0])
+    model.fit(*halves, least_precision)
     return model
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.9) -> DataFrame:
-    """One row per document: doc_id, text, an array of base spans for each kind, and ``added``.
-
-    ``added`` has (kind, a, b, p): spans of the boosted trees, with their calibrated probability.
+def _kept(likely: Column) -> Column:
+    """Of an array sorted by start, a sweep: of two that overlap the likelier, then the earlier stays."""
+
+    def step(s: Column, c: Column) -> Column:
+        last = F.try_element_at(s, F.lit(-1))
+        apart = last.isNull() | (last["b"] <= c["a"])
+        return F.when(apart, F.concat(s, F.array(c))).when(c["p"] > last["p"], F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(c))).otherwise(s)
+
+    return F.aggregate(likely, F.array().cast("array<struct<a:int,b:int,kind:string,p:double>>"), step)
+
+
+def added_spans(found: DataFrame, model: Boosted) -> DataFrame:
+    """(of_row, added) for rows of ``found`` (row, base spans, candidates) to which spans are added."""
+    failed = (F.col("c.label") == 0) & (F.col("c.f.kind") != list(GENERATORS).index("secret"))
+    each = found.where(F.size("candidates") > 0).select("row", F.explode("candidates").alias("c")).where(~F.coalesce(failed, F.lit(False))).select("row", "c.a", "c.b", "c.f")
+    least = F.element_at(F.array(*[F.lit(t) for t in model.thresholds]), F.col("f.kind") + 1)
+    kind = F.element_at(F.array(*[F.lit(k) for k in GENERATORS]), F.col("f.kind") + 1)
+    likely = settled(each.withColumn("p", model.column(F.col("f")))).where(F.col("p") >= least).select("row", "a", "b", kind.alias("kind"), "p", F.lit(False).alias("base"))
+    strict = found.select("row", F.inline(F.concat(*KINDS))).select("row", "a", "b", F.lit("").alias("kind"), F.lit(2.0).alias("p"), F.lit(True).alias("base"))
+    own = Window.partitionBy("row")
+    so_far = lambda *order: own.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.max(F.when(F.col("base"), F.col("b"))).over(so_far("a", F.desc("base")))
+    behind = F.min(F.when(F.col("base"), F.col("a"))).over(so_far(F.desc("a"), F.desc("base")))
+    free = likely.union(strict).withColumn("before", before).withColumn("behind", behind)
+    free = free.where(~F.col("base") & (F.coalesce("before", F.lit(0)) <= F.col("a")) & (F.coalesce("behind", F.col("b")) >= F.col("b")))
+    # clusters of candidates that overlap each other, swept one by one
+    by_start = Window.partitionBy("row").orderBy("a", "b", "kind")
+    furthest = F.max("b").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    opened = free.withColumn("opens", (F.coalesce(furthest, F.lit(0)) <= F.col("a")).cast("int"))
+    clusters = opened.withColumn("cluster", F.sum("opens").over(by_start)).groupBy("row", "cluster").agg(F.sort_array(F.collect_list(F.struct("a", "b", "kind", "p"))).alias("likely"))
+    kept = clusters.select("row", F.inline(_kept(F.col("likely"))))
+    added = F.transform(F.sort_array(F.collect_list(F.struct("a", "b", "kind", "p"))), lambda c: F.struct(c["kind"].alias("kind"), c["a"].alias("a"), c["b"].alias("b"), c["p"].alias("p")))
+    return kept.groupBy(F.col("row").alias("of_row")).agg(added.cast(_ADDED).alias("added"))  # spans of one text
+
+
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_precision: float = 0.9) -> DataFrame:
+    """One row per document: row, doc_id, an array of base spans for each kind, and ``added``.
+
+    ``added`` has (kind, a, b, p): spans of the boosted trees, with their calibrated probability. ``row`` is
+    the number that the row of ``docs`` had when it was read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    found = candidates(base_spans(rows))
-    model = learn(found)
-    kind = "array<struct<kind:string,a:int,b:int,p:double>>"
-    if model is None:
-        return found.select("doc_id", "text", *KINDS, F.array().cast(kind).alias("added"))
-    scored = F.transform(
-        F.filter("candidates", lambda c: ~c["base"]),
-        lambda c: F.struct(
-            (-model.column(c["f"])).alias("order"),
-            c["a"].alias("a"),
-            c["b"].alias("b"),
-            F.when(c["f"]["generator"] == 1, F.lit("email")).when(c["f"]["bytes"] == 1, F.lit("ip")).when(c["f"]["digits"] >= 6, F.lit("card")).otherwise(F.lit("phone")).alias("kind"),
-        ),
-    )
-    likely = F.array_sort(F.filter(scored, lambda c: c["order"] <= -threshold))
-    one = lambda c: F.struct(c["kind"].alias("kind"), c["a"].alias("a"), c["b"].alias("b"), (-c["order"]).alias("p"))
-    added = F.aggregate(
-        likely,
-        F.array().cast(kind),
-        lambda s, c: F.when(F.exists(s, lambda t: (t["a"] < c["b"]) & (c["a"] < t["b"])), s).otherwise(F.concat(s, F.array(one(c)))),
-    )
-    return found.select("doc_id", "text", *KINDS, F.when(F.size("candidates") > 0, added).otherwise(F.array().cast(kind)).alias("added"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.lit(None).cast("string").alias("made"), F.pmod(F.xxhash64(id_col), F.lit(2)).cast("int").alias("half"))
+    examples = docs.sparkSession.createDataFrame([(t, k or "none", zlib.crc32(t.encode()) % 2) for t, k in made_examples()], "text string, made string, half int")
+    both = rows.union(examples.select(F.lit(None).cast(rows.schema["doc_id"].dataType), "text", "made", "half"))
+    every = staged(spans_and_candidates(both).select(F.monotonically_increasing_id().alias("row"), "*"), "spans")
+    found, none = every.where("made IS NULL").drop("made", "half"), F.array().cast(_ADDED)
+    if found.where(F.size("candidates") > 0).isEmpty():
+        return found.select("row", "doc_id", *KINDS, none.alias("added"))
+    added = added_spans(found, learn(every, least_precision))
+    out = found.drop("candidates").join(added, F.col("row") == F.col("of_row"), "left")
+    return out.select("row", "doc_id", *KINDS, F.coalesce("added", none).alias("added"))
 
 
 def _ends(s: Column) -> Column:
@@ -298,20 +450,21 @@ def _of_kind(kind: str):
 
 
 def span_list(with_added: bool) -> Column:
-    """Spans as kind:start:end by kind as listed, then start, comma-joined."""
-    parts = []
-    for kind in KINDS:
-        own = F.transform(kind, _ends)
-        if with_added:
-            own = F.array_sort(F.concat(own, F.transform(F.filter("added", _is(kind)), _ends)))
-        parts.append(F.transform(own, _written(kind)))
+    """Spans as kind:start:end by kind as listed (the method's own kinds last), then start, comma-joined."""
+    parts = [F.transform(k, _written(k)) for k in KINDS]
+    if with_added:
+        of = lambda k: F.transform(F.filter("added", _is(k)), _ends)
+        both = {k: F.array_sort(F.concat(F.transform(k, _ends), of(k))) if k in KINDS else F.array_sort(of(k)) for k in (*KINDS, *MORE)}
+        parts = [F.transform(own, _written(k)) for k, own in both.items()]
     return F.array_join(F.concat(*parts), ",")
 
 
-def redacted(docs: DataFrame, **how) -> DataFrame:
+def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """doc_id and text with every span replaced by its kind in angle brackets."""
-    found = personal_data(docs, **how)
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("no"), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")), "texts")
+    found = personal_data(rows, "no", "text", **how)
     spans = F.concat(*[F.transform(k, _of_kind(k)) for k in KINDS], F.transform("added", lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), s["kind"].alias("k"))))
+    found = found.select(F.col("doc_id").alias("of_no"), F.array_sort(spans).alias("spans")).where(F.size("spans") > 0)
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("text")
 
@@ -321,4 +474,5 @@ def redacted(docs: DataFrame, **how) -> DataFrame:
         return F.struct(F.greatest(s["at"], x["b"]).alias("at"), F.concat(s["out"], between, mark).alias("out"))
 
     rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
-    return found.select("doc_id", F.aggregate(F.array_sort(spans), state, step, rest).alias("text"))
+    both = rows.join(found, F.col("no") == F.col("of_no"), "left")
+    return both.select("doc_id", F.when(F.col("spans").isNotNull(), F.aggregate("spans", state, step, rest)).otherwise(text).alias("text"))

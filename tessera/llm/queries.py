@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +23,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The documents' columns. A table of fewer splits than cores is dealt to all of them, as its size makes that cheap."""
+    docs, cores = _table(spark, sf_dir, "documents").select("doc_id", "text", *columns), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir)
     hits = benchmark_hits(docs, _table(spark, sf_dir, "benchmark"))
     n_hit = words_hit("hits.runs")
     return hits.select(
@@ -36,27 +44,28 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(_table(spark, sf_dir, "documents"))
+    return pack_documents(_documents(spark, sf_dir))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = license_scan(_table(spark, sf_dir, "documents"))
+    found = license_scan(_documents(spark, sf_dir))
     own = F.transform("detections", lambda x: x["label"])
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", label_list(F.col("base")).alias("base_labels"), label_list(F.col("base"), own).alias("labels"), "score")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(_table(spark, sf_dir, "documents"))
+    return remove_repeats(_documents(spark, sf_dir))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(_table(spark, sf_dir, "documents"), digest_all=True).drop("row_hash")
+    return exact_groups(_documents(spark, sf_dir), digest_all=True).drop("row_hash")
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = personal_data(_table(spark, sf_dir, "documents"))
+    found = personal_data(_documents(spark, sf_dir))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(span_list(False), 256).alias("base_sha256"), span_list(True).alias("spans"))
+    own = F.size("added") + reduce(lambda a, b: a + b, [F.size(k) for k in KINDS])
+    return found.select("doc_id", *counts, F.sha2(span_list(False), 256).alias("base_sha256"), span_list(True).alias("spans"), own.cast("long").alias("n_spans"), (own > 0).alias("personal"))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
@@ -64,17 +73,17 @@ def op7_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    return token_file_digest(_table(spark, sf_dir, "documents"), tokenizer, end_id=2)
+    return token_file_digest(_documents(spark, sf_dir), tokenizer, end_id=2)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir)
     found = graded(docs, _table(spark, sf_dir, "labels"))
     return found.select("doc_id", "quality.expected_grade", F.col("quality.tail").alias("p_good"), F.col("quality.selected").alias("kept"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir)
     found = toxicity(docs, _table(spark, sf_dir, "labels"))
     return found.select(
         "doc_id",
@@ -85,7 +94,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash_components(_table(spark, sf_dir, "documents"))
+    found = simhash_components(_documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
