@@ -70,19 +70,28 @@ def suspicious_lines(comment: Column, international: bool = False) -> Column:
     return lines_like(F.lower(text_of(comment)), SUSPICIOUS_INTERNATIONAL if international else SUSPICIOUS)
 
 
+#: Words that start a statement when a bracket, nothing, or a colon further on follows.
+STARTS = {"bracket": ["if", "while", "for", "foreach", "switch"], "alone": ["else"], "colon": ["case", "default"]}
+
+
 def commented_out_lines(comment: Column) -> Column:
-    """Comment lines that end like a statement or start like one."""
-    bare = F.regexp_replace(text_of(comment), r"/\*|\*/|//", "  ")
-    return lines_like(bare, r"[;{}]\s*$|^\s*(?:if\s*\(|else\b|while\s*\(|for\s*\(|foreach\s*\(|switch\s*\(|case\b.*:|default\s*:)")
+    """Comment lines whose last sign ends a statement, or whose first word starts one."""
+
+    def like_code(line: Column) -> Column:
+        bare = F.regexp_replace(line, r"^[\s/*]+|[\s/*]+$", "")
+        word = F.regexp_extract(bare, r"^[a-z]+", 0)
+        rest = F.regexp_replace(bare, r"^[a-z]+\s*", "")
+        opens = word.isin(*STARTS["bracket"]) & F.startswith(rest, F.lit("("))
+        return F.right(bare, F.lit(1)).isin(";", "{", "}") | opens | word.isin(*STARTS["alone"]) | (word.isin(*STARTS["colon"]) & F.contains(rest, F.lit(":")))
+
+    return F.size(F.filter(lines(comment), like_code)).cast("bigint")
 
 
 def magic_numbers(code: Column) -> Column:
-    """Number literals but for single digits, 0. and 1. forms, ``#define`` and constants' declarations."""
-    x = F.regexp_replace(text_of(code), r"#\s*define\s+\w+\s+\d+", "")
-    x = F.regexp_replace(x, r"[\n;][ \t]*\b(?:const|final)\b[^={]*=[^;]*", "")
-    x = F.regexp_replace(x, r"(\W)[01]?\.0?(\W)", "$1---$2")
-    found = F.regexp_extract_all(x, F.lit(r"\W((?:\d|\.\d)(?:[Ee][+-]?\d|[\w.])*)"), F.lit(1))
-    return F.size(F.filter(found, lambda n: ~F.rlike(n, F.lit(r"^0*\d$")))).cast("bigint")
+    """Words that start with a digit, but for single digits, 0. and 1. forms, macro definitions and declarations of constants."""
+    statements = F.filter(F.split(text_of(code), r"[\n;]"), lambda s: ~F.rlike(s, F.lit(r"^\s*#\s*define\b|^\s*(?:const|final)\b[^=]*=")))
+    words = F.flatten(F.transform(statements, lambda s: F.regexp_extract_all(s, F.lit(r"[\w.]+"), F.lit(0))))
+    return F.size(F.filter(words, lambda w: F.rlike(w, F.lit(r"^\.?\d")) & ~F.rlike(w, F.lit(r"^(?:0*\d|[01]?\.0?)\.*$")))).cast("bigint")
 
 
 def ternary_operators(code: Column) -> Column:
@@ -90,30 +99,41 @@ def ternary_operators(code: Column) -> Column:
     return (F.length(bare) - F.length(F.replace(bare, F.lit("?"), F.lit("")))).cast("bigint")
 
 
-#: Innermost parentheses, and how often they are folded away by ``conditions``.
-_INNER, _FOLDS = r"\(([^()]*)\)", 6
-
-
 def complex_conditions(code: Column, least: int = 4) -> Column:
     """Conditions of if, while, for and so on that use both && and || and at least ``least`` of them in all.
 
-    Parentheses nested deeper than seven levels aren't taken for one condition.
+    One pass over brackets and signs that counts how deep it stands, so brackets may nest as they like; a
+    condition without its closing bracket doesn't count.
     """
-    x = F.regexp_replace(text_of(code), r"(#\s*)(if|ifdef|ifndef|else|elif|endif)", "$1_$2")
-    nested = r"[^()]*"
-    for _ in range(_FOLDS):
-        nested = rf"(?:[^()]|\({nested}\))*+" if nested != r"[^()]*" else r"(?:[^()]|\([^()]*\))*+"
-    found = F.regexp_extract_all(x, F.lit(rf"\b(?:if|while|for|until|elsif|elseif)\s*\(({nested})\)"), F.lit(1))
-    both = lambda c: F.contains(c, F.lit("&&")) & F.contains(c, F.lit("||")) & (F.regexp_count(c, F.lit(r"&&|\|\|")) >= least)
-    return F.size(F.filter(found, both)).cast("bigint")
+    signs = F.regexp_extract_all(text_of(code), F.lit(r"#\s*(?:if|elif)\b|\b(?:if|while|for|until|elsif|elseif)\s*\(|[()]|&&|\|\|"), F.lit(0))
+    state = F.struct(*[F.lit(0).alias(k) for k in ("deep", "both", "either", "found")])
+
+    def step(s: Column, x: Column) -> Column:
+        up, down = F.endswith(x, F.lit("(")), x == ")"
+        opens = up & (F.length(x) > 1) & (s["deep"] == 0)
+        deep = F.when(opens, 1).when(s["deep"] == 0, 0).when(up, s["deep"] + 1).when(down, s["deep"] - 1).otherwise(s["deep"])
+        inside = s["deep"] > 0
+        both = F.when(opens, 0).otherwise(s["both"] + (inside & (x == "&&")).cast("int"))
+        either = F.when(opens, 0).otherwise(s["either"] + (inside & (x == "||")).cast("int"))
+        ends = inside & down & (s["deep"] == 1) & (s["both"] > 0) & (s["either"] > 0) & (s["both"] + s["either"] >= least)
+        return F.struct(deep.alias("deep"), both.alias("both"), either.alias("either"), (s["found"] + ends.cast("int")).alias("found"))
+
+    return F.aggregate(signs, state, step, lambda s: s["found"]).cast("bigint")
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy of the characters, in bits; zero for an empty text."""
-    chars = F.filter(F.split(text_of(text), ""), lambda c: c != "")
-    n = F.size(chars)
-    one = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-    return F.coalesce(F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda s, c: s - one(c) * F.log2(one(c))), F.lit(0.0))
+    """Shannon entropy of the characters, in bits; zero for an empty text. Runs of equal characters are counted in one pass over them sorted."""
+    chars = F.array_sort(F.filter(F.split(text_of(text), ""), lambda c: c != ""))
+    n = F.length(text_of(text))
+    state = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
+    part = lambda run: F.when(run > 0, run * F.log2(run.cast("double"))).otherwise(F.lit(0.0))
+
+    def step(s: Column, c: Column) -> Column:
+        same = c == s["last"]
+        return F.struct(c.alias("last"), F.when(same, s["run"] + 1).otherwise(1).alias("run"), F.when(same, s["sum"]).otherwise(s["sum"] + part(s["run"])).alias("sum"))
+
+    total = F.aggregate(chars, state, step, lambda s: s["sum"] + part(s["run"]))
+    return F.when(n > 0, F.log2(n.cast("double")) - total / n).otherwise(F.lit(0.0))
 
 
 def split_at(text: Column, mark: str) -> tuple[Column, Column]:
@@ -130,3 +150,69 @@ def common_prefix(paths: Column) -> Column:
     same = lambda n: F.forall(parts, lambda p: F.slice(p, F.lit(1), n) == F.slice(first, F.lit(1), n))
     best = F.array_max(F.filter(F.sequence(F.lit(0), F.size(first)), lambda n: (n == 0) | same(n)))
     return F.when(F.size(paths) > 0, F.array_join(F.slice(first, F.lit(1), best), "/"))
+
+
+# Brackets and line ranges
+
+#: Brackets and their partners.
+PAIRS = {"(": ")", "[": "]", "{": "}"}
+
+
+def _depths(text: Column) -> Column:
+    """(i: place from 1, c: sign, d: depth behind it) of each bracket and mark, in one pass."""
+    signs = F.regexp_extract_all(text_of(text), F.lit(r"[^()\[\]{}]+|[()\[\]{}]"), F.lit(0))
+    kind = "array<struct<i:int,c:string,d:int>>"
+    state = F.struct(F.lit(1).alias("i"), F.lit(0).alias("d"), F.array().cast(kind).alias("out"))
+
+    def step(s: Column, c: Column) -> Column:
+        d = s["d"] + F.when(c.isin(*PAIRS), 1).when(c.isin(*PAIRS.values()), -1).otherwise(0)
+        return F.struct((s["i"] + F.length(c)).alias("i"), d.alias("d"), F.concat(s["out"], F.array(F.struct(s["i"].alias("i"), c.alias("c"), d.alias("d")))).alias("out"))
+
+    return F.aggregate(signs, state, step, lambda s: s["out"])
+
+
+def bracketed(text: Column) -> Column:
+    """(inside, behind) of the first bracket of a text and its partner; nulls where there is none, or where it isn't closed."""
+    t = text_of(text)
+    at = F.regexp_instr(t, F.lit(r"[(\[{]"))
+    own = F.substring(t, at, F.length(t))
+    end = F.try_element_at(F.filter(_depths(own), lambda x: (x["d"] == 0) & x["c"].isin(*PAIRS.values())), F.lit(1))["i"]
+    found = (at > 0) & end.isNotNull()
+    return F.struct(F.when(found, F.substring(own, F.lit(2), end - 2)).alias("inside"), F.when(found, F.substring(own, end + 1, F.length(own))).alias("behind"))
+
+
+def split_outside(text: Column, mark: str) -> Column:
+    """The parts of a text between the places of a one-sign ``mark`` that stand outside all brackets."""
+    pieces = F.transform(_depths(text), lambda x: F.when(x["d"] == 0, F.replace(x["c"], F.lit(mark), F.lit("\x00"))).otherwise(x["c"]))
+    return F.split(F.array_join(pieces, ""), "\x00", -1)
+
+
+def line_range(text: Column, first: Column | int, last: Column | int) -> Column:
+    """The lines from ``first`` to ``last`` (from 1), with their line ends between them; empty where there are none."""
+    a, b = (x if isinstance(x, Column) else F.lit(x) for x in (first, last))
+    return F.array_join(F.slice(lines(text), F.greatest(F.lit(1), a), F.greatest(F.lit(0), b - F.greatest(F.lit(1), a) + 1)), "\n")
+
+
+def missing_braces(code: Column) -> Column:
+    """Control words (if, while, for, else, do) whose statement isn't in braces, empty ones aside; the brackets behind them are skipped as a whole."""
+    signs = F.regexp_extract_all(text_of(code), F.lit(r"\b(?:else\s+if|if|while|for|else|do)\b|[(){};]|[^\s(){};]+"), F.lit(0))
+    state = F.struct(F.lit("").alias("wait"), F.lit(0).alias("deep"), F.lit("").alias("last"), F.lit(0).alias("found"))
+    bracket = ("if", "while", "for")
+
+    def step(s: Column, x: Column) -> Column:
+        word = F.when(F.startswith(x, F.lit("else ")) | F.rlike(x, F.lit(r"^else\s+if$")), F.lit("if")).otherwise(x)
+        control = word.isin("if", "while", "for", "else", "do")
+        deep = s["deep"] + F.when(x == "(", 1).when((x == ")") & (s["deep"] > 0), -1).otherwise(0)
+        # behind a control word: its brackets first, then a brace, or it is found
+        tail = (s["last"] == "}") & (x == "while")  # the end of do {} while ()
+        judged = (s["wait"] == "open") & (s["deep"] == 0)
+        fails = judged & (x != "{") & ~((x == "(") & s["last"].isin(*bracket)) & (x != ";")
+        wait = F.when(tail, F.lit("")).when(control, F.lit("open")).when(judged & (x == "("), F.lit("open")).when(judged, F.lit("")).otherwise(s["wait"])
+        return F.struct(wait.alias("wait"), deep.alias("deep"), word.alias("last"), (s["found"] + fails.cast("int")).alias("found"))
+
+    return F.aggregate(signs, state, step, lambda s: s["found"]).cast("bigint")
+
+
+def absolute_includes(code: Column) -> Column:
+    """Includes of an absolute path."""
+    return count_of(code, r"(?m)^[ \t]*#[ \t]*include[ \t]*[<\"](?:[A-Za-z]:)?[\\/]")

@@ -1,8 +1,8 @@
 r"""Version numbers: canonical form, order, ranges.
 
-A version is dotted numbers, with ``x`` standing for anything from there on. ``order_key`` is a string that
-sorts as the versions do, with missing parts as zero; ``x`` sorts with the highest, so a range that ends at
-``2.x`` holds all of 2. Ranges are (least, greatest) pairs, null where open. Strict bounds are widened to
+A version is dotted numbers, with ``x`` standing for anything from there on. ``order_key`` is an array that
+sorts as the versions do, for any number of parts and digits, with missing parts as zero; ``x`` sorts with the
+highest, so a range that ends at ``2.x`` holds all of 2. Ranges are (least, greatest) pairs, null where open. Strict bounds are widened to
 inclusive ones; ``<v`` bounds from above, and brackets are read like parentheses.
 """
 
@@ -11,9 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PARTS, WIDTH = 8, 12
-
-
 def canonical(version: Column) -> tuple[Column, Column]:
     """(dotted numbers, tag) of a version as it is written; nulls without a number."""
     v = F.regexp_replace(version, r"[-_](?=[^x\d]|$)", ".")
@@ -28,12 +25,21 @@ def comparable(version: Column) -> Column:
     return F.when(F.rlike(version, F.lit(r"^[.\dx]+$")), F.filter(F.split(v, r"\."), lambda p: p != ""))
 
 
+_ZERO = "00000000010"  # one digit, which is 0
+
+
+def _number(part: Column) -> Column:
+    """A string of digits as one that sorts like its number: the count of its digits, then the digits."""
+    bare = F.regexp_replace(part, r"^0+(?=.)", "")
+    return F.concat(F.lpad(F.length(bare).cast("string"), 10, "0"), bare)
+
+
 def order_key(version: Column) -> Column:
-    """Sorts like the version; null where it can't be compared."""
+    """An array that sorts like the version; null where it can't be compared."""
     parts = comparable(version)
-    fill = F.when(F.array_contains(parts, "x"), F.lit("x")).otherwise(F.lit("0"))
-    own = F.concat(F.filter(parts, lambda p: p != "x"), F.array_repeat(fill, PARTS))
-    return F.when(parts.isNotNull(), F.array_join(F.transform(F.slice(own, 1, PARTS), lambda p: F.when(p == "x", F.lit("x" * WIDTH)).otherwise(F.lpad(p, WIDTH, "0"))), "."))
+    own = F.transform(F.filter(parts, lambda p: p != "x"), _number)
+    last = F.coalesce(F.array_max(F.transform(own, lambda p, i: F.when(p != _ZERO, i + 1).otherwise(0))), F.lit(0))
+    return F.when(F.array_contains(parts, "x"), F.concat(own, F.array(F.lit("x")))).when(parts.isNotNull(), F.slice(own, F.lit(1), last))
 
 
 def compare(previous: Column, new: Column) -> Column:
@@ -45,7 +51,7 @@ def compare(previous: Column, new: Column) -> Column:
     def step(s: Column, p: Column) -> Column:
         x, y = F.coalesce(p["a"], F.lit("0")), F.coalesce(p["b"], F.lit("0"))
         wild = (x == "x") | (y == "x")
-        m, n = F.try_to_number(x, F.lit("9" * WIDTH)), F.try_to_number(y, F.lit("9" * WIDTH))
+        m, n = _number(x), _number(y)
         sign = F.when(wild | (m == n), 0).when(m > n, -1).otherwise(1)
         return F.struct(F.when(s["done"], s["sign"]).otherwise(sign).alias("sign"), (s["done"] | wild | (sign != 0)).alias("done"))
 
@@ -64,7 +70,7 @@ def _simple_range(v: Column) -> tuple[Column, Column]:
 
 def _of(ranges: Column, side: str, greatest: bool) -> Column:
     some = F.filter(ranges, lambda r: r[side].isNotNull())
-    keyed = F.transform(some, lambda r: F.struct(F.coalesce(order_key(r[side]), F.lit("")).alias("k"), r[side].alias("v")))
+    keyed = F.transform(some, lambda r: F.struct(F.coalesce(order_key(r[side]), F.array().cast("array<string>")).alias("k"), r[side].alias("v")))
     best = F.array_max(keyed) if greatest else F.array_min(keyed)
     return best["v"]
 

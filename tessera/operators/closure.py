@@ -2,7 +2,7 @@ r"""Closures over dependency edges to a fixpoint, and lookups along ancestors.
 
 Each round joins only what the last round found with the edges, keeps what is new, and writes it to the
 shared folder, so a lost executor costs a round at most and plans don't grow. Rounds stop when one finds
-nothing new, or after ``max_rounds``. Joins are on node keys; AQE splits hot ones.
+nothing new; if ``max_rounds`` don't get there that is an error, never a partial result. Joins are on node keys; AQE splits hot ones.
 
 Defined cases: null nodes are not followed; cycles end, as a pair is kept once, at its least depth; repeated
 edges and seeds count once; no edges leave the seeds at depth zero.
@@ -30,9 +30,9 @@ def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = MAX_ROUNDS) ->
         following = found[-1].join(links, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node")).distinct()
         fresh = written(following.join(known, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
         if fresh.isEmpty():
-            break
+            return reduce(DataFrame.unionByName, found)
         found.append(fresh)
-    return reduce(DataFrame.unionByName, found)
+    raise RuntimeError(f"the closure goes on past {max_rounds} rounds")
 
 
 def distinct_dependencies(refs: DataFrame, column: str = "ref") -> DataFrame:
@@ -51,7 +51,7 @@ def scan_until_stable(scan, seeds: DataFrame, max_rounds: int = MAX_ROUNDS) -> t
         if after.join(known, "ref", "left_anti").isEmpty():
             return after, n
         known = after
-    return known, max_rounds
+    raise RuntimeError(f"the scan found new references for {max_rounds} rounds")
 
 
 def nearest_ancestor_value(wanted: DataFrame, parents: DataFrame, values: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:

@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.versions import order_key, version_range
+from tessera.operators.closure import closure, nearest_ancestor_value
+from tessera.operators.rules import first_match
+from tessera.staging import written
 
 COLUMNS = ["path", "dir", "techno", "name", "version", "low", "high", "environment"]
 
@@ -49,19 +52,37 @@ def _json_map(files: DataFrame, field: str) -> DataFrame:
 
 
 def npm_packages(files: DataFrame) -> DataFrame:
-    """Run-time dependencies of package.json and bower.json."""
-    found = _json_map(_named(files, "package.json", "bower.json"), "dependencies")
+    """Run-time dependencies of package.json."""
+    found = _json_map(_named(files, "package.json"), "dependencies")
     return _rows(found, "JS", F.col("key"), F.col("value"))
 
 
+def bower(files: DataFrame) -> DataFrame:
+    """Run-time dependencies of bower.json."""
+    found = _json_map(_named(files, "bower.json"), "dependencies")
+    return _rows(found, "JS", F.col("key"), F.col("value"))
+
+
+def nested_json(files: DataFrame, field: str) -> DataFrame:
+    """(path, dir, key, value: JSON text) of the objects below ``field``, and of those below the same field of each of them, level by level."""
+    each = lambda text: F.explode(F.from_json(F.get_json_object(text, f"$.{field}"), "map<string,string>"))
+    level = files.select("path", "dir", each(F.col("text")).alias("key", "value"))
+    every = level
+    while not level.isEmpty():
+        level = written(level.where(F.contains("value", F.lit(f'"{field}"'))).select("path", "dir", each(F.col("value")).alias("key", "value")), "json")
+        every = every.union(level)
+    return every
+
+
 def npm_lock(files: DataFrame) -> DataFrame:
-    """Packages of package-lock.json (all versions of the format), development ones dropped."""
-    kind = "map<string,struct<version:string,dev:boolean>>"
+    """Packages of package-lock.json (all versions of the format, nested ones too), development ones dropped."""
     text = _named(files, "package-lock.json")
-    old = text.select("path", "dir", F.explode(F.from_json(F.get_json_object("text", "$.dependencies"), kind)).alias("key", "value"))
-    new = text.select("path", "dir", F.explode(F.from_json(F.get_json_object("text", "$.packages"), kind)).alias("key", "value")).where("key <> ''")
-    both = old.union(new.withColumn("key", F.regexp_extract("key", r"(?:^|.*node_modules/)([^/]+(?:/[^/]+)?)$", 1)).select(*old.columns))
-    return _rows(both.where("NOT coalesce(value.dev, false)").distinct(), "JS", F.col("key"), F.col("value.version"))
+    old = nested_json(text, "dependencies")
+    new = text.select("path", "dir", F.explode(F.from_json(F.get_json_object("text", "$.packages"), "map<string,string>")).alias("key", "value")).where("key <> ''")
+    both = old.union(new.withColumn("key", F.regexp_extract("key", r"(?:^|.*node_modules/)([^/]+(?:/[^/]+)?)$", 1)))
+    own = F.from_json("value", "version string, dev boolean")
+    found = both.select("path", "dir", "key", own.alias("p")).where("NOT coalesce(p.dev, false)").select("path", "dir", "key", "p.version").distinct()
+    return _rows(found, "JS", F.col("key"), F.col("version"))
 
 
 def composer(files: DataFrame) -> DataFrame:
@@ -87,10 +108,24 @@ def _pairs(files: DataFrame, pattern: str) -> DataFrame:
     return files.select("path", "dir", F.explode(zipped).alias("e"))
 
 
+def _go_block(verb: str) -> Column:
+    """The lines of go.mod that belong to a verb, in brackets or not, without the verb and comments."""
+    text = F.concat(F.regexp_replace("text", r"//[^\n]*", ""), F.lit("\n"))
+    listed = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(rf"(?ms)^{verb}\s*\((.*?)^\s*\)"), F.lit(1)), lambda x: F.split(x, "\n")))
+    single = F.regexp_extract_all(text, F.lit(rf"(?m)^{verb}[ \t]+([^(\n]+)$"), F.lit(1))
+    return F.filter(F.transform(F.concat(listed, single), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+
+
 def go_modules(files: DataFrame) -> DataFrame:
-    """Modules that go.mod requires."""
-    found = _pairs(_named(files, "go.mod"), r"(?m)^(?:require\s+|\s+)([\w.\-~]+(?:/[\w.\-~]+)*)\s+v(\d\S*)")
-    return _rows(found, "Go", F.col("e.n"), F.col("e.v"))
+    """Modules that go.mod requires, with what replaces them; excluded versions are no dependencies."""
+    own = _named(files, "go.mod")
+    asked = own.select("path", "dir", F.explode(_go_block("require")).alias("line"))
+    asked = asked.select("path", "dir", F.regexp_extract("line", r"^(\S+)\s+v\d", 1).alias("n"), F.regexp_extract("line", r"^\S+\s+v(\d\S*)", 1).alias("v")).where("n <> ''")
+    line = own.select("path", F.explode(_go_block("replace")).alias("line"))
+    other = line.select(F.col("path").alias("r_path"), F.regexp_extract("line", r"^(\S+)", 1).alias("r_n"), F.regexp_extract("line", r"=>\s*(\S+)", 1).alias("to_n"), F.nullif(F.regexp_extract("line", r"=>\s*\S+\s+v(\d\S*)", 1), F.lit("")).alias("to_v"))
+    other = other.groupBy("r_path", "r_n").agg(F.min_by("to_n", F.struct("to_n", "to_v")).alias("to_n"), F.min_by("to_v", F.struct("to_n", "to_v")).alias("to_v"))
+    both = asked.join(other, (F.col("path") == F.col("r_path")) & (F.col("n") == F.col("r_n")), "left")
+    return _rows(both, "Go", F.coalesce("to_n", "n"), F.when(F.col("to_n").isNull(), F.col("v")).otherwise(F.col("to_v")))
 
 
 def go_sums(files: DataFrame) -> DataFrame:
@@ -128,25 +163,44 @@ def setup_py(files: DataFrame) -> DataFrame:
     return _rows(_pairs(text, r"[\"']([A-Za-z0-9][\w.\-]*)\s*([^\"';]*)"), "Python", F.col("e.n"), F.col("e.v"))
 
 
+_GRADLE = r"(api|implementation|compile|compileOnly|runtime|runtimeOnly|provided|testImplementation|testCompile)"
+
+
 def gradle(files: DataFrame) -> DataFrame:
-    """Dependencies of build.gradle and build.gradle.kts, with variables of the same file filled in."""
+    """Dependencies of build.gradle and build.gradle.kts: ``group:name:version`` strings, the form with ``group:``, ``name:`` and ``version:``, and entries of lists; variables of the same file are filled in."""
     own = files.where(F.rlike("name", F.lit(r"(?i)^build\.gradle(?:\.kts)?$")) & F.col("text").isNotNull()).select("path", "dir", "text")
-    names = r"(?m)^\s*(?:def|val|var|ext\.)?\s*(\w+)\s*=\s*[\"']([\w.\-]+)[\"']"
-    variables = F.arrays_zip(F.regexp_extract_all("text", F.lit(names), F.lit(1)).alias("n"), F.regexp_extract_all("text", F.lit(names), F.lit(2)).alias("v"))
-    entry = r"(?m)^\s*(api|implementation|compile|compileOnly|runtime|runtimeOnly|provided|testImplementation|testCompile)[\s(]+[\"']([\w.\-]+:[\w.\-]+)(?::([^\"'@:]+))?[^\"']*[\"']"
-    zipped = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(entry), F.lit(i)).alias(k) for i, k in ((1, "c"), (2, "n"), (3, "v"))])
-
-    found = own.select("path", "dir", variables.alias("vars"), F.explode(zipped).alias("e"))
-    named = F.regexp_extract("e.v", r"^\$\{?(\w+)\}?$", 1)
-    version = F.when(named != "", F.try_element_at(F.filter("vars", lambda x: x["n"] == named), F.lit(1))["v"]).otherwise(F.col("e.v"))
+
+    def zipped(pattern: str, **groups: int) -> Column:
+        return F.arrays_zip(*[F.regexp_extract_all("text", F.lit(pattern), F.lit(i)).alias(k) for k, i in groups.items()])
+
+    variables = zipped(r"(?m)^\s*(?:def|val|var|ext\.)?\s*(\w+)\s*=\s*[\"']([\w.\-]+)[\"']", n=1, v=2)
+    entries = zipped(r"(\w+)\s*:\s*[\"']([\w.\-]+:[\w.\-]+(?::[^\"'@:]+)?)[\"']", n=1, v=2)
+    plain = zipped(rf"(?m)^\s*{_GRADLE}[\s(]+[\"']([\w.\-]+:[\w.\-]+)(?::([^\"'@:]+))?[^\"']*[\"']", c=1, n=2, v=3)
+    mapped = zipped(rf"(?m)^\s*{_GRADLE}[\s(]+group\s*[:=]\s*[\"']([\w.\-]+)[\"']\s*,\s*name\s*[:=]\s*[\"']([\w.\-]+)[\"'](?:\s*,\s*version\s*[:=]\s*[\"']?([^\"',)\n]+)[\"']?)?", c=1, g=2, a=3, v=4)
+    listed = zipped(rf"(?m)^\s*{_GRADLE}[\s(]+\w+\.(\w+)\s*\)?\s*$", c=1, k=2)
+    of_list = lambda k: F.try_element_at(F.filter("entries", lambda e: e["n"] == k), F.lit(1))["v"]
+    one = lambda c, n, v: F.struct(c.alias("c"), n.alias("n"), v.alias("v"))
+    every = F.concat(
+        F.transform("plain", lambda e: one(e["c"], e["n"], e["v"])),
+        F.transform("mapped", lambda e: one(e["c"], F.concat(e["g"], F.lit(":"), e["a"]), F.trim(e["v"]))),
+        F.transform("listed", lambda e: one(e["c"], F.substring_index(of_list(e["k"]), ":", 2), F.regexp_extract(of_list(e["k"]), r"^[^:]*:[^:]*:(.*)$", 1))),
+    )
+    found = own.select("path", "dir", variables.alias("vars"), entries.alias("entries"), plain.alias("plain"), mapped.alias("mapped"), listed.alias("listed"))
+    found = found.select("path", "dir", "vars", F.explode(F.filter(every, lambda e: e["n"].isNotNull())).alias("e"))
+    named = F.regexp_extract("e.v", r"^\$?\{?(\w+)\}?$", 1)
+    value = F.try_element_at(F.filter("vars", lambda x: x["n"] == named), F.lit(1))["v"]
+    version = F.when(F.startswith("e.v", F.lit("$")), value).otherwise(F.coalesce(F.when(named != "", value), F.col("e.v")))
     return _rows(found, "Java", F.col("e.n"), version, F.when(F.startswith("e.c", F.lit("test")), "test").otherwise("prod"))
 
 
 def csproj(files: DataFrame) -> DataFrame:
-    """Package references of .csproj and .vbproj files."""
+    """Package references of .csproj and .vbproj files, with the version as an attribute or as an element."""
     own = files.where(F.rlike("name", F.lit(r"(?i)\.(?:cs|vb)proj$")) & F.rlike("text", F.lit(r"^\s*<"))).select("path", "dir", "text")
-    found = _pairs(own, r"<PackageReference\b[^>]*\bInclude=\"([^\"]+)\"(?:[^>]*?\bVersion=\"([^\"]*)\"|[^>]*>\s*<Version>([^<]*)</Version>)?")
-    return _rows(found, "CS", F.col("e.n"), F.col("e.v"))
+    each = F.regexp_extract_all("text", F.lit(r"(?s)<PackageReference\b[^>]*?/>|<PackageReference\b[^>]*>.*?</PackageReference>"), F.lit(0))
+    found = own.select("path", "dir", F.explode(each).alias("x"))
+    head = F.regexp_extract("x", r"^<PackageReference\b[^>]*>", 0)
+    attribute = F.nullif(F.regexp_extract(head, r"\bVersion=\"([^\"]*)\"", 1), F.lit(""))
+    return _rows(found, "CS", F.regexp_extract(head, r"\bInclude=\"([^\"]+)\"", 1), F.coalesce(attribute, F.regexp_extract("x", r"<Version>([^<]*)</Version>", 1)))
 
 
 def ant_jars(files: DataFrame) -> DataFrame:
@@ -217,8 +271,6 @@ def maven_declared(projects: DataFrame) -> DataFrame:
 
 def maven(files: DataFrame) -> DataFrame:
     """Dependencies of pom.xml files: versions come from the element, else from the nearest ancestor's managed one; properties are those of the nearest ancestor that has them."""
-    from tessera.operators.closure import nearest_ancestor_value
-
     projects = maven_projects(files)
     parents, declared = maven_parents(projects), maven_declared(projects)
     key = F.concat_ws(":", "group", "artifact")
@@ -227,12 +279,25 @@ def maven(files: DataFrame) -> DataFrame:
     open_versions = plain.where("version IS NULL").select(F.col("path").alias("node"), "key").distinct()
     given = nearest_ancestor_value(open_versions, parents, managed).select(F.col("node").alias("m_node"), F.col("key").alias("m_key"), F.col("value").alias("managed_version"))
     filled = plain.join(given, (F.col("path") == F.col("m_node")) & (F.col("key") == F.col("m_key")), "left").withColumn("version", F.coalesce("version", "managed_version"))
-    filled = filled.withColumn("property", F.nullif(F.regexp_extract("version", r"\$\{([\w.\-]+)\}", 1), F.lit("")))
-    wanted = filled.where("property IS NOT NULL").select(F.col("path").alias("node"), F.col("property").alias("key")).distinct()
-    values = nearest_ancestor_value(wanted, parents, maven_properties(projects)).select(F.col("node").alias("p_node"), F.col("key").alias("p_key"), F.col("value").alias("p_value"))
-    known = filled.join(values, (F.col("path") == F.col("p_node")) & (F.col("property") == F.col("p_key")), "left")
-    version = F.when(F.col("property").isNull(), F.col("version")).otherwise(F.replace(F.col("version"), F.concat(F.lit("${"), F.col("property"), F.lit("}")), F.coalesce("p_value", F.lit(""))))
-    return _rows(known, "Java", F.concat_ws(":", "group", "artifact"), version, F.coalesce("scope", F.lit("prod")))
+    nodes = projects.select(F.col("path").alias("node"))
+    lines = closure(parents.select(F.col("node").alias("parent"), F.col("parent").alias("child")), nodes)
+    given = maven_properties(projects).groupBy("node", "key").agg(F.min("value").alias("value"))
+    nearest = lines.join(given, "node").groupBy("root", "key").agg(F.min_by("value", "depth").alias("value"))
+    values = nearest.groupBy(F.col("root").alias("p_node")).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("props"))  # one project's and its ancestors'
+    known = filled.join(values, F.col("path") == F.col("p_node"), "left")
+    return _rows(known, "Java", F.concat_ws(":", "group", "artifact"), interpolated(F.col("version"), F.col("props")), F.coalesce("scope", F.lit("prod")))
+
+
+def interpolated(text: Column, values: Column) -> Column:
+    """A text with ``${name}`` replaced by the map's values, those in the values too; names without a value go, cycles end."""
+
+    def step(t: Column, _: Column) -> Column:
+        name = F.regexp_extract(t, r"\$\{([^}]*)\}", 1)
+        return F.when(name != "", F.replace(t, F.concat(F.lit("${"), name, F.lit("}")), F.coalesce(F.try_element_at(values, name), F.lit("")))).otherwise(t)
+
+    rounds = F.size(F.coalesce(F.map_keys(values), F.array().cast("array<string>"))) + F.regexp_count(text, F.lit(r"\$\{"))
+    whole = F.aggregate(F.sequence(F.lit(0), rounds), text, step)
+    return F.when(F.contains(text, F.lit("${")), F.when(F.contains(whole, F.lit("${")), F.lit(None)).otherwise(whole)).otherwise(text)
 
 
 #: Readers with the formats that win over others of the same directory: (reader, family, rank; least wins).
@@ -243,6 +308,7 @@ READERS = [
     (setup_py, "Python", 1),
     (npm_lock, "JS", 0),
     (npm_packages, "JS", 1),
+    (bower, "JS", 2),
     (go_sums, "Go", 0),
     (go_modules, "Go", 1),
     (composer, "PHP", 0),
@@ -256,13 +322,19 @@ READERS = [
 
 
 def inventory(files: DataFrame) -> DataFrame:
-    """Dependencies of all manifests; in each directory, a technology's lock file excludes its looser manifests."""
+    """Dependencies of all manifests, JS ones with yarn's versions; in each directory, a technology's lock file excludes its looser manifests."""
     every = None
     for reader, family, rank in READERS:
         own = reader(files).select(*COLUMNS, F.lit(family).alias("family"), F.lit(rank).alias("rank"))
         every = own if every is None else every.union(own)
     least = F.min("rank").over(Window.partitionBy("dir", "family"))
-    return every.withColumn("least", least).where("rank = least").select(*COLUMNS)
+    return with_yarn_versions(every.withColumn("least", least).where("rank = least").select(*COLUMNS), files)
+
+
+def by_selectors(found: DataFrame, rules: DataFrame, as_column: str = "rule") -> DataFrame:
+    """Dependencies with the name of the first rule (ordinal, name, pattern) whose selector fits their whole name; null if none does."""
+    anchored = rules.select("ordinal", "name", F.concat(F.lit("^(?:"), F.col("pattern"), F.lit(")$")).alias("pattern"))
+    return first_match(found, anchored, "name", as_column)
 
 
 def with_yarn_versions(found: DataFrame, files: DataFrame) -> DataFrame:

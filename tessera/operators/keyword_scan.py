@@ -160,3 +160,25 @@ def keyword_totals(counts: DataFrame, scan: Scan) -> DataFrame:
     one = counts.agg(*[F.struct(F.count_if(F.col(f"`{g.name}`") > 0).alias("files"), F.coalesce(F.sum(f"`{g.name}`"), F.lit(0)).cast("bigint").alias("matches")).alias(f"g{n}") for n, g in enumerate(scan.groups)])
     rows = [F.struct(F.lit(g.name).alias("name"), F.col(f"g{n}.files").alias("files"), F.col(f"g{n}.matches").alias("matches")) for n, g in enumerate(scan.groups)]
     return one.select(F.inline(F.array(*rows)))
+
+
+def application_hits(results: DataFrame, scan: Scan) -> DataFrame:
+    """A row (name, hits) for each pattern group as the log of a scan counts them: once for each file scanned and once more for each that matches."""
+    one = results.agg(F.count("*").alias("files"), *[F.count_if(F.coalesce(F.col(f"`{g.name}`"), F.lit(False))).alias(f"g{n}") for n, g in enumerate(scan.groups)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(g.name).alias("name"), (F.col("files") + F.col(f"g{n}")).alias("hits")) for n, g in enumerate(scan.groups)])))
+
+
+def results_by_name_then_content(files: DataFrame, scan: Scan, text: Column, name: Column, keys: list[str]) -> DataFrame:
+    """``pattern_results`` in two steps: contents are looked at for files whose name fits some search only; all others have false, or null where the formula is invalid."""
+    fits = F.lit(False)
+    for g in scan.groups:
+        for s in g.searches:
+            fits = fits | F.rlike(F.coalesce(name, F.lit("")), F.lit(name_pattern(s.filename, s.sensitive)))
+    return pattern_results(files, scan, F.when(fits, text), name, keys)
+
+
+def sections(counts: DataFrame, scan: Scan, key: str) -> list[tuple[str, DataFrame, list[str]]]:
+    """The three sections of a keyword result file: (title, rows, columns) of files, of groups, and of the application."""
+    names = [g.name for g in scan.groups]
+    total = keyword_totals(counts, scan)
+    return [("files", counts, [key, *names]), ("groups", total, ["name", "files", "matches"]), ("application", total.agg(F.sum("matches").alias("matches")), ["matches"])]

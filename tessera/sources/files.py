@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.versions import file_name_library, file_name_version
+
 #: Names that are never descended into, sizes in bytes, and extensions.
 IGNORED_NAMES = [".svn", ".git"]
 BINARY_LIBRARIES = ["jar", "dll", "a", "lib", "so"]
@@ -37,12 +39,46 @@ def kept_path(path: Column, ignored_names: list[str] = IGNORED_NAMES, ignored_pa
 
 
 def scan_files(spark: SparkSession, root: str, ignored_names: list[str] = IGNORED_NAMES, ignored_paths: list[str] | None = None, max_bytes: int = MAX_DISCOVERY_BYTES, glob: str | None = None) -> DataFrame:
-    """path, dir, name, ext, length, content of all files below ``root`` that aren't ignored, excluded or too big."""
+    """path, dir, name, ext, length, content, status of all files below ``root`` that aren't ignored or excluded.
+
+    A file of more than ``max_bytes`` bytes has the status TooBig and no content, which isn't read; others have the status None (the word).
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    found = reader.load(root).where((F.col("length") <= max_bytes) & kept_path(F.col("path"), ignored_names, ignored_paths))
-    return with_path_parts(found).where(~F.col("ext").isin(*EXCLUDED_EXTENSIONS)).select("path", "dir", "name", "ext", "length", "content")
+    found = reader.load(root).where(kept_path(F.col("path"), ignored_names, ignored_paths))
+    small = found.where(F.col("length") <= max_bytes).select("path", "length", "content", F.lit("None").alias("status"))
+    big = found.where(F.col("length") > max_bytes).select("path", "length", F.lit(None).cast("binary").alias("content"), F.lit("TooBig").alias("status"))
+    both = with_path_parts(small.union(big))
+    return both.where(~F.col("ext").isin(*EXCLUDED_EXTENSIONS)).select("path", "dir", "name", "ext", "length", "content", "status")
+
+
+#: What the library scan takes for a library, by extension.
+LIBRARY_EXTENSIONS = [*BINARY_LIBRARIES, "war", "ear", "aar", "nupkg", "whl", "gem", "egg"]
+
+
+def library_files(files: DataFrame) -> DataFrame:
+    """Files that are libraries by their extension, with the library's name and version from the file name."""
+    own = files.where(F.col("ext").isin(*LIBRARY_EXTENSIONS))
+    bare = F.regexp_replace("name", r"\.[^.]+$", "")
+    return own.select("path", "dir", "name", file_name_library(bare).alias("library"), file_name_version(bare).alias("version"))
+
+
+def looks_binary(text: Column) -> Column:
+    """The quick test of discovery: a control sign other than white space among the first 70 characters."""
+    return F.coalesce(F.rlike(F.substring(text, 1, 70), F.lit(_CONTROL)), F.lit(False))
+
+
+def name_uuid(name: Column) -> Column:
+    """A UUID that depends on a name alone: the name's SHA-256 in the usual form, marked as version 8."""
+    h = F.sha2(name.cast("string"), 256)
+    variant = F.element_at(F.array(*[F.lit(x) for x in "89ab"]), F.pmod(F.conv(F.substring(h, 17, 1), 16, 10).cast("int"), F.lit(4)) + 1)
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("8"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def date_stamp(at: Column) -> Column:
+    """A timestamp as the header of result files writes it."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
 
 
 def is_binary(content: Column) -> Column:
@@ -97,6 +133,11 @@ def binary_libraries(files: DataFrame) -> DataFrame:
 GENERATED = r"(?i)designer|reference|assemblyinfo"
 
 
+def wrapped(text: Column) -> Column:
+    """Stored code that is obfuscated: a create statement whose body is only a ``wrapped`` mark."""
+    return F.coalesce(F.rlike(text, F.lit(r"(?is)^\s*create\b[^;]{0,400}\bwrapped\b\s|\bwith\s+encryption\b\s+as\s*$")), F.lit(False))
+
+
 def analysis_status(language: Column, name: Column, length: Column, text: Column, vendored: Column) -> Column:
     """Why a file isn't analysed, or None (the word) if it is."""
     longest = F.array_max(F.transform(F.split(text, "\n", -1), lambda x: F.length(x)))
@@ -107,6 +148,7 @@ def analysis_status(language: Column, name: Column, length: Column, text: Column
         .when(vendored, "External")
         .when(language.isin("CS", "VbDotNet") & F.rlike(name, F.lit(GENERATED)), "Generated")
         .when(language.isin("JS", "TypeScript") & (longest > 4096), "Minified")
+        .when(language.isin("PlSql", "TSql") & wrapped(text), "Wrapped")
         .otherwise("None")
     )
 
