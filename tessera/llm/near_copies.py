@@ -7,7 +7,7 @@ shard a BK-tree over that fingerprint (children keyed by their Hamming distance
 members within ``radius`` bits, and a pair that was found is linked if all ``64 * FPS`` bits together differ
 in no more places than two sets of the wanted similarity would. The expected share of differing bits is
 acos(2s / (1 + s)) / pi at similarity s; ``SLACK`` standard deviations are added, so a pair at exactly
-0.8 is linked with probability 0.9, one at 0.85 or more with 0.99 at least and one at 0.7 with 0.15.
+0.8 is linked with probability 0.96, one at 0.85 or more with 0.99 at least and one at 0.7 with 0.2.
 
 Trees are built where their members are gathered: all trees together grow with the corpus, so sending
 them to every task has no size bound. A shard of more than ``shard_limit`` members is searched as a whole in
@@ -44,7 +44,7 @@ DEAL, PARTS, PAIRS = 1 << 14, 16, 1 << 16
 #: Shingles of a text whose bits are added up together, such groups at a time, and shard rows that are searched at a time.
 GROUP, GROUPS, ROWS = 64, 512, 1 << 16
 #: Standard deviations by which the limit of differing bits exceeds its expectation.
-SLACK = 1.25
+SLACK = 1.75
 _SEEDS = (np.arange(1, FPS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 

@@ -123,10 +123,10 @@ def test_near_copies_are_grouped(spark, copies, limit):
     rows = spark.createDataFrame(copies, "doc_id long, text string")
     keep = {r.doc_id: r.keep_id for r in near_groups(rows, shard_limit=limit).collect()}
     texts = dict(copies)
-    close = [(a, b) for a in texts for b in texts if a < b and a // 10 == b // 10 and jaccard(texts[a], texts[b]) >= 0.85]
-    assert len(close) > 30
-    if limit > 2:
-        assert all(keep[a] == keep[b] for a, b in close)
+    alike = {(a, b): jaccard(texts[a], texts[b]) for a in texts for b in texts if a < b and a // 10 == b // 10}
+    close, closer = ([p for p, s in alike.items() if s >= least] for least in (0.8, 0.85))
+    assert len(closer) > 30 and all(keep[a] == keep[b] for a, b in closer)
+    assert sum(keep[a] == keep[b] for a, b in close) >= 0.9 * len(close)
     assert all(k // 10 == d // 10 for d, k in keep.items())
 
 
