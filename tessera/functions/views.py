@@ -113,8 +113,11 @@ def string_literals(text: Column, family: str) -> Column:
 
 
 def literal_counts(literals: Column) -> Column:
-    """A map of each different literal to the number of its uses."""
-    return F.map_from_arrays(F.array_distinct(literals), F.transform(F.array_distinct(literals), lambda s: F.size(F.filter(literals, lambda t: t == s))))
+    """A map of each different literal to the number of its uses, from the runs of the sorted literals."""
+    ordered = F.array_sort(literals)
+    heads = F.filter(F.transform(ordered, lambda s, i: F.when((i == 0) | (s != F.get(ordered, i - 1)), i)), lambda i: i.isNotNull())
+    ends = F.concat(F.slice(heads, F.lit(2), F.size(heads)), F.array(F.size(ordered)))
+    return F.map_from_arrays(F.transform(heads, lambda i: F.get(ordered, i)), F.when(F.size(heads) > 0, F.zip_with(heads, ends, lambda a, b: b - a)).otherwise(F.array().cast("array<int>")))
 
 
 def line_layout(code: Column, comment: Column) -> Column:

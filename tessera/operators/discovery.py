@@ -7,7 +7,8 @@ common. Each result says by which step it was resolved.
 
 Votes are grouped aggregates over (dir, ext) of small sets, joined back on (dir, ext): one shuffle of file
 names, never of contents. A directory with very many files is pre-aggregated on the map side; what a group
-gathers are sets over the few dozen technologies.
+gathers are sets over the few dozen technologies. What is joined back is written first, so a hot directory's
+files can be split in the join.
 
 Defined cases: null paths have no extension and stay unknown; null texts decide nothing; repeated rows vote
 again but can't change an intersection; an empty table gives an empty result.
@@ -18,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.staging import written
+
 #: Technologies by extension; one that is direct needs no look at the content.
 DIRECT = {
     "CCpp": "c c++ cpp pc ppc cc cxx icc hh hpp h++",
@@ -221,8 +224,8 @@ def intersection_vote(open_files: DataFrame) -> DataFrame:
 
 def resolved_by_context(files: DataFrame) -> DataFrame:
     """The cascade's rows with technologies that their directories decide."""
-    context = directory_context(files).select(F.col("dir").alias("c_dir"), F.col("ext").alias("c_ext"), "same_ext", "all", "exts")
-    votes = intersection_vote(files.where(F.col("techno").isNull())).select(F.col("dir").alias("v_dir"), F.col("ext").alias("v_ext"), "vote")
+    context = written(directory_context(files), "context").select(F.col("dir").alias("c_dir"), F.col("ext").alias("c_ext"), "same_ext", "all", "exts")
+    votes = written(intersection_vote(files.where(F.col("techno").isNull())), "votes").select(F.col("dir").alias("v_dir"), F.col("ext").alias("v_ext"), "vote")
     both = files.join(context, F.col("dir").eqNullSafe(F.col("c_dir")) & F.col("ext").eqNullSafe(F.col("c_ext")), "left")
     both = both.join(votes, F.col("dir").eqNullSafe(F.col("v_dir")) & F.col("ext").eqNullSafe(F.col("v_ext")), "left")
     shared = F.array_intersect("potential", "all")

@@ -1,6 +1,6 @@
 r"""Ordered rules over rows: first match wins; rule sets and descriptions merged.
 
-Rules are read in blocks of at most ``block`` and become literal arrays of one projection each, so there is
+Rules are read in blocks of at most ``block`` and become the cases of one projection each, so there is
 no join and no shuffle however many rows there are, and what a plan carries has a bound; several blocks are
 several passes over narrow columns. Case-insensitive names join on their lower-case form.
 """
@@ -20,9 +20,10 @@ def first_match(rows: DataFrame, rules: DataFrame, text: str, as_column: str = "
     own: list[tuple[str, str]] = []
 
     def folded(df: DataFrame) -> DataFrame:
-        table = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(p).alias("p")) for n, p in own])
-        hit = F.filter(table, lambda r: F.rlike(F.col(text), r["p"]))
-        return df.withColumn(as_column, F.coalesce(F.col(as_column), F.try_element_at(hit, F.lit(1))["n"]))
+        hit = F.when(F.col(as_column).isNotNull(), F.col(as_column))
+        for n, p in own:  # one case after the other: patterns are compiled once, and later ones aren't tried
+            hit = hit.when(F.rlike(F.col(text), F.lit(p)), F.lit(n))
+        return df.withColumn(as_column, hit)
 
     for r in rules.orderBy("ordinal", "name").select("name", "pattern").toLocalIterator():
         own.append((r.name, r.pattern))

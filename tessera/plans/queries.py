@@ -25,6 +25,7 @@ from tessera.plans import manifest_queries as Manifests
 from tessera.plans.code_queries import ASCII, commented_out_sql, comparable_metrics, metrics_sql, suspicious_sql
 from tessera.sources import sinks
 from tessera.sources.files import with_path_parts
+from tessera.staging import written
 from tessera.streaming.events import event_counts
 
 
@@ -59,7 +60,7 @@ FROM e
 def q02_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SHA-256 of each raw text, with the number of documents that have it and the least of their ids."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.text_of(F.col("text")), 256).alias("sha256"))
-    groups = docs.groupBy("sha256").agg(F.count("*").alias("n_same"), F.min("doc_id").alias("first_id"))
+    groups = written(docs.groupBy("sha256").agg(F.count("*").alias("n_same"), F.min("doc_id").alias("first_id")), "groups")  # so that a hot text's rows can be split in the join
     return docs.join(groups, "sha256").select("doc_id", "sha256", "n_same", "first_id")
 
 
