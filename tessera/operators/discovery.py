@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.views import code_view
 from tessera.staging import written
 
 #: Technologies by extension; one that is direct needs no look at the content.
@@ -106,25 +107,49 @@ PRIORITY = {"h": ["CCpp", "ObjCCpp"]}
 LAST_RESORT = {"h": "CCpp"}
 #: Extensions whose presence beside a file decides.
 SIBLINGS = {"frm": (["frx", "vbp"], "VbDotNet")}
+#: Functions and settings that only one dialect has.
+MARIADB_WORDS = (
+    "column_add column_check column_create column_delete column_exists column_get column_json column_list wsrep_last_seen_gtid wsrep_last_written_gtid wsrep_sync_wait_upto_gtid"
+    " add_months chr decode_oracle lengthb nvl nvl2 sys_guid to_char trim_oracle value json_compact json_detailed json_equals json_exists json_loose json_normalize json_query"
+    " lastval nextval setval median percentile_cont percentile_disc natural_sort_key sformat"
+).split()
+MARIADB_STARTS = "aria_ binlog_ column_compression_ deadlock_ encrypt_ gtid_ innodb_compression_ innodb_encrypt_ query_cache_ replicate_ rpl_semi_sync_ s3_ slave_parallel_ system_versioning_ tcp_keepalive_ thread_pool_ wsrep_".split()
 #: SQL dialects by pattern, in order; a dialect has what a pattern allows it.
 DIALECTS = [
     (r"(?im)^\s*package\b", ["PlSql"]),
     (r"(?i)\blanguage\s+'?(?:internal|plpgsql|pltcl|plperl|plpythonu)\b", ["PostgreSQL"]),
     (r"(?i)\belsif\b", ["PlSql", "PostgreSQL"]),
     (r"(?im)^\s*go\b", ["TSql", "MySQL"]),
-    (r"(?i)\b(?:save|begin)\s+transaction\b", ["TSql"]),
+    (r"(?im)^\s*create\s+procedure\b", ["TSql", "PlSql", "MySQL", "DB2"]),
+    (r"(?i)\bsavepoint\b", ["PlSql", "MySQL", "PostgreSQL", "DB2"]),
+    (r"(?i)\bsave\s+transaction\b", ["TSql"]),
+    (r"(?i)\bbegin\s+transaction\b", ["TSql"]),
     (r"(?i)\bcommit\s+transaction\b", ["TSql", "PostgreSQL"]),
     (r"(?i)\bstart\s+transaction\b", ["MySQL", "PostgreSQL", "DB2"]),
+    (r"(?i)\bset\s+transaction\b", ["PlSql", "MySQL", "PostgreSQL"]),
     (r"(?i)\bdeclare\s+@", ["TSql"]),
     (r"(?im)^\s*/\s*$", ["PlSql", "PostgreSQL"]),
     (r"(?i)\bsys(?:ibm|cat)\b", ["DB2"]),
     (r"(?i)\bfull\s+outer\s+join\b", ["TSql", "PlSql", "PostgreSQL", "DB2"]),
-    (r"(?i)\bcolumn_(?:add|check|create|delete|exists|get|json|list)\b", ["MariaDB"]),
-    (r"(?i)\bjson_(?:compact|detailed|equals|exists|loose|normalize|query)\b", ["MariaDB"]),
-    (r"(?i)\bvarchar2\b|\bnumber\s*\(", ["PlSql"]),
-    (r"(?i)\bauto_increment\b|\bengine\s*=\s*innodb\b", ["MySQL", "MariaDB"]),
-    (r"(?i)\bnvarchar\b|\bidentity\s*\(", ["TSql"]),
-    (r"(?i)\bserial\b|\$\$", ["PostgreSQL"]),
+    (r"(?i)\bcreate\s+distinct\s+type\b", ["PlSql", "DB2"]),
+    (rf"(?i)\b(?:{'|'.join(MARIADB_WORDS)})\b", ["MariaDB"]),
+    (rf"(?i)\b(?:{'|'.join(MARIADB_STARTS)})", ["MariaDB"]),
+]
+#: The same for texts without their comments.
+CODE_DIALECTS = [
+    (r"(?im)^\s*loop\b\s*[^:]", ["PlSql", "MySQL", "PostgreSQL", "DB2"]),
+    (r"(?i)\bvarchar2\b", ["PlSql"]),
+    (r":=", ["PlSql", "MySQL", "PostgreSQL"]),
+    (r"(?i)\blanguage\b", ["PostgreSQL", "DB2"]),
+    (r"(?i)\bdb2\b", ["DB2"]),
+    (r"\s\$\w*\$\s", ["PostgreSQL"]),
+    (r"(?i)\bpg_\w+", ["PostgreSQL"]),
+    (r"(?i)\b(?:int4|int8|num|ts|tstz|date)range\b", ["PostgreSQL"]),
+    (r"(?i)\b(?:mysql|innodb|myisam)\b", ["MySQL"]),
+    (r"(?i)\bdelimiter\b", ["MySQL"]),
+    (r"(?i)\bcurdate\b", ["MySQL", "DB2"]),
+    (r"(?i)\bstr_to_date\b", ["MySQL"]),
+    (r"(?i)\bwith\s+recursive\b", ["MySQL", "PostgreSQL"]),
 ]
 
 JS_TAG = r"(?is)<\s*script(?:\s+[^>]*\bjavascript\b[^>]*)?>"
@@ -164,9 +189,11 @@ def web_technos(text: Column, ext: Column) -> tuple[Column, Column]:
     return pick((php, "PHP"), (js, "JS_EMBEDDED")), pick((no_php, "PHP"), (~js, "JS_EMBEDDED"))
 
 
-def sql_dialects(text: Column) -> Column:
-    """Dialects that a text's patterns leave: the first match sets them, later ones narrow while something is left."""
-    hits = F.filter(F.array(*[F.when(F.rlike(text, F.lit(p)), F.array(*[F.lit(d) for d in own])) for p, own in DIALECTS]), lambda x: x.isNotNull())
+def sql_dialects(text: Column, code: Column | None = None) -> Column:
+    """Dialects that a text's patterns leave: the first match sets them, later ones narrow while something is left; those of the code follow those of the whole text."""
+    code = code_view(text, "sql") if code is None else code
+    tried = [(text, p, own) for p, own in DIALECTS] + [(code, p, own) for p, own in CODE_DIALECTS]
+    hits = F.filter(F.array(*[F.when(F.rlike(t, F.lit(p)), F.array(*[F.lit(d) for d in own])) for t, p, own in tried]), lambda x: x.isNotNull())
 
     def narrow(now: Column, own: Column) -> Column:
         both = F.array_intersect(now, own)
@@ -181,10 +208,11 @@ def cascade(files: DataFrame) -> DataFrame:
     present, absent = web_technos(text, ext)
     web = F.array_contains(F.col("potential"), "JS_EMBEDDED")
     sql = ext == "sql"
-    rows = files.withColumn("potential", potential_technos(ext))
+    rows = files.withColumn("potential", potential_technos(ext)).withColumn("sql_code", F.when(sql, code_view(text, "sql")))
+    rows = rows.withColumn("dialects", F.when(sql, sql_dialects(text, F.col("sql_code"))).otherwise(F.array().cast(_SET)))
     narrowed = (
         F.when(web, F.when(F.size(F.array_intersect("potential", present)) > 0, F.array_intersect("potential", present)).otherwise(F.array_except("potential", absent)))
-        .when(sql & (F.size(sql_dialects(text)) > 0), F.array_intersect("potential", sql_dialects(text)))
+        .when(F.size("dialects") > 0, F.array_intersect("potential", "dialects"))
         .otherwise(F.col("potential"))
     )
     rows = rows.withColumn("left", narrowed)
@@ -204,7 +232,7 @@ def cascade(files: DataFrame) -> DataFrame:
         .when(shell & ((F.size("potential") == 0) | F.array_contains("potential", "Ksh")), "from content")
         .when(lone.isin(*BY_DEFAULT), "from default")
     )
-    return rows.withColumn("techno", techno).withColumn("mode", mode).withColumn("potential", F.col("left")).drop("left")
+    return rows.withColumn("techno", techno).withColumn("mode", mode).withColumn("potential", F.col("left")).drop("left", "dialects", "sql_code")
 
 
 def directory_context(resolved: DataFrame) -> DataFrame:

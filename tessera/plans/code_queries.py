@@ -77,6 +77,14 @@ v AS (SELECT {key}, text, coalesce(array_to_string(list_transform(t, lambda x: C
   coalesce(array_to_string(list_transform(t, lambda x: CASE WHEN regexp_matches(x, {comment}) THEN x ELSE {ends} END), ''), '') AS comment, list_filter(t, lambda x: NOT regexp_matches(x, {comment}) AND regexp_matches(x, {string})) AS strings FROM t)"""
 
 
+def code_sql(text: str, family: str) -> str:
+    """The code view of a text as an expression."""
+    f = V.FAMILIES[family]
+    token, comment, string = _quoted(rf"(?s)(?:{_re2(f.comment)})|(?:{_re2(f.string)})|[^{f.starts}]+|."), _quoted(rf"(?s)^(?:{_re2(f.comment)})"), _quoted(rf"(?s)^(?:(?:{_re2(f.string)})$)")
+    ends = "regexp_replace(x, '[^\\n]+', '', 'g')"
+    return f"""coalesce(array_to_string(list_transform(regexp_extract_all({text}, {token}), lambda x: CASE WHEN regexp_matches(x, {comment}) THEN {ends} WHEN regexp_matches(x, {string}) THEN '"CHAINE"' || {ends} ELSE x END), ''), '')"""
+
+
 def _lines(column: str, keep: str, terminated: bool) -> str:
     own = f"string_split({column}, chr(10))"
     own = f"({own})[1 : len({own}) - 1]" if terminated else own

@@ -22,7 +22,7 @@ from tessera.operators import metrics as M
 from tessera.operators import rules as R
 from tessera.plans import code_queries as Code
 from tessera.plans import manifest_queries as Manifests
-from tessera.plans.code_queries import ASCII, commented_out_sql, comparable_metrics, metrics_sql, suspicious_sql
+from tessera.plans.code_queries import ASCII, code_sql, commented_out_sql, comparable_metrics, metrics_sql, suspicious_sql
 from tessera.sources import sinks
 from tessera.sources.files import with_path_parts
 from tessera.staging import written
@@ -302,10 +302,11 @@ def _discovery_sql() -> str:
     direct = {e: t for t, own in Disc.DIRECT.items() for e in own.split()}
     by_ext = "CASE ext " + " ".join(f"WHEN '{e}' THEN '{direct[e]}'" for e in _EXTS if e in direct) + " END"
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
-    hits = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, {quoted(p)}) THEN {_sql_list(own)} END" for p, own in Disc.DIALECTS) + "], lambda x: x IS NOT NULL)"
+    tried = [("t", p, own) for p, own in Disc.DIALECTS] + [("code", p, own) for p, own in Disc.CODE_DIALECTS]
+    hits = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({t}, {quoted(p)}) THEN {_sql_list(own)} END" for t, p, own in tried) + "], lambda x: x IS NOT NULL)"
     narrowed = f"list_reduce(list_prepend([]::VARCHAR[], {hits}), lambda now, own: CASE WHEN len(now) = 0 THEN own WHEN len(list_intersect(now, own)) = 0 THEN now ELSE list_intersect(now, own) END)"
     return rf"""
-a AS (SELECT page_id, dir, ext, coalesce(html, '') AS t, {potential} AS pot, {by_ext} AS direct FROM g),
+a AS (SELECT page_id, dir, ext, coalesce(html, '') AS t, {potential} AS pot, {by_ext} AS direct, CASE WHEN ext = 'sql' THEN {code_sql("coalesce(html, '')", 'sql')} END AS code FROM g),
 b AS (SELECT *, list_contains(pot, 'JS_EMBEDDED') AS web, regexp_matches(ext, '^php\d?$') OR regexp_matches(t, '{Disc.PHP_TAG}') AS php, regexp_matches(t, '{Disc.JS_TAG}') AS js, regexp_matches(t, '{Disc.PHP_MAYBE}') AS maybe, CASE WHEN ext = 'sql' THEN {narrowed} END AS dialects FROM a),
 c AS (SELECT *, list_filter(pot, lambda p: (p = 'PHP' AND php) OR (p = 'JS_EMBEDDED' AND js)) AS present, list_filter(pot, lambda p: NOT ((p = 'PHP' AND NOT php AND NOT maybe) OR (p = 'JS_EMBEDDED' AND NOT js))) AS rest FROM b),
 d AS (SELECT *, CASE WHEN web THEN CASE WHEN len(present) > 0 THEN present ELSE rest END WHEN ext = 'sql' AND len(dialects) > 0 THEN list_intersect(pot, dialects) ELSE pot END AS left_over FROM c),

@@ -11,6 +11,7 @@ from tessera.functions import text as T
 from tessera.functions import versions as Ver
 from tessera.operators import closure as C
 from tessera.operators import dependencies as Dep
+from tessera.operators import discovery as D
 from tessera.operators import metrics as M
 from tessera.sources import files as S
 
@@ -123,3 +124,17 @@ def test_metrics_have_one_column_each():
     for language, own in M.PROFILES.items():
         assert len({m.name for m in own}) == len(own), language
     assert len({m.name for own in M.PROFILES.values() for m in own}) >= 400
+
+
+def test_dialects_of_text_and_of_code(spark):
+    cases = {
+        "create table t (a varchar2(3));": ["PlSql"],
+        "-- varchar2 is oracle's\nselect 1": [],
+        "declare @x int\ngo\n": ["TSql"],
+        "start transaction; savepoint a;": ["MySQL", "PostgreSQL", "DB2"],
+        "select json_query(a, '$') from t": ["MariaDB"],
+        "x := 1; with recursive c as (select 1)": ["MySQL", "PostgreSQL"],
+        "set gtid_domain_id = 1": ["MariaDB"],
+    }
+    rows = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r.t: sorted(r.d) for r in rows.select("t", D.sql_dialects(F.col("t")).alias("d")).collect()} == {t: sorted(d) for t, d in cases.items()}
