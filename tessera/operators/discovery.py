@@ -252,8 +252,9 @@ def intersection_vote(open_files: DataFrame) -> DataFrame:
 
 def resolved_by_context(files: DataFrame) -> DataFrame:
     """The cascade's rows with technologies that their directories decide."""
-    context = written(directory_context(files), "context").select(F.col("dir").alias("c_dir"), F.col("ext").alias("c_ext"), "same_ext", "all", "exts")
-    votes = written(intersection_vote(files.where(F.col("techno").isNull())), "votes").select(F.col("dir").alias("v_dir"), F.col("ext").alias("v_ext"), "vote")
+    facts = written(files.groupBy("dir", "ext", "potential", "techno").agg(F.count("*").alias("files")), "facts")  # what votes look at: texts are scanned for it once
+    context = written(directory_context(facts), "context").select(F.col("dir").alias("c_dir"), F.col("ext").alias("c_ext"), "same_ext", "all", "exts")
+    votes = written(intersection_vote(facts.where(F.col("techno").isNull())), "votes").select(F.col("dir").alias("v_dir"), F.col("ext").alias("v_ext"), "vote")
     both = files.join(context, F.col("dir").eqNullSafe(F.col("c_dir")) & F.col("ext").eqNullSafe(F.col("c_ext")), "left")
     both = both.join(votes, F.col("dir").eqNullSafe(F.col("v_dir")) & F.col("ext").eqNullSafe(F.col("v_ext")), "left")
     shared = F.array_intersect("potential", "all")
