@@ -10,28 +10,27 @@ edges and seeds count once; no edges leave the seeds at depth zero.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.staging import written
+from tessera.staging import shared_path, written
 
 MAX_ROUNDS = 100
 
 
 def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """(root, node, depth): all nodes reachable from each seed (column ``node``) over ``edges`` (parent, child)."""
+    spark = edges.sparkSession
     links = edges.select("parent", "child").where("parent IS NOT NULL AND child IS NOT NULL").distinct()
     start = seeds.select(F.col("node").alias("root"), "node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0))
-    found = [written(start, "closure")]
-    for depth in range(1, max_rounds + 1):
-        known = reduce(DataFrame.unionByName, found)
-        following = found[-1].join(links, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node")).distinct()
-        fresh = written(following.join(known, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
-        if fresh.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        found.append(fresh)
+    folder = shared_path(spark, "closure")
+    start.write.parquet(f"{folder}/0")
+    rounds = lambda first, last: spark.read.schema(start.schema).parquet(*[f"{folder}/{n}" for n in range(first, last + 1)])
+    for depth in range(1, max_rounds + 1):  # all earlier rounds are one scan, so the plan stays as it is
+        following = rounds(depth - 1, depth - 1).join(links, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node")).distinct()
+        following.join(rounds(0, depth - 1), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)).write.parquet(f"{folder}/{depth}")
+        if rounds(depth, depth).isEmpty():
+            return rounds(0, depth - 1)
     raise RuntimeError(f"the closure goes on past {max_rounds} rounds")
 
 

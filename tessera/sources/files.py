@@ -89,9 +89,10 @@ def is_binary(content: Column) -> Column:
 
 def encoding_of(content: Column) -> Column:
     """The encoding of a text: by its byte-order mark, ASCII, valid UTF-8, else a single-byte fallback; ``binary`` if it is none."""
-    head = F.hex(F.substring(content, 1, 3))
+    head = F.hex(F.substring(content, 1, 4))
     return (
         F.when(head.startswith("EFBBBF"), "UTF-8")
+        .when(head.isin("FFFE0000", "0000FEFF"), "UTF-32")
         .when(head.startswith("FFFE"), "UTF-16LE")
         .when(head.startswith("FEFF"), "UTF-16BE")
         .when(is_binary(content), "binary")
@@ -105,6 +106,7 @@ def decoded(content: Column, encoding: Column) -> Column:
     """The text without its byte-order mark, with every line end as ``\\n``; null for binary contents."""
     text = (
         F.when(encoding == "UTF-16LE", F.decode(content, "UTF-16LE"))
+        .when(encoding == "UTF-32", F.decode(content, "UTF-32"))
         .when(encoding == "UTF-16BE", F.decode(content, "UTF-16BE"))
         .when(encoding == "windows-1252", F.translate(F.decode(content, "ISO-8859-1"), _C1, _CP1252))
         .when(encoding.isin("UTF-8", "US-ASCII"), F.make_valid_utf8(content.cast("string")))

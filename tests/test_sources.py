@@ -87,3 +87,10 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "docs"))
     E.write_stream(E.line_metrics(E.file_stream(spark, str(tmp_path / "docs"), docs.schema)), str(tmp_path / "out"), str(tmp_path / "cp2")).awaitTermination(120)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [(1, 3, 1, 2), (2, 0, 0, 0)]
+
+
+def test_wide_encodings(spark):
+    text = "hé\r\nlo"
+    rows = spark.createDataFrame([(n, bytearray(text.encode(n))) for n in ("utf-32", "utf-16", "utf-8-sig", "cp1252")], "n string, content binary")
+    got = {r.n: (r.encoding, r.text) for r in S.with_text(rows).collect()}
+    assert {n: t for n, (_, t) in got.items()} == {n: "hé\nlo" for n in got} and got["utf-32"][0] == "UTF-32"
