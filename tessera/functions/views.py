@@ -102,6 +102,11 @@ def code_view(text: Column, family: str) -> Column:
     return F.array_join(F.transform(tokens(text, family), one), "")
 
 
+def bare_view(text: Column, family: str) -> Column:
+    """The text with comments blanked and string literals as they are."""
+    return F.array_join(F.transform(tokens(text, family), lambda t: F.when(is_comment(t, family), _line_ends(t)).otherwise(t)), "")
+
+
 def comment_view(text: Column, family: str) -> Column:
     """The comments, at their lines."""
     return F.array_join(F.transform(tokens(text, family), lambda t: F.when(is_comment(t, family), t).otherwise(_line_ends(t))), "")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.literals import finding_counts
 from tessera.functions.text import count_of
-from tessera.functions.views import FAMILY_OF, code_view, string_literals
+from tessera.functions.views import FAMILY_OF, bare_view, code_view, string_literals
 
 #: Fixed values: .Net namespaces that count as they stand, and with all below them.
 DOTNET_EXACT = "System.IO System System.Configuration Microsoft.Win32 Microsoft.WindowsAzure.Storage.Table StackExchange.Redis System.Diagnostics Microsoft.WindowsAzure.Jobs Microsoft.ServiceBus.Messaging System.Security.AccessControl".split()
@@ -59,6 +59,35 @@ JAVA_OWN = {
 TSQL_NAMES = "fn_my_permissions sp_addmessage fn_get_sql fn_virtualservernodes SEMANTICKEYPHRASETABLE OPENQUERY OPENROWSET OPENDATASOURCE".split()
 TSQL_OWN = {"USE_statement": r"(?im)^\s*use\s+\w", "CreateCredential": r"(?i)\bcreate\s+credential\b", "AlterDatabase": r"(?i)\balter\s+database\b"}
 
+#: Python modules, classes and functions by mnemonic; those of the second table are called.
+PYTHON_NAMES = {
+    "DBMS_MySQL": ["mysql.connector", "MySQLConnection", "MySQLdb.connect"],
+    "DBMS_MongoDB": ["pymongo", "MongoClient"],
+    "DBMS_CosmosDB": ["pydocumentdb"],
+    "DBMS_PostgreSQL": ["psycopg2", "pg8000"],
+    "MicrosoftAzureKeyVault": ["azure.keyvault", "KeyVaultClient", "KeyVaultId"],
+    "MicrosoftAzureBlobStorage": ["azure.storage", "BlobService"],
+    "AzureDirectoryService": ["adal"],
+    "AzureBatch": ["import azure.batch"],
+    "AzureServiceBusMessaging": ["azure.servicebus", "ServiceBusService"],
+    "LaunchSubProcess": ["os.system", "os.popen", "subprocess.call", "subprocess.run", "subprocess.Popen"],
+    "DirectoryCreateDirectory": ["os.mkdir", "os.makedirs"],
+    "DirectoryMove": ["os.rename", "shutil.move"],
+    "DirectoryChange": ["os.chdir"],
+    "DirectoryAccess": ["os.access", "os.chmod", "os.chown"],
+    "DirectoryCopy": ["shutil.copytree"],
+    "FileDelete": ["os.remove", "os.unlink"],
+    "EnvironmentVariable": ["os.environ", "os.putenv", "os.getenv"],
+    "UsingKubernetes": ["import kubernetes", "from kubernetes"],
+    "UsingBigQuery": ["import bigquery", "from bigquery"],
+    "UsingFireBase": ["from firebase import", "from firebase_admin import"],
+    "GCPStorage": ["from google.cloud import storage"],
+    "UsingCloudDataflow": ["import apache_beam"],
+}
+PYTHON_CALLS = {"AzureCloudEncryption": ["KeyWrapper", "KeyResolver"], "Open": ["open"], "Write": ["write"]}
+#: Services that a Python client is made for, by mnemonic.
+PYTHON_SERVICES = {"DBMS_DynamoDB": "dynamodb", "AmazonawsS3Storage": "s3", "Import_InMemoryRedisAws": "elasticache", "AmazonawsDirectoryService": "ds", "AmazonawsBatch": "batch", "AmazonAwsAccessManagement": "iam"}
+
 
 def _joined(name: str) -> str:
     return "".join(p[:1].upper() + p[1:] for p in name.split("."))
@@ -81,14 +110,22 @@ def rules(techno: str) -> dict[str, str]:
         return {f"Import_{_joined(p)}": rf"\bimport\s+{re.escape(p)}\b" for p in JAVA_PACKAGES} | JAVA_OWN
     if techno == "TSql":
         return {n: rf"(?i)\b{n}\b" for n in TSQL_NAMES} | TSQL_OWN
+    if techno == "Python":
+        spaced = lambda n: re.escape(n).replace(r"\ ", r"\s+")
+        return {m: rf"\b(?:{'|'.join(map(spaced, own))})\b" for m, own in PYTHON_NAMES.items()} | {m: rf"\b(?:{'|'.join(own)})\s*\(" for m, own in PYTHON_CALLS.items()}
     return {}
 
 
+def text_rules(techno: str) -> dict[str, str]:
+    """Mnemonics and patterns that need string literals as they are: services named on the line that makes a client."""
+    return {m: rf"(?i)\bboto3\.(?:client|resource)\s*\([^)\n]*[\"']{n}[\"']" for m, n in PYTHON_SERVICES.items()} if techno == "Python" else {}
+
+
 def file_detections(files: DataFrame, techno: str, keys: list[str], text: str = "text") -> DataFrame:
     """``keys`` and a count for each mnemonic of the technology and each kind of literal finding."""
     family = FAMILY_OF.get(techno, "none")
-    cut = files.select(*keys, code_view(F.col(text), family).alias("__code"), string_literals(F.col(text), family).alias("__strings"))
-    own = [count_of(F.col("__code"), p).alias(m) for m, p in rules(techno).items()]
+    cut = files.select(*keys, code_view(F.col(text), family).alias("__code"), string_literals(F.col(text), family).alias("__strings"), *([bare_view(F.col(text), family).alias("__bare")] if text_rules(techno) else []))
+    own = [count_of(F.col("__code"), p).alias(m) for m, p in rules(techno).items()] + [count_of(F.col("__bare"), p).alias(m) for m, p in text_rules(techno).items()]
     return cut.select(*keys, *own, *[c.alias(m) for m, c in finding_counts(F.col("__strings")).items()])
 
 

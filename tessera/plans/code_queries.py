@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import views as V
+from tessera.functions.literals import FINDINGS
+from tessera.operators import cloud as Cloud
 from tessera.operators import metrics as M
 from tessera.sources import files as S
 
@@ -238,7 +240,39 @@ WITH m AS ({metrics_sql('HTML', sources_sql('HTML'), 'p_partkey', 'text')}), g A
 SELECT p_partkey, "Tags", "Forms", all_forms, most_tags FROM m, g
 """
 
+#: Snippets with what the cloud rules of a technology look for.
+CLOUD = {
+    "Python": ["import boto3\nc = boto3.client('s3')  # boto3.client('batch')", "t = boto3.resource(region, \"dynamodb\")\nos.environ['A']", "from kubernetes import client\nimport apache_beam as b", "import psycopg2, pymongo\nos.system('x'); os.remove(f)", "with open('f') as g: g.write(KeyWrapper(k))", "from google.cloud import storage\nshutil.copytree(a, b); os.chdir(d)"],
+    "Java": ["import java.io.File;\nimport java.io.*;", "new File(\"x\").mkdirs(); f.createNewFile();", "import com.amazonaws.services.sqs.model;\n// new File(y)", "out.write(b); g.renameTo(h); i.isDirectory();", "import redis.clients.jedis.Jedis;"],
+    "CS": ["using System.IO;\nusing System.Data.SqlClient;", "File.Move(a, b); Trace.WriteLine(\"x\"); Registry.GetValue(k);", "using RabbitMQ.Client;\n[DllImport(\"a\")]", "ConfigurationManager.AppSettings[\"b\"]; new Process();", "var p = Path.GetTempPath(); // File.Copy"],
+}
+
+
+def cloud_query(techno: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = CLOUD[techno]
+        picked = [F.element_at(F.array(*[F.lit(x) for x in own]), ((F.col("p_partkey") * m + o) % len(own) + 1).cast("int")) for m, o in _STEPS]
+        files = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat_ws("\n", *picked).alias("text"))
+        counts = Cloud.file_detections(files, techno, ["p_partkey"]).drop(*FINDINGS)
+        return Cloud.application_detections(counts, "p_partkey")
+
+    run.__doc__ = f"The cloud rules of {techno} over sources made from parts, at application level."
+    return run
+
+
+def cloud_sql(techno: str) -> str:
+    table = "[" + ", ".join(map(_quoted, CLOUD[techno])) + "]"
+    made = f"SELECT p_partkey, concat_ws(chr(10), {', '.join(f'({table})[(p_partkey * {m} + {o}) % {len(CLOUD[techno])} + 1]' for m, o in _STEPS)}) AS text FROM part"
+    family = V.FAMILY_OF[techno]
+    bare = code_sql("text", family).replace(""" WHEN regexp_matches(x, """ + _quoted(rf"(?s)^(?:(?:{_re2(V.FAMILIES[family].string)})$)") + """) THEN '"CHAINE"' || regexp_replace(x, '[^\\n]+', '', 'g')""", "")
+    own = {m: f"len(regexp_extract_all(code, {_quoted(p)}))" for m, p in Cloud.rules(techno).items()} | {m: f"len(regexp_extract_all(bare, {_quoted(p)}))" for m, p in Cloud.text_rules(techno).items()}
+    counts = ", ".join(f'{c}::BIGINT AS "{m}"' for m, c in own.items())
+    return f"""WITH s AS ({made}), v AS (SELECT {code_sql('text', family)} AS code, {bare} AS bare FROM s), c AS (SELECT {counts} FROM v), u AS (UNPIVOT c ON {', '.join(f'"{m}"' for m in own)} INTO NAME mnemonic VALUE n)
+SELECT mnemonic, count(*) FILTER (n > 0) AS files, sum(n)::BIGINT AS matches FROM u GROUP BY mnemonic"""
+
+
 _QUERIES = {f"q30_{x.lower()}_metrics": (metrics_query(x), metrics_sql(x, sources_sql(x), "p_partkey", "text")) for x in SNIPPETS} | {
+    **{f"q42_{x.lower()}_cloud": (cloud_query(x), cloud_sql(x)) for x in CLOUD},
     "q31_units": (q31_units, Q31),
     "q32_unit_metrics": (q32_unit_metrics, Q32),
     "q33_literal_lines": (q33_literal_lines, Q33),
