@@ -17,6 +17,7 @@ from tessera.llm.quality import graded
 from tessera.llm.simhash import simhash_components
 from tessera.llm.suffix_dedup import remove_repeats
 from tessera.llm.toxicity import toxicity
+from tessera.llm.whitening import whitened
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +99,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitened(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return rows.select("vec_id", "whitening", F.posexplode("whitening.whitened").alias("place", "value")).select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        "whitening.n",
+        F.col("whitening.deviation").cast("long").alias("deviation"),
+        F.col("value").alias("whitened"),
+        F.get("whitening.explained", F.col("place")).alias("explained"),
+        "whitening.identity_error",
+    )
+
+
 def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
@@ -110,6 +124,7 @@ def queries() -> dict:
         "op8_quality": op8_quality,
         "op9_toxicity": op9_toxicity,
         "op10_simhash": op10_simhash,
+        "op11_whitening": op11_whitening,
     }
 
 
