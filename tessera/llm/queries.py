@@ -7,12 +7,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import staged
 from tessera.llm.decontam import benchmark_hits, words_hit
 from tessera.llm.exact_dedup import exact_groups
 from tessera.llm.packing import pack_documents
 from tessera.llm.token_files import token_file_digest
 from tessera.llm.licenses import label_list, license_scan
 from tessera.llm.pii import KINDS, personal_data, span_list
+from tessera.llm.prefix_trie import prefix_trie, turns_of
 from tessera.llm.quality import graded
 from tessera.llm.simhash import simhash_components
 from tessera.llm.suffix_dedup import remove_repeats
@@ -112,6 +114,16 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation begins with up to three turns of the one whose id is the next lower multiple of 20."""
+    own = staged(turns_of(_table(spark, sf_dir, "conversations")), "turns")
+    heads = own.where("conv_id % 20 = 0").select(F.col("conv_id").alias("of"), F.slice("turns", 1, 3).alias("head"))
+    h = (F.crc32(F.col("conv_id").cast("string")) % 4).cast("int")
+    turns = F.concat(F.slice(F.coalesce("head", F.slice("turns", 1, 0)), F.lit(1), h), F.slice("turns", h + 1, F.size("turns")))
+    both = own.join(heads, F.expr("conv_id - conv_id % 20") == F.col("of"), "left")
+    return prefix_trie(both.select("conv_id", turns.alias("turns"))).withColumn("depth", F.col("depth").cast("long"))
+
+
 def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
@@ -125,6 +137,7 @@ def queries() -> dict:
         "op9_toxicity": op9_toxicity,
         "op10_simhash": op10_simhash,
         "op11_whitening": op11_whitening,
+        "op12_prefix_trie": op12_prefix_trie,
     }
 
 
@@ -180,10 +193,44 @@ WITH n AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
+OP12_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL
+), o AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) AS pos, role, text, words FROM t
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT) AS bytes FROM (SELECT DISTINCT conv_id FROM t)
+), k AS (
+  SELECT conv_id, base, (4294967295 - list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) % 4 AS h
+  FROM c
+), r AS (
+  SELECT k.conv_id, pos AS place, role, text, words FROM k JOIN o ON o.conv_id = k.base AND pos <= h
+  UNION ALL SELECT k.conv_id, 3 + pos, role, text, words FROM k JOIN o ON o.conv_id = k.conv_id AND pos > h
+), d AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY place) AS depth, {'role': role, 'text': text} AS x, words FROM r
+), p AS (
+  SELECT conv_id, depth, list(x) OVER (PARTITION BY conv_id ORDER BY depth) AS path, words FROM d
+  UNION ALL SELECT conv_id, 0, [], 0 FROM k
+), l AS (SELECT conv_id, max(depth) AS n FROM p GROUP BY conv_id
+), e AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM p JOIN l USING (conv_id) WHERE depth = n GROUP BY path
+), n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM p GROUP BY path, depth
+), f AS (SELECT path[1 : depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL
+), a AS (
+  SELECT path[1 : up] AS path, count(*) FILTER (n_children IS NULL) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+  FROM (SELECT n.path, depth, n_convs, words, n_children, unnest(range(0, depth + 1)) AS up FROM n LEFT JOIN f USING (path)) GROUP BY ALL
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens,
+  sha256(coalesce(ids, '')) AS ends_sha256
+FROM n LEFT JOIN f ON f.path = n.path JOIN a ON a.path = n.path LEFT JOIN e ON e.path = n.path LEFT JOIN n AS q ON n.depth > 0 AND q.depth = n.depth - 1 AND q.path = n.path[1 : n.depth - 1]
+"""
+
 
 def oracle_sql() -> dict:
     return {
         "op1_decontamination": OP1_SQL,
         "op4_suffix_dedup": OP4_SQL,
         "op5_exact_dedup": OP5_SQL,
+        "op12_prefix_trie": OP12_SQL,
     }
