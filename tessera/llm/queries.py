@@ -16,6 +16,7 @@ from tessera.llm.licenses import label_list, license_scan
 from tessera.llm.pii import KINDS, personal_data, span_list
 from tessera.llm.prefix_trie import prefix_trie, turns_of
 from tessera.llm.quality import graded
+from tessera.llm.quality_rules import quality_rules
 from tessera.llm.simhash import simhash_components
 from tessera.llm.suffix_dedup import remove_repeats
 from tessera.llm.toxicity import toxicity
@@ -124,6 +125,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(both.select("conv_id", turns.alias("turns"))).withColumn("depth", F.col("depth").cast("long"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(_documents(spark, sf_dir, "lang", "source"))
+    return found.drop("row_hash").withColumn("failed", F.array_join("failed", ","))
+
+
 def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
@@ -138,6 +144,7 @@ def queries() -> dict:
         "op10_simhash": op10_simhash,
         "op11_whitening": op11_whitening,
         "op12_prefix_trie": op12_prefix_trie,
+        "op13_quality_rules": op13_quality_rules,
     }
 
 
@@ -226,6 +233,43 @@ SELECT n.conv_id, n.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, n.n_con
 FROM n LEFT JOIN f ON f.path = n.path JOIN a ON a.path = n.path LEFT JOIN e ON e.path = n.path LEFT JOIN n AS q ON n.depth > 0 AND q.depth = n.depth - 1 AND q.path = n.path[1 : n.depth - 1]
 """
 
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, lang, source, row_number() OVER () AS r, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), g AS (
+  SELECT r, p, count(*) OVER (PARTITION BY r, win) AS times FROM (SELECT r, p, array_to_string(w[p : p + 7], ' ') AS win FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS p FROM d))
+), rep AS (SELECT r, count(DISTINCT x) AS n FROM (SELECT r, unnest(range(p, p + 8)) AS x FROM g WHERE times > 1) GROUP BY r
+), c AS (
+  SELECT doc_id, lang, source, r, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines, len(regexp_extract_all(text, '\p{Lu}')) AS n_capitals
+  FROM d LEFT JOIN rep USING (r)
+), m AS (
+  SELECT r, lang, source, unnest([1, 2, 3, 4, 5]) AS rule,
+         unnest([word_chars * 1000 // n_words, n_symbols * 1000 // n_words, n_dup_lines * 1000 // n_lines, n_repeat_words * 1000 // n_words, n_capitals * 1000 // word_chars]) AS v
+  FROM c WHERE n_words > 0
+), s AS (SELECT lang, source, rule, v - v % (2 ** greatest(length(bin(v)) - 7, 0))::BIGINT AS v FROM m
+), lv AS (
+  SELECT 1 AS level, lang, source, rule, v FROM s UNION ALL SELECT 2, lang, NULL, rule, v FROM s UNION ALL SELECT 3, NULL, NULL, rule, v FROM s
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY level, lang, source, rule ORDER BY v) AS k, count(*) OVER (PARTITION BY level, lang, source, rule) AS n FROM lv
+), q AS (
+  SELECT level, lang, source, rule, any_value(n) AS n, min(v) FILTER (4 * k >= n) AS q1, min(v) FILTER (4 * k >= 3 * n) AS q3 FROM o GROUP BY ALL
+), f AS (
+  SELECT *, q1 - 3 * greatest(q3 - q1, [100, 50, 100, 50, 25][rule]) AS low, q3 + 3 * greatest(q3 - q1, [100, 50, 100, 50, 25][rule]) AS high FROM q
+), x AS (
+  SELECT a.lang, a.source, a.rule, CASE WHEN a.n >= 100 THEN a.low WHEN b.n >= 100 THEN b.low ELSE e.low END AS low, CASE WHEN a.n >= 100 THEN a.high WHEN b.n >= 100 THEN b.high ELSE e.high END AS high
+  FROM f AS a JOIN f AS b ON b.level = 2 AND b.rule = a.rule AND b.lang IS NOT DISTINCT FROM a.lang JOIN f AS e ON e.level = 3 AND e.rule = a.rule WHERE a.level = 1
+), bad AS (
+  SELECT r, string_agg(['word_length', 'symbols', 'duplicate_lines', 'repeated_words', 'capitals'][m.rule], ',' ORDER BY m.rule) AS failed
+  FROM m JOIN x ON x.rule = m.rule AND x.lang IS NOT DISTINCT FROM m.lang AND x.source IS NOT DISTINCT FROM m.source WHERE v > high OR (m.rule = 1 AND v < low) GROUP BY r
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, coalesce(failed, '') AS failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND failed IS NULL AS kept
+FROM c LEFT JOIN bad USING (r)
+"""
+
 
 def oracle_sql() -> dict:
     return {
@@ -233,4 +277,5 @@ def oracle_sql() -> dict:
         "op4_suffix_dedup": OP4_SQL,
         "op5_exact_dedup": OP5_SQL,
         "op12_prefix_trie": OP12_SQL,
+        "op13_quality_rules": OP13_SQL,
     }
