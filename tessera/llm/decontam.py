@@ -64,7 +64,7 @@ class Block:
         counts = np.diff(edge)
         item = np.repeat(np.arange(len(items)), counts)
         left = edge[1:][item] - np.arange(len(h))  # words from here to the end of the item
-        #: by length of the spans sought: sorted fingerprints, and sorted windows with the item and place of each, repeats within an item once
+        #: by length of the spans sought: sorted fingerprints, and sorted windows with the item and place of each, neighbours of equal bytes within an item once
         self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         for span in sorted({min(int(c), window) for c in counts} - {0}):
             of_items = counts >= window if span == window else counts == span
@@ -75,6 +75,8 @@ class Block:
             own, of = windows[place], item[place]
             once = np.ones(len(place), bool)
             once[1:] = (own[1:] != own[:-1]) | (of[1:] != of[:-1])
+            again = np.flatnonzero(~once)  # equal hashes may be those of other words: only equal bytes are a repeat
+            once[again] = ~self._same(self.low, self.starts, self.ends, place[again], place[again - 1], span)
             if span == window:
                 grams = gram_hashes(h, k)
                 n = max(0, len(grams) - self.width + 1)

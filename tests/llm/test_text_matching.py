@@ -72,6 +72,18 @@ def test_texts_that_repeat_themselves():
     assert {k: int(v.sum()) for k, v in found.items()} == {(0, "a"): 60_000, (1, "b"): 60_000, (1, "d"): 59_999, (4, "d"): 3}
 
 
+def test_different_windows_of_one_hash(spark):
+    """Two words whose polynomial hashes modulo 2**64 are equal for any base: neither hides the other's windows."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rest = "c d e f g h i j k"
+    items = [(1, f"{one} {rest} {two} {rest} {one} {rest}")]
+    rows = [(1, f"{two} {rest}"), (2, f"{one} {rest}"), (3, f"x {rest}"), (4, f"{rest} {two}")]
+    found = benchmark_hits(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = [(r[0], r[1], r[2]) for r in found.select("hits.n_words", words_hit("hits.runs"), "hits.items").collect()]
+    assert got == [brute_hits(t, items) for _, t in rows] and [g[1] for g in got] == [10, 10, 0, 10]
+
+
 def test_every_window_keeps_a_gram():
     import numpy as np
 
