@@ -175,7 +175,7 @@ def simhash_components(
     rows = staged(fingerprints(docs, id_col, text_col, words, distinct), "fingerprints")
     nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     roots = connected_components(linked_fingerprints(nodes.select("fp"), radius, **search))
-    tied = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
-    least = tied.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    tied = staged(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id"), "tied")
+    least = staged(tied.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
     named = staged(tied.join(least, "root").select(F.col("fp").alias("of"), "component_id"), "named")
     return rows.join(named, F.col("fp") == F.col("of"), "left").select("doc_id", "fp", "component_id")
