@@ -6,6 +6,8 @@ without ``\n`` isn't counted. All patterns stay in the subset that Java's and RE
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -158,17 +160,31 @@ def common_prefix(paths: Column) -> Column:
 PAIRS = {"(": ")", "[": "]", "{": "}"}
 
 
-def _depths(text: Column) -> Column:
-    """(i: place from 1, c: sign, d: depth behind it) of each bracket and mark, in one pass."""
-    signs = F.regexp_extract_all(text_of(text), F.lit(r"[^()\[\]{}]+|[()\[\]{}]"), F.lit(0))
-    kind = "array<struct<i:int,c:string,d:int>>"
-    state = F.struct(F.lit(1).alias("i"), F.lit(0).alias("d"), F.array().cast(kind).alias("out"))
+def scan(items: Column, zero: Column, step: Callable[[Column, Column], Column], chunk: int = 512) -> Column:
+    """The states behind each item of an array, from ``step`` (state, item).
 
-    def step(s: Column, c: Column) -> Column:
-        d = s["d"] + F.when(c.isin(*PAIRS), 1).when(c.isin(*PAIRS.values()), -1).otherwise(0)
-        return F.struct((s["i"] + F.length(c)).alias("i"), d.alias("d"), F.concat(s["out"], F.array(F.struct(s["i"].alias("i"), c.alias("c"), d.alias("d")))).alias("out"))
+    A fold that adds a state to an array copies the array each time, so states are gathered by chunk first: the
+    work is that of the items times the chunk, not times the items.
+    """
+    first = F.array(zero)
+    chunks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(items) / chunk).cast("int") - 1), lambda i: F.slice(items, i * chunk + 1, F.lit(chunk)))
 
-    return F.aggregate(signs, state, step, lambda s: s["out"])
+    def of_chunk(out: Column, own: Column) -> Column:
+        last = F.element_at(F.element_at(out, -1), -1)
+        states = F.aggregate(own, F.array(last), lambda o, x: F.concat(o, F.array(step(F.element_at(o, -1), x))))
+        return F.concat(out, F.array(F.slice(states, F.lit(2), F.size(own))))
+
+    every = F.aggregate(chunks, F.array(first), of_chunk, lambda o: F.flatten(F.slice(o, F.lit(2), F.size(o))))
+    return F.when(F.size(items) > 0, every).otherwise(F.slice(first, F.lit(1), F.lit(0)))
+
+
+def _depths(text: Column) -> Column:
+    """(i: place from 1, c: sign, d: depth behind it) of each bracket and of what stands between them."""
+    signs = F.regexp_extract_all(text_of(text), F.lit(r"[^()\[\]{}]+|[()\[\]{}]"), F.lit(0))
+    turn = lambda c: F.when(c.isin(*PAIRS), 1).when(c.isin(*PAIRS.values()), -1).otherwise(0)
+    zero = F.struct(F.lit(1).alias("next"), F.lit(1).alias("i"), F.lit("").alias("c"), F.lit(0).alias("d"))
+    step = lambda s, c: F.struct((s["next"] + F.length(c)).alias("next"), s["next"].alias("i"), c.alias("c"), (s["d"] + turn(c)).alias("d"))
+    return scan(signs, zero, step)
 
 
 def bracketed(text: Column) -> Column:

@@ -314,7 +314,8 @@ def units(files: DataFrame, language: str, key: str, text: str = "text") -> Data
     start = UNIT_STARTS.get(language)
     parts = F.split(T.text_of(F.col(text)), start, -1) if start else F.array(T.text_of(F.col(text)))
     ends = F.transform(parts, lambda p: T.line_count(p).cast("int"))
-    listed = F.transform(parts, lambda p, i: F.struct(p.alias("text"), (F.aggregate(F.slice(ends, F.lit(1), i), F.lit(0), lambda a, x: a + x) + 1).alias("first_line")))
+    before = F.concat(F.array(F.lit(0)), T.scan(ends, F.lit(0), lambda a, x: a + x))
+    listed = F.zip_with(parts, F.slice(before, F.lit(1), F.size(parts)), lambda p, n: F.struct(p.alias("text"), (n + 1).alias("first_line")))
     own = F.when(F.size(parts) > 1, F.filter(listed, lambda u: F.rlike(u["text"], F.lit(start)))).otherwise(listed) if start else listed
     each = files.select(key, F.posexplode(own).alias("unit", "u"))
     return each.select(key, (F.col("unit") + 1).alias("unit"), F.regexp_extract("u.text", _UNIT_NAME, 1).alias("unit_name"), "u.first_line", F.col("u.text").alias("text"))

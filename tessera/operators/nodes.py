@@ -2,8 +2,8 @@ r"""Nodes of source texts as an edge table, and metrics that need nesting.
 
 A node is a line that opens a construct (function, class, loop, condition, try, switch). Its depth comes from
 indentation (Python) or from the braces before it (languages with braces); its parent is the nearest node
-before it that is less deep and not closed. Depths and enclosing nodes are folded inside a row by column
-expressions; siblings are window functions over (file, parent), whose size is that of one text.
+before it that is less deep and not closed. Enclosing nodes are found in one pass over a text's lines with a stack;
+siblings are window functions over (file, parent), whose size is that of one text.
 
 Defined cases: null texts have no nodes; comments and strings are blanked first; a file key may repeat, and
 its rows' nodes are kept apart by ``part`` (the row's number within its task and task number); unbalanced
@@ -12,6 +12,7 @@ braces never give a negative depth.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,48 +59,70 @@ def _kind(line: Column, kinds: list[tuple[str, str]]) -> tuple[Column, Column]:
 
 
 def _lines(code: Column, braces: bool) -> Column:
-    """(n, line, depth) of each line that isn't blank."""
-    listed = F.filter(F.transform(F.split(code, "\n", -1), lambda x, i: F.struct((i + 1).alias("n"), x.alias("line"))), lambda r: F.trim(r["line"]) != "")
-    if not braces:
-        return F.transform(listed, lambda r: F.struct(r["n"].alias("n"), r["line"].alias("line"), F.length(F.regexp_extract(F.regexp_replace(r["line"], "\t", "        "), r"^( *)", 1)).alias("depth")))
-    kind = "struct<now:int,out:array<struct<n:int,line:string,depth:int>>>"
-    state = F.struct(F.lit(0).alias("now"), F.array().cast("array<struct<n:int,line:string,depth:int>>").alias("out")).cast(kind)
+    """(n, line, a, b, c) of each line that isn't blank: its indentation, or its opened and closed braces and whether it begins with a closed one."""
+    count = lambda line, sign: F.length(line) - F.length(F.replace(line, F.lit(sign), F.lit("")))
+    indent = lambda line: F.length(F.regexp_extract(F.regexp_replace(line, "\t", "        "), r"^( *)", 1))
 
-    def step(s: Column, r: Column) -> Column:
-        up, down = F.regexp_count(r["line"], F.lit(r"\{")), F.regexp_count(r["line"], F.lit(r"\}"))
-        leads = F.rlike(r["line"], F.lit(r"^\s*\}")).cast("int")
-        here = F.greatest(F.lit(0), s["now"] - leads)
-        return F.struct(F.greatest(F.lit(0), s["now"] + up - down).alias("now"), F.concat(s["out"], F.array(F.struct(r["n"].alias("n"), r["line"].alias("line"), here.alias("depth")))).alias("out"))
+    def one(line: Column, i: Column) -> Column:
+        a, b, c = (count(line, "{"), count(line, "}"), F.rlike(line, F.lit(r"^\s*\}")).cast("int")) if braces else (indent(line), F.lit(0), F.lit(0))
+        return F.struct((i + 1).alias("n"), line.alias("line"), a.alias("a"), b.alias("b"), c.alias("c"))
 
-    return F.aggregate(listed, state, step, lambda s: s["out"])
+    return F.filter(F.transform(F.split(code, "\n", -1), one), lambda r: F.trim(r["line"]) != "")
+
+
+def nested(braces: bool):
+    """A function of the arrays n, a, b, c and opened (of a text's lines): for each opened line its depth, parent (0: none), nesting and last line.
+
+    One pass with a stack of what is open, which no column expression has.
+    """
+
+    @F.pandas_udf("depth array<int>, parent array<int>, nesting array<int>, last array<int>")
+    def fold(ns: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, opened: pd.Series) -> pd.DataFrame:
+        out: dict[str, list] = {"depth": [], "parent": [], "nesting": [], "last": []}
+        for row in zip(ns, a, b, c, opened):
+            depths, parents, nestings, lasts = [], [], [], []
+            stack: list[tuple[int, int, int]] = []  # depth, line and place of each node that is open
+            now, line = 0, 0
+            for n, up, down, leads, kind in zip(*(x.tolist() for x in row)):
+                depth = max(0, now - leads) if braces else up
+                now = max(0, now + up - down)
+                while stack and stack[-1][0] >= depth:
+                    lasts[stack.pop()[2]] = n - 1
+                line = n
+                if kind:
+                    depths.append(depth)
+                    parents.append(stack[-1][1] if stack else 0)
+                    nestings.append(len(stack))
+                    stack.append((depth, n, len(lasts)))
+                    lasts.append(0)
+            for _, _, at in stack:
+                lasts[at] = line
+            for k, v in zip(out, (depths, parents, nestings, lasts)):
+                out[k].append(v)
+        return pd.DataFrame(out)
+
+    return fold
 
 
 def nodes(files: DataFrame, language: str, key: str, text: str = "text") -> DataFrame:
     """(key, part, node_id: its line, parent_id (null at the top), kind, name, depth, nesting, last_line, statement).
 
-    A projection and an explode: no shuffle.
+    A projection and an explode: no shuffle. A node's lines, node_id to last_line, hold those of all nodes below it.
     """
     family = FAMILY_OF.get(language, "none")
     braces = family != "python"
-    rows = files.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("part"), _lines(code_view(F.col(text), family), braces).alias("lines"))
-    # the last line inside: the one before the next line that isn't deeper
-    end = lambda l: F.coalesce(F.array_min(F.transform(F.filter("lines", lambda m: (m["n"] > l["n"]) & (m["depth"] <= l["depth"])), lambda m: m["n"])) - 1, F.element_at("lines", -1)["n"])
 
     def opened(l: Column) -> Column:
         kind, name = _kind(l["line"], BRACE_KINDS if braces else PYTHON_KINDS)
-        return F.struct(l["n"].alias("node_id"), kind.alias("kind"), name.alias("name"), l["depth"].alias("depth"), F.trim(l["line"]).alias("statement"))
-
-    def closed(x: Column) -> Column:
-        own = F.struct(x["node_id"].alias("n"), x["depth"].alias("depth"))
-        return F.struct(x["node_id"].alias("node_id"), x["kind"].alias("kind"), x["name"].alias("name"), x["depth"].alias("depth"), end(own).alias("last_line"), x["statement"].alias("statement"))
+        return F.struct(l["n"].alias("node_id"), kind.alias("kind"), name.alias("name"), F.trim(l["line"]).alias("statement"))
 
-    def around(x: Column) -> Column:
-        return F.filter("found", lambda b: (b["node_id"] < x["node_id"]) & (b["depth"] < x["depth"]) & (b["last_line"] >= x["node_id"]))
-
-    found = rows.withColumn("opened", F.filter(F.transform("lines", opened), lambda x: x["kind"].isNotNull())).withColumn("found", F.transform("opened", closed))
-    each = found.select("key", "part", "found", F.explode("found").alias("x")).withColumn("around", around(F.col("x")))
+    rows = files.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("part"), _lines(code_view(F.col(text), family), braces).alias("lines"))
+    rows = rows.withColumn("opened", F.transform("lines", opened))
+    fold = nested(braces)("lines.n", "lines.a", "lines.b", "lines.c", F.transform("opened", lambda x: x["kind"].isNotNull()))
+    found = rows.select("key", "part", F.filter("opened", lambda x: x["kind"].isNotNull()).alias("x"), fold.alias("f"))
+    each = found.select("key", "part", F.explode(F.arrays_zip("x", F.col("f.depth").alias("depth"), F.col("f.parent").alias("parent"), F.col("f.nesting").alias("nesting"), F.col("f.last").alias("last"))).alias("e"))
     return each.select(
-        F.col("key").alias(key), "part", "x.node_id", F.when(F.size("around") > 0, F.element_at("around", -1)["node_id"]).alias("parent_id"), "x.kind", "x.name", "x.depth", F.size("around").alias("nesting"), "x.last_line", "x.statement"
+        F.col("key").alias(key), "part", "e.x.node_id", F.when(F.col("e.parent") > 0, F.col("e.parent")).alias("parent_id"), "e.x.kind", "e.x.name", "e.depth", "e.nesting", F.col("e.last").alias("last_line"), "e.x.statement"
     )
 
 
