@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import lexers as L
 from tessera.functions import text as T
 from tessera.functions import views as V
 from tessera.functions.literals import finding_counts, is_ip
@@ -246,7 +247,8 @@ def profile(language: str) -> list[Metric]:
 def with_views(files: DataFrame, language: str, text: str = "text") -> DataFrame:
     """``files`` with the struct ``views``: text, code, comment, strings and agglo (the line layout)."""
     family = V.FAMILY_OF.get(language, "none")
-    cut = files.withColumn("views", V.lexical_views(F.col(text), family))
+    views = L.lexical_views(F.col(text), language) if language in L.LEXERS else V.lexical_views(F.col(text), family)
+    cut = files.withColumn("views", views)
     return cut.withColumn("views", F.col("views").withField("agglo", V.line_layout(F.col("views.code"), F.col("views.comment"))))
 
 

@@ -21,6 +21,7 @@ from tessera.operators import keyword_scan as K
 from tessera.operators import metrics as M
 from tessera.operators import rules as R
 from tessera.plans import code_queries as Code
+from tessera.plans import lexer_queries as Lexers
 from tessera.plans import manifest_queries as Manifests
 from tessera.plans import tree_queries as Trees
 from tessera.plans.code_queries import ASCII, code_sql, commented_out_sql, comparable_metrics, metrics_sql, suspicious_sql
@@ -744,8 +745,8 @@ _QUERIES = {
 
 
 def queries() -> dict:
-    return {name: run for name, (run, _) in _QUERIES.items()} | Code.queries() | Manifests.queries() | Trees.queries()
+    return {name: run for name, (run, _) in _QUERIES.items()} | Code.queries() | Manifests.queries() | Trees.queries() | Lexers.queries()
 
 
 def oracle_sql() -> dict:
-    return {name: sql for name, (_, sql) in _QUERIES.items() if sql} | Code.oracle_sql() | Manifests.oracle_sql() | Trees.oracle_sql()
+    return {name: sql for name, (_, sql) in _QUERIES.items() if sql} | Code.oracle_sql() | Manifests.oracle_sql() | Trees.oracle_sql() | Lexers.oracle_sql()
