@@ -140,17 +140,18 @@ def _ends(text: str) -> str:
 
 
 def lexical_views(text: Column, language: str) -> Column:
-    """A struct of text, code, comment and strings, as ``views.lexical_views`` gives it; regular expressions are literals in code, and no strings."""
+    """A struct of text, code, bare, comment and strings, as ``views.lexical_views`` gives it; regular expressions are literals in code, and no strings."""
 
-    @F.pandas_udf("code string, comment string, strings array<string>")
+    @F.pandas_udf("code string, bare string, comment string, strings array<string>")
     def cut(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for one in texts:
             found = tokens(one, language)
             code = "".join(t if k == CODE else _ends(t) if k == COMMENT else '"CHAINE"' + _ends(t) for k, t in found)
+            bare = "".join(_ends(t) if k == COMMENT else t for k, t in found)
             comment = "".join(t if k == COMMENT else _ends(t) for k, t in found)
-            rows.append((code, comment, [t for k, t in found if k == STRING]))
-        return pd.DataFrame(rows, columns=["code", "comment", "strings"])
+            rows.append((code, bare, comment, [t for k, t in found if k == STRING]))
+        return pd.DataFrame(rows, columns=["code", "bare", "comment", "strings"])
 
     own = cut(text_of(text))
-    return F.struct(text_of(text).alias("text"), own["code"].alias("code"), own["comment"].alias("comment"), own["strings"].alias("strings"))
+    return F.struct(text_of(text).alias("text"), own["code"].alias("code"), own["bare"].alias("bare"), own["comment"].alias("comment"), own["strings"].alias("strings"))

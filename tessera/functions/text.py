@@ -227,8 +227,3 @@ def missing_braces(code: Column) -> Column:
         return F.struct(wait.alias("wait"), deep.alias("deep"), word.alias("last"), (s["found"] + fails.cast("int")).alias("found"))
 
     return F.aggregate(signs, state, step, lambda s: s["found"]).cast("bigint")
-
-
-def absolute_includes(code: Column) -> Column:
-    """Includes of an absolute path."""
-    return count_of(code, r"(?m)^[ \t]*#[ \t]*include[ \t]*[<\"](?:[A-Za-z]:)?[\\/]")

@@ -139,5 +139,5 @@ def comment_blocks(layout: Column) -> Column:
 
 
 def lexical_views(text: Column, family: str) -> Column:
-    """A struct of text, code, comment and strings."""
-    return F.struct(text_of(text).alias("text"), code_view(text, family).alias("code"), comment_view(text, family).alias("comment"), string_literals(text, family).alias("strings"))
+    """A struct of text, code, bare, comment and strings."""
+    return F.struct(text_of(text).alias("text"), code_view(text, family).alias("code"), bare_view(text, family).alias("bare"), comment_view(text, family).alias("comment"), string_literals(text, family).alias("strings"))

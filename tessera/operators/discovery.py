@@ -107,13 +107,40 @@ PRIORITY = {"h": ["CCpp", "ObjCCpp"]}
 LAST_RESORT = {"h": "CCpp"}
 #: Extensions whose presence beside a file decides.
 SIBLINGS = {"frm": (["frx", "vbp"], "VbDotNet")}
-#: Functions and settings that only one dialect has.
-MARIADB_WORDS = (
+#: Functions and variables that only one dialect has, as whole words; those that end with an underscore begin a word.
+MARIADB_FUNCTIONS = (
     "column_add column_check column_create column_delete column_exists column_get column_json column_list wsrep_last_seen_gtid wsrep_last_written_gtid wsrep_sync_wait_upto_gtid"
     " add_months chr decode_oracle lengthb nvl nvl2 sys_guid to_char trim_oracle value json_compact json_detailed json_equals json_exists json_loose json_normalize json_query"
     " lastval nextval setval median percentile_cont percentile_disc natural_sort_key sformat"
 ).split()
-MARIADB_STARTS = "aria_ binlog_ column_compression_ deadlock_ encrypt_ gtid_ innodb_compression_ innodb_encrypt_ query_cache_ replicate_ rpl_semi_sync_ s3_ slave_parallel_ system_versioning_ tcp_keepalive_ thread_pool_ wsrep_".split()
+MARIADB_VARIABLES = (
+    "alter_algorithm analyze_sample_percentage aria_ binlog-annotate-row-events binlog_commit_wait_count binlog_commit_wait_usec binlog_file_cache_size binlog_optimize_thread_scheduling"
+    " check_constraint_checks column_compression_threshold column_compression_zlib_level column_compression_zlib_strategy column_compression_zlib_wrap date_format datetime_format"
+    " deadlock_search_depth_long deadlock_search_depth_short deadlock_timeout_long deadlock_timeout_short debug_no_thread_alarm default_master_connection default_regex_flags"
+    " encrypt_binlog encrypt_tmp_files encrypt_tmp_disk_tables expensive_subquery_limit extra_max_connections extra_port gtid_binlog_pos gtid_binlog_state gtid_cleanup_batch_size"
+    " gtid_current_pos gtid_domain_id gtid_ignore_duplicates gtid_pos_auto_engines gtid_seq_no gtid_slave_pos gtid_strict_mode have_crypt have_query_cache histogram_size histogram_type"
+    " idle_readonly_transaction_timeout idle_transaction_timeout idle_write_transaction_timeout ignore_builtin_innodb in_predicate_conversion_threshold in_transaction innodb_checksums"
+    " innodb_compression_ innodb_deadlock_report innodb_default_encryption_key_id innodb_defragment innodb_disallow_writes innodb_encrypt_ innodb_fatal_semaphore_wait_threshold"
+    " innodb_force_primary_key innodb_idle_flush_pct innodb_immediate_scrub_data_uncompressed innodb_instant_alter_column_allowed innodb_locks_unsafe_for_binlog"
+    " innodb_prefix_index_cluster_optimization innodb_read_only_compressed innodb_stats_modified_counter innodb_stats_sample_pages innodb_stats_traditional innodb_use_atomic_writes"
+    " join_buffer_space_limit join_cache_level key_cache_file_hash_size key_cache_segments log_bin_compress log_bin_compress_min_len log_disabled_statements log_slow_disabled_statements"
+    " log_slow_filter log_slow_rate_limit log_slow_verbosity log_syslog* log_tc_size log_warnings max_long_data_size max_password_errors max_recursive_iterations max_session_mem_used"
+    " max_statement_time max_tmp_tables mrr_buffer_size myisam_block_size old_mode old_passwords optimizer_selectivity_sampling_limit optimizer_use_condition_selectivity plugin_maturity"
+    " progress_report_time proxy_protocol_networks query_cache_ read_binlog_speed_limit replicate_annotate_row_events replicate_do_db replicate_do_table replicate_events_marked_for_skip"
+    " replicate_ignore_db replicate_ignore_table replicate_wild_do_table replicate_wild_ignore_table rowid_merge_buff_size rpl_semi_sync_ s3_ secure_auth secure_timestamp"
+    " skip_parallel_replication skip_replication slave_ddl_exec_mode slave_domain_parallel_threads slave_parallel_max_queued slave_parallel_mode slave_parallel_threads"
+    " slave_transaction_retry_errors slave_transaction_retry_interval sql_if_exists standard_compliant_cte storage_engine strict_password_validation sync_frm"
+    " system_versioning_alter_history system_versioning_asof tcp_keepalive_interval tcp_keepalive_probes tcp_keepalive_time tcp_nodelay thread_concurrency thread_pool_dedicated_listener"
+    " thread_pool_exact_stats thread_pool_idle_timeout thread_pool_max_threads thread_pool_min_threads thread_pool_oversubscribe thread_pool_prio_kickup thread_pool_priority time_format"
+    " timed_mutexes tmp_disk_table_size tmp_memory_table_size tx_isolation tx_read_only use_stat_tables userstat version_malloc_library version_source_revision version_ssl_library wsrep_"
+).split()
+
+
+def any_word(names: list[str]) -> str:
+    """A pattern for any of some words; a name that ends with an underscore is the beginning of one."""
+    return rf"(?i)\b(?:{'|'.join(n if n.endswith('_') else n + chr(92) + 'b' for n in names)})"
+
+
 #: SQL dialects by pattern, in order; a dialect has what a pattern allows it.
 DIALECTS = [
     (r"(?im)^\s*package\b", ["PlSql"]),
@@ -132,8 +159,8 @@ DIALECTS = [
     (r"(?i)\bsys(?:ibm|cat)\b", ["DB2"]),
     (r"(?i)\bfull\s+outer\s+join\b", ["TSql", "PlSql", "PostgreSQL", "DB2"]),
     (r"(?i)\bcreate\s+distinct\s+type\b", ["PlSql", "DB2"]),
-    (rf"(?i)\b(?:{'|'.join(MARIADB_WORDS)})\b", ["MariaDB"]),
-    (rf"(?i)\b(?:{'|'.join(MARIADB_STARTS)})", ["MariaDB"]),
+    (any_word(MARIADB_FUNCTIONS), ["MariaDB"]),
+    (any_word(MARIADB_VARIABLES), ["MariaDB"]),
 ]
 #: The same for texts without their comments.
 CODE_DIALECTS = [

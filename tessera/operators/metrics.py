@@ -185,15 +185,15 @@ RUST = [
     *_words("code", Fn="fn", Let="let", Mut="mut", Match="match", Loop="loop", Impl="impl", Trait="trait", Struct="struct", Enum="enum", Unsafe="unsafe", Pub="pub", Use="use", Mod="mod", Async="async", Await="await", Move="move", Dyn="dyn"),
     *_plain("code", Unwraps=r"\.unwrap\s*\(\s*\)", Expects=r"\.expect\s*\(", Panics=r"\bpanic!", Macros=r"\b\w+!\s*[(\[{]", Clones=r"\.clone\s*\(\s*\)", Lifetimes=r"&\s*mut\b"),
 ]
-SQL_MORE = _plain(
+SQL_MORE = [*_plain("comment", Hints=r"/\*\+"), *_plain("bare", LikeLeadingWildcards=r"(?i)\blike\s+N?'[%_]"), *_plain(
     "code",
     CreateTable=r"(?i)\bcreate\s+(?:global\s+temporary\s+)?table\b", CreateView=r"(?i)\bcreate\s+(?:or\s+replace\s+)?view\b", CreateIndex=r"(?i)\bcreate\s+(?:unique\s+)?index\b", CreateProcedure=r"(?i)\bcreate\s+(?:or\s+replace\s+)?procedure\b", CreateFunction=r"(?i)\bcreate\s+(?:or\s+replace\s+)?function\b",
     CreateTrigger=r"(?i)\bcreate\s+(?:or\s+replace\s+)?trigger\b", DropStatements=r"(?i)\bdrop\s+(?:table|view|index|procedure|function)\b", AlterTable=r"(?i)\balter\s+table\b", Grants=r"(?i)\bgrant\b", Union=r"(?i)\bunion\b", UnionAll=r"(?i)\bunion\s+all\b", GroupBy=r"(?i)\bgroup\s+by\b",
-    Having=r"(?i)\bhaving\b", Exists=r"(?i)\bexists\s*\(", InSubqueries=r"(?i)\bin\s*\(\s*select\b", LikeLeadingWildcards=r"(?i)\blike\s+\"CHAINE\"", CompareToNull=r"(?i)(?:=|<>|!=)\s*null\b", Truncate=r"(?i)\btruncate\b", CaseWhen=r"(?i)\bcase\b", CaseElse=r"(?i)\belse\b", Loops=r"(?i)\bloop\b",
-    Whiles=r"(?i)\bwhile\b", Ifs=r"(?i)\bif\b", Elsifs=r"(?i)\bels(?:e)?if\b", Fetches=r"(?i)\bfetch\b", Opens=r"(?i)\bopen\b", Closes=r"(?i)\bclose\b", Savepoints=r"(?i)\bsavepoint\b", Raises=r"(?i)\braise\b", Exceptions=r"(?i)\bexception\b", Returns=r"(?i)\breturn\b", Hints=r"/\*\+",
+    Having=r"(?i)\bhaving\b", Exists=r"(?i)\bexists\s*\(", InSubqueries=r"(?i)\bin\s*\(\s*select\b", CompareToNull=r"(?i)(?:=|<>|!=)\s*null\b", Truncate=r"(?i)\btruncate\b", CaseWhen=r"(?i)\bcase\b", CaseElse=r"(?i)\belse\b", Loops=r"(?i)\bloop\b",
+    Whiles=r"(?i)\bwhile\b", Ifs=r"(?i)\bif\b", Elsifs=r"(?i)\bels(?:e)?if\b", Fetches=r"(?i)\bfetch\b", Opens=r"(?i)\bopen\b", Closes=r"(?i)\bclose\b", Savepoints=r"(?i)\bsavepoint\b", Raises=r"(?i)\braise\b", Exceptions=r"(?i)\bexception\b", Returns=r"(?i)\breturn\b",
     PositionalOrderBy=r"(?i)\border\s+by\s+\d", CrossJoins=r"(?i)\bcross\s+join\b", CommaJoins=r"(?i)\bfrom\s+\w+\s*(?:\w+\s*)?,\s*\w+", InsertWithoutColumns=r"(?i)\binsert\s+into\s+\w+\s+(?:values|select)\b", UpdateStatements=r"(?i)\bupdate\s+\w+\s+set\b", DynamicSql=r"(?i)\bexecute\s+immediate\b|\bsp_executesql\b",
     LockTables=r"(?i)\block\s+table\b|\bnolock\b", Prints=r"(?i)\b(?:dbms_output\.put_line|print)\b", GlobalVariables=r"@@\w+", TempTables=r"#\w+", Waitfors=r"(?i)\bwaitfor\b", NaturalJoins=r"(?i)\bnatural\s+join\b", Distincts=r"(?i)\bdistinct\b", Merges=r"(?i)\bmerge\s+into\b",
-)
+)]
 PYTHON_MORE = [
     *_words("code", Except="except", Finally="finally", Raise="raise", Assert="assert", With="with", Del="del", Nonlocal="nonlocal", Async="async", Await="await", NoneWords="None", Is="is", Not="not", And="and", Or="or", In="in"),
     *_plain("code", Prints=r"\bprint\s*\(", CompareToNone=r"[=!]=\s*None\b", CompareToTrue=r"[=!]=\s*(?:True|False)\b", MutableDefaults=r"\bdef\s+\w+\s*\([^)]*=\s*(?:\[\s*\]|\{\s*\})", Comprehensions=r"\[[^\[\]]*\bfor\b[^\[\]]*\]", TypeCalls=r"\btype\s*\([^)]*\)\s*==", SemicolonEnds=r"(?m);[ \t]*$", Backslashes=r"(?m)\\$", DunderMethods=r"\bdef\s+__\w+__", PrivateMethods=r"\bdef\s+_[a-z]\w*", SelfUses=r"\bself\.", Subprocesses=r"\b(?:os\.system|subprocess\.\w+)\s*\(", MultipleStatements=r"(?m);[ \t]*\S", Lists=r"\[\s*\]", BareRaises=r"(?m)\braise[ \t]*$"),
@@ -204,8 +204,9 @@ SHELL_MORE = [
 ]
 MARKUP_MORE = _plain("code", Tables=r"(?i)<\s*table\b", Inputs=r"(?i)<\s*input\b", Metas=r"(?i)<\s*meta\b", Divs=r"(?i)<\s*div\b", Spans=r"(?i)<\s*span\b", Fonts=r"(?i)<\s*(?:font|center|marquee|blink)\b", Lists=r"(?i)<\s*[uo]l\b", Headings=r"(?i)<\s*h[1-6]\b", InlineHandlers=r"(?i)\son\w+\s*=", InlineStyles=r"(?i)\sstyle\s*=", Anchors=r"(?i)<\s*a\b", Paragraphs=r"(?i)<\s*p\b", Scriptlets=r"<%[^@!=]", Directives=r"<%@", Expressions=r"<%=", Declarations=r"<%!", JstlTags=r"<c:\w+", Objects=r"(?i)<\s*(?:object|embed|applet)\b", Labels=r"(?i)<\s*label\b", Buttons=r"(?i)<\s*button\b")
 C_MORE = [
+    *_plain("bare", AbsoluteIncludes=r"(?m)^[ \t]*#[ \t]*include[ \t]*[<\"](?:[A-Za-z]:)?[\\/]"),
     *_words("code", Do="do", Sizeof="sizeof", Typedef="typedef", Enum="enum", Static="static", Extern="extern", Volatile="volatile", Register="register", Realloc="realloc", Memcpy="memcpy", Strlen="strlen", Abort="abort", Setjmp="setjmp", Longjmp="longjmp", Void="void", Const="const", Unsigned="unsigned"),
-    *_plain("code", Undefs=r"(?m)^[ \t]*#[ \t]*undef\b", SystemIncludes=r"(?m)^[ \t]*#[ \t]*include[ \t]*<", AbsoluteIncludes=r"(?m)^[ \t]*#[ \t]*include[ \t]*(?:<|\")(?:[A-Za-z]:)?[\\/]", FunctionMacros=r"(?m)^[ \t]*#[ \t]*define[ \t]+\w+\(", ConstantMacros=r"(?m)^[ \t]*#[ \t]*define[ \t]+\w+[ \t]+\d", PointerDeclarations=r"\b\w+\s*\*+\s*\w+\s*[;=,]", NullTests=r"[=!]=\s*NULL\b", EmptyStatements=r";\s*;", AssignmentsInConditions=r"\bif\s*\(\s*\w+\s*=\s*[^=]", Increments=r"\+\+", Decrements=r"--", Arrows=r"->", Labels=r"(?m)^[ \t]*[A-Za-z_]\w*:[ \t]*$"),
+    *_plain("code", Undefs=r"(?m)^[ \t]*#[ \t]*undef\b", SystemIncludes=r"(?m)^[ \t]*#[ \t]*include[ \t]*<", FunctionMacros=r"(?m)^[ \t]*#[ \t]*define[ \t]+\w+\(", ConstantMacros=r"(?m)^[ \t]*#[ \t]*define[ \t]+\w+[ \t]+\d", PointerDeclarations=r"\b\w+\s*\*+\s*\w+\s*[;=,]", NullTests=r"[=!]=\s*NULL\b", EmptyStatements=r";\s*;", AssignmentsInConditions=r"\bif\s*\(\s*\w+\s*=\s*[^=]", Increments=r"\+\+", Decrements=r"--", Arrows=r"->", Labels=r"(?m)^[ \t]*[A-Za-z_]\w*:[ \t]*$"),
 ]
 CPP_MORE = [*_words("code", Throw="throw", Template="template", Virtual="virtual", Friend="friend", Namespace="namespace", Using="using", Class="class", Operator="operator", Inline="inline", Explicit="explicit", Mutable="mutable", Typename="typename", Public="public", Private="private", Protected="protected", This="this", Nullptr="nullptr", Auto="auto", StaticCasts="static_cast", DynamicCasts="dynamic_cast", ConstCasts="const_cast"), *_plain("code", UsingNamespaces=r"\busing\s+namespace\b", Couts=r"\bcout\s*<<", DeleteArrays=r"\bdelete\s*\[\s*\]", CatchAll=r"\bcatch\s*\(\s*\.\.\.\s*\)")]
 
@@ -245,7 +246,7 @@ def profile(language: str) -> list[Metric]:
 
 
 def with_views(files: DataFrame, language: str, text: str = "text") -> DataFrame:
-    """``files`` with the struct ``views``: text, code, comment, strings and agglo (the line layout)."""
+    """``files`` with the struct ``views``: text, code, bare (code with its literals), comment, strings and agglo (the line layout)."""
     family = V.FAMILY_OF.get(language, "none")
     views = L.lexical_views(F.col(text), language) if language in L.LEXERS else V.lexical_views(F.col(text), family)
     cut = files.withColumn("views", views)
@@ -255,7 +256,7 @@ def with_views(files: DataFrame, language: str, text: str = "text") -> DataFrame
 def file_metrics(files: DataFrame, language: str, keys: list[str], text: str = "text", only: list[str] | None = None, findings: bool = True) -> DataFrame:
     """``keys`` and a bigint column for each metric of the language, and for each kind of finding."""
     cut = with_views(files.select(*keys, text), language, text)
-    views = {v: F.col(f"views.{v}") for v in ("text", "code", "comment", "agglo")}
+    views = {v: F.col(f"views.{v}") for v in ("text", "code", "bare", "comment", "agglo")}
     wanted = [m for m in profile(language) if only is None or m.name in only]
     columns = [m.column(views).alias(m.name) for m in wanted]
     if findings:

@@ -1,7 +1,7 @@
 r"""Queries over sources that are made from the tables' rows: metrics of each language, units, and text functions.
 
-Each part's row picks a few of a language's snippets by its key, so every row is a file of its own and the
-snippets meet in many orders. The SQL cuts the same texts into the same views with another regex engine.
+Each digit of a part's key, to the base of the number of a language's snippets, picks one of them, so the first 5,000
+files at least all differ. The SQL cuts the same texts into the same views with another regex engine.
 Metrics whose patterns look around (which that engine lacks) and the two that fold over brackets are left to
 the tests.
 """
@@ -18,11 +18,12 @@ from tessera.operators import cloud as Cloud
 from tessera.operators import metrics as M
 from tessera.sources import files as S
 
-_STEPS = ((1, 0), (3, 1), (7, 2), (5, 4))
+#: A language's snippets make at least so many different files.
+DIFFERENT = 5000
 
 #: Snippets of each language.
 SNIPPETS = {
-    "CCpp": ["#include <stdio.h>\n#include \"/abs/x.h\"\n#define MAX 100\n#define SQ(x) ((x)*(x))", "int main(void) {\n  char buf[256];\n  if (a = b) goto end; // TODO check\n  strcpy(buf, argv[1]);\n  printf(\"%s\", buf);\n  return 0;\n}", "/* if (x) {\n   old(); */\nfor (i = 0; i < 10; i++) { x += 3.14; }", "class A : public B {\n public:\n  virtual ~A();\n  explicit A(int x) { delete this; }\n};", "using namespace std;\nint *p = new int[5];\ndelete [] p;\ncout << static_cast<int>(3.5);", "try { f(); } catch (...) { }\ntry { g(); } catch (Exception e) { throw; }", "switch (x) {\n case 1: break;\n default: y = x ? 1 : 2;\n}", "#if defined(A)\n#pragma once\n#endif\nwhile (p != NULL && *p) p->next = q--;", "namespace { const int limit = 500; }\ntemplate <typename T> T twice(T t) { return 2 * t; }", "// ???\nsystem(\"rm -rf /tmp/x\"); do { x = y = 0; } while (0);;"],
+    "CCpp": ["#  include \"C:\\lib\\y.h\"\n#include </usr/include/z.h>\n// #include \"/no/w.h\"", "#include <stdio.h>\n#include \"/abs/x.h\"\n#define MAX 100\n#define SQ(x) ((x)*(x))", "int main(void) {\n  char buf[256];\n  if (a = b) goto end; // TODO check\n  strcpy(buf, argv[1]);\n  printf(\"%s\", buf);\n  return 0;\n}", "/* if (x) {\n   old(); */\nfor (i = 0; i < 10; i++) { x += 3.14; }", "class A : public B {\n public:\n  virtual ~A();\n  explicit A(int x) { delete this; }\n};", "using namespace std;\nint *p = new int[5];\ndelete [] p;\ncout << static_cast<int>(3.5);", "try { f(); } catch (...) { }\ntry { g(); } catch (Exception e) { throw; }", "switch (x) {\n case 1: break;\n default: y = x ? 1 : 2;\n}", "#if defined(A)\n#pragma once\n#endif\nwhile (p != NULL && *p) p->next = q--;", "namespace { const int limit = 500; }\ntemplate <typename T> T twice(T t) { return 2 * t; }", "// ???\nsystem(\"rm -rf /tmp/x\"); do { x = y = 0; } while (0);;"],
     "Java": ["import java.util.*;\nimport java.io.File;\npackage a.b;", "public class A extends B implements C {\n  static final int N = 42;\n  private volatile int x = 1234;\n}", "try { run(); } catch (Exception e) { e.printStackTrace(); } finally { close(); }", "if (a == \"x\" || b.getClass() == c.getClass()) System.out.println(\"hello\");", "// FIXME: remove\nfor (int i = 0; i < 10; i++) { new Integer(5); System.gc(); }", "@Override\npublic String toString() { return x ? \"a\" : \"b\"; }", "/* case 1: old */\nswitch (k) { case 1: break; default: continue; }", "throw new RuntimeException(\"no\");\nsynchronized (this) { assert x > 0xFF; }", "new Thread(r).start(); Thread.sleep(100); System.exit(1);;", "StringBuffer s = new StringBuffer(); while (true) { if (o instanceof A) return; else break; }"],
     "CS": ["using System;\nnamespace N {\n  sealed partial class A { }\n}", "#region x\n[Serializable]\npublic event Handler H;\n#endregion", "try { f(); } catch { }\ntry { g(); } catch (Exception) { throw new Exception(\"x\"); }", "foreach (var x in xs) { Console.WriteLine(\"{0}\", x); }", "lock (o) { unsafe { GC.Collect(); } }", "async Task F() { await G(); dynamic d = 7; var s = o as string; if (o is int) goto end; }", "// TBD\nswitch (x) { case 10: break; default: return; }", "~A() { y = x ? 12 : 13; }"],
     "JS": ["var x = 1, y = 20; let z = null; const w = 300;", "function f(a) { if (a == 1 && b != 2) { alert(\"x\"); } else { return void 0; } }", "for (var k in o) { delete o[k]; console.log(k); }", "document.write(\"<p>\"); setTimeout(function() { eval(\"1\"); }, 1000);", "Array.prototype.last = function() { return this[this.length - 1]; };", "const g = async (a) => { await h(a); debugger; };", "// todo: later\ntry { x.innerHTML = \"a\"; } catch (e) { } finally { }", "switch (typeof x) { case \"a\": break; default: throw new Error(\"x\"); }", "class A { } export default A; import b from \"b\"; parseInt(x);", "/* while (x) { */\nwith (o) { y = z ? 1 : 2; } do { } while (q instanceof R);"],
@@ -34,8 +35,8 @@ SNIPPETS = {
     "Ruby": ["class A\n  @@n = 1\n  def f; yield self; end\nend", "if x then puts \"a\" elsif y then raise :bad else nil end", "begin\n  eval(\"1\")\nrescue\n  retry\nensure\n  $g = 2\nend", "xs.each do |x|\n  next unless x\n  break until y\nend # todo", "module M; require \"a\"; case z when 1; redo; end; end"],
     "Swift": ["func f(_ x: Int?) throws { guard let y = x else { return } }", "let a = b! \nlet c = try! d() as! E\nvar g = h?.i", "struct S { weak var t: T? = nil; init() { self.u = 10 } }", "extension A: P { func k(inout z: Int) { defer { print(\"x\") } } }", "// ???\nswitch q { case 1: fallthrough; default: break }\nrepeat { } while r"],
     "Rust": ["fn main() { let mut x = 10; println!(\"{}\", x); }", "impl T for S { pub fn g(&self) -> i32 { self.x.unwrap() } }", "match y { Some(z) => z.clone(), None => panic!(\"x\") }", "unsafe { let a = &mut b; loop { break; } }", "use std::io; mod m; enum E { A, B } // tbd", "async move { f().await.expect(\"e\"); vec![1, 2] }"],
-    "PlSql": ["create or replace procedure p as\nbegin\n  select * into x from t, u where a = null;\nend;", "-- todo\ncursor c is select distinct a from t order by 1;\nopen c; fetch c into x; close c;", "insert into t values (1, 'x'); update t set a = 'b' where c is null; delete from t;", "exception when others then rollback; raise; end;", "execute immediate 'drop table x'; commit; savepoint s; goto l;", "select a from t left outer join u on t.i = u.i where not exists (select 1 from v) group by a having count(*) > 1 union all select b from w;", "create index i on t (a); alter table t add b number; grant select on t to u; truncate table x;", "if a then b; elsif c then d; else e; end if; while x loop y; end loop; case when a like '%x' then 1 end", "merge into t using u on (a = b); lock table t in share mode; dbms_output.put_line('x'); return 1;"],
-    "TSql": ["create procedure p as select * from t with (nolock) where a <> null", "declare @x int; exec sp_executesql @s; print @@rowcount; waitfor delay '0:0:1'", "select a into #t from u cross join v; drop table #t; -- tbc", "begin transaction; update t set a = 1; commit", "create view v as select a from t natural join u where b in (select c from d)"],
+    "PlSql": ["select /*+ full(t) */ a from t where b like '%x' and c like 'y%' and d LIKE '_z'", "create or replace procedure p as\nbegin\n  select * into x from t, u where a = null;\nend;", "-- todo\ncursor c is select distinct a from t order by 1;\nopen c; fetch c into x; close c;", "insert into t values (1, 'x'); update t set a = 'b' where c is null; delete from t;", "exception when others then rollback; raise; end;", "execute immediate 'drop table x'; commit; savepoint s; goto l;", "select a from t left outer join u on t.i = u.i where not exists (select 1 from v) group by a having count(*) > 1 union all select b from w;", "create index i on t (a); alter table t add b number; grant select on t to u; truncate table x;", "if a then b; elsif c then d; else e; end if; while x loop y; end loop; case when a like '%x' then 1 end", "merge into t using u on (a = b); lock table t in share mode; dbms_output.put_line('x'); return 1;"],
+    "TSql": ["select /*+ full(t) */ a from t where b like '%x' and c like 'y%' and d LIKE '_z'", "create procedure p as select * from t with (nolock) where a <> null", "declare @x int; exec sp_executesql @s; print @@rowcount; waitfor delay '0:0:1'", "select a into #t from u cross join v; drop table #t; -- tbc", "begin transaction; update t set a = 1; commit", "create view v as select a from t natural join u where b in (select c from d)"],
     "Python": ["import os\nfrom a import *\nclass A:\n    def __init__(self, x=[]):\n        self.y = None", "def f(a, b={}):\n    if a == None or b is not None:\n        print('x')\n    elif type(a) == int:\n        return [i for i in b]\n    else:\n        pass", "try:\n    exec('1')\nexcept:\n    raise\nfinally:\n    os.system('ls')", "@wraps\nasync def g():\n    await h()\n    with open('f') as k: yield k", "# to be done\nfor x in y:\n    while True:\n        break\n    continue", "def _hidden():\n    global n; n = 1; del n\n    assert x != True\n    return lambda z: z + \\\n        1"],
     "Ksh": ["#!/bin/ksh\nset -e\nif [ -f \"$1\" ]; then\n  echo `date` | tee x\nfi", "for f in $(ls); do cat $f | grep a; done # todo", "while read l; do eval $l; sleep 1; done < f", "case $x in a) rm -rf y;; esac\nexport P=1; exit 2", "function g { local z=$((1+2)); return $z; } >> log &\ntrap 'kill $p' 0"],
     "HTML": ["<html><head><meta x=\"1\"><script>var a;</script><style>b</style></head>", "<!-- old\nmenu --><div style=\"c\"><p onclick=\"f()\">x</p></div>", "<ul><li><a href=\"d\">e</a></li></ul><img src=\"f.png\">", "<form><input name=\"g\"><label>h</label><button>i</button></form>", "<table><tr><td><font>j</font></td></tr></table><h1>k</h1><iframe></iframe>", "<%@ page %><%! int l; %><%= m %><% n(); %><c:if o=\"1\"><span>p</span><object></object>"],
@@ -47,18 +48,30 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+def _digits(n: int) -> list[int]:
+    """What a key is divided by for each of its digits to the base ``n``."""
+    return [n**k for k in range(20) if k == 0 or n**k < DIFFERENT]
+
+
+def _picked(own: list[str]) -> list:
+    """A snippet for each digit of a part's key."""
+    table = F.array(*[F.lit(x) for x in own])
+    return [F.element_at(table, (F.floor(F.col("p_partkey") / d) % len(own) + 1).cast("int")) for d in _digits(len(own))]
+
+
+def _picked_sql(own: list[str]) -> str:
+    table = "[" + ", ".join(map(_quoted, own)) + "]"
+    return ", ".join(f"({table})[p_partkey // {d} % {len(own)} + 1]" for d in _digits(len(own)))
+
+
 def sources(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
     """(p_partkey, text): a file of the language for each part."""
-    own = SNIPPETS[language]
-    table = F.array(*[F.lit(x) for x in own])
-    picked = [F.element_at(table, ((F.col("p_partkey") * m + o) % len(own) + 1).cast("int")) for m, o in _STEPS]
+    picked = _picked(SNIPPETS[language])
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat_ws("\n", *picked).alias("text"))
 
 
 def sources_sql(language: str) -> str:
-    own = SNIPPETS[language]
-    table = "[" + ", ".join(map(_quoted, own)) + "]"
-    return f"SELECT p_partkey, concat_ws(chr(10), {', '.join(f'({table})[(p_partkey * {m} + {o}) % {len(own)} + 1]' for m, o in _STEPS)}) AS text FROM part"
+    return f"SELECT p_partkey, concat_ws(chr(10), {_picked_sql(SNIPPETS[language])}) AS text FROM part"
 
 
 def _re2(pattern: str) -> str:
@@ -67,7 +80,7 @@ def _re2(pattern: str) -> str:
 
 
 def views_sql(table: str, key: str, text: str, family: str) -> str:
-    """CTEs that end with ``v`` (key, text, code, comment, strings)."""
+    """CTEs that end with ``v`` (key, text, code, bare, comment, strings)."""
     f = V.FAMILIES[family]
     token = _quoted(rf"(?s)(?:{_re2(f.comment)})|(?:{_re2(f.string)})|[^{f.starts}]+|.".replace("\\x00", "\x01"))
     comment, string = _quoted(rf"(?s)^(?:{_re2(f.comment)})"), _quoted(rf"(?s)^(?:(?:{_re2(f.string)})$)")
@@ -76,6 +89,7 @@ def views_sql(table: str, key: str, text: str, family: str) -> str:
     ends = "regexp_replace(x, '[^\\n]+', '', 'g')"
     return f"""s AS ({table}), t AS (SELECT {key}, {text} AS text, regexp_extract_all({text}, {token}) AS t FROM s),
 v AS (SELECT {key}, text, coalesce(array_to_string(list_transform(t, lambda x: CASE WHEN regexp_matches(x, {comment}) THEN {ends} WHEN regexp_matches(x, {string}) THEN '"CHAINE"' || {ends} ELSE x END), ''), '') AS code,
+  coalesce(array_to_string(list_transform(t, lambda x: CASE WHEN regexp_matches(x, {comment}) THEN {ends} ELSE x END), ''), '') AS bare,
   coalesce(array_to_string(list_transform(t, lambda x: CASE WHEN regexp_matches(x, {comment}) THEN x ELSE {ends} END), ''), '') AS comment, list_filter(t, lambda x: NOT regexp_matches(x, {comment}) AND regexp_matches(x, {string})) AS strings FROM t)"""
 
 
@@ -136,6 +150,12 @@ FUNCTIONS = {
     "MagicNumbers": magic_sql("code"),
     "TernaryOperators": ternary_sql("code"),
 }
+#: Rules of the SQL's own for what a view must show: hints stand in comments, wildcards and paths in literals.
+OWN = {
+    "Hints": "((length(comment) - length(replace(comment, '/*+', ''))) // 3)::BIGINT",
+    "LikeLeadingWildcards": r"len(list_filter(string_split(lower(regexp_replace(bare, '\s+', ' ', 'g')), 'like ' || chr(39))[2:], lambda x: left(x, 1) IN ('%', '_')))::BIGINT",
+    "AbsoluteIncludes": r"len(list_filter(list_transform(string_split(bare, chr(10)), lambda l: replace(replace(l, ' ', ''), chr(9), '')), lambda l: left(l, 8) = '#include' AND (substr(l, 10, 1) IN ('/', '\') OR (substr(l, 11, 1) = ':' AND substr(l, 12, 1) IN ('/', '\')))))::BIGINT",
+}
 
 
 def comparable_metrics(language: str) -> list[M.Metric]:
@@ -145,6 +165,8 @@ def comparable_metrics(language: str) -> list[M.Metric]:
 
 def metrics_sql(language: str, table: str, key: str, text: str) -> str:
     def one(m: M.Metric) -> str:
+        if m.name in OWN:
+            return f'{OWN[m.name]} AS "{m.name}"'
         if m.kind == "count":
             return f'len(regexp_extract_all({m.view}, {_quoted(m.rule)}))::BIGINT AS "{m.name}"'
         own = suspicious_sql("comment", True) if m.name == "SuspiciousComments" and language == "Python" else FUNCTIONS[m.name]
@@ -191,7 +213,7 @@ Q32 = rf"""
 WITH m AS ({metrics_sql('PlSql', sources_sql('PlSql'), 'p_partkey', 'text')}), s AS ({sources_sql('PlSql')}),
 p AS (SELECT p_partkey, string_split(regexp_replace(text, '(?im)^([ \t]*create\s+(?:or\s+replace\s+)?(?:procedure|function|package|trigger)\b)', chr(1) || '\1', 'g'), chr(1)) AS p FROM s),
 u AS (SELECT p_partkey, len(p) AS n, unnest(p) AS text FROM p),
-k AS (SELECT p_partkey, text FROM u WHERE n = 1 OR regexp_matches(text, '(?i)^[ \t]*create\s')),
+k AS (SELECT p_partkey, text FROM u WHERE n = 1 OR regexp_matches(text, '(?i)^[ \t]*create\s+(?:or\s+replace\s+)?(?:procedure|function|package|trigger)\b')),
 c AS ({views_sql('SELECT p_partkey, text FROM k', 'p_partkey', 'text', 'sql').replace('s AS (', 'WITH s AS (', 1)} SELECT p_partkey, count(*) AS units, sum(len(regexp_extract_all(code, '(?i)\bselect\b')))::BIGINT AS selects, sum(len(regexp_extract_all(code, '(?i)\bupdate\b')))::BIGINT AS updates FROM v GROUP BY p_partkey)
 SELECT p_partkey, units, "LinesOfCode" AS lines, selects, updates FROM c JOIN m USING (p_partkey)
 """
@@ -250,8 +272,7 @@ CLOUD = {
 
 def cloud_query(techno: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        own = CLOUD[techno]
-        picked = [F.element_at(F.array(*[F.lit(x) for x in own]), ((F.col("p_partkey") * m + o) % len(own) + 1).cast("int")) for m, o in _STEPS]
+        picked = _picked(CLOUD[techno])
         files = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat_ws("\n", *picked).alias("text"))
         counts = Cloud.file_detections(files, techno, ["p_partkey"]).drop(*FINDINGS)
         return Cloud.application_detections(counts, "p_partkey")
@@ -261,8 +282,7 @@ def cloud_query(techno: str):
 
 
 def cloud_sql(techno: str) -> str:
-    table = "[" + ", ".join(map(_quoted, CLOUD[techno])) + "]"
-    made = f"SELECT p_partkey, concat_ws(chr(10), {', '.join(f'({table})[(p_partkey * {m} + {o}) % {len(CLOUD[techno])} + 1]' for m, o in _STEPS)}) AS text FROM part"
+    made = f"SELECT p_partkey, concat_ws(chr(10), {_picked_sql(CLOUD[techno])}) AS text FROM part"
     family = V.FAMILY_OF[techno]
     bare = code_sql("text", family).replace(""" WHEN regexp_matches(x, """ + _quoted(rf"(?s)^(?:(?:{_re2(V.FAMILIES[family].string)})$)") + """) THEN '"CHAINE"' || regexp_replace(x, '[^\\n]+', '', 'g')""", "")
     own = {m: f"len(regexp_extract_all(code, {_quoted(p)}))" for m, p in Cloud.rules(techno).items()} | {m: f"len(regexp_extract_all(bare, {_quoted(p)}))" for m, p in Cloud.text_rules(techno).items()}

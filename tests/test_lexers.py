@@ -66,3 +66,39 @@ def test_long_texts_take_seconds(piece):
         text = piece * 20_000
         assert sum(len(t) for _, t in L.tokens(text, language)) == len(text)
     assert time.time() - began < 30
+
+
+def test_dialects_of_variables(spark):
+    """Names that two dialects have in part are sought as a whole."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators.discovery import sql_dialects
+
+    texts = {
+        "set global gtid_mode = on; set binlog_format = row": [],
+        "set slave_parallel_workers = 4": [],
+        "show variables like encrypt_": [],
+        "set alter_algorithm = x": ["MariaDB"],
+        "set SQL_IF_EXISTS = 1": ["MariaDB"],
+        "set innodb_defragment = 1": ["MariaDB"],
+        "set join_cache_level = 2, max_statement_time = 3": ["MariaDB"],
+        "set wsrep_on = 1": ["MariaDB"],
+        "set binlog-annotate-row-events": ["MariaDB"],
+        "select nvl(a, b) from t": ["MariaDB"],
+        "set log_syslog = 1": ["MariaDB"],
+        "set aria_x = 1; package": ["MariaDB"],
+        "set xaria_x = 1": [],
+    }
+    rows = spark.createDataFrame(list(texts), "string").select("value", sql_dialects(F.col("value")).alias("d")).collect()
+    assert {r.value: r.d for r in rows} == texts
+
+
+def test_views_of_metrics(spark):
+    """Each metric reads the view that holds what it looks for."""
+    sql = "select /*+ full(t) */ a -- /*+ b\nfrom t where b like '%x' and c like 'y%' and d like N'_z' /* like '%q' */"
+    c = '#include "/abs/x.h"\n#include <C:\\y.h>\n# include "rel/z.h"\n// #include "/no/w.h"\n'
+    one = M.file_metrics(spark.createDataFrame([("a", sql)], "path string, text string"), "PlSql", ["path"]).first()
+    assert (one.Hints, one.LikeLeadingWildcards) == (2, 2)
+    other = M.file_metrics(spark.createDataFrame([("a", sql)], "path string, text string"), "TSql", ["path"]).first()
+    assert (other.Hints, other.LikeLeadingWildcards) == (2, 2)
+    assert M.file_metrics(spark.createDataFrame([("a", c)], "path string, text string"), "CCpp", ["path"]).first().AbsoluteIncludes == 2
