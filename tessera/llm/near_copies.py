@@ -2,18 +2,21 @@
 
 One 64-bit fingerprint within two bits finds hardly any pair whose shingle sets have a Jaccard similarity
 of 0.8: such a pair differs in ten of 64 bits on average. So each text gets ``FPS`` fingerprints of its
-set of shingles. A text stands in a shard for each block of ``BLOCK`` bits of each fingerprint; in every
-shard a BK-tree over that fingerprint (children keyed by their Hamming distance to the parent) finds the
+set of shingles. A text stands in a shard for each key, which is some of these bits; in every
+shard a BK-tree over one fingerprint (children keyed by their Hamming distance to the parent) finds the
 members within ``radius`` bits, and a pair that was found is linked if all ``64 * FPS`` bits together differ
 in no more places than two sets of the wanted similarity would. The expected share of differing bits is
 acos(2s / (1 + s)) / pi at similarity s; ``SLACK`` standard deviations are added, so a pair at exactly
 0.8 is linked with probability 0.96, one at 0.85 or more with 0.99 at least and one at 0.7 with 0.2.
 
+Keys have more bits where there are more texts, so that unrelated texts fill a shard to ``SHARE`` on average at any size, and as
+many keys as a pair needs to meet with probability 0.98: rows grow with the texts to the power 1.24.
+
 Trees are built where their members are gathered: all trees together grow with the corpus, so sending
-them to every task has no size bound. A shard of more than ``shard_limit`` members is searched as a whole in
-two rounds: first a tree for each piece of at most ``shard_limit`` members; then, where members have different
-roots still, all members of different roots are compared, a block of them with a block at a time. Of more than ``DEAL`` members, parts are dealt to tasks,
-one for each two parts. Pairs of one root are passed over, and pairs found become roots at once. A shard
+them to every task has no size bound. Only texts that are much alike fill a shard of more than ``shard_limit`` members.
+It is searched as a whole in two rounds: first a tree for each piece of at most ``shard_limit`` members. Then, where members
+have different roots still, those outside the largest root are sought among all members: these are dealt in parts,
+and so are those that are sought; a task has the tree of one part and searches it for one part. A shard
 returns each member with the least member of its local group, so what is returned is linear in the members.
 
 Defined cases: null and wordless texts are alike and form one group; a text of fewer words than a
@@ -37,10 +40,10 @@ from tessera.llm.exact_dedup import without
 
 FPS, BLOCK = 8, 12
 PER_FP = 64 // BLOCK
-#: Members that are compared with as many others at a time where a shard is large.
-SIDE = 1024
-#: Members of a large shard from which on it is dealt to several tasks, the most parts it is dealt in, and pairs held at a time.
-DEAL, PARTS, PAIRS = 1 << 14, 16, 1 << 16
+#: Unrelated members of a shard, on average, and the probability that a similar pair meets in one.
+SHARE, MEETING = 256, 0.98
+#: Members of a large shard in one part, and pairs held at a time.
+DEAL, PAIRS = 1 << 14, 1 << 16
 #: Shingles of a text whose bits are added up together, such groups at a time, and shard rows that are searched at a time.
 GROUP, GROUPS, ROWS = 64, 512, 1 << 16
 #: Standard deviations by which the limit of differing bits exceeds its expectation.
@@ -48,13 +51,44 @@ SLACK = 1.75
 _SEEDS = (np.arange(1, FPS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
+def differing(similarity: float) -> float:
+    """The expected share of bits in which two texts differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
 def bit_limit(similarity: float) -> int:
     """Differing bits, of all ``64 * FPS``, up to which two texts count as similar."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    p = differing(similarity)
     n = 64 * FPS
     return int(n * p + SLACK * math.sqrt(n * p * (1 - p)))
 
 
+def key_width(texts: int) -> int:
+    """The bits of a key for a number of different texts."""
+    return max(BLOCK, math.ceil(math.log2(max(1, texts) / SHARE)))
+
+
+class Keys:
+    """The shard keys of signatures: the blocks of ``BLOCK`` bits of each fingerprint, or for wider keys as many choices of any bits as
+    similar pairs need to meet; and the fingerprint by which each key's shards are searched."""
+
+    def __init__(self, width: int, similarity: float) -> None:
+        self.width = width
+        self.picks = [(fp, [64 * fp + place * BLOCK + i for i in range(BLOCK)]) for fp in range(FPS) for place in range(PER_FP)]
+        if width > BLOCK:
+            same = (1 - differing(similarity)) ** width
+            rng = np.random.default_rng(width)
+            count = max(len(self.picks), math.ceil(math.log(1 - MEETING) / math.log1p(-same)))
+            self.picks = [(k % FPS, rng.choice(64 * FPS, width, replace=False).tolist()) for k in range(count)]
+        self.fp = np.array([fp for fp, _ in self.picks])
+
+    def bits(self, sig: np.ndarray, k: int) -> np.ndarray:
+        out = np.zeros(len(sig), np.uint64)
+        for i, place in enumerate(self.picks[k][1]):
+            out |= (sig[:, place // 64] >> np.uint64(place % 64) & np.uint64(1)) << np.uint64(i)
+        return out.view(np.int64)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The different shingle hashes of each row of a byte block, and the row of each, in row order."""
     low = LOWER[data]
@@ -149,21 +183,18 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(column.cast(pa.binary(8 * FPS)).buffers()[1], np.uint64).reshape(-1, FPS)[column.offset : column.offset + len(column)] if len(column) else np.zeros((0, FPS), np.uint64)
 
 
-def _keyed(nodes: DataFrame) -> DataFrame:
-    """(place, bits, root, sig) from (root, sig): a row for each block of each fingerprint."""
+def _keyed(nodes: DataFrame, keys: Keys) -> DataFrame:
+    """(place, bits, root, sig) from (root, sig): a row for each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 2048):
                 root, raw = batch.column(0).slice(low, 2048), batch.column(1).slice(low, 2048)
                 sig = _matrix(pa.array(raw.to_pylist(), pa.binary()))
-                for fp in range(FPS):
-                    for place in range(PER_FP):
-                        bits = (sig[:, fp] >> np.uint64(place * BLOCK) & np.uint64((1 << BLOCK) - 1)).astype(np.int32)
-                        where = np.full(len(sig), fp * PER_FP + place, np.int32)
-                        yield pa.record_batch([pa.array(where), pa.array(bits), root, raw], names=["place", "bits", "root", "sig"])
+                for k in range(len(keys.picks)):
+                    yield pa.record_batch([pa.array(np.full(len(sig), k, np.int32)), pa.array(keys.bits(sig, k)), root, raw], names=["place", "bits", "root", "sig"])
 
-    return nodes.select("root", "sig").mapInArrow(run, "place int, bits int, root bigint, sig binary")
+    return nodes.select("root", "sig").mapInArrow(run, "place int, bits bigint, root bigint, sig binary")
 
 
 class Forest:
@@ -193,15 +224,25 @@ class Forest:
         self.code = parent[self.child] * 128 + edge[self.child]
 
     def near(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """All pairs (a < b) of one shard within ``radius``, at most ``PAIRS`` at a time: only edges within the radius are followed."""
-        todo = [(np.arange(len(self.value)), self.root)]
+        """All pairs (a < b) of one shard within ``radius``, at most ``PAIRS`` at a time."""
+        for v, q in self._followed(self.value, self.root, radius):
+            yield v[v < q], q[v < q]
+
+    def near_to(self, value: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs (row, place in ``value``) within ``radius``, of a forest of one tree."""
+        if len(self.value):
+            yield from self._followed(value, np.zeros(len(value), np.int64), radius)
+
+    def _followed(self, value: np.ndarray, root: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """From the given roots, only edges within the radius are followed."""
+        todo = [(np.arange(len(value)), root)]
         while todo:
             query, node = todo.pop()
             if len(query) > PAIRS:
                 todo.append((query[PAIRS:], node[PAIRS:]))
             q, v = query[:PAIRS], node[:PAIRS]
-            d = np.bitwise_count(self.value[q] ^ self.value[v]).astype(np.int64)
-            hit = (d <= radius) & (v < q)
+            d = np.bitwise_count(value[q] ^ self.value[v]).astype(np.int64)
+            hit = d <= radius
             yield v[hit], q[hit]
             a = np.searchsorted(self.code, v * 128 + np.maximum(d - radius, 0))
             b = np.searchsorted(self.code, v * 128 + np.minimum(d + radius, 64), side="right")
@@ -247,7 +288,7 @@ def shard_links(value: np.ndarray, sig: np.ndarray, shard: np.ndarray, radius: i
     return moved, root[moved]
 
 
-def _search(shards: DataFrame, piece: int, radius: int, limit: int) -> DataFrame:
+def _search(shards: DataFrame, keys: Keys, piece: int, radius: int, limit: int) -> DataFrame:
     """Links (a, b) of nodes from shard rows; a partition's shards come one after the other, in order, cut into pieces."""
 
     def starts(table: pa.Table) -> np.ndarray:
@@ -260,7 +301,7 @@ def _search(shards: DataFrame, piece: int, radius: int, limit: int) -> DataFrame
 
     def linked(table: pa.Table) -> pa.RecordBatch:
         sig = _matrix(table.column("sig").combine_chunks().cast(pa.binary()))
-        value = sig[np.arange(len(sig)), table.column("place").to_numpy() // PER_FP]
+        value = sig[np.arange(len(sig)), keys.fp[table.column("place").to_numpy()]]
         a, b = shard_links(value, sig, np.cumsum(starts(table)) - 1, radius, limit)
         ids = node_ids(sig)
         return pa.record_batch([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
@@ -286,65 +327,55 @@ def _search(shards: DataFrame, piece: int, radius: int, limit: int) -> DataFrame
     return ordered.select("place", "bits", "sig").mapInArrow(run, "a bigint, b bigint")
 
 
-def different_links(value: np.ndarray, sig: np.ndarray, label: np.ndarray, part: np.ndarray, radius: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(label, least label linked to it) by the pairs of rows of different labels: all of one part, or those across two."""
-    order = np.lexsort((label, part))  # blocks of one label are passed over as a whole
-    value, sig, label = value[order], sig[order], label[order]
-    names, own = np.unique(label, return_inverse=True)
+def links_to(value: np.ndarray, sig: np.ndarray, label: np.ndarray, sought: np.ndarray, sought_sig: np.ndarray, sought_label: np.ndarray, radius: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(label, least label linked to it) by the pairs of a sought row and a row of the tree that have different labels."""
+    names, own = np.unique(np.concatenate([label, sought_label]), return_inverse=True)
+    of, to = own[: len(label)], own[len(label) :]
     root = np.arange(len(names))
-    edge = int(np.searchsorted(part[order], part.max()))
-    for i in range(0, edge or len(value), SIDE):
-        to = min(i + SIDE, edge or len(value))
-        for j in range(edge or i, len(value), SIDE):
-            x, y = root[own[i:to]], root[own[j : j + SIDE]]
-            if x[0] == y[0] and (x == x[0]).all() and (y == x[0]).all():
-                continue
-            near = np.flatnonzero(np.bitwise_count(value[i:to, None] ^ value[None, j : j + SIDE]) <= radius)
-            a, b = near // len(y), near % len(y)
-            some = x[a] != y[b]
-            a, b = a[some] + i, b[some] + j
-            for low in range(0, len(a), PAIRS):
-                p, q = a[low : low + PAIRS], b[low : low + PAIRS]
-                some = root[own[p]] != root[own[q]]
-                p, q = p[some], q[some]
-                root = _joined(root, root[own[p]], root[own[q]], sig[p], sig[q], limit)
+    for v, q in Forest(value, np.zeros(len(value), np.int64)).near_to(sought, radius):
+        some = root[of[v]] != root[to[q]]
+        v, q = v[some], q[some]
+        root = _joined(root, root[of[v]], root[to[q]], sig[v], sought_sig[q], limit)
     moved = np.flatnonzero(root != np.arange(len(root)))
     return names[moved], names[root[moved]]
 
 
-def _search_large(members: DataFrame, radius: int, limit: int) -> DataFrame:
-    """Links (a, b) of roots from the rows (place, bits, root, sig) of large shards, with a task's work for each two parts."""
+def _search_large(members: DataFrame, keys: Keys, radius: int, limit: int) -> DataFrame:
+    """Links (a, b) of roots from the rows (place, bits, root, sig) of large shards; members of a shard's largest root are not sought."""
 
     def linked(table: pa.Table) -> pa.Table:
         sig = _matrix(table.column("sig").combine_chunks().cast(pa.binary()))
-        value = sig[:, table.column("place")[0].as_py() // PER_FP]
-        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        part = table.column("part").to_numpy()
-        if table.column("i")[0] == table.column("j")[0] or len(np.unique(part)) == 2:
-            a, b = different_links(value, sig, table.column("root").to_numpy(), part, radius, limit)
+        value = sig[:, keys.fp[table.column("place")[0].as_py()]]
+        label, asked = table.column("root").to_numpy(), table.column("sought").to_numpy(zero_copy_only=False)
+        a, b = links_to(value[~asked], sig[~asked], label[~asked], value[asked], sig[asked], label[asked], radius, limit)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    parts = F.least(F.lit(PARTS), F.ceil(F.count("*") / DEAL)).cast("int").alias("parts")
-    several = members.groupBy("place", "bits").agg(F.min("root").alias("least"), F.max("root").alias("most"), parts).where("least < most")
-    several = staged(several.select("place", "bits", "parts"), "several")
-    dealt = members.join(several, ["place", "bits"]).withColumn("part", F.pmod(F.xxhash64("sig"), "parts").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("place", "bits", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "root", "sig")
-    return dealt.groupBy("place", "bits", "i", "j").applyInArrow(linked, "a bigint, b bigint")
+    each = members.groupBy("place", "bits", "root").agg(F.count("*").alias("n"))
+    parts = lambda n: F.ceil(n / DEAL).cast("int")
+    several = each.groupBy("place", "bits").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("rest")).where("rest > 0")
+    several = staged(several.select("place", "bits", "top", parts(F.col("all")).alias("parts"), parts(F.col("rest")).alias("asks")), "several")
+    held = members.join(several, ["place", "bits"])
+    of = lambda n: F.pmod(F.xxhash64("sig"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    tree = held.select("place", "bits", "root", "sig", F.lit(False).alias("sought"), of(F.col("parts")).alias("i"), every("asks").alias("j"))
+    asked = held.where("root <> top").select("place", "bits", "root", "sig", F.lit(True).alias("sought"), every("parts").alias("i"), of(F.col("asks")).alias("j"))
+    return tree.union(asked).groupBy("place", "bits", "i", "j").applyInArrow(linked, "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 16, shard_limit: int = 512) -> DataFrame:
     """One row per document: doc_id, row_hash (of the text), keep_id and keep_hash (of the row that stays)."""
     rows = staged(signed_documents(docs, id_col, text_col, words), "signatures")
     limit = bit_limit(similarity)
-    keyed = _keyed(rows.select("sig").distinct().select(F.lit(0).cast("bigint").alias("root"), "sig")).drop("root")
+    different = staged(rows.select("sig").distinct().select(F.lit(0).cast("bigint").alias("root"), "sig"), "different")
+    keys = Keys(key_width(different.count()), similarity)
+    keyed = _keyed(different, keys).drop("root")
     sizes = staged(keyed.groupBy("place", "bits").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    roots = connected_components(_search(keyed.join(sizes, ["place", "bits"]), shard_limit, radius, limit))
+    roots = connected_components(_search(keyed.join(sizes, ["place", "bits"]), keys, shard_limit, radius, limit))
     placed = rows.join(roots, "node", "left").select("doc_id", "row_hash", "sig", F.coalesce("root", "node").alias("root"))
     large = sizes.where(F.col("size") > shard_limit)
     if not large.isEmpty():
-        members = _keyed(placed.select("root", "sig").distinct()).join(large, ["place", "bits"])
-        more = connected_components(_search_large(members, radius, limit)).select(F.col("node").alias("root"), F.col("root").alias("least"))
+        members = _keyed(placed.select("root", "sig").distinct(), keys).join(large, ["place", "bits"])
+        more = connected_components(_search_large(members, keys, radius, limit)).select(F.col("node").alias("root"), F.col("root").alias("least"))
         placed = placed.join(more, "root", "left").withColumn("root", F.coalesce("least", "root"))
     placed = placed.select("doc_id", "row_hash", "root")
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("row_hash"))

@@ -185,14 +185,54 @@ def test_large_shards_are_dealt_to_tasks(spark, copies, monkeypatch):
 
 
 def test_parts_find_all_links_of_different_labels():
-    from tessera.llm.near_copies import different_links
+    """Those sought among the rows of a tree, against a comparison of all pairs."""
+    from tessera.llm.near_copies import links_to
 
     rng = np.random.default_rng(5)
     sig = np.repeat(rng.integers(0, 1 << 63, (40, 8)).astype(np.uint64), 60, axis=0)
     sig[np.arange(2400), rng.integers(0, 8, 2400)] ^= np.uint64(1) << rng.integers(0, 63, 2400).astype(np.uint64)
-    label, part, none = np.arange(2400) + 7, np.arange(2400) % 3, np.zeros(2400, np.int64)
-    a, b = different_links(sig[:, 0], sig, label, none, 16, 87)
+    label = np.arange(2400) + 7
+    a, b = links_to(sig[:, 0], sig, label, sig[:, 0], sig, label, 16, 87)
     assert dict(zip(a.tolist(), b.tolist())) == {i + 7: i // 60 * 60 + 7 for i in range(2400) if i % 60}
-    use = part != 2
-    a, b = different_links(sig[use, 0], sig[use], label[use], part[use], 16, 87)
-    assert dict(zip(a.tolist(), b.tolist())) == {i + 7: i // 60 * 60 + 7 for i in range(2400) if i % 60 and i % 3 != 2}
+    label, ask = np.where(np.arange(2400) % 60 < 50, np.arange(2400) // 60 * 60, np.arange(2400)), np.arange(2400) % 60 == 59
+    a, b = links_to(sig[:, 0], sig, label, sig[ask, 0], sig[ask], label[ask], 16, 87)
+    got = dict(zip(a.tolist(), b.tolist()))
+    assert all(got[i] == i // 60 * 60 for i in np.flatnonzero(ask))
+    assert links_to(sig[:0, 0], sig[:0], label[:0], sig[:, 0], sig, label, 16, 87)[0].size == 0
+
+
+@pytest.mark.parametrize("width", [12, 14, 18, 22, 26])
+def test_similar_pairs_meet_at_every_width(width):
+    """Pairs whose bits differ as at a similarity of 0.8: a key in common, near in its fingerprint, near as a whole."""
+    from tessera.llm.near_copies import Keys, differing
+
+    rng = np.random.default_rng(width)
+    one = rng.integers(0, 1 << 63, (1500, 8)).astype(np.uint64)
+    flips = np.packbits(rng.random((1500, 512)) < differing(0.8), axis=1).view(np.uint64)
+    two, keys = one ^ flips, Keys(width, 0.8)
+    near = np.bitwise_count(flips) <= 16
+    met = np.zeros(1500, bool)
+    for k, (fp, _) in enumerate(keys.picks):
+        met |= (keys.bits(one, k) == keys.bits(two, k)) & near[:, fp]
+    linked = met & (np.bitwise_count(flips).sum(axis=1) <= bit_limit(0.8))
+    assert met.mean() > 0.94 and linked.mean() > 0.9
+    apart = np.roll(one, 1, axis=0)
+    assert np.mean([(keys.bits(one, k) == keys.bits(apart, k)).mean() for k in range(len(keys.picks))]) < 4 / 2**min(width, 12)
+
+
+def test_shards_of_unrelated_texts_stay_bounded():
+    from tessera.llm.near_copies import SHARE, Keys, key_width
+
+    assert all(n / 2 ** key_width(n) <= SHARE for n in (0, 1, 10**3, 10**6, 10**9, 10**12)) and key_width(10**5) == 12
+    rows = [n * len(Keys(key_width(n), 0.8).picks) for n in (10**6, 10**8, 10**10)]
+    assert all(b / a < 100**1.3 for a, b in zip(rows, rows[1:]))
+
+
+def test_wider_keys_give_the_same_groups(spark, copies, monkeypatch):
+    from tessera.llm import near_copies
+
+    rows = spark.createDataFrame(copies, "doc_id long, text string")
+    narrow = {r.doc_id: r.keep_id for r in near_groups(rows).collect()}
+    monkeypatch.setattr(near_copies, "key_width", lambda n: 16)
+    wide = {r.doc_id: r.keep_id for r in near_groups(rows).collect()}
+    assert sum(narrow[d] == wide[d] for d in narrow) >= 0.95 * len(narrow)
