@@ -6,8 +6,10 @@ of no bytes at all have no rows.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera.functions.versions import file_name_library, file_name_version
 
@@ -87,36 +89,89 @@ def is_binary(content: Column) -> Column:
     return (F.regexp_count(raw, F.lit(_CONTROL)) > F.length(raw) * CONTROL_SHARE) & F.rlike(raw, F.lit(_CONTROL + "{2}"))
 
 
-def encoding_of(content: Column) -> Column:
-    """The encoding of a text: by its byte-order mark, ASCII, valid UTF-8, else a single-byte fallback; ``binary`` if it is none."""
+#: What a text of an encoding consists of, byte by byte. Single-byte ones hold any byte, but for those that windows-1252 leaves free.
+VALID = {
+    "US-ASCII": r"[\x00-\x7F]",
+    "EUC-JP": r"[\x00-\x7F]|\x8E[\xA1-\xDF]|\x8F[\xA1-\xFE]{2}|[\xA1-\xFE]{2}",
+    "Shift_JIS": r"[\x00-\x7F\xA1-\xDF]|[\x81-\x9F\xE0-\xFC][\x40-\x7E\x80-\xFC]",
+    "windows-1252": r"[^\x81\x8D\x8F\x90\x9D]",
+    "ISO-8859-1": r"[\x00-\xFF]",
+    "ISO-8859-15": r"[\x00-\xFF]",
+    "IBM850": r"[\x00-\xFF]",
+}
+#: The order in which encodings are tried, and bytes that speak for one: accented letters, and the euro sign.
+TRIED = ("US-ASCII", "UTF-8", "EUC-JP")
+LATIN_LETTERS, DOS_LETTERS, EURO_WINDOWS, EURO_LATIN = "\xe0\xe9\xe8", "\x85\x82", "\x80", "\xa4"
+
+
+def decodes(content: Column, encoding: str) -> Column:
+    """Whether bytes can be read in an encoding."""
+    if encoding == "UTF-8":
+        return F.is_valid_utf8(content.cast("string"))
+    return F.rlike(F.decode(content, "ISO-8859-1"), F.lit(rf"(?s)\A(?:{VALID[encoding]})*+\z"))
+
+
+def likely_encoding(content: Column) -> Column:
+    """The single-byte encoding that the accented letters of bytes speak for; null if there are none."""
+    raw = F.decode(content, "ISO-8859-1")
+    count = lambda signs: F.length(raw) - F.length(F.translate(raw, signs, ""))
+    latin, dos, windows, euro = map(count, (LATIN_LETTERS, DOS_LETTERS, EURO_WINDOWS, EURO_LATIN))
+    return F.when(content.isNull() | (latin + dos == 0), F.lit(None)).when(dos > latin, "IBM850").when(windows > euro, "windows-1252").when(windows + euro > 0, "ISO-8859-15").otherwise("ISO-8859-1")
+
+
+def encoding_of(content: Column, tried: tuple[str, ...] = TRIED) -> Column:
+    """The encoding of a text, ``binary`` if it is none.
+
+    A byte-order mark decides; else the first of ``tried`` in which the bytes can be read; else what the letters speak
+    for, as far as the bytes can be read in it; else IBM850, in which all can.
+    """
     head = F.hex(F.substring(content, 1, 4))
-    return (
+    found = (
         F.when(head.startswith("EFBBBF"), "UTF-8")
         .when(head.isin("FFFE0000", "0000FEFF"), "UTF-32")
         .when(head.startswith("FFFE"), "UTF-16LE")
         .when(head.startswith("FEFF"), "UTF-16BE")
+        .when(head == "DD736673", "UTF-EBCDIC")
         .when(is_binary(content), "binary")
-        .when(~F.rlike(F.decode(content, "ISO-8859-1"), F.lit(r"[\x80-\xFF]")), "US-ASCII")
-        .when(F.is_valid_utf8(content.cast("string")), "UTF-8")
-        .otherwise("windows-1252")
     )
+    for one in tried:
+        found = found.when(decodes(content, one), one)
+    likely = likely_encoding(content)
+    return found.when(likely.isNotNull() & ((likely != "windows-1252") | decodes(content, "windows-1252")), likely).when(content.isNotNull(), "IBM850")
+
+
+def _table(codec: str) -> tuple[str, str]:
+    """What ISO-8859-1 and a single-byte encoding make of the bytes that they read differently."""
+    pairs = [(chr(b), bytes([b]).decode(codec, "ignore") or chr(b)) for b in range(0x80, 0x100)]
+    return tuple("".join(x) for x in zip(*[p for p in pairs if p[0] != p[1]]))
+
+
+_SINGLE = {"windows-1252": _table("cp1252"), "IBM850": _table("cp850"), "ISO-8859-15": _table("iso-8859-15")}
+_DOUBLE = {"EUC-JP": "euc_jp", "Shift_JIS": "cp932"}
+
+
+@F.pandas_udf(StringType())
+def _double_byte(content: pd.Series, encoding: pd.Series) -> pd.Series:
+    return pd.Series([None if c is None else c.decode(_DOUBLE[e], "replace") for c, e in zip(content, encoding)], dtype=object)
 
 
 def decoded(content: Column, encoding: Column) -> Column:
-    """The text without its byte-order mark, with every line end as ``\\n``; null for binary contents."""
+    """The text without its byte-order mark, with every line end as ``\\n``; null for binary contents. Signs that an encoding doesn't have are U+FFFD.
+
+    Only contents of double-byte encodings go to Python.
+    """
     text = (
         F.when(encoding == "UTF-16LE", F.decode(content, "UTF-16LE"))
         .when(encoding == "UTF-32", F.decode(content, "UTF-32"))
         .when(encoding == "UTF-16BE", F.decode(content, "UTF-16BE"))
-        .when(encoding == "windows-1252", F.translate(F.decode(content, "ISO-8859-1"), _C1, _CP1252))
+        .when(encoding == "ISO-8859-1", F.decode(content, "ISO-8859-1"))
         .when(encoding.isin("UTF-8", "US-ASCII"), F.make_valid_utf8(content.cast("string")))
     )
-    return F.regexp_replace(F.regexp_replace(text, "^﻿", ""), r"\r\n?", "\n")
-
-
-#: The characters that the single-byte fallback has where ISO-8859-1 has controls.
-_CP1252 = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
-_C1 = "".join(map(chr, range(0x80, 0xA0)))
+    for name, (latin, own) in _SINGLE.items():
+        text = text.when(encoding == name, F.translate(F.decode(content, "ISO-8859-1"), latin, own))
+    double = encoding.isin(*_DOUBLE)
+    text = text.when(double, _double_byte(F.when(double, content), encoding))
+    return F.regexp_replace(F.regexp_replace(text, "^\ufeff", ""), r"\r\n?", "\n")
 
 
 def with_text(files: DataFrame) -> DataFrame:
