@@ -1,9 +1,9 @@
 r"""Dependencies from manifests: one row for each named dependency of each file.
 
 Every reader takes a file table (path, dir, name, text) and gives (path, dir, techno, name, version, low,
-high, environment): regular formats by regex and split, JSON by ``from_json`` and variants, XML by XPath.
-``inventory`` reads all of them in one pass over the files, applies each directory's precedences, and
-``merged`` folds the inventory to one range for each technology and name.
+high, environment): regular formats by regex and split, JSON by ``from_json``, XML by ``from_xml`` with a schema.
+``inventory`` scans the files once, for those that are manifests by name, writes these, reads each format from them
+and applies each directory's precedences; ``merged`` folds the inventory to one range for each technology and name.
 
 Defined cases: null or malformed texts give no rows; a missing version is open at both ends; development
 entries of JSON files are dropped; repeated rows merge; clashing extra columns aren't carried.
@@ -11,11 +11,12 @@ entries of JSON files are dropped; repeated rows merge; clashing extra columns a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.versions import order_key, version_range
 from tessera.operators.closure import closure, nearest_ancestor_value
+from tessera.operators.r_packages import r_packages
 from tessera.operators.rules import first_match
 from tessera.staging import written
 
@@ -40,8 +41,8 @@ def _lines(files: DataFrame) -> DataFrame:
 def requirements(files: DataFrame) -> DataFrame:
     """``name op version`` lines of requirements files that aren't for development or tests."""
     own = files.where(F.rlike("name", F.lit(r"(?i)^requirements.*\.txt$")) & ~F.rlike("name", F.lit(r"(?i)(?:dev|tests?)\.txt$")) & F.col("text").isNotNull())
-    line = F.regexp_replace(F.regexp_replace("line", r"\s*#.*$", ""), r"\s*;.*$", "")
-    found = _lines(own).withColumn("line", F.trim(line)).where(F.rlike("line", F.lit(r"^[A-Za-z0-9]")))
+    line = F.regexp_replace("line", r"(?:\s*#|\s*;|\s+--[a-z]).*$", "")
+    found = _lines(own.withColumn("text", F.regexp_replace("text", r"\\\r?\n", " "))).withColumn("line", F.trim(line)).where(F.rlike("line", F.lit(r"^[A-Za-z0-9]")))
     return _rows(found, "Python", F.regexp_extract("line", r"^([A-Za-z0-9][\w.-]*)", 1), F.regexp_extract("line", r"^[A-Za-z0-9][\w.-]*(?:\[[^\]]*\])?\s*(.*)$", 1))
 
 
@@ -58,8 +59,8 @@ def npm_packages(files: DataFrame) -> DataFrame:
 
 
 def bower(files: DataFrame) -> DataFrame:
-    """Run-time dependencies of bower.json."""
-    found = _json_map(_named(files, "bower.json"), "dependencies")
+    """Run-time dependencies of bower.json and .bower.json."""
+    found = _json_map(_named(files, "bower.json", ".bower.json"), "dependencies")
     return _rows(found, "JS", F.col("key"), F.col("value"))
 
 
@@ -117,7 +118,7 @@ def _go_block(verb: str) -> Column:
 
 
 def go_modules(files: DataFrame) -> DataFrame:
-    """Modules that go.mod requires, with what replaces them; excluded versions are no dependencies."""
+    """Modules that go.mod requires, with what replaces them; excluded versions are no dependencies, nor is what a local folder replaces."""
     own = _named(files, "go.mod")
     asked = own.select("path", "dir", F.explode(_go_block("require")).alias("line"))
     asked = asked.select("path", "dir", F.regexp_extract("line", r"^(\S+)\s+v\d", 1).alias("n"), F.regexp_extract("line", r"^\S+\s+v(\d\S*)", 1).alias("v")).where("n <> ''")
@@ -125,6 +126,7 @@ def go_modules(files: DataFrame) -> DataFrame:
     other = line.select(F.col("path").alias("r_path"), F.regexp_extract("line", r"^(\S+)", 1).alias("r_n"), F.regexp_extract("line", r"=>\s*(\S+)", 1).alias("to_n"), F.nullif(F.regexp_extract("line", r"=>\s*\S+\s+v(\d\S*)", 1), F.lit("")).alias("to_v"))
     other = other.groupBy("r_path", "r_n").agg(F.min_by("to_n", F.struct("to_n", "to_v")).alias("to_n"), F.min_by("to_v", F.struct("to_n", "to_v")).alias("to_v"))
     both = asked.join(other, (F.col("path") == F.col("r_path")) & (F.col("n") == F.col("r_n")), "left")
+    both = both.where(~F.rlike(F.coalesce("to_n", F.lit("")), F.lit(r"^(?:\.{0,2}/|[A-Za-z]:[\\/])")))
     return _rows(both, "Go", F.coalesce("to_n", "n"), F.when(F.col("to_n").isNull(), F.col("v")).otherwise(F.col("to_v")))
 
 
@@ -193,33 +195,54 @@ def gradle(files: DataFrame) -> DataFrame:
     return _rows(found, "Java", F.col("e.n"), version, F.when(F.startswith("e.c", F.lit("test")), "test").otherwise("prod"))
 
 
+#: Options and schemas of the XML readers: names without their namespaces; a text that is no XML gives nulls.
+_XML = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}
+_REFERENCE = "array<struct<_Include: string, _Version: string, Version: string>>"
+_ITEMS = f"array<struct<PackageReference: {_REFERENCE}>>"
+CSPROJ = f"PackageReference {_REFERENCE}, ItemGroup {_ITEMS}, Choose array<struct<When: array<struct<ItemGroup: {_ITEMS}>>, Otherwise: array<struct<ItemGroup: {_ITEMS}>>>>"
+BOM = "dependencies struct<dependency: array<struct<_ref: string, dependency: array<struct<_ref: string>>>>>"
+_DEPENDENCIES = "struct<dependency: array<struct<groupId: string, artifactId: string, version: string, scope: string>>>"
+POM = (
+    "groupId string, artifactId string, version string, parent struct<groupId: string, artifactId: string, version: string>, properties map<string, string>,"
+    f" dependencies {_DEPENDENCIES}, dependencyManagement struct<dependencies: {_DEPENDENCIES}>,"
+    f" profiles struct<profile: array<struct<dependencies: {_DEPENDENCIES}, dependencyManagement: struct<dependencies: {_DEPENDENCIES}>>>>"
+)
+
+
+def xml_of(text: Column, schema: str) -> Column:
+    """The document below a text's root element as a struct; an ampersand that begins no entity is one."""
+    return F.from_xml(F.regexp_replace(text, r"&(?!#?\w+;)", "&amp;"), F.lit(schema), _XML)
+
+
 def csproj(files: DataFrame) -> DataFrame:
     """Package references of .csproj and .vbproj files, with the version as an attribute or as an element."""
-    own = files.where(F.rlike("name", F.lit(r"(?i)\.(?:cs|vb)proj$")) & F.rlike("text", F.lit(r"^\s*<"))).select("path", "dir", "text")
-    each = F.regexp_extract_all("text", F.lit(r"(?s)<PackageReference\b[^>]*?/>|<PackageReference\b[^>]*>.*?</PackageReference>"), F.lit(0))
-    found = own.select("path", "dir", F.explode(each).alias("x"))
-    head = F.regexp_extract("x", r"^<PackageReference\b[^>]*>", 0)
-    attribute = F.nullif(F.regexp_extract(head, r"\bVersion=\"([^\"]*)\"", 1), F.lit(""))
-    return _rows(found, "CS", F.regexp_extract(head, r"\bInclude=\"([^\"]+)\"", 1), F.coalesce(attribute, F.regexp_extract("x", r"<Version>([^<]*)</Version>", 1)))
+    own = files.where(F.rlike("name", F.lit(r"(?i)\.(?:cs|vb)proj$")) & F.col("text").isNotNull()).select("path", "dir", xml_of(F.col("text"), CSPROJ).alias("x"))
+    of = lambda groups: F.flatten(F.transform(groups, lambda g: F.coalesce(g["PackageReference"], F.array().cast(_REFERENCE))))
+    chosen = F.flatten(F.transform("x.Choose", lambda c: F.concat(*[F.flatten(F.transform(F.coalesce(c[k], F.array().cast(f"array<struct<ItemGroup: {_ITEMS}>>")), lambda w: F.coalesce(of(w["ItemGroup"]), F.array().cast(_REFERENCE)))) for k in ("When", "Otherwise")])))
+    refs = F.concat(*[F.coalesce(a, F.array().cast(_REFERENCE)) for a in (F.col("x.PackageReference"), of("x.ItemGroup"), chosen)])
+    found = own.select("path", "dir", F.explode(refs).alias("r"))
+    return _rows(found, "CS", F.col("r._Include"), F.coalesce(F.nullif("r._Version", F.lit("")), "r.Version"))
 
 
 def ant_jars(files: DataFrame) -> DataFrame:
     """Libraries that a build.xml names by file."""
-    found = _pairs(_named(files, "build.xml"), r"[\"'/\\]([A-Za-z][\w.]*?(?:-[A-Za-z][\w.]*)*)-(\d[\w.\-]*)\.jar\b")
+    bare = _named(files, "build.xml").withColumn("text", F.regexp_replace("text", r"(?s)<!--.*?-->", ""))
+    found = _pairs(bare, r"[\"'/\\]([A-Za-z][\w.]*?(?:-[A-Za-z][\w.]*)*)-(\d[\w.\-]*)\.jar\b")
     return _rows(found.distinct(), "Java", F.col("e.n"), F.col("e.v"))
 
 
 def r_libraries(files: DataFrame) -> DataFrame:
-    """Packages that R scripts load or install."""
+    """Packages that R scripts load or install, those that variables hold too."""
     own = files.where(F.rlike("name", F.lit(r"(?i)\.r$")) & F.col("text").isNotNull()).select("path", "dir", "text")
-    found = _pairs(own, r"\b(?:library|require|install\.packages|requireNamespace)\s*\(\s*[\"']?([A-Za-z][\w.]*)[\"']?\s*([),])")
-    return _rows(found.select("path", "dir", F.col("e.n").alias("n")).distinct(), "R", F.col("n"), F.lit(None).cast("string"))
+    found = r_packages(own.select("path", "text")).withColumnRenamed("path", "of")
+    return _rows(own.select("path", "dir").distinct().join(found, F.col("path") == F.col("of")), "R", F.col("package"), F.lit(None).cast("string"))
 
 
 def cyclonedx(files: DataFrame) -> DataFrame:
     """``ref`` attributes of the dependency elements of CycloneDX files, cut into group, artifact and version."""
-    own = files.where(F.rlike("text", F.lit(r"<bom\b"))).select("path", "dir", "text")
-    found = own.select("path", "dir", F.explode(F.regexp_extract_all("text", F.lit(r"<dependency\s+ref=\"([^\"]+)\""), F.lit(1))).alias("ref"))
+    own = files.where(F.rlike("text", F.lit(r"<(?:\w+:)?bom\b"))).select("path", "dir", xml_of(F.col("text"), BOM)["dependencies"]["dependency"].alias("d"))
+    refs = F.flatten(F.transform("d", lambda d: F.concat(F.array(d["_ref"]), F.coalesce(F.transform(d["dependency"], lambda x: x["_ref"]), F.array().cast("array<string>")))))
+    found = own.select("path", "dir", F.explode(refs).alias("ref")).where("ref IS NOT NULL")
     group, rest = F.substring_index("ref", ":", 1), F.expr("substring(ref, instr(ref, ':') + 1)")
     return found.select("path", "dir", "ref", group.alias("group"), F.substring_index(rest, "@", 1).alias("artifact"), F.when(F.contains(rest, F.lit("@")), F.substring_index(rest, "@", -1)).alias("version"))
 
@@ -227,19 +250,15 @@ def cyclonedx(files: DataFrame) -> DataFrame:
 # Maven: projects, parents, properties, dependencies.
 
 
-def _xp(path: str) -> Column:
-    return F.nullif(F.xpath_string("xml", F.lit(path)), F.lit(""))
-
-
 def maven_projects(files: DataFrame) -> DataFrame:
-    """(path, dir, xml, group, artifact, version, parent_group, parent_artifact, parent_version) of pom.xml files."""
-    own = _named(files, "pom.xml").where(F.rlike("text", F.lit(r"<project\b")))
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"(?s)<!--.*?-->|<\?.*?\?>", ""), r"<project\b[^>]*>", "<project>"), r"&(?!\w+;)", "&amp;")
-    xml = own.select("path", "dir", bare.alias("xml"))
-    parent_group, parent_version = _xp("/project/parent/groupId"), _xp("/project/parent/version")
+    """(path, dir, x: the document, group, artifact, version, parent_group, parent_artifact, parent_version) of pom.xml files."""
+    own = _named(files, "pom.xml").where(F.rlike("text", F.lit(r"<(?:\w+:)?project\b")))
+    xml = own.select("path", "dir", xml_of(F.col("text"), POM).alias("x"))
+    field = lambda name: F.nullif(F.trim(F.col(f"x.{name}")), F.lit(""))
+    parent_group, parent_version = field("parent.groupId"), field("parent.version")
     return xml.select(
-        "path", "dir", "xml", F.coalesce(_xp("/project/groupId"), parent_group).alias("group"), _xp("/project/artifactId").alias("artifact"), F.coalesce(_xp("/project/version"), parent_version).alias("version"),
-        parent_group.alias("parent_group"), _xp("/project/parent/artifactId").alias("parent_artifact"), parent_version.alias("parent_version"),
+        "path", "dir", "x", F.coalesce(field("groupId"), parent_group).alias("group"), field("artifactId").alias("artifact"), F.coalesce(field("version"), parent_version).alias("version"),
+        parent_group.alias("parent_group"), field("parent.artifactId").alias("parent_artifact"), parent_version.alias("parent_version"),
     )
 
 
@@ -252,20 +271,20 @@ def maven_parents(projects: DataFrame) -> DataFrame:
 
 def maven_properties(projects: DataFrame) -> DataFrame:
     """(node, key, value) of all projects' properties, their own version and group included."""
-    body = F.regexp_extract("xml", r"(?s)<properties>(.*?)</properties>", 1)
-    pattern = r"(?s)<([\w.\-]+)>([^<]*)</\1>"
-    pairs = F.arrays_zip(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)).alias("key"), F.regexp_extract_all(body, F.lit(pattern), F.lit(2)).alias("value"))
+    pairs = F.coalesce(F.map_entries("x.properties"), F.array().cast("array<struct<key:string,value:string>>"))
     own = F.array(F.struct(F.lit("project.version").alias("key"), F.col("version").alias("value")), F.struct(F.lit("project.groupId").alias("key"), F.col("group").alias("value")))
     return projects.select(F.col("path").alias("node"), F.inline(F.concat(pairs, own))).where("value IS NOT NULL").select("node", "key", F.trim("value").alias("value"))
 
 
 def maven_declared(projects: DataFrame) -> DataFrame:
-    """(path, dir, managed, group, artifact, version, scope): dependency elements as they are written."""
-    managed = F.regexp_extract("xml", r"(?s)<dependencyManagement>(.*?)</dependencyManagement>", 1)
-    rest = F.regexp_replace("xml", r"(?s)<dependencyManagement>.*?</dependencyManagement>|<plugins>.*?</plugins>", "")
-    each = lambda text: F.regexp_extract_all(text, F.lit(r"(?s)<dependency>(.*?)</dependency>"), F.lit(1))
-    both = projects.select("path", "dir", F.explode(F.concat(F.transform(each(managed), lambda x: F.struct(F.lit(True).alias("managed"), x.alias("x"))), F.transform(each(rest), lambda x: F.struct(F.lit(False).alias("managed"), x.alias("x"))))).alias("d"))
-    field = lambda tag: F.nullif(F.trim(F.regexp_extract("d.x", rf"<{tag}>([^<]*)</{tag}>", 1)), F.lit(""))
+    """(path, dir, managed, group, artifact, version, scope): dependency elements as they are written, those of profiles too."""
+    none = F.array().cast("array<struct<groupId: string, artifactId: string, version: string, scope: string>>")
+    of_profiles = lambda of: F.flatten(F.transform("x.profiles.profile", lambda p: F.coalesce(of(p), none)))
+    managed = F.concat(F.coalesce("x.dependencyManagement.dependencies.dependency", none), F.coalesce(of_profiles(lambda p: p["dependencyManagement"]["dependencies"]["dependency"]), none))
+    plain = F.concat(F.coalesce("x.dependencies.dependency", none), F.coalesce(of_profiles(lambda p: p["dependencies"]["dependency"]), none))
+    each = lambda own, flag: F.transform(own, lambda d: F.struct(F.lit(flag).alias("managed"), d.alias("x")))
+    both = projects.select("path", "dir", F.explode(F.concat(each(managed, True), each(plain, False))).alias("d"))
+    field = lambda tag: F.nullif(F.trim(F.col(f"d.x.{tag}")), F.lit(""))
     return both.select("path", "dir", "d.managed", field("groupId").alias("group"), field("artifactId").alias("artifact"), field("version").alias("version"), field("scope").alias("scope"))
 
 
@@ -300,35 +319,50 @@ def interpolated(text: Column, values: Column) -> Column:
     return F.when(F.contains(text, F.lit("${")), F.when(F.contains(whole, F.lit("${")), F.lit(None)).otherwise(whole)).otherwise(text)
 
 
-#: Readers with the formats that win over others of the same directory: (reader, family, rank; least wins).
+#: Readers with the names of the files that they read, the family of their precedence and their rank in it (least wins).
 READERS = [
-    (poetry_lock, "Python", 0),
-    (pyproject, "Python", 1),
-    (requirements, "Python", 1),
-    (setup_py, "Python", 1),
-    (npm_lock, "JS", 0),
-    (npm_packages, "JS", 1),
-    (bower, "JS", 2),
-    (go_sums, "Go", 0),
-    (go_modules, "Go", 1),
-    (composer, "PHP", 0),
-    (gem_lock, "Ruby", 0),
-    (gradle, "Java", 0),
-    (maven, "Java", 0),
-    (csproj, "CS", 0),
-    (ant_jars, "Java", 0),
-    (r_libraries, "R", 0),
+    (poetry_lock, r"poetry\.lock", "Python", 0),
+    (pyproject, r"pyproject\.toml", "Python", 1),
+    (requirements, r"requirements(?!.*(?:dev|tests?)\.txt$).*\.txt", "Python", 1),
+    (setup_py, r"setup\.py", "Python", 1),
+    (npm_lock, r"package-lock\.json", "JS", 0),
+    (npm_packages, r"package\.json", "JS", 1),
+    (bower, r"\.?bower\.json", "JS", 2),
+    (go_sums, r"go\.sum", "Go", 0),
+    (go_modules, r"go\.mod", "Go", 1),
+    (composer, r"composer\.(?:json|lock)", "PHP", 0),
+    (gem_lock, r"Gemfile\.lock", "Ruby", 0),
+    (gradle, r"build\.gradle(?:\.kts)?", "Java", 0),
+    (maven, r"pom\.xml", "Java", 0),
+    (csproj, r".*\.(?:cs|vb)proj", "CS", 0),
+    (ant_jars, r"build\.xml", "Java", 0),
+    (r_libraries, r".*\.r", "R", 0),
 ]
+#: Files that no reader of the inventory reads for itself.
+BESIDE = r"yarn\.lock"
+
+
+def manifest_files(files: DataFrame) -> DataFrame:
+    """The files that a reader of the inventory may read, by name, as a small table of their own: (path, dir, name, text)."""
+    names = "|".join([p for _, p, _, _ in READERS] + [BESIDE])
+    return written(files.select("path", "dir", "name", "text").where(F.rlike("name", F.lit(rf"(?i)^(?:{names})$"))), "manifests")
 
 
 def inventory(files: DataFrame) -> DataFrame:
-    """Dependencies of all manifests, JS ones with yarn's versions; in each directory, a technology's lock file excludes its looser manifests."""
+    """Dependencies of all manifests, JS ones with yarn's versions.
+
+    In each directory, a technology's lock file excludes its looser manifests, whatever it holds.
+    """
+    own = manifest_files(files)
     every = None
-    for reader, family, rank in READERS:
-        own = reader(files).select(*COLUMNS, F.lit(family).alias("family"), F.lit(rank).alias("rank"))
-        every = own if every is None else every.union(own)
-    least = F.min("rank").over(Window.partitionBy("dir", "family"))
-    return with_yarn_versions(every.withColumn("least", least).where("rank = least").select(*COLUMNS), files)
+    for reader, name, family, rank in READERS:
+        one = reader(own).select(*COLUMNS, F.lit(family).alias("family"), F.lit(rank).alias("rank"))
+        every = one if every is None else every.union(one)
+    ranked = F.array(*[F.when(F.rlike("name", F.lit(rf"(?i)^(?:{name})$")), F.struct(F.lit(family).alias("f"), F.lit(rank).alias("r"))) for _, name, family, rank in READERS])
+    ranks = own.where("text IS NOT NULL").select("dir", F.explode(F.filter(ranked, lambda x: x.isNotNull())).alias("x"))
+    least = ranks.groupBy(F.col("dir").alias("l_dir"), F.col("x.f").alias("l_family")).agg(F.min("x.r").alias("least"))
+    kept = every.join(least, F.col("dir").eqNullSafe(F.col("l_dir")) & (F.col("family") == F.col("l_family"))).where("rank = least")
+    return with_yarn_versions(kept.select(*COLUMNS), own)
 
 
 def by_selectors(found: DataFrame, rules: DataFrame, as_column: str = "rule") -> DataFrame:
@@ -338,10 +372,13 @@ def by_selectors(found: DataFrame, rules: DataFrame, as_column: str = "rule") ->
 
 
 def with_yarn_versions(found: DataFrame, files: DataFrame) -> DataFrame:
-    """JS dependencies with the version of the shallowest yarn.lock that has their name."""
-    depth = F.size(F.split("path", "/"))
-    locked = yarn_lock(files).groupBy(F.lower("name").alias("y_name")).agg(F.min_by("version", F.struct(depth, F.col("path"))).alias("y_version"))
-    both = found.join(locked, (F.lower("name") == F.col("y_name")) & (F.col("techno") == "JS"), "left")
+    """JS dependencies with the version of the yarn.lock that has their name in their directory, or in the nearest one above."""
+    locked = yarn_lock(files).groupBy(F.col("dir").alias("y_dir"), F.lower("name").alias("y_name")).agg(F.max("version").alias("y_version"))
+    parts = F.split("dir", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    asked = found.where("techno = 'JS'").select("dir", F.lower("name").alias("key")).distinct().select("dir", "key", F.posexplode(above).alias("depth", "at"))
+    nearest = asked.join(locked, (F.col("at") == F.col("y_dir")) & (F.col("key") == F.col("y_name"))).groupBy(F.col("dir").alias("n_dir"), F.col("key").alias("n_name")).agg(F.max_by("y_version", "depth").alias("y_version"))
+    both = found.join(nearest, (F.col("dir") == F.col("n_dir")) & (F.lower("name") == F.col("n_name")) & (F.col("techno") == "JS"), "left")
     version = F.coalesce("y_version", "version")
     return both.select(*[F.when(F.col("y_version").isNotNull(), F.col("y_version")).otherwise(F.col(c)).alias(c) if c in ("low", "high") else version.alias(c) if c == "version" else F.col(c) for c in COLUMNS])
 
