@@ -32,6 +32,32 @@ def first_match(rows: DataFrame, rules: DataFrame, text: str, as_column: str = "
     return folded(out) if own else out
 
 
+def all_matches(rows: DataFrame, rules: DataFrame, text: str) -> DataFrame:
+    """``rows`` with ``ordinal`` and ``name`` of each rule that fits, in a row each: rules are tried in order, and one that fits says whether to go on.
+
+    ``rules``: (ordinal, name, pattern, goes_on); patterns are Python's. A lateral join with a table function: what a row gives
+    depends on the rules before, so it is no join on a condition. The rules are sent to the tasks with the function. Rows
+    that no rule fits, and null texts, give nothing.
+    """
+    own = [(r.ordinal, r.name, r.pattern, bool(r.goes_on)) for r in rules.orderBy("ordinal", "name").select("ordinal", "name", "pattern", "goes_on").toLocalIterator()]
+
+    class Tried:
+        def __init__(self) -> None:
+            import re
+
+            self.rules = [(ordinal, name, re.compile(pattern), goes_on) for ordinal, name, pattern, goes_on in own]
+
+        def eval(self, value: str):
+            for ordinal, name, pattern, goes_on in self.rules:
+                if value is not None and pattern.search(value):
+                    yield ordinal, name
+                    if not goes_on:
+                        return
+
+    tried = F.udtf(Tried, returnType="ordinal int, name string")
+    return rows.lateralJoin(tried(F.col(text).outer()))
+
+
 def merged_rules(own: DataFrame, external: DataFrame, key: list[str]) -> DataFrame:
     """Rules of both tables; where both have a key, ``own`` wins."""
     return own.unionByName(external.join(own.select(*key), key, "left_anti"))

@@ -27,6 +27,7 @@ from tessera.plans import manifest_queries as Manifests
 from tessera.plans import prepro_queries as Prepro
 from tessera.plans import r_queries as Scripts
 from tessera.plans import secret_queries as Secrets
+from tessera.plans import source_queries as Sources
 from tessera.plans import sql_lint_queries as Lint
 from tessera.plans import tree_queries as Trees
 from tessera.plans.code_queries import ASCII, code_sql, commented_out_sql, comparable_metrics, metrics_sql, suspicious_sql
@@ -750,8 +751,8 @@ _QUERIES = {
 
 
 def queries() -> dict:
-    return {name: run for name, (run, _) in _QUERIES.items()} | Code.queries() | Manifests.queries() | Trees.queries() | Lexers.queries() | Prepro.queries() | Encodings.queries() | Scripts.queries() | Lint.queries() | Secrets.queries()
+    return {name: run for name, (run, _) in _QUERIES.items()} | Code.queries() | Manifests.queries() | Trees.queries() | Lexers.queries() | Prepro.queries() | Encodings.queries() | Scripts.queries() | Lint.queries() | Secrets.queries() | Sources.queries()
 
 
 def oracle_sql() -> dict:
-    return {name: sql for name, (_, sql) in _QUERIES.items() if sql} | Code.oracle_sql() | Manifests.oracle_sql() | Trees.oracle_sql() | Lexers.oracle_sql() | Prepro.oracle_sql() | Encodings.oracle_sql() | Scripts.oracle_sql() | Lint.oracle_sql() | Secrets.oracle_sql()
+    return {name: sql for name, (_, sql) in _QUERIES.items() if sql} | Code.oracle_sql() | Manifests.oracle_sql() | Trees.oracle_sql() | Lexers.oracle_sql() | Prepro.oracle_sql() | Encodings.oracle_sql() | Scripts.oracle_sql() | Lint.oracle_sql() | Secrets.oracle_sql() | Sources.oracle_sql()
