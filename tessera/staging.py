@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path below spark.checkpoint.dir, or below a folder of our own where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    """A new path below spark.checkpoint.dir, or on a local master below a folder of our own where that is unset."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: a folder that all executors share is needed")
+        at = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
     path = f"{at.rstrip('/')}/tessera-{tag}-{uuid.uuid4().hex[:12]}"
     atexit.register(remove, spark, path)
     return path
