@@ -103,10 +103,10 @@ def yarn_lock(files: DataFrame) -> DataFrame:
     return _rows(found.distinct(), "JS", F.col("e.n"), F.col("e.v"))
 
 
-def _pairs(files: DataFrame, pattern: str) -> DataFrame:
-    """(path, dir, e.n, e.v) for each match of a pattern with two groups."""
+def _pairs(files: DataFrame, pattern: str, *more: str) -> DataFrame:
+    """(path, dir, columns of ``more``, e.n, e.v) for each match of a pattern with two groups."""
     zipped = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("v"))
-    return files.select("path", "dir", F.explode(zipped).alias("e"))
+    return files.select("path", "dir", *more, F.explode(zipped).alias("e"))
 
 
 def _go_block(verb: str) -> Column:
@@ -150,13 +150,20 @@ def poetry_lock(files: DataFrame) -> DataFrame:
 
 
 def pyproject(files: DataFrame) -> DataFrame:
-    """Poetry's dependency table and the project's dependency list of pyproject.toml."""
+    """Poetry's dependency tables and the project's dependency lists of pyproject.toml; groups and optional ones have their group as environment."""
     text = _named(files, "pyproject.toml")
     table = text.withColumn("text", F.regexp_extract("text", r"(?s)\[tool\.poetry\.dependencies\]\s*\n(.*?)(?:\n\[|\z)", 1))
     first = _pairs(table, r'(?m)^([\w.\-]+)\s*=\s*(?:\{[^}\n]*version\s*=\s*)?"([^"\n]*)"').where("e.n <> 'python'")
     listed = text.withColumn("text", F.regexp_extract("text", r"(?s)\[project\].*?\ndependencies\s*=\s*\[(.*?)\n?\s*\]\s*(?:\n|\z)", 1))
     second = _pairs(listed, r"[\"']([A-Za-z0-9][\w.\-]*)(?:\[[^\]]*\])?\s*([^\"';]*)")
-    return _rows(first.union(second), "Python", F.col("e.n"), F.col("e.v"))
+    plain = _rows(first.union(second), "Python", F.col("e.n"), F.col("e.v"))
+    each = text.select("path", "dir", F.explode(F.split("text", r"(?m)^(?=\[)")).alias("text"))
+    group = F.regexp_extract("text", r"^\[tool\.poetry\.(?:group\.([\w\-]+)\.dependencies|dev-dependencies)\]", 1)
+    tables = each.where(F.rlike("text", F.lit(r"^\[tool\.poetry\.(?:group\.[\w\-]+\.|dev-)dependencies\]"))).withColumn("group", F.coalesce(F.nullif(group, F.lit("")), F.lit("dev")))
+    third = _pairs(tables, r'(?m)^([\w.\-]+)\s*=\s*(?:\{[^}\n]*version\s*=\s*)?"([^"\n]*)"', "group").where("e.n <> 'python'")
+    lists = _pairs(each.where(F.rlike("text", F.lit(r"^\[(?:project\.optional-dependencies|dependency-groups)\]"))), r"(?ms)^([\w\-]+)\s*=\s*\[((?:[^\[\]]|\[[^\[\]]*\])*)\]")
+    fourth = _pairs(lists.select("path", "dir", F.col("e.n").alias("group"), F.col("e.v").alias("text")), r"[\"']([A-Za-z0-9][\w.\-]*)(?:\[[^\]]*\])?\s*([^\"';]*)", "group")
+    return plain.union(_rows(third.union(fourth), "Python", F.col("e.n"), F.col("e.v"), F.col("group")))
 
 
 def setup_py(files: DataFrame) -> DataFrame:
@@ -169,7 +176,7 @@ _GRADLE = r"(api|implementation|compile|compileOnly|runtime|runtimeOnly|provided
 
 
 def gradle(files: DataFrame) -> DataFrame:
-    """Dependencies of build.gradle and build.gradle.kts: ``group:name:version`` strings, the form with ``group:``, ``name:`` and ``version:``, and entries of lists; variables of the same file are filled in."""
+    """Dependencies of build.gradle and build.gradle.kts: ``group:name:version`` strings, the form with ``group:``, ``name:`` and ``version:``, entries of lists and platforms; variables of the same file are filled in, and aliases of version catalogs."""
     own = files.where(F.rlike("name", F.lit(r"(?i)^build\.gradle(?:\.kts)?$")) & F.col("text").isNotNull()).select("path", "dir", "text")
 
     def zipped(pattern: str, **groups: int) -> Column:
@@ -177,7 +184,7 @@ def gradle(files: DataFrame) -> DataFrame:
 
     variables = zipped(r"(?m)^\s*(?:def|val|var|ext\.)?\s*(\w+)\s*=\s*[\"']([\w.\-]+)[\"']", n=1, v=2)
     entries = zipped(r"(\w+)\s*:\s*[\"']([\w.\-]+:[\w.\-]+(?::[^\"'@:]+)?)[\"']", n=1, v=2)
-    plain = zipped(rf"(?m)^\s*{_GRADLE}[\s(]+[\"']([\w.\-]+:[\w.\-]+)(?::([^\"'@:]+))?[^\"']*[\"']", c=1, n=2, v=3)
+    plain = zipped(rf"(?m)^\s*{_GRADLE}[\s(]+(?:(?:enforcedP|p)latform\s*\(\s*)?[\"']([\w.\-]+:[\w.\-]+)(?::([^\"'@:]+))?[^\"']*[\"']", c=1, n=2, v=3)
     mapped = zipped(rf"(?m)^\s*{_GRADLE}[\s(]+group\s*[:=]\s*[\"']([\w.\-]+)[\"']\s*,\s*name\s*[:=]\s*[\"']([\w.\-]+)[\"'](?:\s*,\s*version\s*[:=]\s*[\"']?([^\"',)\n]+)[\"']?)?", c=1, g=2, a=3, v=4)
     listed = zipped(rf"(?m)^\s*{_GRADLE}[\s(]+\w+\.(\w+)\s*\)?\s*$", c=1, k=2)
     of_list = lambda k: F.try_element_at(F.filter("entries", lambda e: e["n"] == k), F.lit(1))["v"]
@@ -192,7 +199,35 @@ def gradle(files: DataFrame) -> DataFrame:
     named = F.regexp_extract("e.v", r"^\$?\{?(\w+)\}?$", 1)
     value = F.try_element_at(F.filter("vars", lambda x: x["n"] == named), F.lit(1))["v"]
     version = F.when(F.startswith("e.v", F.lit("$")), value).otherwise(F.coalesce(F.when(named != "", value), F.col("e.v")))
-    return _rows(found, "Java", F.col("e.n"), version, F.when(F.startswith("e.c", F.lit("test")), "test").otherwise("prod"))
+    environment = lambda c: F.when(F.startswith(c, F.lit("test")), "test").otherwise("prod")
+    named_in_catalogs = _pairs(own, rf"(?m)^\s*{_GRADLE}[\s(]+(?:(?:enforcedP|p)latform\s*\(\s*)?libs\.([\w.]+)").select("path", "dir", F.col("e.n").alias("c"), F.col("e.v").alias("alias"))
+    above = _dirs_above(named_in_catalogs.select("dir").distinct()).join(gradle_catalogs(files), F.col("at") == F.col("c_dir"))
+    nearest = above.groupBy("dir", "alias").agg(F.max_by(F.struct("n", "v"), "depth").alias("x"))
+    of_catalogs = named_in_catalogs.join(nearest, ["dir", "alias"])
+    return _rows(found, "Java", F.col("e.n"), version, environment("e.c")).union(_rows(of_catalogs, "Java", F.col("x.n"), F.col("x.v"), environment("c")))
+
+
+def _dirs_above(dirs: DataFrame) -> DataFrame:
+    """(dir, depth, at): each directory with itself and those above it."""
+    parts = F.split("dir", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    return dirs.select("*", F.posexplode(above).alias("depth", "at"))
+
+
+def gradle_catalogs(files: DataFrame) -> DataFrame:
+    """(c_dir: the directory that a version catalog is for, alias: with dots, n: group and name, v)."""
+    own = _named(files, "libs.versions.toml").select(F.regexp_replace("dir", r"(?:^|/)gradle$", "").alias("c_dir"), F.concat(F.regexp_replace("text", r"(?m)^\s*#.*$", ""), F.lit("\n[")).alias("text"))
+    section = lambda name: F.regexp_extract("text", rf"(?s)\[{name}\](.*?)\n\[", 1)
+    every = lambda text, pattern: F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("k"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("v"))
+    versions = F.map_from_entries(F.array_distinct(every(section("versions"), r'(?m)^\s*([\w\-.]+)\s*=\s*"([^"]+)"')))
+    entry = F.explode(every(section("libraries"), r"(?m)^\s*([\w\-.]+)\s*=\s*(\{[^}]*\}|\"[^\"]*\")")).alias("e")
+    each = own.select("c_dir", versions.alias("versions"), entry)
+    field = lambda name: F.nullif(F.regexp_extract("e.v", rf'\b{name}\s*=\s*"([^"]*)"', 1), F.lit(""))
+    whole = F.regexp_extract("e.v", r'^"([^"]*)"$', 1)
+    name = F.coalesce(field("module"), F.concat_ws(":", field("group"), field("name")))
+    version = F.coalesce(F.try_element_at("versions", field(r"version\.ref")), field("version"))
+    plain = whole != ""
+    return each.select("c_dir", F.regexp_replace("e.k", r"[\-_]", ".").alias("alias"), F.when(plain, F.substring_index(whole, ":", 2)).otherwise(name).alias("n"), F.when(plain, F.regexp_extract(whole, r"^[^:]*:[^:]*:(.*)$", 1)).otherwise(version).alias("v"))
 
 
 #: Options and schemas of the XML readers: names without their namespaces; a text that is no XML gives nulls.
@@ -339,7 +374,7 @@ READERS = [
     (r_libraries, r".*\.r", "R", 0),
 ]
 #: Files that no reader of the inventory reads for itself.
-BESIDE = r"yarn\.lock"
+BESIDE = r"yarn\.lock|libs\.versions\.toml"
 
 
 def manifest_files(files: DataFrame) -> DataFrame:
@@ -374,9 +409,7 @@ def by_selectors(found: DataFrame, rules: DataFrame, as_column: str = "rule") ->
 def with_yarn_versions(found: DataFrame, files: DataFrame) -> DataFrame:
     """JS dependencies with the version of the yarn.lock that has their name in their directory, or in the nearest one above."""
     locked = yarn_lock(files).groupBy(F.col("dir").alias("y_dir"), F.lower("name").alias("y_name")).agg(F.max("version").alias("y_version"))
-    parts = F.split("dir", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    asked = found.where("techno = 'JS'").select("dir", F.lower("name").alias("key")).distinct().select("dir", "key", F.posexplode(above).alias("depth", "at"))
+    asked = _dirs_above(found.where("techno = 'JS'").select("dir", F.lower("name").alias("key")).distinct())
     nearest = asked.join(locked, (F.col("at") == F.col("y_dir")) & (F.col("key") == F.col("y_name"))).groupBy(F.col("dir").alias("n_dir"), F.col("key").alias("n_name")).agg(F.max_by("y_version", "depth").alias("y_version"))
     both = found.join(nearest, (F.col("dir") == F.col("n_dir")) & (F.lower("name") == F.col("n_name")) & (F.col("techno") == "JS"), "left")
     version = F.coalesce("y_version", "version")

@@ -63,3 +63,17 @@ def test_xml_is_read_as_xml(spark):
     assert {(r.ref, r.group, r.artifact, r.version) for r in Dep.cyclonedx(rows).collect()} == {("g:a@1.0", "g", "a", "1.0"), ("g:b@2", "g", "b", "2"), ("h:c", "h", "c", None)}
     project = Dep.maven_projects(rows.limit(0).union(with_path_parts(spark.createDataFrame([("/a/pom.xml", POM)], "path string, text string")))).first()
     assert (project.group, project.artifact, project.version) == ("g & h", "art", "3")
+
+
+CATALOG = '[versions]\nktor = "2.3"\n# no = "1"\n[libraries]\nktor-core = { module = "io.ktor:core", version.ref = "ktor" }\nlog_api = { group = "org.log", name = "api", version = "1.1" }\nold = "a:b:0.9"\nbom = { module = "c:bom", version = "5" }\n[plugins]\nx = { id = "y", version = "1" }\n'
+BUILD = "dependencies {\n  implementation(libs.ktor.core)\n  testImplementation libs.log.api\n  api platform(libs.bom)\n  implementation libs.old\n  implementation platform('d:bom:7')\n  compile libs.unknown\n}\n"
+PYPROJECT = '[project]\nname = "x"\ndependencies = ["a>=1"]\n[project.optional-dependencies]\nplot = ["b[c]>=2; x", \'d\']\n[dependency-groups]\ntest = [\n  "e==3",\n]\n[tool.poetry.group.docs.dependencies]\nf = "^4"\npython = "^3"\n[tool.poetry.dev-dependencies]\ng = { version = "5" }\n'
+
+
+def test_catalogs_platforms_and_groups(spark):
+    files = [("/r/gradle/libs.versions.toml", CATALOG), ("/r/app/build.gradle.kts", BUILD), ("/other/build.gradle", BUILD), ("/r/app/gradle/libs.versions.toml", '[libraries]\nold = "a:b:1.0"\n'), ("/p/pyproject.toml", PYPROJECT)]
+    rows = with_path_parts(spark.createDataFrame(files, "path string, text string"))
+    got = {(r.dir, r.name, r.version, r.environment) for r in Dep.inventory(rows).collect()}
+    java = {("/r/app", "io.ktor:core", "2.3", "prod"), ("/r/app", "org.log:api", "1.1", "test"), ("/r/app", "c:bom", "5", "prod"), ("/r/app", "a:b", "1.0", "prod"), ("/r/app", "d:bom", "7", "prod"), ("/other", "d:bom", "7", "prod")}
+    python = {("/p", "a", ">=1", "prod"), ("/p", "b", ">=2", "plot"), ("/p", "d", None, "plot"), ("/p", "e", "==3", "test"), ("/p", "f", "^4", "docs"), ("/p", "g", "5", "dev")}
+    assert got == java | python
