@@ -11,10 +11,12 @@ technology has the literal findings only; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.lexers import LEXERS, lexical_views
 from tessera.functions.literals import finding_counts
 from tessera.functions.text import count_of
 from tessera.functions.views import FAMILY_OF, bare_view, code_view, string_literals
@@ -88,6 +90,114 @@ PYTHON_CALLS = {"AzureCloudEncryption": ["KeyWrapper", "KeyResolver"], "Open": [
 #: Services that a Python client is made for, by mnemonic.
 PYTHON_SERVICES = {"DBMS_DynamoDB": "dynamodb", "AmazonawsS3Storage": "s3", "Import_InMemoryRedisAws": "elasticache", "AmazonawsDirectoryService": "ds", "AmazonawsBatch": "batch", "AmazonAwsAccessManagement": "iam"}
 
+#: Modules of Node.js by mnemonic, as they are required or imported, and what stands in the code.
+NODE_MODULES = {
+    "New_AccessControlList": ["accesscontrol"],
+    "UsingSystemSecurityCryptography": ["node-webcrypto-p11", "node-webcrypto-ossl"],
+    "Path": ["path"],
+    "New_FileInputStream": ["fs"],
+    "MicrosoftAzureBlobStorage": ["azure-storage"],
+    "DBMS_MongoDB": ["mongodb", "mongoose"],
+    "DBMS_CosmosDB": ["documentdb", "documentdb-typescript"],
+    "DBMS_MySQL": ["mysql"],
+    "DBMS_PostgreSQL": ["pg"],
+    "MicrosoftAzureKeyVault": ["azure-arm-keyvault"],
+    "AwsScheduler": ["aws-scheduler"],
+    "AzureScheduler": ["azure-asm-scheduler", "azure-scheduler", "azure-batch"],
+    "CloudActiveDirectory": ["adal", "activedirectory", "react-adal"],
+    "AzureServiceBusMessaging": ["azure-arm-sb", "azure-sb"],
+    "UsingKubernetes": ["@kubernetes/client-node"],
+    "UsingBigQuery": ["@google-cloud/bigquery"],
+    "UsingCloudDataStore": ["@google-cloud/datastore"],
+    "UsingBigTable": ["@google-cloud/bigtable"],
+    "UsingCloudSpanner": ["@google-cloud/spanner"],
+    "Using_InMemoryRedisGCP": ["@google-cloud/redis"],
+    "UsingFireBase": ["firebase"],
+    "GCPStorage": ["@google-cloud/storage"],
+    "UsingCloudPubSub": ["@google-cloud/pubsub"],
+}
+NODE_NAMES = {
+    "New_AccessControlList": ["new AccessControl"],
+    "DirectoryCurrent": ["process.cwd"],
+    "DirectoryChange": ["process.chdir"],
+    "DirectoryExists": ["OS.File.DirectoryIterator"],
+    "Path": ["OS.Path", "OS.Constants.Path"],
+    "New_FileInputStream": ["FileUtils", "OS.File.read"],
+    "Open": ["OS.File.open"],
+    "FileCopy": ["OS.File.copy"],
+    "FileMove": ["OS.File.move"],
+    "EnvironmentVariable": ["process.env"],
+    "New_Process": ["process.setegid", "process.seteuid", "process.setgid", "process.setgroups", "process.setuid"],
+    "CodeSkipped": ["assert"],
+    "AmazonawsS3Storage": ["new AWS.S3"],
+    "MicrosoftAzureBlobStorage": ["createBlobService"],
+    "DBMS_CosmosDB": ["new CosmosClient"],
+    "AmazonawsServicesKms": ["new AWS.KMS"],
+    "AwsScheduler": ["new AWS.Batch"],
+    "CloudActiveDirectory": ["new AdalConfig"],
+    "AzureServiceBusMessaging": ["createServiceBusService", "ServiceBusService"],
+    "Using_AmazonSQS": ["new AWS.SQS"],
+    "UsingCloudSpanner": ["new Spanner"],
+    "Using_InMemoryRedisGCP": ["new CloudRedisClient"],
+    "UsingCloudIAM": ["iam.getPolicy"],
+    "UsingCloudIAP": ["class Iap"],
+    "UsingCloudPubSub": ["new PubSub"],
+}
+NODE_OWN = {"UsingKubernetes": r"\bnew\s+\w+\.KubeConfig\b", "GCPServicesKms": r"\.cloudkms\b", "GCPScheduler": r"\bnew\s+\S*\.CloudSchedulerClient\b|\.cloudscheduler\b"}
+#: Functions that C and C++ call, by mnemonic, and names that count without a call.
+CPP_CALLS = {
+    "DirectoryDelete": ["remove", "remove_all"],
+    "DirectoryExists": ["is_directory"],
+    "DirectoryCreate": ["create_directory", "create_directories"],
+    "GetTempPath": ["temp_directory_path"],
+    "DirectoryCurrent": ["getcwd", "current_path", "get_current_dir_name", "directory_iterator"],
+    "Open": ["open", "fopen"],
+    "FileExists": ["exists", "is_regular_file"],
+    "FileCopy": ["copy"],
+    "New_FileInputStream": ["getline", "FileInputStream"],
+    "FileRead": ["read"],
+    "FileDelete": ["remove"],
+    "New_AccessControlList": ["SetNamedSecurityInfo", "GetExplicitEntriesFromAcl"],
+}
+CPP_NAMES = {"EnvironmentVariable": ["getenv", "secure_getenv"], "IdentityImpersonateTrue": ["ImpersonateLoggedOnUser"]}
+CPP_OWN = {
+    "New_EventLog": r"\b(?:ReportEvent|RegisterEventSource)\s*\(|\bEventLog\b",
+    "HardCodedConnectionString": r"\bConnectionString\b|\bSQLDriverConnect\w*\s*\(",
+    "DllImport": r"\b(?:__declspec\s*\(\s*dll(?:im|ex)port\s*\)|(?:LoadLibrary|dlopen)\s*\()",
+}
+#: Words of COBOL by mnemonic, whatever their case, and programs that literals name.
+COBOL_WORDS = {
+    "DISPLAY_statement": ["DISPLAY"],
+    "ALTER_statement": ["ALTER"],
+    "GOTO_statement": ["GO TO"],
+    "CodeSkipped": ["SOURCE-COMPUTER IBM-370 WITH DEBUGGING MODE"],
+    "DecimalPointComma": ["DECIMAL-POINT IS COMMA"],
+    "CurrencySign": ["CURRENCY SIGN IS"],
+    "OccurClause": ["OCCUR", "OCCURS"],
+    "RedefinesClause": ["REDEFINES"],
+    "DummyTable": ["SYSIBM.SYSDUMMY1"],
+    "JSONParsing": ["JSON PARSE"],
+    "UROption": ["WITH UR"],
+    "CICSWebservice": ["EXEC CICS INVOKE WEBSERVICE"],
+    "DB2Connect": ["EXEC SQL"],
+}
+COBOL_OWN = {
+    "PackedDecimal": r"(?i)\bPACKED-DECIMAL\b|[^\w\-]COMP-3\b",
+    "Binary": r"(?i)\bBINARY\b|[^\w\-]COMP(?:-[45])?(?:[^\w\-]|\z)",
+    "SubsetRow": r"(?i)\bFETCH\s+FIRST\s+[0-9]+\s+ROWS\s+ONLY\b",
+    "XMLParsing": r"(?i)\sXML\s+PARSE\b",
+    "JSONGenerate": r"(?i)\sJSON\s+GENERATE\b",
+}
+COBOL_PROGRAMS = {
+    "DLICalls": "CBLTDLI AIBTDLI CEETDLI PLITDLI".split(),
+    "MQCall": "MQBACK MQBUFMH MQCB MQCLOSE MQCMIT MQCONN MQCONNX MQCRTMH MQCTL MQDISC MQDLTMH MQDLTMP MQGET MQINQ MQINQMP MQMHBUF MQOPEN MQPUT MQPUT1 MQSET MQSETMP MQSTAT MQSUB MQSUBRQ".split(),
+}
+
+
+def _any(names: list[str], behind: str = r"\b", flags: str = "") -> str:
+    """A pattern for any of some names; blanks in them are any white space."""
+    return rf"{flags}\b(?:{'|'.join(re.escape(n).replace(chr(92) + ' ', chr(92) + 's+') for n in names)}){behind}"
+
 
 def _joined(name: str) -> str:
     return "".join(p[:1].upper() + p[1:] for p in name.split("."))
@@ -113,19 +223,37 @@ def rules(techno: str) -> dict[str, str]:
     if techno == "Python":
         spaced = lambda n: re.escape(n).replace(r"\ ", r"\s+")
         return {m: rf"\b(?:{'|'.join(map(spaced, own))})\b" for m, own in PYTHON_NAMES.items()} | {m: rf"\b(?:{'|'.join(own)})\s*\(" for m, own in PYTHON_CALLS.items()}
+    if techno in ("JS", "TypeScript"):
+        return {m: _any(own) for m, own in NODE_NAMES.items()} | NODE_OWN
+    if techno in ("C", "CCpp", "Cpp"):
+        return {m: _any(own, r"\s*\(") for m, own in CPP_CALLS.items()} | {m: _any(own) for m, own in CPP_NAMES.items()} | CPP_OWN
+    if techno == "Cobol":
+        return {m: _any(own, flags="(?i)") for m, own in COBOL_WORDS.items()} | COBOL_OWN
     return {}
 
 
 def text_rules(techno: str) -> dict[str, str]:
-    """Mnemonics and patterns that need string literals as they are: services named on the line that makes a client."""
+    """Mnemonics and patterns that need string literals as they are: modules that are loaded, programs, services named on the line that makes a client."""
+    if techno in ("JS", "TypeScript"):
+        return {m: rf"\b(?:require\s*\(|from|import)\s*[\"'](?:[^\"'\n]*[\\/])?(?:{'|'.join(map(re.escape, own))})(?:[\\/][^\"'\n]*)?[\"']" for m, own in NODE_MODULES.items()}
+    if techno in ("C", "CCpp", "Cpp"):
+        return {"SQLDatabaseUnsecureAuthentication": r"\"[^\"\n]*\b(?:Trusted_Connection|Integrated\s+Security)\b[^\"\n]*\""}
+    if techno == "Cobol":
+        return {m: _any(own, flags="(?i)[\"'][^\"'\n]*") for m, own in COBOL_PROGRAMS.items()}
     return {m: rf"(?i)\bboto3\.(?:client|resource)\s*\([^)\n]*[\"']{n}[\"']" for m, n in PYTHON_SERVICES.items()} if techno == "Python" else {}
 
 
 def file_detections(files: DataFrame, techno: str, keys: list[str], text: str = "text") -> DataFrame:
     """``keys`` and a count for each mnemonic of the technology and each kind of literal finding."""
     family = FAMILY_OF.get(techno, "none")
-    cut = files.select(*keys, code_view(F.col(text), family).alias("__code"), string_literals(F.col(text), family).alias("__strings"), *([bare_view(F.col(text), family).alias("__bare")] if text_rules(techno) else []))
-    own = [count_of(F.col("__code"), p).alias(m) for m, p in rules(techno).items()] + [count_of(F.col("__bare"), p).alias(m) for m, p in text_rules(techno).items()]
+    if techno in LEXERS:
+        views = files.select(*keys, lexical_views(F.col(text), techno).alias("__views"))
+        cut = views.select(*keys, F.col("__views.code").alias("__code"), F.col("__views.strings").alias("__strings"), F.col("__views.bare").alias("__bare"))
+    else:
+        cut = files.select(*keys, code_view(F.col(text), family).alias("__code"), string_literals(F.col(text), family).alias("__strings"), bare_view(F.col(text), family).alias("__bare"))
+    in_code, in_text = rules(techno), text_rules(techno)
+    both = lambda m: [count_of(F.col(v), own[m]) for v, own in (("__code", in_code), ("__bare", in_text)) if m in own]
+    own = [reduce(lambda a, b: a + b, both(m)).alias(m) for m in dict.fromkeys([*in_code, *in_text])]
     return cut.select(*keys, *own, *[c.alias(m) for m, c in finding_counts(F.col("__strings")).items()])
 
 

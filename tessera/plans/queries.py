@@ -20,6 +20,7 @@ from tessera.operators import discovery as Disc
 from tessera.operators import keyword_scan as K
 from tessera.operators import metrics as M
 from tessera.operators import rules as R
+from tessera.plans import cloud_queries as Clouds
 from tessera.plans import code_queries as Code
 from tessera.plans import encoding_queries as Encodings
 from tessera.plans import lexer_queries as Lexers
@@ -751,8 +752,8 @@ _QUERIES = {
 
 
 def queries() -> dict:
-    return {name: run for name, (run, _) in _QUERIES.items()} | Code.queries() | Manifests.queries() | Trees.queries() | Lexers.queries() | Prepro.queries() | Encodings.queries() | Scripts.queries() | Lint.queries() | Secrets.queries() | Sources.queries()
+    return {name: run for name, (run, _) in _QUERIES.items()} | Code.queries() | Manifests.queries() | Trees.queries() | Lexers.queries() | Prepro.queries() | Encodings.queries() | Scripts.queries() | Lint.queries() | Secrets.queries() | Sources.queries() | Clouds.queries()
 
 
 def oracle_sql() -> dict:
-    return {name: sql for name, (_, sql) in _QUERIES.items() if sql} | Code.oracle_sql() | Manifests.oracle_sql() | Trees.oracle_sql() | Lexers.oracle_sql() | Prepro.oracle_sql() | Encodings.oracle_sql() | Scripts.oracle_sql() | Lint.oracle_sql() | Secrets.oracle_sql() | Sources.oracle_sql()
+    return {name: sql for name, (_, sql) in _QUERIES.items() if sql} | Code.oracle_sql() | Manifests.oracle_sql() | Trees.oracle_sql() | Lexers.oracle_sql() | Prepro.oracle_sql() | Encodings.oracle_sql() | Scripts.oracle_sql() | Lint.oracle_sql() | Secrets.oracle_sql() | Sources.oracle_sql() | Clouds.oracle_sql()
