@@ -14,7 +14,8 @@ many keys as a pair needs to meet with probability 0.98: rows grow with the text
 
 Trees are built where their members are gathered: all trees together grow with the corpus, so sending
 them to every task has no size bound. Only texts that are much alike fill a shard of more than ``shard_limit`` members.
-It is searched as a whole in two rounds: first a tree for each piece of at most ``shard_limit`` members. Then, where members
+It is searched as a whole in two rounds: first a tree for each piece of at most ``shard_limit`` members, which go to several tasks
+beyond ``DEAL`` members. Then, where members
 have different roots still, those outside the largest root are sought among all members: these are dealt in parts,
 and so are those that are sought; a task has the tree of one part and searches it for one part. A shard
 returns each member with the least member of its local group, so what is returned is linear in the members.
@@ -289,13 +290,13 @@ def shard_links(value: np.ndarray, sig: np.ndarray, shard: np.ndarray, radius: i
 
 
 def _search(shards: DataFrame, keys: Keys, piece: int, radius: int, limit: int) -> DataFrame:
-    """Links (a, b) of nodes from shard rows; a partition's shards come one after the other, in order, cut into pieces."""
+    """Links (a, b) of nodes from rows (place, bits, size: of the shard, sig); a partition's shards come one after the other, in order, cut into pieces."""
 
     def starts(table: pa.Table) -> np.ndarray:
         """Where pieces start; the first row starts one."""
-        place, bits = (table.column(k).to_numpy() for k in ("place", "bits"))
+        place, bits, salt = (table.column(k).to_numpy() for k in ("place", "bits", "salt"))
         new = np.ones(len(place), bool)
-        new[1:] = (place[1:] != place[:-1]) | (bits[1:] != bits[:-1])
+        new[1:] = (place[1:] != place[:-1]) | (bits[1:] != bits[:-1]) | (salt[1:] != salt[:-1])
         at = np.arange(len(place))
         return new | ((at - np.maximum.accumulate(np.where(new, at, 0))) % piece == 0)
 
@@ -323,8 +324,10 @@ def _search(shards: DataFrame, keys: Keys, piece: int, radius: int, limit: int)
         if size:
             yield linked(pa.Table.from_batches(held))
 
-    ordered = shards.repartition("place", "bits").sortWithinPartitions("place", "bits", "sig")
-    return ordered.select("place", "bits", "sig").mapInArrow(run, "a bigint, b bigint")
+    # a hot shard goes to several tasks; members meet others in each place, so that a large group of copies still gets one root
+    salt = F.pmod(F.xxhash64("sig", "place"), F.ceil(F.col("size") / DEAL)).cast("int").alias("salt")
+    ordered = shards.select("place", "bits", salt, "sig").repartition("place", "bits", "salt").sortWithinPartitions("place", "bits", "salt", "sig")
+    return ordered.mapInArrow(run, "a bigint, b bigint")
 
 
 def links_to(value: np.ndarray, sig: np.ndarray, label: np.ndarray, sought: np.ndarray, sought_sig: np.ndarray, sought_label: np.ndarray, radius: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
