@@ -135,6 +135,16 @@ def tokens(text: str, language: str) -> list[tuple[str, str]]:
     return out
 
 
+def token_column(text: Column, language: str) -> Column:
+    """An array of kind (P code, C comment, S string, R regular expression) and text."""
+
+    @F.pandas_udf("array<struct<kind: string, text: string>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"kind": k, "text": t} for k, t in tokens(one, language)] for one in texts], dtype=object)
+
+    return cut(text_of(text))
+
+
 def _ends(text: str) -> str:
     return "\n" * text.count("\n")
 

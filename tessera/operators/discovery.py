@@ -310,8 +310,11 @@ def resolved_by_context(files: DataFrame) -> DataFrame:
 
 
 def discover(files: DataFrame) -> DataFrame:
-    """``files`` (path, dir, ext, text) with potential, techno (null if unknown) and mode."""
-    return resolved_by_context(cascade(files))
+    """``files`` (path, dir, ext, text) without the text, and with potential, techno (null if unknown) and mode.
+
+    What each file says of itself is written once, as narrow rows: texts are read and tried in one scan.
+    """
+    return resolved_by_context(written(cascade(files).drop("text"), "cascade"))
 
 
 def with_history(found: DataFrame, decisions: DataFrame) -> DataFrame:

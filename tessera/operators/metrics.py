@@ -277,7 +277,8 @@ def string_table(files: DataFrame, language: str, key: str, text: str = "text")
     Counted on the map side first; the window numbers one file's different literals. Keys that repeat count
     as one file; null texts have none.
     """
-    each = files.select(key, F.posexplode(V.string_literals(F.col(text), V.FAMILY_OF.get(language, "none"))).alias("place", "literal"))
+    own = L.lexical_views(F.col(text), language)["strings"] if language in L.LEXERS else V.string_literals(F.col(text), V.FAMILY_OF.get(language, "none"))
+    each = files.select(key, F.posexplode(own).alias("place", "literal"))
     one = each.groupBy(key, "literal").agg(F.count("*").alias("uses"), F.min("place").alias("first"))
     number = F.row_number().over(Window.partitionBy(key).orderBy("first", "literal"))
     return one.select(key, number.alias("string_id"), "literal", "uses")
@@ -339,9 +340,12 @@ def with_global_metrics(rows: DataFrame, totals: dict[str, Column]) -> DataFrame
 def literal_lines(files: DataFrame, language: str, key: str, text: str = "text") -> DataFrame:
     """(key, line, literal): each string literal with the line that it starts on."""
     family = V.FAMILY_OF.get(language, "none")
-    each = files.select(key, F.posexplode(V.tokens(F.col(text), family)).alias("place", "token"))
+    if language in L.LEXERS:
+        each = files.select(key, F.posexplode(L.token_column(F.col(text), language)).alias("place", "t")).select(key, "place", F.col("t.text").alias("token"), (F.col("t.kind") == L.STRING).alias("is_string"))
+    else:
+        each = files.select(key, F.posexplode(V.tokens(F.col(text), family)).alias("place", "token")).withColumn("is_string", V.is_string(F.col("token"), family))
     before = F.sum(T.line_count(F.col("token"))).over(Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
-    marked = each.select(key, "place", F.when(V.is_string(F.col("token"), family), F.col("token")).alias("literal"), (F.coalesce(before, F.lit(0)) + 1).alias("line"))
+    marked = each.select(key, "place", F.when(F.col("is_string"), F.col("token")).alias("literal"), (F.coalesce(before, F.lit(0)) + 1).alias("line"))
     return marked.where("literal IS NOT NULL").select(key, "line", "literal")
 
 

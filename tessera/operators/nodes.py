@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.lexers import LEXERS, lexical_views
 from tessera.functions.views import FAMILY_OF, code_view
 
 #: Kinds and how a line that opens one begins or reads, in order; the first that fits counts.
@@ -116,7 +117,8 @@ def nodes(files: DataFrame, language: str, key: str, text: str = "text") -> Data
         kind, name = _kind(l["line"], BRACE_KINDS if braces else PYTHON_KINDS)
         return F.struct(l["n"].alias("node_id"), kind.alias("kind"), name.alias("name"), F.trim(l["line"]).alias("statement"))
 
-    rows = files.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("part"), _lines(code_view(F.col(text), family), braces).alias("lines"))
+    code = lexical_views(F.col(text), language)["code"] if language in LEXERS else code_view(F.col(text), family)
+    rows = files.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("part"), _lines(code, braces).alias("lines"))
     rows = rows.withColumn("opened", F.transform("lines", opened))
     fold = nested(braces)("lines.n", "lines.a", "lines.b", "lines.c", F.transform("opened", lambda x: x["kind"].isNotNull()))
     found = rows.select("key", "part", F.filter("opened", lambda x: x["kind"].isNotNull()).alias("x"), fold.alias("f"))
@@ -139,8 +141,17 @@ def parameters(statement: Column) -> Column:
     return F.when(F.trim(flat) == "", 0).otherwise(F.size(F.filter(F.split(flat, ","), lambda p: F.trim(p) != "")))
 
 
-def node_metrics(found: DataFrame, key: str, long_function: int = 60, many_parameters: int = 5, deep: int = 4) -> DataFrame:
-    """One row for each file that has nodes: counts by kind, functions that are long or take many parameters, deep nodes, missing last elses."""
+#: Parameters that a function may have, by language, and in languages without a limit of their own.
+PARAMETERS = {"TSql": 5, "PlSql": 7, "Java": 7, "Groovy": 7, "Go": 7, "ObjC": 4, "Scala": 4, "Python": 3, "CS": 2}
+OTHER_PARAMETERS = 5
+
+
+def node_metrics(found: DataFrame, key: str, long_function: int = 60, many_parameters: int | None = None, deep: int = 4, language: str = "") -> DataFrame:
+    """One row for each file that has nodes: counts by kind, functions that are long or take many parameters, deep nodes, missing last elses.
+
+    ``many_parameters`` is the language's limit where it isn't given.
+    """
+    many_parameters = PARAMETERS.get(language, OTHER_PARAMETERS) if many_parameters is None else many_parameters
     f = F.col("kind") == "function"
     size = F.col("last_line") - F.col("node_id") + 1
     linked = with_siblings(found, key)

@@ -21,6 +21,8 @@ MAX_DISCOVERY_BYTES = 10_240_000
 MAX_ANALYSIS_BYTES = 3_072_000
 #: Share of control bytes above which a content with two of them in a row is binary.
 CONTROL_SHARE = 0.04
+#: Bytes at the beginning of a library that tell whether it is binary.
+FIRST_BYTES = 70
 _CONTROL = r"[\x00-\x08\x0E-\x1A\x1C-\x1F]"
 
 
@@ -182,8 +184,8 @@ def with_text(files: DataFrame) -> DataFrame:
 
 
 def binary_libraries(files: DataFrame) -> DataFrame:
-    """path, sha256 of binary libraries, which leave the flow."""
-    return files.where(F.col("ext").isin(*BINARY_LIBRARIES) & is_binary(F.col("content"))).select("path", F.sha2("content", 256).alias("sha256"))
+    """path, sha256 of binary libraries, which leave the flow; their first bytes tell."""
+    return files.where(F.col("ext").isin(*BINARY_LIBRARIES) & is_binary(F.substring("content", 1, FIRST_BYTES))).select("path", F.sha2("content", 256).alias("sha256"))
 
 
 #: Names of files that a tool writes.
