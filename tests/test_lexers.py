@@ -111,7 +111,7 @@ def test_literals_nodes_and_limits_of_lexed_languages(spark):
     files = spark.createDataFrame([("a", text)], "path string, text string")
     assert sorted((r.line, r.literal) for r in M.literal_lines(files, "JS", "path").collect()) == [(1, "`x {\n// y ${b('c')} \"`"), (4, "'d'")]
     assert [(r.string_id, r.literal) for r in M.string_table(files, "JS", "path").orderBy("string_id").collect()] == [(1, "`x {\n// y ${b('c')} \"`"), (2, "'d'")]
-    assert sorted((r.node_id, r.kind, r.depth, r.last_line) for r in N.nodes(files, "JS", "path").collect()) == [(3, "function", 0, 5), (4, "if", 1, 4)]
+    assert sorted((r.node_id, r.kind, r.depth, r.last_line) for r in N.nodes(files, "JS", "path").collect()) == [(3, "function", 0, 4), (4, "if", 1, 4)]
     python = spark.createDataFrame([("a", "def f(self, a, b, c):\n  pass\ndef g(a, b, c, d):\n  pass\n")], "path string, text string")
     found = N.nodes(python, "Python", "path")
     limits = [N.node_metrics(found, "path", language=x).first().many_parameters for x in ("Python", "CS", "Java", "Ruby")]
