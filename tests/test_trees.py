@@ -105,7 +105,7 @@ def test_long_texts_take_seconds(spark):
     units = "\n".join(f"create procedure p{i} as\nselect 1;" for i in range(20_000))
     last = M.units(spark.createDataFrame([("u", units)], "path string, text string"), "PlSql", "path").agg(F.max("first_line"), F.count("*")).first()
     assert tuple(last) == (39_999, 20_000)
-    assert time.time() - began < 90
+    assert time.time() - began < 240  # a busy machine too; quadratic work would take hours
 
 
 def test_scan_gives_every_state(spark):
