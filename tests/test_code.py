@@ -138,3 +138,11 @@ def test_dialects_of_text_and_of_code(spark):
     }
     rows = spark.createDataFrame([(t,) for t in cases], "t string")
     assert {r.t: sorted(r.d) for r in rows.select("t", D.sql_dialects(F.col("t")).alias("d")).collect()} == {t: sorted(d) for t, d in cases.items()}
+
+
+def test_letters_beyond_ascii_and_carriage_returns_end_no_word_and_no_line_of_discovery(spark):
+    """As the SQL's engine reads them: a word ends before such a letter, and a lone carriage return begins no line."""
+    cases = {"Chréque aièè": ["MariaDB"], "échr(1)": ["MariaDB"], "chrono": [], "x\rgo\ry": [], "x\u2028go\u2028y": [], "x\ngo\ny": ["MySQL", "TSql"], "-- é\nà varchar2é": ["PlSql"]}
+    files = spark.createDataFrame([(t, f"/d{i}", "sql", t) for i, t in enumerate(cases)], "path string, dir string, ext string, text string")
+    assert {r.t: sorted(r.d) for r in files.select(F.col("text").alias("t"), D.sql_dialects(F.col("text")).alias("d")).collect()} == cases
+    assert {r.path: r.techno for r in D.cascade(files).collect()} == {t: d[0] if len(d) == 1 else None for t, d in cases.items()}
