@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.lexers import LEXERS, lexical_views
 from tessera.functions.views import FAMILY_OF, code_view
+from tessera.staging import written
 
 #: Kinds and how a line that opens one begins or reads, in order; the first that fits counts.
 PYTHON_KINDS = [
@@ -108,7 +109,8 @@ def nested(braces: bool):
 def nodes(files: DataFrame, language: str, key: str, text: str = "text") -> DataFrame:
     """(key, part, node_id: its line, parent_id (null at the top), kind, name, depth, nesting, last_line, statement).
 
-    A projection and an explode: no shuffle. A node's lines, node_id to last_line, hold those of all nodes below it.
+    A projection and an explode: no shuffle. A node's lines, node_id to last_line, hold those of all nodes below it. Nodes are written
+    once, so that whoever joins them with themselves sees the same parts: rows that come out of a shuffle have no order.
     """
     family = FAMILY_OF.get(language, "none")
     braces = family != "python"
@@ -123,9 +125,10 @@ def nodes(files: DataFrame, language: str, key: str, text: str = "text") -> Data
     fold = nested(braces)("lines.n", "lines.a", "lines.b", "lines.c", F.transform("opened", lambda x: x["kind"].isNotNull()))
     found = rows.select("key", "part", F.filter("opened", lambda x: x["kind"].isNotNull()).alias("x"), fold.alias("f"))
     each = found.select("key", "part", F.explode(F.arrays_zip("x", F.col("f.depth").alias("depth"), F.col("f.parent").alias("parent"), F.col("f.nesting").alias("nesting"), F.col("f.last").alias("last"))).alias("e"))
-    return each.select(
+    own = each.select(
         F.col("key").alias(key), "part", "e.x.node_id", F.when(F.col("e.parent") > 0, F.col("e.parent")).alias("parent_id"), "e.x.kind", "e.x.name", "e.depth", "e.nesting", F.col("e.last").alias("last_line"), "e.x.statement"
     )
+    return written(own, "nodes")
 
 
 def with_siblings(found: DataFrame, key: str) -> DataFrame:

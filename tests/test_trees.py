@@ -112,3 +112,11 @@ def test_scan_gives_every_state(spark):
     rows = spark.createDataFrame([([],), ([1],), (list(range(1, 1300)),), (None,)], "x array<int>")
     got = [r[0] for r in rows.select(T.scan(F.col("x"), F.lit(0), lambda s, x: s + x)).collect()]
     assert got[0] == [] and got[1] == [1] and got[2] == [i * (i + 1) // 2 for i in range(1, 1300)]
+
+
+def test_parts_are_the_same_in_every_branch_of_a_join(spark):
+    """Rows that come out of a shuffle may come in another order each time: nodes that are joined with themselves must still meet."""
+    texts = spark.range(0, 300, 1, 3).select(F.col("id").alias("k"), F.lit("class A:\n  if x:\n    y\nclass B:\n  for z in y:\n    w").alias("text"))
+    own = N.nodes(texts.mapInPandas(lambda frames: (x.sample(frac=1) for x in frames), "k long, text string"), "Python", "k")
+    assert Tr.clones(own, ["k", "part"], F.col("kind") == "class").count() == 300 * 4
+    assert Tr.below(own, ["k", "part"], ["class"], ["if", "for"], stop=["try"]).count() == 300 * 2
