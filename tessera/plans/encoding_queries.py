@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources.files import encoding_of
+from tessera.staging import dealt
 
 #: Pieces of a content in hexadecimal, by the kind of content: ASCII, UTF-8, Latin letters with signs of the euro, letters of DOS, double bytes of two kinds, and controls.
 PIECES = [
@@ -28,7 +29,7 @@ def made_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.get(F.array(*[F.array(*[F.lit(x) for x in own]) for own in PIECES]), (a % len(PIECES)).cast("int"))
     picked = [F.get(kind, ((a * m + b * (k + 1) + o) % 6).cast("int")) for k, (m, o) in enumerate(_PICKS)]
     mark = F.get(F.array(*[F.lit(x) for x in MARKS]), (b % len(MARKS)).cast("int"))
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.unhex(F.concat(mark, *picked)).alias("content"))
+    return dealt(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal")).select("c_custkey", F.unhex(F.concat(mark, *picked)).alias("content"))
 
 
 def q46_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:

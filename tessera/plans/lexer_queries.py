@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import lexers as L
+from tessera.staging import dealt
 
 #: Pieces of each language, where {a} and {b} stand for numbers.
 PIECES = {
@@ -45,7 +46,7 @@ def lexer_sources(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
     a, b = F.col("c_custkey"), F.floor("c_acctbal").cast("long") % 1000 + 1000
     picked = [F.get(own, ((a * m + b * (k + 1) + o) % len(PIECES[language])).cast("int")) for k, (m, o) in enumerate(_PICKS)]
     text = F.replace(F.replace(F.concat(*picked), F.lit("{a}"), a.cast("string")), F.lit("{b}"), b.cast("string"))
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", text.alias("text"))
+    return dealt(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal")).select("c_custkey", text.alias("text"))
 
 
 def views_query(language: str):

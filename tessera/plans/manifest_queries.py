@@ -11,6 +11,7 @@ from tessera.operators import dependencies as Dep
 from tessera.operators import nodes as N
 from tessera.sources import sinks
 from tessera.sources.files import with_path_parts
+from tessera.staging import dealt
 
 #: The files of a part by its key modulo the number of kinds: names and texts, where {p} stands for the key, {v} for a version, {m} for its first number.
 MANIFESTS: list[list[tuple[str, str]]] = [
@@ -45,7 +46,7 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, files in enumerate(MANIFESTS):
         made = F.array(*[F.struct(F.lit(n).alias("n"), _made(t).alias("text")) for n, t in files])
         own = F.when(F.col("p_partkey") % len(MANIFESTS) == k, made).otherwise(own) if k else F.when(F.col("p_partkey") % len(MANIFESTS) == 0, made)
-    each = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.inline(own))
+    each = dealt(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")).select("p_partkey", F.inline(own))
     return with_path_parts(each.select(F.concat(F.lit("/p"), F.col("p_partkey").cast("string"), F.lit("/"), F.col("n")).alias("path"), "text"))
 
 
@@ -130,7 +131,7 @@ def python_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = F.when(depth > 0, F.array_join(F.transform(levels, lambda i: F.concat(F.repeat(F.lit("    "), i + 1), F.lit("if a:\n"))), "")).otherwise(F.lit(""))
     arguments = F.array_join(F.transform(F.sequence(F.lit(0), depth), lambda i: F.concat(F.lit("a"), i.cast("string"))), ", ")
     text = F.concat(F.lit("class C"), F.col("p_partkey").cast("string"), F.lit(":\n    def f(self):\n"), nested, F.repeat(F.lit("    "), depth + 2), F.lit("pass\n\ndef g("), arguments, F.lit("):\n    return 1\n"))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("/s/"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), text.alias("text"))
+    return dealt(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")).select(F.concat(F.lit("/s/"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), text.alias("text"))
 
 
 def q27_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.prepro import preprocessed
+from tessera.staging import dealt
 
 #: What a line may be; {s} stands for a name, {n} for a number.
 LINES = ["#define {s} {n}", "#ifdef {s}", "  # ifndef {s}", "#if {s}", "#if !{s}", "#elif {s}", "#else", "#endif", "x = {n}; /* {s} */", "#undef {s}", "#endif", "y({s});", "#if ( {s} )", "#define {s}", "#endif", "z[{n}] = {s};"]
@@ -27,7 +28,7 @@ def prepro_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.replace(F.replace(line, F.lit("{s}"), F.concat(F.lit("S"), (F.floor(h / 16) % NAMES).cast("string"))), F.lit("{n}"), (F.floor(h / 64) % 3).cast("string"))
 
     text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(LENGTH - 1)), lambda i: one(i.cast("long"))), "\n")
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", text.alias("text"))
+    return dealt(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal")).select("c_custkey", text.alias("text"))
 
 
 def q45_preprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:

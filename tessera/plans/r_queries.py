@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.r_packages import r_packages
+from tessera.staging import dealt
 
 #: What a line may be; {i} and {j} stand for the numbers of variables, {a} and {b} for those of packages.
 LINES = [
@@ -41,7 +42,7 @@ def r_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         return out
 
     text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(LENGTH - 1)), lambda i: one(i.cast("long"))), "\n")
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("/c"), F.col("c_custkey").cast("string"), F.lit(".R")).alias("path"), text.alias("text"))
+    return dealt(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal")).select(F.concat(F.lit("/c"), F.col("c_custkey").cast("string"), F.lit(".R")).alias("path"), text.alias("text"))
 
 
 def q47_r_packages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.secrets import secrets
+from tessera.staging import dealt
 
 #: What a line may be, and what it does to the state: {n} stands for a number.
 LINES = [
@@ -35,7 +36,7 @@ def secret_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.replace(F.get(lines, (h % len(LINES)).cast("int")), F.lit("{n}"), (h % 1009).cast("string"))
 
     text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(LENGTH - 1)), lambda i: one(i.cast("long"))), "\n")
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", text.alias("text"))
+    return dealt(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal")).select("c_custkey", text.alias("text"))
 
 
 def q49_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

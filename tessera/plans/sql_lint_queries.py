@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.sql_clauses import lint
+from tessera.staging import dealt
 
 #: What the numbers say: columns, listed tables, joins, ties in where, a query in the columns, in from, in where, whether aliases are left out, and whether all columns are meant.
 _FIELDS = {"cols": (1, 14), "lists": (3, 4), "joins": (5, 3), "ties": (7, 3), "sub": (11, 4), "bare": (13, 2), "star": (17, 5), "fn": (19, 2)}
@@ -29,7 +30,7 @@ def made_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = F.regexp_replace(joined, ", ", " ")
     tied = F.array_join(F.concat(F.array(F.lit("a.x > 5"), F.lit("b.k = 7")), each(n["ties"], lambda i: F.concat(F.lit("a.id"), i.cast("string"), F.lit(" = b.id"), i.cast("string"))), F.when(n["sub"] == 3, F.array(F.lit("a.z in (select z from y where y.i = a.i and exists ((select 1 from r)))"))).otherwise(F.array().cast("array<string>"))), "\n  and ")
     text = F.concat(F.lit("-- select no, body from x, y\nSELECT "), columns, F.lit("\nFROM "), F.array_join(listed, ", "), joined, F.lit("\nWHERE "), tied, F.lit("\nORDER BY 1, 2;\nselect 1, 2;"))
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", text.alias("text"))
+    return dealt(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal")).select("c_custkey", text.alias("text"))
 
 
 def q48_sql_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
