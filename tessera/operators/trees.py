@@ -3,7 +3,8 @@
 A table of ``operators.nodes`` has such intervals: a node's lines, ``node_id`` to ``last_line``, hold those of all nodes
 below it and of no other. "Below" is then a range condition. Joins on it go by dyadic blocks: an interval
 is cut into at most two blocks of each power of two, a place lies in one block of each size, and both meet in an
-equi-join on (tree, size, block), so one large tree is dealt by block and no pair is looked at in vain. Whether something
+equi-join on (tree, size, block), so one large tree is dealt by block and no pair is looked at in vain. Sizes go up to that of the
+longest interval only. Whether something
 lies below a node at all is one window over the tree: the next node of the kind comes before the node's last place.
 
 Defined cases: null kinds are no kind; a node is not below itself; trees are told apart by ``keys`` (several columns may
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 SIZES = 31
 
 
-def _blocks_of_interval(first: Column, last: Column) -> Column:
-    """The dyadic blocks (size, block) that together are the places ``first`` to ``last``, and no more."""
+def _blocks_of_interval(first: Column, last: Column, sizes: int = SIZES) -> Column:
+    """The dyadic blocks (size, block) that together are the places ``first`` to ``last``, and no more; ``sizes`` is the largest that such an interval holds."""
     a, b = first.cast("long"), last.cast("long")
 
     def at(size: Column) -> Column:
@@ -29,18 +30,20 @@ def _blocks_of_interval(first: Column, last: Column) -> Column:
         some = low <= high
         return F.array(F.when(some & (low % 2 == 1), F.struct(size.alias("size"), low.alias("block"))), F.when(some & (high % 2 == 0), F.struct(size.alias("size"), high.alias("block"))))
 
-    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(SIZES)), at)), lambda x: x.isNotNull())
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(sizes)), at)), lambda x: x.isNotNull())
 
 
-def _blocks_of_place(place: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(SIZES)), lambda s: F.struct(s.alias("size"), F.call_function("shiftright", place.cast("long"), s).alias("block")))
+def _blocks_of_place(place: Column, sizes: int = SIZES) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(sizes)), lambda s: F.struct(s.alias("size"), F.call_function("shiftright", place.cast("long"), s).alias("block")))
 
 
 def pairs_below(outer: DataFrame, inner: DataFrame, keys: list[str], place: str = "node_id", last: str = "last_line") -> DataFrame:
     """(keys, outer_id, inner_id): each node of ``inner`` with each node of ``outer`` that it lies below."""
-    around = outer.where(F.col(last) > F.col(place)).select(*keys, F.col(place).alias("outer_id"), F.explode(_blocks_of_interval(F.col(place) + 1, F.col(last))).alias("at"))
-    sizes = F.array_distinct(F.transform(_blocks_of_place(F.col(place)), lambda x: x))
-    points = inner.select(*keys, F.col(place).alias("inner_id"), F.explode(sizes).alias("at"))
+    around = outer.where(F.col(last) > F.col(place))
+    longest = around.agg(F.max(F.col(last).cast("long") - F.col(place))).first()[0] or 1
+    sizes = longest.bit_length() - 1  # a block of the next size doesn't lie within any interval
+    around = around.select(*keys, F.col(place).alias("outer_id"), F.explode(_blocks_of_interval(F.col(place) + 1, F.col(last), sizes)).alias("at"))
+    points = inner.select(*keys, F.col(place).alias("inner_id"), F.explode(_blocks_of_place(F.col(place), sizes)).alias("at"))
     flat = lambda df, name: df.select(*keys, name, F.col("at.size").alias("size"), F.col("at.block").alias("block"))
     return flat(around, "outer_id").join(flat(points, "inner_id"), [*keys, "size", "block"]).select(*keys, "outer_id", "inner_id")
 

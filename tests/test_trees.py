@@ -120,3 +120,12 @@ def test_parts_are_the_same_in_every_branch_of_a_join(spark):
     own = N.nodes(texts.mapInPandas(lambda frames: (x.sample(frac=1) for x in frames), "k long, text string"), "Python", "k")
     assert Tr.clones(own, ["k", "part"], F.col("kind") == "class").count() == 300 * 4
     assert Tr.below(own, ["k", "part"], ["class"], ["if", "for"], stop=["try"]).count() == 300 * 2
+
+
+def test_places_meet_in_blocks_up_to_the_longest_interval(spark, monkeypatch):
+    """Short trees don't send each of their places to the blocks that long ones would need."""
+    seen, own = [], Tr._blocks_of_place
+    monkeypatch.setattr(Tr, "_blocks_of_place", lambda place, *sizes: (seen.append(sizes), own(place, *sizes))[1])
+    for longest, size in ((1, 0), (3, 1), (4, 2), (1000, 9)):
+        df = spark.createDataFrame([("t", 5, 5 + longest), ("t", 5 + longest, 5 + longest), ("t", 6 + longest, 6 + longest)], "tree string, node_id int, last_line int")
+        assert [tuple(r) for r in Tr.pairs_below(df, df, ["tree"]).collect()] == [("t", 5, 5 + longest)] and seen[-1] == (size,)
