@@ -11,6 +11,8 @@ with the text; rows of equal keys are kept apart by ``part``; other columns aren
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,14 +23,23 @@ _TOKEN = r"\"chaine\"|[\w.#@$\[\]]+|<>|[<>!]=|\S"
 CLAUSES = ("select", "into", "from", "where", "group", "having", "order", "on", "union", "except", "intersect", "set", "values", "limit", "fetch", "for", "option", "using")
 JOINING = ("join", "inner", "left", "right", "full", "outer", "cross", "natural", "apply")
 BEFORE_COLUMNS = ("select", "all", "distinct", "top", "percent", "with", "ties")
+#: Signs of text that one task takes: its tokens are sorted several times at once.
+TASK_CHARS = 1_000_000
 #: Columns and tables of a query that is too large.
 MAX_COLUMNS, MAX_TABLES = 9, 4
 
 
 def tokens(files: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, part, place, token, selects: so many so far, depth, segment): brackets belong to the depth outside them."""
+    """(key, part, place, token, selects: so many so far, depth, segment): brackets belong to the depth outside them.
+
+    Texts are dealt to as many tasks as their length asks for, so what a task sorts has the same size however many there are.
+    """
     own = files.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("part"), F.lower(code_view(F.col(text), "sql")).alias("code"))
     each = own.select("key", "part", F.posexplode(F.regexp_extract_all("code", F.lit(_TOKEN), F.lit(0))).alias("place", "token"))
+    chars = files.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0
+    session = files.sparkSession
+    tasks = max(math.ceil(chars / TASK_CHARS), min(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))))
+    each = each.repartition(tasks, "key", "part")  # all windows are over these two and more
     order = Window.partitionBy("key", "part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     opened, closed = (F.col("token") == "(").cast("int"), (F.col("token") == ")").cast("int")
     deep = each.withColumn("depth", F.greatest(F.lit(0), F.sum(opened - closed).over(order) - opened))

@@ -41,3 +41,17 @@ def test_long_and_repeated_texts(spark):
     (one,) = lint(files, "k").collect()
     assert (one.Select, one.SubQueries, one.NotANSI_Joins, one.MissingTableAlias, one.JoinsOutsideOn) == (16_000, 8000, 8000, 8000, 8000) and time.time() - began < 180
     assert lint(files.limit(0), "k").count() == 0
+
+
+def test_tasks_grow_with_the_texts(spark, monkeypatch):
+    """What one task sorts has a bound: small shuffled blocks don't make few tasks of many tokens."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators import sql_clauses as S
+
+    monkeypatch.setattr(S, "TASK_CHARS", 1000, raising=False)
+    files = spark.range(0, 1000, 1, 2).select("id", F.lit("select a, b from t where x = 1 and y = 2").alias("text"))
+    found = S.tokens(files, "id")
+    sizes = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 30 and sum(r["count"] for r in sizes) == 1000 * 14
+    assert S.lint(files, "id").count() == 1000 and S.lint(files.where("id < 0"), "id").count() == 0
